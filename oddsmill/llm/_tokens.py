@@ -12,6 +12,7 @@ import numpy as np
 _SPACES = re.compile(r"[\s\x1c-\x1f]{2}")
 _LONE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 _LONGEST_WORD = 64
+_STOPS = ".,"
 
 
 class WordCachingEncoder:
@@ -22,7 +23,7 @@ class WordCachingEncoder:
     alone, and the ids joined. Any other tokenizer gets whole texts. ``max_words`` bounds the cache.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -53,6 +54,15 @@ class WordCachingEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
+        """Caches the words. A token never goes on from a letter to a stop, so those two parts are encoded once."""
+        stopped = [w for w in words if w[-1:] in _STOPS and w[-2:-1].isalpha()]
+        bare = {w[:-1] for w in stopped}.union(words).difference(stopped, self.cache)
+        self._encode_words([*bare, *(x for x in _STOPS if x not in self.cache and x not in bare)])
+        cache = self.cache
+        for w in stopped:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+
+    def _encode_words(self, words: list[str]) -> None:
         glue = self.glue.strip(" ")
         plain = [w for w in words if glue not in w and w]
         for i in range(0, len(plain), 1000):
@@ -84,14 +94,14 @@ class WordCachingEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
+        for i in range(0, len(texts), 512):
+            part = texts[i : i + 512]
             if self.mode == "whole":
                 out += self._encode_each(part)
                 continue
             cut = [self._cut(x) for x in part]
             missing = set().union(*[c for c in cut if c]) - self.cache.keys()
-            if len(self.cache) + len(missing) > self.max_words:
+            if len(self.cache) + 2 * len(missing) > self.max_words:
                 self.cache = {}
                 missing = set().union(*[c for c in cut if c])
             long = [w for w in missing if len(w) > _LONGEST_WORD]
