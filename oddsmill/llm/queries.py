@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from oddsmill.llm.decontaminate import op4_decontamination
+from oddsmill.llm.language import op2_language_id
 from oddsmill.llm.packing import op5_packing
+from oddsmill.llm.quality import op6_quality_rules
 from oddsmill.llm.token_file import op9_token_file
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_token_file": op9_token_file,
 }
 
