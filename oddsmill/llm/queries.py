@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from oddsmill.llm.chat import OP1_SQL, op1_chat_format
 from oddsmill.llm.decontaminate import op4_decontamination
+from oddsmill.llm.html_text import op10_html_text
 from oddsmill.llm.language import op2_language_id
 from oddsmill.llm.packing import op5_packing
 from oddsmill.llm.quality import op6_quality_rules
+from oddsmill.llm.secrets import op8_secret_scans
 from oddsmill.llm.token_file import op9_token_file
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
     "op9_token_file": op9_token_file,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
