@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oddsmill.llm.chat import OP1_SQL, op1_chat_format
+from oddsmill.llm.class_model import op3_class_model
 from oddsmill.llm.decontaminate import op4_decontamination
 from oddsmill.llm.html_text import op10_html_text
 from oddsmill.llm.language import op2_language_id
@@ -14,6 +15,7 @@ from oddsmill.llm.token_file import op9_token_file
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
+    "op3_class_model": op3_class_model,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
