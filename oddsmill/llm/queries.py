@@ -6,6 +6,7 @@ from oddsmill.llm.chat import OP1_SQL, op1_chat_format
 from oddsmill.llm.class_model import op3_class_model
 from oddsmill.llm.decontaminate import op4_decontamination
 from oddsmill.llm.html_text import op10_html_text
+from oddsmill.llm.jaccard_join import op7_jaccard_join
 from oddsmill.llm.language import op2_language_id
 from oddsmill.llm.packing import op5_packing
 from oddsmill.llm.quality import op6_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op9_token_file": op9_token_file,
     "op10_html_text": op10_html_text,
