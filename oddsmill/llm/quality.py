@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,25 @@ def measure(texts: list[bytes], min_words: int) -> dict[str, np.ndarray]:
     }
 
 
+def _by_size(batch: pa.RecordBatch, text: int):
+    """Slices with texts of about six bytes for each word of a batch; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    at = size = 0
+    for k, n in enumerate(sizes):
+        if k > at and size + n > 6 * _WORDS_PER_BATCH:
+            yield batch.slice(at, k - at)
+            at, size = k, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _verdict(m: dict[str, np.ndarray], max_covered: float, max_longest: float) -> tuple[np.ndarray, np.ndarray]:
+    w = m["n_words"]
+    failed = (w < 50) | (100 * m["n_repeat_words"] > 50 * w)
+    return failed, ~failed & (m["covered_words"] <= max_covered * w) & (m["longest_repeat"] <= max_longest * w)
+
+
 def quality(docs: DataFrame, min_words: int = 10, max_covered: float = 0.3, max_longest: float = 0.2) -> DataFrame:
     """Counts and verdict of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -128,27 +148,31 @@ def quality(docs: DataFrame, min_words: int = 10, max_covered: float = 0.3, max_
 
     def run(batches):
         for b in batches:
-            ids, rows, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())
-            at = 0
-            while at < len(ids):
-                upto, size = at, 0
-                while upto < len(ids) and size < 6 * _WORDS_PER_BATCH:
-                    size += len(texts[upto].as_py() or b"")
-                    upto += 1
-                m = measure([t or b"" for t in texts[at:upto].to_pylist()], min_words)
-                w = m["n_words"]
-                failed = (w < 50) | (100 * m["n_repeat_words"] > 50 * w)
-                kept = ~failed & (m["covered_words"] <= max_covered * w) & (m["longest_repeat"] <= max_longest * w)
+            for part in _by_size(b, 2):
+                m = measure([t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()], min_words)
+                failed, kept = _verdict(m, max_covered, max_longest)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(ids[at:upto], pa.int64()), "row": pa.array(rows[at:upto], pa.int64())}
+                    {"doc_id": part.column(0), "row": part.column(1)}
                     | {k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
                     | {"base_failed": failed, "covered_words": m["covered_words"], "longest_repeat": m["longest_repeat"], "kept": kept}
                 )
-                at = upto
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, RESULT)
 
 
+def accepted(docs: DataFrame, min_words: int = 10, max_covered: float = 0.3, max_longest: float = 0.2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps."""
+    where = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for part in _by_size(b, where):
+                texts = [t or b"" for t in part.column(where).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array(_verdict(measure(texts, min_words), max_covered, max_longest)[1], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("row")
