@@ -12,7 +12,7 @@ import numpy as np
 _SPACES = re.compile(r"[\s\x1c-\x1f]{2}")
 _LONE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 _LONGEST_WORD = 64
-_STOPS = ".,"
+_MARKS = ".,!?;:|*#$%&\")"
 
 
 class WordCachingEncoder:
@@ -54,13 +54,20 @@ class WordCachingEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Caches the words. A token never goes on from a letter to a stop, so those two parts are encoded once."""
-        stopped = [w for w in words if w[-1:] in _STOPS and w[-2:-1].isalpha()]
-        bare = {w[:-1] for w in stopped}.union(words).difference(stopped, self.cache)
-        self._encode_words([*bare, *(x for x in _STOPS if x not in self.cache and x not in bare)])
-        cache = self.cache
-        for w in stopped:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        """Caches the words. A token never goes on from a letter to a mark, so those two parts are encoded once."""
+        cache, parts, bare = self.cache, [], set()
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                tail = w[len(stem) :]
+                parts.append((w, stem, tail))
+                bare.add(stem)
+                bare.add(tail)
+            else:
+                bare.add(w)
+        self._encode_words([*bare.difference(cache)])
+        for w, stem, tail in parts:
+            cache[w] = cache[stem] + cache[tail]
 
     def _encode_words(self, words: list[str]) -> None:
         glue = self.glue.strip(" ")
