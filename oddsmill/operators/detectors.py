@@ -192,7 +192,7 @@ def burst_windows(alerts_: DataFrame, trades: DataFrame, step: int = 300, factor
     seen = alerts_.join(t, "condition_id", "left").where("ts is null or (ts >= at - %d and ts <= at)" % baseline_s)
     rate = seen.groupBy("alert_key", "condition_id", "at").agg((F.count("ts") / baseline_s * step).alias("baseline"))
     counts = seen.where(F.col("ts") > F.col("at") - back).groupBy("alert_key", F.floor((F.col("at") - F.col("ts")) / step).alias("k")).agg(F.count("*").alias("trades"))
-    steps = alerts_.join(rate, ["alert_key", "condition_id", "at"], "left").select("alert_key", "condition_id", "at", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("k"))
+    steps = alerts_.join(rate, ["alert_key", "condition_id", "at"], "left").select("alert_key", "condition_id", "at", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
     w = Window.partitionBy("alert_key").orderBy("k")
     quiet = steps.join(counts, ["alert_key", "k"], "left").withColumn("quiet", F.coalesce("trades", F.lit(0)) < factor * F.col("baseline"))
     quiet = quiet.withColumn("stop", F.col("quiet") & F.coalesce(F.lag("quiet").over(w), F.lit(False)))

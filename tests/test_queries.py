@@ -15,7 +15,7 @@ FAST = ["asset_index", "pit_market_features", "training_examples", "categorize",
 
 
 def same(v):
-    return None if isinstance(v, float) and math.isnan(v) else round(v, 6) + 0.0 if isinstance(v, float) else v
+    return None if isinstance(v, float) and math.isnan(v) else round(v, 8) + 0.0 if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", FAST)
