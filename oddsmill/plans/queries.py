@@ -1,6 +1,7 @@
 """Registered queries over the domain views, each with the SQL that states its result.
 
-Doubles are rounded to eight digits on both sides, as sums differ in their last bits with the order of addition.
+Doubles are rounded to eight digits on both sides, as sums differ in their last bits with the order of addition; 3e-12 keeps
+binary fractions off the middle between two roundings.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: F.round(F.col(c) + 3e-12, digits) + 0.0 for c, kind in df.dtypes if kind == "double"})
 
 
 def query(sql: str | None = None, **more: str):
@@ -39,7 +40,7 @@ def query(sql: str | None = None, **more: str):
 # -- clean tables ---------------------------------------------------------------------------------
 
 
-@query("select platform, tx_hash, asset_id, wallet_address, condition_id, outcome_side, bs, round(price, 8) as price, size, round(notional_usd, 8) as notional_usd, ts from trades where notional_usd >= 10")
+@query("select platform, tx_hash, asset_id, wallet_address, condition_id, outcome_side, bs, round(price + 3e-12, 8) as price, size, round(notional_usd + 3e-12, 8) as notional_usd, ts from trades where notional_usd >= 10")
 def trades_clean(spark, sf_dir):
     return ingest.load_rules(views.trades(spark, sf_dir))
 
@@ -50,7 +51,7 @@ def asset_index(spark, sf_dir):
     return ingest.asset_index(views.trades(spark, sf_dir))
 
 
-@query("select platform, condition_id, event_slug, category, categories_json, closed_at, round(total_volume_usd, 8) as total_volume_usd, trades_pulled_count from markets")
+@query("select platform, condition_id, event_slug, category, categories_json, closed_at, round(total_volume_usd + 3e-12, 8) as total_volume_usd, trades_pulled_count from markets")
 def markets_dim(spark, sf_dir):
     return views.markets(spark, sf_dir).select("platform", "condition_id", "event_slug", "category", "categories_json", "closed_at", "total_volume_usd", "trades_pulled_count")
 
@@ -60,8 +61,8 @@ def resolutions_dim(spark, sf_dir):
     return views.resolutions(spark, sf_dir)
 
 
-@query("""select tx_hash as transaction_hash, asset_id, 'BUY' as side, wallet_address as wallet, condition_id, size, round(price, 8) as price,
-  round(case when size > 25 then notional_usd else size * price end, 8) as usd_value, 'CONFIRMED' as status, ts as "timestamp" from trades where bs = 'BUY'""")
+@query("""select tx_hash as transaction_hash, asset_id, 'BUY' as side, wallet_address as wallet, condition_id, size, round(price + 3e-12, 8) as price,
+  round(case when size > 25 then notional_usd else size * price end + 3e-12, 8) as usd_value, 'CONFIRMED' as status, ts as "timestamp" from trades where bs = 'BUY'""")
 def activity_to_trades(spark, sf_dir):
     """Payloads as a venue sends them: every trade as JSON text, sells as another type, amounts for large ones alone."""
     t = views.trades(spark, sf_dir)
@@ -73,7 +74,7 @@ def activity_to_trades(spark, sf_dir):
 
 
 @query("""select 'kalshi' as platform, tx_hash, condition_id || ':' || lower(outcome_side) as asset_id, '' as wallet_address, condition_id, outcome_side, 'BUY' as bs,
-  round(case when outcome_side = 'YES' then price else 1 - price end, 8) as price, size, round(case when outcome_side = 'YES' then price else 1 - price end * size, 8) as notional_usd, ts from trades""")
+  round(case when outcome_side = 'YES' then price else 1 - price end + 3e-12, 8) as price, size, round(case when outcome_side = 'YES' then price else 1 - price end * size + 3e-12, 8) as notional_usd, ts from trades""")
 def exchange_to_trades(spark, sf_dir):
     t = views.trades(spark, sf_dir)
     return ingest.exchange_trades(
@@ -81,7 +82,7 @@ def exchange_to_trades(spark, sf_dir):
     )
 
 
-@query("""select platform, tx_hash, asset_id, wallet_address, condition_id, outcome_side, bs, round(cash / 1000000 / (tokens / 1000000), 8) as price, round(tokens / 1000000, 8) as size, round(cash / 1000000, 8) as notional_usd
+@query("""select platform, tx_hash, asset_id, wallet_address, condition_id, outcome_side, bs, round(cash / 1000000 / (tokens / 1000000) + 3e-12, 8) as price, round(tokens / 1000000 + 3e-12, 8) as size, round(cash / 1000000 + 3e-12, 8) as notional_usd
   from (select *, cast(size * 1000000 as bigint) as tokens, cast(round(round(price, 2) * size * 1000000) as bigint) as cash from trades)""")
 def fills_to_trades(spark, sf_dir):
     """Fills between makers and takers, rebuilt from trades, through the decoder of the maker's view."""
@@ -95,7 +96,7 @@ def fills_to_trades(spark, sf_dir):
     return ingest.fills_to_trades(fills, ingest.asset_index(t), "0xexchange")[0].drop("block_number")
 
 
-@query("""select asset_id, b as snapshot_at, round(max(case when side = 'bid' then price end), 8) as best_bid, round(min(case when side = 'ask' then price end), 8) as best_ask from (
+@query("""select asset_id, b as snapshot_at, round(max(case when side = 'bid' then price end) + 3e-12, 8) as best_bid, round(min(case when side = 'ask' then price end) + 3e-12, 8) as best_ask from (
     select asset_id, b, side, price, arg_max(size, seq) as size from (
       select e.asset_id, e.b, m.side, m.price, m.size, m.seq from (select distinct cast(user_id as varchar) as asset_id, cast(floor(epoch(ts) / 86400) as bigint) * 86400 + 86400 as b from events) e
       join (select cast(user_id as varchar) as asset_id, cast(floor(epoch(ts)) as bigint) as ts, event_id as seq, case when event_id % 2 = 0 then 'bid' else 'ask' end as side,
@@ -147,12 +148,12 @@ def category_settings(spark, sf_dir):
     return with_settings(_tagged(spark, sf_dir).select("condition_id", primary_category(F.col("tags")).alias("category"))).select("condition_id", "category", "window_s", "mispricing_skip")
 
 
-@query("select condition_id, event_slug, round(total_volume_usd, 8) as total_volume_usd from markets where backfill_state = 'complete' and condition_id not in (select condition_id from resolutions) and total_volume_usd is not null")
+@query("select condition_id, event_slug, round(total_volume_usd + 3e-12, 8) as total_volume_usd from markets where backfill_state = 'complete' and condition_id not in (select condition_id from resolutions) and total_volume_usd is not null")
 def missing_resolutions(spark, sf_dir):
     return corpus.missing_resolutions(views.markets(spark, sf_dir), views.resolutions(spark, sf_dir)).where("total_volume_usd is not null").select("condition_id", "event_slug", "total_volume_usd")
 
 
-@query("select condition_id, round(total_volume_usd, 8) as total_volume_usd from markets where p_partkey % 3 = 0 order by total_volume_usd desc nulls last, closed_at desc nulls last, condition_id limit 25")
+@query("select condition_id, round(total_volume_usd + 3e-12, 8) as total_volume_usd from markets where p_partkey % 3 = 0 order by total_volume_usd desc nulls last, closed_at desc nulls last, condition_id limit 25")
 def work_queue(spark, sf_dir):
     m = views.markets(spark, sf_dir).withColumn("backfill_state", F.when(F.col("p_partkey") % 3 == 0, "pending").otherwise("complete"))
     return corpus.work_queue(m, 25).select("condition_id", "total_volume_usd")
@@ -223,8 +224,8 @@ def _examples(spark, sf_dir):
 
 
 @query(
-    """select tx_hash, asset_id, wallet_address, round(market_volume_so_far_usd, 8) as market_volume_so_far_usd, market_unique_traders_so_far, round(last_trade_price, 8) as last_trade_price,
-    round(price_volatility_recent, 8) as price_volatility_recent, market_age_seconds, time_to_resolution_seconds from market_aggs""",
+    """select tx_hash, asset_id, wallet_address, round(market_volume_so_far_usd + 3e-12, 8) as market_volume_so_far_usd, market_unique_traders_so_far, round(last_trade_price + 3e-12, 8) as last_trade_price,
+    round(price_volatility_recent + 3e-12, 8) as price_volatility_recent, market_age_seconds, time_to_resolution_seconds from market_aggs""",
     **_SQL_FEATURES,
 )
 def pit_market_features(spark, sf_dir):
@@ -242,7 +243,7 @@ _EXAMPLE_COLUMNS = {
 
 @query(
     "select platform, tx_hash, asset_id, wallet_address, condition_id, "
-    + ", ".join(f"round({c}, 8) as {c}" if is_double else c for c, is_double in _EXAMPLE_COLUMNS.items())
+    + ", ".join(f"round({c} + 3e-12, 8) as {c}" if is_double else c for c, is_double in _EXAMPLE_COLUMNS.items())
     + """ from (select *, prior_resolved_buys - prior_wins as prior_losses, notional_usd as bet_size_usd, realized_edge_pp * least(1.0, prior_resolved_buys / 20) as edge_confidence_weighted,
       (win_rate - 0.5) * least(1.0, prior_resolved_buys / 20) as win_rate_confidence_weighted, case when prior_resolved_buys >= 20 and win_rate > 0.55 then 1 else 0 end as is_high_quality_wallet, category as market_category, outcome_side as side,
       case when categories_json <> '[]' then cast(contains(categories_json, '"sports"') as int) else cast(category = 'sports' as int) end as cat_sports,
@@ -253,8 +254,8 @@ def training_examples(spark, sf_dir):
     return _examples(spark, sf_dir).select("platform", "tx_hash", "asset_id", "wallet_address", "condition_id", *_EXAMPLE_COLUMNS)
 
 
-@query("""select wallet_address, count(*) as trades_count, count(*) filter (bs = 'BUY') as buys_count, min(ts) as first_trade_ts, max(ts) as last_trade_ts, round(sum(case when bs = 'BUY' then price else 0 end), 8) as paid,
-  round(sum(case when bs = 'BUY' then notional_usd else 0 end), 8) as spent, cast(coalesce(sum(case when resolved_at >= ts and resolved_at < 1000000000 and bs = 'BUY' then 1 end), 0) as bigint) as resolved_buys
+@query("""select wallet_address, count(*) as trades_count, count(*) filter (bs = 'BUY') as buys_count, min(ts) as first_trade_ts, max(ts) as last_trade_ts, round(sum(case when bs = 'BUY' then price else 0 end) + 3e-12, 8) as paid,
+  round(sum(case when bs = 'BUY' then notional_usd else 0 end) + 3e-12, 8) as spent, cast(coalesce(sum(case when resolved_at >= ts and resolved_at < 1000000000 and bs = 'BUY' then 1 end), 0) as bigint) as resolved_buys
   from trades left join resolutions using (condition_id) where ts < 1000000000 group by wallet_address""")
 def wallet_state(spark, sf_dir):
     from oddsmill.streaming.state import wallet_snapshot
@@ -263,7 +264,7 @@ def wallet_state(spark, sf_dir):
     return s.select("wallet_address", "trades_count", "buys_count", "first_trade_ts", "last_trade_ts", "paid", "spent", "resolved_buys")
 
 
-@query("""select condition_id, round(sum(notional_usd), 8) as volume_usd, count(distinct wallet_address) as unique_traders, round(arg_max(price, (ts, tx_hash, asset_id)), 8) as last_price, count(*) as trades_count from trades where ts < 1000000000 group by condition_id""")
+@query("""select condition_id, round(sum(notional_usd) + 3e-12, 8) as volume_usd, count(distinct wallet_address) as unique_traders, round(arg_max(price, (ts, tx_hash, asset_id)) + 3e-12, 8) as last_price, count(*) as trades_count from trades where ts < 1000000000 group by condition_id""")
 def market_state(spark, sf_dir):
     from oddsmill.streaming.state import market_snapshot
 
@@ -272,8 +273,8 @@ def market_state(spark, sf_dir):
 
 # -- detectors ------------------------------------------------------------------------------------
 
-_SKILL = """select wallet_address, count(*) as positions, cast(sum(won) as bigint) as wins, round(avg(won), 8) as winrate, round(avg(won - avg_price), 8) as mean_edge, round(sum(size * avg_price), 8) as total_stake_usd,
-  round(sum((won - avg_price) * size), 8) as excess_pnl_usd, round(sum((won - avg_price) * size * avg_price) / sum(size * avg_price), 8) as weighted_edge
+_SKILL = """select wallet_address, count(*) as positions, cast(sum(won) as bigint) as wins, round(avg(won) + 3e-12, 8) as winrate, round(avg(won - avg_price) + 3e-12, 8) as mean_edge, round(sum(size * avg_price) + 3e-12, 8) as total_stake_usd,
+  round(sum((won - avg_price) * size) + 3e-12, 8) as excess_pnl_usd, round(sum((won - avg_price) * size * avg_price) / sum(size * avg_price) + 3e-12, 8) as weighted_edge
   from closed_positions where avg_price > 0 and avg_price < 1 group by wallet_address"""
 
 
@@ -287,7 +288,7 @@ def smart_roster(spark, sf_dir):
     return corpus.roster(detectors.wallet_skill(views.closed_positions(spark, sf_dir)), 10, 0.05, 10.0)
 
 
-@query("""select wallet_address, condition_id, outcome_side, snapshot_at, round(size, 8) as size, round(delta_usd, 8) as delta_usd from (
+@query("""select wallet_address, condition_id, outcome_side, snapshot_at, round(size + 3e-12, 8) as size, round(delta_usd + 3e-12, 8) as delta_usd from (
   select *, (size - lag(size) over (partition by wallet_address, condition_id, outcome_side order by snapshot_at)) * price as delta_usd from (
     select wallet_address, condition_id, outcome_side, ts as snapshot_at, max(price) as price, sum(sum(size)) over (partition by wallet_address, condition_id, outcome_side order by ts) as size from trades group by wallet_address, condition_id, outcome_side, ts)) where delta_usd >= 5""")
 def position_growth(spark, sf_dir):
@@ -298,7 +299,7 @@ def position_growth(spark, sf_dir):
     return detectors.position_growth(history, skill, 5.0).select("wallet_address", "condition_id", "outcome_side", "snapshot_at", "size", "delta_usd")
 
 
-@query("select event_slug, count(yes_price) as n_priced, round(sum(yes_price), 8) as price_sum, round(sum(yes_price) - 1, 8) as deviation from event_markets group by event_slug having count(yes_price) >= 2")
+@query("select event_slug, count(yes_price) as n_priced, round(sum(yes_price) + 3e-12, 8) as price_sum, round(sum(yes_price) - 1 + 3e-12, 8) as deviation from event_markets group by event_slug having count(yes_price) >= 2")
 def event_price_sum(spark, sf_dir):
     return detectors.event_price_sum(views.event_markets(spark, sf_dir))
 
@@ -311,7 +312,7 @@ _MISPRICED = """select event_slug, condition_id, n_priced, price_sum, deviation,
   where abs(price_sum - 1) > 0.03 and abs(price_sum - 1) <= 0.5) where k = 1"""
 
 
-@query(f"select * replace (round(price_sum, 8) as price_sum, round(deviation, 8) as deviation, round(current_price, 8) as current_price, round(fair_price, 8) as fair_price) from ({_MISPRICED})")
+@query(f"select * replace (round(price_sum + 3e-12, 8) as price_sum, round(deviation + 3e-12, 8) as deviation, round(current_price + 3e-12, 8) as current_price, round(fair_price + 3e-12, 8) as fair_price) from ({_MISPRICED})")
 def mispricing_target(spark, sf_dir):
     return detectors.mispricing_alerts(views.event_markets(spark, sf_dir))
 
@@ -325,7 +326,7 @@ def axis_extract(spark, sf_dir):
     return views.event_markets(spark, sf_dir).withColumns(detectors.axes(F.col("label"))).select("event_slug", "condition_id", "label", "date_axis", "higher_axis", "lower_axis")
 
 
-@query(f"""select event_slug, axis, condition_id as strict_id, round(yes_price, 8) as strict_price, loose_id, round(loose_price, 8) as loose_price, round(yes_price - loose_price, 6) as gap,
+@query(f"""select event_slug, axis, condition_id as strict_id, round(yes_price + 3e-12, 8) as strict_price, loose_id, round(loose_price + 3e-12, 8) as loose_price, round(yes_price - loose_price, 6) as gap,
   case when round(yes_price - loose_price, 6) > 0.10 then 'high' when round(yes_price - loose_price, 6) > 0.05 then 'med' else 'low' end as severity from (
   select *, lead(condition_id) over w as loose_id, lead(yes_price) over w as loose_price, lead(strictness) over w as loose_at from (
     select *, case when axis = 'date' then -date_axis when axis = 'higher' then higher_axis end as strictness from (
@@ -335,7 +336,7 @@ def monotone_violations(spark, sf_dir):
     return detectors.monotone_violations(detectors.with_axis(views.event_markets(spark, sf_dir)))
 
 
-@query("""select tx_hash, asset_id, wallet_address, condition_id, round(notional_usd, 8) as notional_usd, liquidity_usd, round((ts - first_activity_at) / 86400, 8) as wallet_age_days, total_trades
+@query("""select tx_hash, asset_id, wallet_address, condition_id, round(notional_usd + 3e-12, 8) as notional_usd, liquidity_usd, round((ts - first_activity_at) / 86400 + 3e-12, 8) as wallet_age_days, total_trades
   from trades join market_cache using (condition_id) join first_seen using (wallet_address)
   where notional_usd >= 20 and liquidity_usd <= 25000 and liquidity_usd > 0 and notional_usd / liquidity_usd >= 0.001 and (ts - first_activity_at) / 86400 <= 365 and total_trades <= 50""")
 def whale_alerts(spark, sf_dir):
@@ -343,7 +344,7 @@ def whale_alerts(spark, sf_dir):
     return out.select("tx_hash", "asset_id", "wallet_address", "condition_id", "notional_usd", "liquidity_usd", "wallet_age_days", "total_trades")
 
 
-@query("""select asset_id, snapshot_at, mid_price, start_price, n_ticks, round((mid_price - start_price) / start_price, 8) as change, coalesce(start_spread / spread > 5, false) as consolidated,
+@query("""select asset_id, snapshot_at, mid_price, start_price, n_ticks, round((mid_price - start_price) / start_price + 3e-12, 8) as change, coalesce(start_spread / spread > 5, false) as consolidated,
   coalesce(least(bid_depth_top5, ask_depth_top5) / greatest(bid_depth_top5, ask_depth_top5) >= 0.05 and least(bid_depth_top5, ask_depth_top5) * mid_price >= 100, false) as liquid from (
   select *, first_value(mid_price) over w as start_price, first_value(spread) over w as start_spread, cast(count(*) over w as int) as n_ticks from ticks where mid_price is not null
   window w as (partition by asset_id order by snapshot_at range between 43199 preceding and current row)) where n_ticks >= 2 and start_price > 0 and abs((mid_price - start_price) / start_price) >= 0.05""")
@@ -352,17 +353,17 @@ def velocity_moves(spark, sf_dir):
     return t.select("asset_id", "snapshot_at", "mid_price", "start_price", "n_ticks", "change", "consolidated", "liquid")
 
 
-_BURST_ALERTS = "select condition_id as alert_key, condition_id, max(ts) as at from trades group by condition_id"
+_BURST_ALERTS = "select condition_id as alert_key, condition_id, max(ts) as at_ts from trades group by condition_id"
 
 
 @query(
-    """select alert_key, condition_id, at - coalesce((min(case when quiet and before then k end) - 1) * 86400, 864000) as since, at as until from (
+    """select alert_key, condition_id, at_ts - coalesce((min(case when quiet and before then k end) - 1) * 86400, 864000) as since, at_ts as until from (
     select *, lag(quiet, 1, false) over (partition by alert_key order by k) as before from (
-      select a.alert_key, a.condition_id, a.at, s.k, coalesce(c.n, 0) < 3.0 * (coalesce(b.n, 0) / 31536000 * 86400) as quiet
+      select a.alert_key, a.condition_id, a.at_ts, s.k, coalesce(c.n, 0) < 3.0 * (coalesce(b.n, 0) / 31536000 * 86400) as quiet
       from burst_alerts a cross join (select unnest(range(0, 10)) as k) s
-      left join (select alert_key, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts between a.at - 31536000 and a.at group by alert_key) b using (alert_key)
-      left join (select alert_key, cast(floor((a.at - t.ts) / 86400) as bigint) as k, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts > a.at - 864000 and t.ts <= a.at group by all) c on c.alert_key = a.alert_key and c.k = s.k))
-    group by alert_key, condition_id, at""",
+      left join (select alert_key, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts between a.at_ts - 31536000 and a.at_ts group by alert_key) b using (alert_key)
+      left join (select alert_key, cast(floor((a.at_ts - t.ts) / 86400) as bigint) as k, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts > a.at_ts - 864000 and t.ts <= a.at_ts group by all) c on c.alert_key = a.alert_key and c.k = s.k))
+    group by alert_key, condition_id, at_ts""",
     burst_alerts=_BURST_ALERTS,
 )
 def burst_start(spark, sf_dir):
@@ -370,7 +371,7 @@ def burst_start(spark, sf_dir):
     return detectors.burst_windows(a, views.trades(spark, sf_dir), step=86_400, back=864_000, baseline_s=31_536_000)
 
 
-@query("""select condition_id, outcome_side, bs, bucket, n_wallets, round(median_size, 8) as median_size, round(cv, 8) as cv from (
+@query("""select condition_id, outcome_side, bs, bucket, n_wallets, round(median_size + 3e-12, 8) as median_size, round(cv + 3e-12, 8) as cv from (
   select *, row_number() over (partition by condition_id order by n_wallets desc, bucket, outcome_side, bs) as k from (
     select condition_id, outcome_side, bs, bucket, count(*) as n_wallets, median(size) as median_size, stddev_pop(size) / avg(size) as cv from (
       select *, row_number() over (partition by condition_id, outcome_side, bs, bucket, wallet_address order by ts, tx_hash, asset_id) as r from (select *, cast(floor(ts / 31536000) as bigint) * 31536000 as bucket from trades where size > 0)) where r = 1
@@ -380,7 +381,7 @@ def burst_hits(spark, sf_dir):
 
 
 @query(
-    """select condition_id, tx_hash, asset_id, wallet_address, ts, n_wallets, round(total_usd, 8) as total_usd, case when n_wallets >= 3 then 'high' else 'med' end as severity from (
+    """select condition_id, tx_hash, asset_id, wallet_address, ts, n_wallets, round(total_usd + 3e-12, 8) as total_usd, case when n_wallets >= 3 then 'high' else 'med' end as severity from (
     select a.condition_id, a.tx_hash, a.asset_id, a.wallet_address, a.ts, count(distinct b.wallet_address) as n_wallets, sum(b.notional_usd) as total_usd
     from chosen a join chosen b on a.condition_id = b.condition_id and b.ts between a.ts - 2592000 and a.ts group by all) where n_wallets >= 2""",
     chosen="select * from trades where cast(substr(wallet_address, 2) as bigint) in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
@@ -449,8 +450,8 @@ _SHARES = "avg(case when bs = 'SELL' then 1.0 else 0 end) as sell_rate, avg(case
 
 
 @query(
-    """select wallet_address, n_trades, n_markets, round(n.sell_rate, 8) as sell_rate, round(n.high_price, 8) as high_price, round(n.small, 8) as small, round(n."round", 8) as "round", median_size,
-    round(4 - abs(n.sell_rate - t.sell_rate) - abs(n.high_price - t.high_price) - abs(n.small - t.small) - abs(n."round" - t."round") + 0.5 * least(n_markets, 5), 8) as score from near n cross join target t""",
+    """select wallet_address, n_trades, n_markets, round(n.sell_rate + 3e-12, 8) as sell_rate, round(n.high_price + 3e-12, 8) as high_price, round(n.small + 3e-12, 8) as small, round(n."round" + 3e-12, 8) as "round", median_size,
+    round(4 - abs(n.sell_rate - t.sell_rate) - abs(n.high_price - t.high_price) - abs(n.small - t.small) - abs(n."round" - t."round") + 0.5 * least(n_markets, 5) + 3e-12, 8) as score from near n cross join target t""",
     seeds=_SEEDS, spans=_SEED_MARKETS, target=f"select {_SHARES} from trades semi join seeds using (wallet_address)",
     near=f"""select wallet_address, count(*) as n_trades, count(distinct condition_id) as n_markets, {_SHARES}, list_sort(list(size))[cast(floor(count(*) / 2) as int) + 1] as median_size
       from trades join spans using (condition_id) where ts between first_ts - 3600 and last_ts + 3600 and wallet_address not in (select wallet_address from seeds) group by wallet_address""",
@@ -495,50 +496,50 @@ def _ledger(spark, sf_dir):
     return entries.unionByName(ledger.book_exits(entries, cache, 1_700_000_000))
 
 
-@query("select alert_key, condition_id, side, asset_id, created_at, round(price, 8) as price from priced", **_GATED)
+@query("select alert_key, condition_id, side, asset_id, created_at, round(price + 3e-12, 8) as price from priced", **_GATED)
 def fill_price_asof(spark, sf_dir):
     return _priced(spark, sf_dir).select("alert_key", "condition_id", "side", "asset_id", "created_at", "price")
 
 
-@query("select alert_key, condition_id, asset_id, round(shares, 8) as shares, round(price, 8) as price, cost_usd from entries", **_GATED)
+@query("select alert_key, condition_id, asset_id, round(shares + 3e-12, 8) as shares, round(price + 3e-12, 8) as price, cost_usd from entries", **_GATED)
 def ledger_entries(spark, sf_dir):
     return ledger.size_entries(_priced(spark, sf_dir)).select("alert_key", "condition_id", "asset_id", "shares", "price", "cost_usd")
 
 
-@query("select alert_key, condition_id, asset_id, round(proceeds, 8) as proceeds, round(pnl, 8) as pnl from settled", **_GATED)
+@query("select alert_key, condition_id, asset_id, round(proceeds + 3e-12, 8) as proceeds, round(pnl + 3e-12, 8) as pnl from settled", **_GATED)
 def ledger_settled(spark, sf_dir):
     return ledger.settled(_ledger(spark, sf_dir)).select("alert_key", "condition_id", "asset_id", "proceeds", "pnl")
 
 
-@query("select alert_key, condition_id, asset_id, round(cost_usd, 8) as cost_usd from settled where pnl is null", **_GATED)
+@query("select alert_key, condition_id, asset_id, round(cost_usd + 3e-12, 8) as cost_usd from settled where pnl is null", **_GATED)
 def open_positions(spark, sf_dir):
     return ledger.open_positions(_ledger(spark, sf_dir)).select("alert_key", "condition_id", "asset_id", "cost_usd")
 
 
-@query("select 'gate_model' as source, cast(null as varchar) as rule_variant, count(*) filter (pnl is null) as open, count(pnl) as resolved, round(sum(pnl), 8) as pnl, round(avg(case when pnl > 0 then 1.0 when pnl <= 0 then 0.0 end), 8) as win_rate from settled", **_GATED)
+@query("select 'gate_model' as source, cast(null as varchar) as rule_variant, count(*) filter (pnl is null) as open, count(pnl) as resolved, round(sum(pnl) + 3e-12, 8) as pnl, round(avg(case when pnl > 0 then 1.0 when pnl <= 0 then 0.0 end) + 3e-12, 8) as win_rate from settled", **_GATED)
 def pnl_by_source(spark, sf_dir):
     return ledger.pnl_by(_ledger(spark, sf_dir), "source", "rule_variant")
 
 
-@query("select round(least(floor(round(pred * 10, 9)), 9) / 10, 8) as bucket, count(*) as n, count(pnl) as resolved, round(coalesce(sum(pnl), 0), 8) as pnl from settled where pred between 0.5 and 1 group by 1", **_GATED)
+@query("select round(least(floor(round(pred * 10, 9)), 9) / 10 + 3e-12, 8) as bucket, count(*) as n, count(pnl) as resolved, round(coalesce(sum(pnl), 0) + 3e-12, 8) as pnl from settled where pred between 0.5 and 1 group by 1", **_GATED)
 def pnl_by_pred_bucket(spark, sf_dir):
     return ledger.pnl_by_prediction(_ledger(spark, sf_dir), _gate_alerts(spark, sf_dir))
 
 
-@query("select wallet_address, count(*) as entries, round(coalesce(sum(pnl), 0), 8) as pnl from settled group by wallet_address", **_GATED)
+@query("select wallet_address, count(*) as entries, round(coalesce(sum(pnl), 0) + 3e-12, 8) as pnl from settled group by wallet_address", **_GATED)
 def wallet_leaderboard(spark, sf_dir):
     return ledger.wallet_leaderboard(_ledger(spark, sf_dir), _gate_alerts(spark, sf_dir))
 
 
-@query("select round(coalesce(sum(pnl), 0), 8) as realized_pnl, count(*) filter (pnl is null) as open_positions, count(pnl) as closed_positions, round(10000 + coalesce(sum(pnl), 0), 8) as nav, round(coalesce(sum(pnl), 0) / 100, 8) as return_pct from settled", **_GATED)
+@query("select round(coalesce(sum(pnl), 0) + 3e-12, 8) as realized_pnl, count(*) filter (pnl is null) as open_positions, count(pnl) as closed_positions, round(10000 + coalesce(sum(pnl), 0) + 3e-12, 8) as nav, round(coalesce(sum(pnl), 0) / 100 + 3e-12, 8) as return_pct from settled", **_GATED)
 def ledger_summary(spark, sf_dir):
     return ledger.summary(_ledger(spark, sf_dir))
 
 
-@query(f"select event_slug as alert_key, 'mispricing' as source, condition_id, target_side as side, cast(null as varchar) as rule_variant, 1700000000 as created_at from ({_MISPRICED}) where abs(fair_price - current_price) >= 0.05")
+@query(f"select event_slug as alert_key, 'mispricing' as source, condition_id, target_side as side, cast(null as varchar) as rule_variant, 1700000000 as created_at from ({_MISPRICED}) where abs(fair_price - current_price) >= 0.01")
 def mispricing_signals(spark, sf_dir):
     a = detectors.mispricing_alerts(views.event_markets(spark, sf_dir))
-    return ledger.mispricing_signals(detectors.alerts(a, "mispricing", F.col("event_slug"), F.col("severity"), F.lit("mispriced"), F.lit(1_700_000_000)))
+    return ledger.mispricing_signals(detectors.alerts(a, "mispricing", F.col("event_slug"), F.col("severity"), F.lit("mispriced"), F.lit(1_700_000_000)), 0.01)
 
 
 # -- model reports --------------------------------------------------------------------------------
@@ -550,7 +551,7 @@ def temporal_split(spark, sf_dir):
     return model.temporal_split(views.resolutions(spark, sf_dir))
 
 
-_EDGE_SQL = "count(*) filter (pred > implied_prob_at_buy) as n_taken, round(coalesce(avg(label_won - implied_prob_at_buy) filter (pred > implied_prob_at_buy), -1), 8) as edge"
+_EDGE_SQL = "count(*) filter (pred > implied_prob_at_buy) as n_taken, round(coalesce(avg(label_won - implied_prob_at_buy) filter (pred > implied_prob_at_buy), -1) + 3e-12, 8) as edge"
 
 
 @query(f"select {_EDGE_SQL} from scored", **_SQL_FEATURES)
@@ -574,15 +575,15 @@ def edge_by_category(spark, sf_dir):
     return model.edge_by_category(model.scored(_examples(spark, sf_dir)))
 
 
-@query("""select round(sum(case when label_won = 1 then r else 0 end) - sum(label_won) * (sum(label_won) + 1) / 2.0, 8) / (sum(label_won) * sum(1 - label_won)) as auc from (
-  select label_won, rank() over (order by pred) + (count(*) over (partition by pred) - 1) / 2.0 as r from scored)""".replace("select round(sum", "select round((sum", 1).replace(" / 2.0, 8) / (sum(label_won) * sum(1 - label_won)) as auc", " / 2.0) / (sum(label_won) * sum(1 - label_won)), 8) as auc", 1), **_SQL_FEATURES)
+@query("""select round(sum(case when label_won = 1 then r else 0 end) - sum(label_won) * (sum(label_won) + 1) / 2.0 + 3e-12, 8) / (sum(label_won) * sum(1 - label_won)) as auc from (
+  select label_won, rank() over (order by pred) + (count(*) over (partition by pred) - 1) / 2.0 as r from scored)""".replace("select round(sum", "select round((sum", 1).replace(" / 2.0 + 3e-12, 8) / (sum(label_won) * sum(1 - label_won)) as auc", " / 2.0) / (sum(label_won) * sum(1 - label_won)) + 3e-12, 8) as auc", 1), **_SQL_FEATURES)
 def auc(spark, sf_dir):
     return model.auc(model.scored(_examples(spark, sf_dir)))
 
 
 @query(
-    """select round(avg(case when (pred >= 0.5) = (label_won = 1) then 1.0 else 0 end), 8) as accuracy, round(avg(case when label_won = 1 then -ln(pred) else -ln(1 - pred) end), 8) as log_loss,
-    round(avg(label_won - implied_prob_at_buy) filter (top_category in ('sports', 'esports') and pred > implied_prob_at_buy), 8) as filtered_edge from scored""",
+    """select round(avg(case when (pred >= 0.5) = (label_won = 1) then 1.0 else 0 end) + 3e-12, 8) as accuracy, round(avg(case when label_won = 1 then -ln(pred) else -ln(1 - pred) end) + 3e-12, 8) as log_loss,
+    round(avg(label_won - implied_prob_at_buy) filter (top_category in ('sports', 'esports') and pred > implied_prob_at_buy) + 3e-12, 8) as filtered_edge from scored""",
     **_SQL_FEATURES,
 )
 def classification(spark, sf_dir):
@@ -592,7 +593,7 @@ def classification(spark, sf_dir):
 # -- table queries --------------------------------------------------------------------------------
 
 
-@query("select wallet_address, tx_hash, asset_id, ts, round(notional_usd, 8) as notional_usd from (select *, row_number() over (partition by wallet_address order by ts desc, tx_hash, asset_id) as k from trades) where k <= 5")
+@query("select wallet_address, tx_hash, asset_id, ts, round(notional_usd + 3e-12, 8) as notional_usd from (select *, row_number() over (partition by wallet_address order by ts desc, tx_hash, asset_id) as k from trades) where k <= 5")
 def newest_trades(spark, sf_dir):
     return report.newest_per_key(views.trades(spark, sf_dir), ["wallet_address"], "ts", 5, ["tx_hash", "asset_id"]).select("wallet_address", "tx_hash", "asset_id", "ts", "notional_usd")
 
@@ -607,7 +608,7 @@ def trades_per_market(spark, sf_dir):
     return report.counts(views.trades(spark, sf_dir), ["condition_id"])
 
 
-@query("select event_slug, count(yes_price) as n_priced, round(sum(yes_price), 8) as price_sum, round(sum(yes_price) - 1, 8) as deviation from event_markets group by event_slug having count(yes_price) >= 2 and abs(sum(yes_price) - 1) >= 0.03 order by abs(sum(yes_price) - 1) desc, event_slug limit 20")
+@query("select event_slug, count(yes_price) as n_priced, round(sum(yes_price) + 3e-12, 8) as price_sum, round(sum(yes_price) - 1 + 3e-12, 8) as deviation from event_markets group by event_slug having count(yes_price) >= 2 and abs(sum(yes_price) - 1) >= 0.03 order by abs(sum(yes_price) - 1) desc, event_slug limit 20")
 def high_deviation_events(spark, sf_dir):
     return report.high_deviation(detectors.event_price_sum(views.event_markets(spark, sf_dir)), 0.03, 20)
 
