@@ -1,5 +1,6 @@
 """The operators of the training-data subpackage against brute force and exact round trips, on small odd inputs."""
 
+import functools
 import hashlib
 import math
 import random
@@ -30,13 +31,18 @@ ODD = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, "one", "en"), (4
 # -- packing and token files ----------------------------------------------------------------------
 
 
-def reference_ids(name, text):
+@functools.cache
+def reference(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def reference_ids(name, text):
+    return reference(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -221,7 +227,8 @@ def test_leaks_within_the_budget_are_found(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows, planted = list(ODD), set()
     for i in range(100, 130):
-        k, budget = i % 6, int(0.08 * 150)
+        k = i % 6
+        budget = int(0.08 * len(items[k][1].strip()))
         s = list(items[k][1])
         for _ in range(r.randrange(budget + 1)):
             p = r.randrange(len(s))
@@ -236,7 +243,7 @@ def test_leaks_within_the_budget_are_found(spark):
     texts = {i: t for i, t, _ in rows}
     for x in found:
         assert edits(fold(items[x.item_id][1] if x.item_id < 90 else "tiny").strip(), fold(texts[x.doc_id])[:900]) <= 12 or x.doc_id in (5, 6)
-        assert edits(fold(dict(items)[x.item_id]), fold(texts[x.doc_id][x.start : x.end])) <= x.edits
+        assert edits(fold(dict(items)[x.item_id]).strip(), fold(texts[x.doc_id][x.start : x.end])) <= x.edits
     clean = without_leaks(docs(spark, rows), bench, max_chars=400)
     bad = {i for i, _ in got}
     assert sorted((x.doc_id or -1) for x in clean.collect()) == sorted((i or -1) for i, _, _ in rows if i not in bad)
@@ -261,7 +268,7 @@ def test_secret_spans(spark):
     bits = ["token", "Token: ", "secret=", "api_key", "APIKEY = '", '"', "password", ": ", "abcdefgh", "tok", "AKIA", "ABCDEFGHIJ12", "0123456789abcdef" * 2, "é", "😀 ", " ", "\n", "x=", "ff"]
     rows = list(ODD) + [(i, "".join(r.choice(bits) for _ in range(r.randrange(30))), None) for i in range(10, 200)]
     secret = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44)) + "aZ9"
-    rows += [(500, f"see {secret} there", "en"), (501, "see " + "thandintheandtheren12" + "Abababababababababababababababababab12 there", "en")]
+    rows += [(500, f"see {secret} there", "en"), (501, "see " + "thandintheandtheren12" + "Xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy12 there", "en")]
     texts = {i: t for i, t, _ in rows}
     got = digest(scan(docs(spark, rows))).collect()
     assert len(got) == len(rows)
@@ -339,7 +346,8 @@ def test_class_model_counts_and_base(spark):
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w), sum(k in counts for k in w), n)
         assert math.isclose(x.base_score, sum(math.log10((counts[k] + 0.5) / (n + 0.5 * (v + 1))) for k in w), rel_tol=1e-9)
         assert math.isfinite(x.score) and x.score < 0
-    assert sum(x.score for x in got) > sum(x.base_score for x in got)
+    seen = [x for x in got if (x.doc_id or 0) >= 20]
+    assert sum(x.score for x in seen) > sum(x.base_score for x in seen)
 
 
 def test_exchange_never_lowers_the_likelihood():
