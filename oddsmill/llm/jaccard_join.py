@@ -243,6 +243,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str, percent: int):
+    """Whether sets of these sizes can have a similarity of ``percent`` per cent."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
@@ -287,11 +288,12 @@ def _links(regions: DataFrame, sets: DataFrame, percent: int, small: int, rounds
         # A pivot outside any ball if there is one; the row is struct(in a ball, sig, n).
         pivots = regions.groupBy("region").agg(F.min(F.struct("ball", "sig", "n")).alias("p")).select("region", F.col("p.sig").alias("p"), F.col("p.n").alias("pn"))
         rows = regions.join(pivots, "region").where("sig <> p")
-        pairs = rows.where(_may_link("n", "pn", percent)).select(F.col("p").alias("a"), F.col("sig").alias("b")).distinct()
+        # The window reaches to 2e, so the distance is needed wherever sizes allow one of 2e, not only where they allow a link.
+        pairs = rows.where(_may_link("n", "pn", 2 * percent - 100)).select(F.col("p").alias("a"), F.col("sig").alias("b")).distinct()
         checked = materialise(_verified(pairs, sets), "join-checked")
         grown(checked)
         far = checked.select(F.col("a").alias("p"), F.col("b").alias("sig"), (1 - F.col("shared") / F.col("every")).alias("d"))
-        # Without a distance a node is too far from the pivot in size alone.
+        # Without a distance a node is beyond 2e from the pivot in size alone.
         rest = unfinished(rows.join(far, ["p", "sig"], "left").select("region", "sig", "n", "ball", "d"))
         if rest.count() == 0:
             return components

@@ -205,6 +205,17 @@ def test_jaccard_join_equals_brute_force(spark, small, rounds):
     assert Counter(x.doc_id for x in representatives(docs(spark, rows)).collect()) == want
 
 
+def test_jaccard_join_links_copies_cut_short(spark):
+    """Each copy links to the next shorter one alone, and the longest is the pivot of their region."""
+    from oddsmill.llm.jaccard_join import _links
+
+    sizes = (100, 90, 80, 71)
+    regions = spark.createDataFrame([(1, k, n) for k, n in enumerate(sizes)], "region long, sig long, n long")
+    sets = spark.createDataFrame([(k, bytearray(np.arange(n, dtype=np.uint64).tobytes())) for k, n in enumerate(sizes)], "sig long, shingles binary")
+    got = _links(regions, sets, 85, small=2, rounds=3).collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(4)]
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 
