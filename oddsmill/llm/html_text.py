@@ -4,13 +4,15 @@ Markup is stripped to lines: a block element starts a new line, and what is know
 scripts, menus, forms, sidebars, and elements whose class or id says advert, notice, comment and the like)
 leaves a gap of empty lines. A line's weight is its text outside links. Sums of weights over a
 sliding window of lines surge where the text starts and fall to nothing at a gap; of the stretches between a surge
-and the next dive those that hold the page's text are kept, whole.
+and the next dive those that hold the page's text are kept, whole. An article or main element is weighed as one, so that
+its short stretches stay with it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from oddsmill.llm._shared import table
 
 WINDOW = 3
 # Element names of the HTML standard by what they hold.
-_SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button form nav header footer aside dialog menu audio video map figure title".split())
+_SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button form nav header footer aside dialog menu audio video map title".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -29,7 +31,8 @@ _BLOCK = frozenset(
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSED_BY_BLOCK = frozenset("p".split())
-_BREAK = frozenset("article main section div body".split())
+_PART = frozenset("article main section div body figure".split())
+_UNIT = frozenset("article main".split())
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|related|recommended|share|sharing|social|comments?|reader-comments|replies|disqus|respond|discussion|footer|header|masthead|topbar|toolbar|"
@@ -56,23 +59,27 @@ def _is_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def to_lines(page: str) -> list[tuple[str, int] | None]:
-    """Lines of text with the characters outside links; None is a gap."""
-    lines: list[tuple[str, int] | None] = []
+def to_lines(page: str) -> list[tuple[str, int, int, int] | None]:
+    """Lines of text with the characters outside links, the number of the outermost article or main element around
+    them (0 outside any) and that of their part, which ends at each tag of ``_PART``; None is a gap."""
+    lines: list[tuple[str, int, int, int] | None] = []
     text: list[str] = []
     weight = 0
     stack: list[str] = []
     skip_from = -1  # place in the stack of the outermost element that is skipped
     links = 0
+    unit = units = part = 0
+    unit_from = -1  # place in the stack of the outermost article or main element
     at = 0
 
-    def flush(gap: bool) -> None:
-        nonlocal weight
+    def flush(gap: bool, new_part: bool = False) -> None:
+        nonlocal weight, part
         line = " ".join("".join(text).split())
         if line:
-            lines.append((line, weight))
+            lines.append((line, weight, unit, part))
         text.clear()
         weight = 0
+        part += new_part
         if gap and lines and lines[-1] is not _GAP:
             lines.append(_GAP)
 
@@ -99,12 +106,16 @@ def to_lines(page: str) -> list[tuple[str, int] | None]:
                 k = len(stack) - 1 - stack[::-1].index(name)
                 if 0 <= skip_from < k or skip_from < 0 or k <= skip_from:
                     links -= sum(x == "a" for x in stack[k:])
+                    if skip_from < 0 and (name in _BLOCK or k <= unit_from):
+                        flush(False, name in _PART)
                     del stack[k:]
+                    if len(stack) <= unit_from:
+                        unit, unit_from = 0, -1
                     if 0 <= skip_from and len(stack) <= skip_from:
                         skip_from = -1
                         flush(True)
             if name in _BLOCK and skip_from < 0:
-                flush(name in _BREAK)
+                flush(False, name in _PART)
             continue
         if name in _VOID:
             if skip_from < 0:
@@ -117,12 +128,15 @@ def to_lines(page: str) -> list[tuple[str, int] | None]:
             while stack and stack[-1] in _CLOSED_BY_BLOCK:
                 stack.pop()
             if skip_from < 0:
-                flush(name in _BREAK)
+                flush(False, name in _PART)
         if m[3].rstrip().endswith("/") and name not in _BLOCK:
             continue
         if skip_from < 0 and _is_boilerplate(name, m[3]):
             skip_from = len(stack)
             flush(True)
+        if name in _UNIT and skip_from < 0 and unit_from < 0:
+            units += 1
+            unit, unit_from = units, len(stack)
         stack.append(name)
         links += name == "a"
         if name in _RAW:
@@ -139,7 +153,7 @@ def main_text(page: str | None) -> str:
         return ""
     lines = to_lines(page)
     # A gap stands for WINDOW empty lines, so that the sums of the window fall to nothing in it.
-    spread: list[tuple[str, int] | None] = []
+    spread: list[tuple[str, int, int, int] | None] = []
     for x in lines:
         spread += [_GAP] * WINDOW if x is _GAP else [x]
     weights = np.array([0 if x is _GAP else x[1] for x in spread], np.int64)
@@ -148,9 +162,19 @@ def main_text(page: str | None) -> str:
     sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the line and those after it
     surge = (sums > 0) & (np.array([x is not _GAP for x in spread]))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], surge.astype(np.int8), [0]])))
-    stretches = [(int(a), int(b), int(weights[a:b].sum())) for a, b in edges.reshape(-1, 2)]
-    most = max(s[2] for s in stretches)
-    kept = [x[0] for a, b, n in stretches if n * 4 >= most for x in spread[a:b] if x is not _GAP]
+    stretches = [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
+    of_unit: Counter[int] = Counter()
+    most = 0  # the heaviest run of lines of one part, which sets what counts as text
+    for a, b in stretches:
+        of_part: Counter[int] = Counter()
+        for _, n, unit, part in spread[a:b]:
+            of_part[part] += n
+            of_unit[unit] += n if unit else 0
+        most = max(most, *of_part.values())
+    kept = []
+    for a, b in stretches:
+        if int(weights[a:b].sum()) * 4 >= most or any(of_unit[x[2]] * 4 >= most for x in spread[a:b]):
+            kept += [x[0] for x in spread[a:b]]
     return "\n\n".join(kept)
 
 

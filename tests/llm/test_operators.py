@@ -388,3 +388,17 @@ def test_main_text_of_pages(spark):
     got = sorted((x.page_id, x.text) for x in extract(df).collect())
     assert got == [(1, want), (2, ""), (3, ""), (4, ""), (5, "plain"), (5, "plain")]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_main_text_keeps_the_short_parts_of_an_article():
+    from oddsmill.llm.html_text import main_text
+
+    long = "A long stretch of text that outweighs all others. " * 20
+    body = f"""<div class="body"><p>{long}</p><figure><img src="x"><figcaption>Caption</figcaption></figure><div class="ad">Buy now</div><p>Between.</p><section><h2>Short</h2><p>Part.</p></section>
+    <aside>Elsewhere</aside><form><p>Search</p></form><div><div><p>The end.</p></div></div></div>"""
+    want = ["Title", long.strip(), "Caption", "Between.", "Short", "Part.", "The end."]
+    page = "<html><body><nav>Menu</nav>{}<footer>Us</footer></body></html>"
+    for around in ("<article><h1>Title</h1>{}</article>", "<main><section><h1>Title</h1></section><article>{}</article></main>"):
+        assert main_text(page.format(around.format(body))).split("\n\n") == want
+    assert main_text(page.format(f"<div><h1>Title</h1></div><div>{long}</div>")).split("\n\n") == want[:2]
+    assert main_text(page.format(f"<p>Hello</p><div class='menu'>Menu</div><article><p>{long}</p></article>")) == long.strip()
