@@ -323,6 +323,11 @@ def join_components(docs: DataFrame, words: int = 4, percent: int = 85, local_ho
     changes how much is compared and not what is found; ``small`` is the size of a region that is joined pair by
     pair, and after ``rounds`` rounds larger ones are too, within the windows of their last pivot.
     """
+    return _joined(docs, words, percent, local_hot, max_hot, small, rounds).drop("th")
+
+
+def _joined(docs: DataFrame, words: int = 4, percent: int = 85, local_hot: int = 4, max_hot: int = 200_000, small: int = 256, rounds: int = 3) -> DataFrame:
+    """``join_components`` with the hash of each row's text as th."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     first = materialise(_sets(rows, words, local_hot), "shingle-sets")
     every = first.where("sig is not null").select("doc_id", "th", "n", "sig")
@@ -358,17 +363,18 @@ def join_components(docs: DataFrame, words: int = 4, percent: int = 85, local_ho
     smallest = every.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(of, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
     labels = smallest.groupBy("c").agg(F.min("least").alias("component_id"))
     by_set = smallest.join(labels, "c").select("sig", "component_id")
-    return every.join(by_set, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return every.join(by_set, "sig", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their component.
 
-    Rows that repeat a doc_id are kept or dropped alike; rows without doc_id stay if nothing with one links to them.
+    Rows that repeat a doc_id and its text are kept or dropped alike, those with different texts each on its own; rows without
+    doc_id stay if nothing with one links to them.
     """
-    joined = join_components(docs, words, percent, **how)
-    dropped = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    joined = _joined(docs, words, percent, **how)
+    dropped = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"), F.col("th").alias("_th")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,16 @@ def test_jaccard_join_links_copies_cut_short(spark):
     assert sorted(map(tuple, got)) == [(k, 0) for k in range(4)]
 
 
+def test_a_repeated_id_loses_only_its_copies(spark):
+    from oddsmill.llm.jaccard_join import representatives
+
+    r = random.Random(13)
+    copied, clean = prose(r, 30), prose(r, 30)
+    rows = [(1, copied, "en"), (2, copied, "en"), (2, clean, "en"), (None, copied, "en"), (None, prose(r, 30), "en")]
+    got = [(x.doc_id, x.text) for x in representatives(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0][:2], rows[2][:2], rows[4][:2]], key=str)
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 
