@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, else a folder of our own that becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="oddsmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this session that driver and executors share, below ``spark.checkpoint.dir`` or, where that is unset, the
+    warehouse. It is deleted when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    found = f"{shared.rstrip('/')}/oddsmill-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return found
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that executors may be lost without computing it again."""
-    path = f"{shared_dir(df.sparkSession)}/oddsmill/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
