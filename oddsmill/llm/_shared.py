@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from oddsmill.sources.tables import scratch_table
+
 #: White space of every word contract: \x20 and \x09-\x0D, which is also what bytes.split() takes.
 WS_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="oddsmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/oddsmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch_table(df, name)
+
+
+def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
+    """Slices of ``batch`` whose texts (column number ``text``) have about ``most`` bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    at = size = 0
+    for k, n in enumerate(sizes):
+        if k > at and (size + n > most or k - at >= 4096):
+            yield batch.slice(at, k - at)
+            at, size = k, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

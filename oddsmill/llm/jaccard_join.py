@@ -1,24 +1,29 @@
 """Exact Jaccard self-join of documents' shingle sets by pivots, and the components of its links.
 
-Equal sets count as one node. Nodes that may link share one of their first shingles in a common order (prefix
-filter), so the space is first cut by those shingles, frequent ones last in the order, and
-nodes that share too few of them with others are no candidates. Each such region is then
-joined as a metric space: its pivot is compared with every node, nodes within the link distance e make the pivot's
-ball, and by the triangle inequality a node beyond 2e has no link into the ball. The ball with the nodes in the window
-(e, 2e], and those nodes with the far ones, are the next regions, each joined in the same way. Regions that have become
-one component are done, and small ones are joined pair by pair. Every pair that could join two components is
-either compared or excluded by a bound, so components are exact.
+Equal sets count as one node. With Jaccard distances nearly all nodes are at distance 1 from any pivot, so pivots alone
+would put every node into the window of every region. Signatures find the pivots that matter: the hash range of the
+shingles is cut into T = 2k parts, where k is the most shingles in which two linked sets of a size class may differ; at least T - k
+parts are then equal in both, so they share one of the first k + 1 of their parts in a common order. The pivot of
+a signature is the smallest node that has it, and the pivot's Voronoi region holds all nodes that share
+a signature with it. Two nodes that link share a signature, hence a region.
+
+A region is joined recursively as a metric space: each node goes to the nearest of several new pivots and, by the triangle
+inequality, also to those within 2e of that distance (e: the distance of a link), until regions are small or are one
+component; a region of bounded size is joined within one task. A region whose nodes are too alike in
+distance for windows to part them is compared block by block. Components are those of all links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import WS_BYTES, empty, materialise, table
+from oddsmill.llm._shared import WS_BYTES, by_bytes, materialise, table
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,35 +92,112 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
 
 
-def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set that ``shingle_sets`` gives, signed as Spark's longs are; 0 for an empty one."""
-    out, size = np.zeros(len(at) - 1, np.int64), np.diff(at)
+def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of 128 bits, in two halves, of each set that ``shingle_sets`` gives; 0 for an empty one."""
+    out, size = [np.zeros(len(at) - 1, np.uint64) for _ in range(2)], np.diff(at)
     some = np.flatnonzero(size)
     if len(some):
         opens = at[some]
         squares, plain = np.add.reduceat(h * (h | np.uint64(1)), opens), np.add.reduceat(h, opens)
-        x, y = _mix(squares + size[some].astype(np.uint64) * _P), _mix(plain * _Q)
-        out[some] = (x ^ (y * _P)).view(np.int64)
-    return out
-
-
-def _parts(batches, size: int = 400):
-    for b in batches:
-        for i in range(0, b.num_rows, size):
-            yield b.slice(i, size)
+        mixed = np.add.reduceat(_mix(h ^ _Q), opens)
+        n = size[some].astype(np.uint64)
+        out[0][some] = _mix(squares + n * _P) ^ (_mix(plain * _Q) * _P)
+        out[1][some] = _mix(mixed + n * _Q)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def _texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-SETS = "doc_id long, th long, n long, sig long, hot array<struct<h:long,n:long>>"
+class Nodes:
+    """Numbers of the distinct sets: the first half of a set's hash, another number where two sets share that half."""
 
+    def __init__(self, clashes: list[tuple[int, int]]):
+        self.other: dict[int, dict[int, int]] = {}
+        for a, b in sorted(clashes):
+            others = self.other.setdefault(a, {})
+            others[b] = xxhash.xxh3_64_intdigest(f"{a}:{b}") - (1 << 63) if others else a
 
-def _sets(docs: DataFrame, words: int, local_hot: int) -> DataFrame:
-    """A row for each document, and rows with the shingles that are frequent among some documents of a task."""
-    chunk = 4_000_000
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.other:
+            a = np.array([self.other[x].get(y, x) if x in self.other else x for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        return a
+
+
+class SizeClasses:
+    """For each class of set sizes, how many shingles linked sets differ in at most, and into how many parts sets are cut.
+
+    A set has signatures for its own class, and for the class below if a set of that class can link to it.
+    """
+
+    def __init__(self, percent: int, growth: float = 1.6, largest: int = 1 << 31):
+        self.percent, lows, growth = percent, [1], max(growth, 100 / percent)  # sets of classes further apart don't link
+        while lows[-1] < largest:
+            lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * growth)))
+        self.lows = np.array(lows, np.int64)
+        self.differ = np.array([self._differ(2 * a, b - 1 + (b - 1) * 100 // percent) for a, b in zip(lows, lows[1:], strict=False)] + [0], np.int64)
+        self.parts = 2 * self.differ
+
+    def _differ(self, least: int, most: int) -> int:
+        """The most shingles in which two linked sets differ whose sizes add up to ``least`` to ``most``."""
+        p = self.percent
+        return max(q - 2 * (-(-p * q // (100 + p))) for q in range(max(least, most - 100 - p), most + 1))
+
+    def signatures(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of all parts with shingles: the hash, the number of shingles, the set and how many first ones that set gives.
+
+        Signatures of one set for two classes count as those of two sets: the set's number is doubled, plus one for the lower class.
+        """
+        size = np.diff(at)
+        own = np.searchsorted(self.lows, size, side="right") - 1
+        owner = np.repeat(np.arange(len(size)), size)
+        found = []
+        for below in (0, 1):
+            c = own - below
+            some = (size > 0) & (c >= 0) & (self.differ[np.maximum(c, 0)] > 0)
+            if below:
+                some &= (self.lows[own] - 1) * 100 >= self.percent * size
+            e, o = h[some[owner]], owner[some[owner]]
+            if not len(e):
+                continue
+            # Sets are in order, so the parts of one are runs.
+            part = ((e >> np.uint64(32)) * self.parts[c[o]].astype(np.uint64)) >> np.uint64(32)
+            opens = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (part[1:] != part[:-1])]))
+            n = np.diff(np.append(opens, len(e)))
+            of = o[opens]
+            sums = np.add.reduceat(_mix(e + _P), opens)
+            found.append((_mix(sums + part[opens] * _P + c[of].astype(np.uint64) * _Q), n, 2 * of + below, self.differ[c[of]] + 1))
+        if not found:
+            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def first(self, h: np.ndarray, at: np.ndarray, hot_h: np.ndarray, hot_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first signatures of each set in the common order, and their sets: rare before frequent, then those of many
+        shingles, which sets share by chance least."""
+        sig, n, of, wanted = self.signatures(h, at)
+        often = np.zeros(len(sig), np.int64)
+        if len(hot_h):
+            slot = np.minimum(np.searchsorted(hot_h, sig), len(hot_h) - 1)
+            often = np.where(hot_h[slot] == sig, hot_n[slot], 0)
+        by = np.lexsort((sig, -n, often, of))
+        sig, of, wanted = sig[by], of[by], wanted[by]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = place < wanted
+        # A set with fewer parts than it needs has empty ones among its first, which stand for each other.
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else np.zeros(0, np.int64)
+        short = last[place[last] + 1 < wanted[last]]
+        return np.concatenate([sig[keep], _mix(wanted[short].astype(np.uint64) * _P)]), np.concatenate([of[keep], of[short]]) // 2
+
+
+SETS = "doc_id long, th long, n long, a long, b long, hot array<struct<h:long,n:long>>"
+
+
+def _sets(docs: DataFrame, words: int, classes: SizeClasses, local_hot: int) -> DataFrame:
+    """A row for each document, and rows with the signatures that are frequent among some documents of a task."""
+    chunk = 2_000_000
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+    names = ["doc_id", "th", "n", "a", "b", "hot"]
 
     def run(batches):
         held, size = [], 0
@@ -124,105 +206,215 @@ def _sets(docs: DataFrame, words: int, local_hot: int) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= local_hot
             hot = [{"h": a, "n": b} for a, b in zip(h[some].view(np.int64).tolist(), n[some].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([hot], kind)], names)
-
-        names = ["doc_id", "th", "n", "sig", "hot"]
-        for b in _parts(batches):
-            h, at = shingle_sets(_texts(b.column(2)), words)
-            sigs = _signatures(h, at)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at), pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(b.num_rows, kind)], names)
-            held.append(h)
-            size += len(h)
-            if size >= chunk:
-                yield frequent()
-                held, size = [], 0
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([hot], kind)], names)
+
+        for batch in batches:
+            for part in by_bytes(batch, 2):
+                h, at = shingle_sets(_texts(part.column(2)), words)
+                a, b = _signatures(h, at)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(a), pa.array(b), pa.nulls(part.num_rows, kind)], names)
+                held.append(classes.signatures(h, at)[0])
+                size += len(held[-1])
+                if size >= chunk:
+                    yield frequent()
+                    held, size = [], 0
         if size:
             yield frequent()
 
     return docs.mapInArrow(run, SETS)
 
 
-def _least_shared(n):
-    """How many of its first shingles a set of ``n`` must share with one that links to it, if that has as many or more."""
-    return n // 25 + 1
-
-
-def _peeled(regions: DataFrame, percent: int, passes: int = 2) -> DataFrame:
-    """Regions without the nodes that can't link: with fewer shared shingles than the smallest set that may link to
-    them asks for, or alone in their regions. Of regions with the same nodes one stands for all, with their
-    number as its weight."""
-    regions = regions.withColumn("weight", F.lit(1).cast("long"))
-    for k in range(passes):
-        enough = regions.groupBy("sig", "n").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= F.floor(F.floor(F.col("n") * percent / 100) / 25) + 1).select("sig")
-        left = materialise(regions.join(enough, "sig", "left_semi"), f"join-counted-{k}")
-        nodes = [F.count("*"), F.bit_xor(F.xxhash64("sig")), F.bit_xor(F.xxhash64("sig", F.lit(1)))]
-        alike = left.groupBy("region").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), *[x.alias(f"x{i}") for i, x in enumerate(nodes)], F.min("weight").alias("weight"))
-        kept = alike.where("lo <> hi").groupBy("lo", "hi", "x0", "x1", "x2").agg(F.min("region").alias("region"), F.sum("weight").alias("weight")).select("region", "weight")
-        regions = materialise(left.drop("weight").join(kept, "region"), f"join-peeled-{k}")
-    return regions.drop("weight")
-
-
-def _leading(owner: np.ndarray, among: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which of the positions ``among`` are the first ``wanted`` of their owner; owners ascend."""
-    owners = owner[among]
-    opens = np.searchsorted(owners, owners)
-    out = among.copy()
-    out[among] = np.arange(len(owners)) - opens < wanted[owners]
-    return out
+def _postings(docs: DataFrame, words: int, classes: SizeClasses, nodes: Nodes, hot_h: np.ndarray, hot_n: np.ndarray) -> DataFrame:
+    """h, node for each of a set's first signatures."""
 
+    def run(batches):
+        seen: set[int] = set()  # sets already given by this task; a copy adds nothing
+        for batch in batches:
+            for part in by_bytes(batch, 2):
+                h, at = shingle_sets(_texts(part.column(2)), words)
+                node = nodes.of(*_signatures(h, at))
+                fresh = [k for k, s in enumerate(node.tolist()) if s not in seen and not seen.add(s)]
+                if len(seen) > 1_000_000:
+                    seen = set()
+                size = np.diff(at)
+                keep = np.zeros(len(size), bool)
+                keep[fresh] = True
+                h = h[np.repeat(keep, size)]
+                sig, of = classes.first(h, np.concatenate([[0], np.cumsum(np.where(keep, size, 0))]), hot_h, hot_n)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[of])], ["h", "node"])
+
+    return docs.mapInArrow(run, "h long, node long")
+
+
+class Region:
+    """The sets of a region of bounded size, joined in one task."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, leaf: int, pivots: int):
+        self.percent, self.leaf, self.pivots = percent, leaf, pivots
+        self.reach = 1 - percent / 100
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.component = np.arange(len(sets))
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        _, column, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        shared = count[column] > 1  # what one set alone has is in no intersection
+        self.owner, self.column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        self.columns = int((count > 1).sum())
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join all components, each a set's number and that of the first set of its component."""
+        todo = [np.arange(len(self.size))]
+        while todo:
+            members = todo.pop()
+            if len(np.unique(self.component[members])) > 1:
+                todo += self._cells(members) if len(members) > self.leaf else self._compare(members)
+        return [(i, int(c)) for i, c in enumerate(self.component.tolist()) if i != c]
+
+    def _join(self, members: np.ndarray, k: int) -> None:
+        """Puts ``members`` and set ``k`` into one component."""
+        some = np.unique(self.component[np.append(members, k)])
+        if len(some) > 1:
+            self.component[np.isin(self.component, some)] = some[0]
+
+    def _linked(self, shared, a, b):
+        return 100 * shared >= self.percent * (a + b - shared)
+
+    def _cells(self, members: np.ndarray) -> list[np.ndarray]:
+        """Voronoi cells with their windows; none where they are hardly smaller than the region, which is then compared whole."""
+        at = np.full(len(self.size), -1)
+        at[members] = np.arange(len(members))
+        inside = at[self.owner] >= 0
+        owner, column = at[self.owner[inside]], self.column[inside]
+        pivots = members[np.linspace(0, len(members) - 1, self.pivots).astype(np.int64)]
+        distance = np.empty((len(pivots), len(members)))
+        for row, p in enumerate(pivots.tolist()):
+            has = np.zeros(self.columns, bool)
+            has[column[owner == at[p]]] = True
+            shared = np.bincount(owner[has[column]], minlength=len(members))
+            shared[at[p]] = self.size[p]
+            distance[row] = 1 - shared / (self.size[members] + self.size[p] - shared)
+            self._join(members[self._linked(shared, self.size[members], self.size[p])], p)
+        nearest = distance.min(0)
+        cells = []
+        for row in distance:
+            radius = row[row <= nearest].max(initial=-1.0)
+            cells.append(members[(row <= nearest + 2 * self.reach + 1e-9) & (row <= radius + self.reach + 1e-9)])
+        return cells if max(map(len, cells)) <= 0.8 * len(members) else self._compare(members)
+
+    def _compare(self, members: np.ndarray, block: int = 1024, width: int = 8192) -> list[np.ndarray]:
+        """Compares all pairs, block by block of sets and of shingles."""
+        at = np.full(len(self.size), -1)
+        at[members] = np.arange(len(members))
+        inside = at[self.owner] >= 0
+        owner, column = at[self.owner[inside]], self.column[inside]
+        _, column, count = np.unique(column, return_inverse=True, return_counts=True)
+        owner, column = owner[count[column] > 1], (np.cumsum(count > 1) - 1)[column[count[column] > 1]]
+        by = np.argsort(column, kind="stable")
+        owner, column = owner[by], column[by]
+        cuts = np.searchsorted(column, np.arange(0, int((count > 1).sum()) + width, width))
+
+        def dense(start: int, k: int) -> np.ndarray:
+            o, c = owner[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]]
+            some = (o >= start) & (o < start + block)
+            out = np.zeros((min(block, len(members) - start), width), np.float32)
+            out[o[some] - start, c[some] - k * width] = 1
+            return out
+
+        for i in range(0, len(members), block):
+            for j in range(i, len(members), block):
+                shared = np.zeros((min(block, len(members) - i), min(block, len(members) - j)), np.float32)
+                for k in range(len(cuts) - 1):
+                    x = dense(i, k)
+                    shared += x @ (x if i == j else dense(j, k)).T
+                a, b = self.size[members[i : i + block]], self.size[members[j : j + block]]
+                linked = self._linked(shared.astype(np.int64), a[:, None], b[None])
+                for row in np.flatnonzero(linked.any(1)).tolist():
+                    self._join(members[j + np.flatnonzero(linked[row])], int(members[i + row]))
+        return []
+
+
+def _joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """a, b: links that join the components of each region (region, node)."""
 
-def _postings(docs: DataFrame, words: int, percent: int, hot_h: np.ndarray, hot_n: np.ndarray) -> DataFrame:
-    """h, sig, n for each of a set's first shingles.
+    def run(batches):
+        region, nodes, held = None, [], []
 
-    A set of n shingles links to no set that shares fewer than o = ceil(percent * n / 100) with it, so the first l of what
-    they share are among its first n - o + l in the common order. l grows with n: sets that share a single shingle by
-    chance are then no candidates.
-    """
+        def links():
+            found = Region(held, percent, leaf, 8).links() if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
 
-    def run(batches):
-        seen: set[int] = set()  # sets already given by this task; a copy adds nothing
-        for b in _parts(batches):
-            h, at = shingle_sets(_texts(b.column(2)), words)
-            size = np.diff(at)
-            sigs = _signatures(h, at)
-            fresh = np.array([s not in seen and not seen.add(s) for s in sigs.tolist()], bool)
-            owner = np.repeat(np.arange(len(size)), size)
-            some = fresh[owner]
-            h, owner = h[some], owner[some]
-            slot = np.minimum(np.searchsorted(hot_h, h), max(0, len(hot_h) - 1))
-            often = np.where(hot_h[slot] == h, hot_n[slot], 0) if len(hot_h) else np.zeros(len(h), np.int64)
-            wanted = size - (percent * size + 99) // 100 + _least_shared(size)
-            # Rare shingles first, which are in order already; the frequent ones only of sets that have too few rare ones.
-            first = _leading(owner, often == 0, wanted)
-            wanted -= np.bincount(owner[first], minlength=len(size))
-            late = np.flatnonzero((often > 0) & (wanted[owner] > 0))
-            late = late[np.lexsort((h[late], often[late], owner[late]))]
-            first[late[_leading(owner[late], np.ones(len(late), bool), wanted)]] = True
-            h, owner = h[first], owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sigs[owner]), pa.array(size[owner].astype(np.int32))], ["h", "sig", "n"])
-
-    return docs.mapInArrow(run, "h long, sig long, n int")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared, every (sizes of intersection and union) of each pair."""
+        for batch in batches:
+            for r, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != region:
+                    yield links()
+                    region, nodes, held = r, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(raw, np.uint64))
+        yield links()
+
+    rows = regions.select("region", "node").join(sets.select("node", "shingles"), "node").select("region", "node", "shingles")
+    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "a long, b long")
+
+
+def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each region's number of nodes (m) and of shingles (s)."""
+    return regions.join(sets.select("node", "n"), "node").groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+
+
+def _cut(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Regions too large for a task, cut into the Voronoi cells of a few of their nodes, with windows: region, node, m of
+    the region that was cut; and the links to those pivots."""
+    reach = 1 - percent / 100
+    first = Window.partitionBy("region").orderBy(F.xxhash64("node", "region"))
+    chosen = regions.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots).join(sets, "node")
+    chosen = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "shingles"))).alias("pivots"))  # ``pivots`` of them at most
 
     def run(batches):
-        last, x = None, np.zeros(0, np.uint64)
-        for b in _parts(batches, 200):
+        for batch in batches:
             out = []
-            for a, c, sa, sc in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                if a != last:
-                    last, x = a, np.frombuffer(sa, np.uint64)
-                y = np.frombuffer(sc, np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                out.append((a, c, shared, len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "shared", "every"])
-
-    left, right = (sets.select(F.col("sig").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, shared long, every long")
+            for region, node, m, raw, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, distance, linked = np.frombuffer(raw, np.uint64), [], []
+                for p in own:
+                    y = np.frombuffer(p["shingles"], np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    distance.append(1 - shared / (len(x) + len(y) - shared))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared) and node != p["node"]:
+                        linked.append(p["node"])
+                out.append((region, node, m, [own[k]["node"] for k, d in enumerate(distance) if d <= min(distance) + 2 * reach + 1e-9], linked))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["region", "node", "m", "cells", "linked"])
+
+    rows = regions.join(sets.select("node", "shingles"), "node").join(chosen, "region").select("region", "node", "m", "shingles", "pivots")
+    done = materialise(rows.mapInArrow(run, "region long, node long, m long, cells array<long>, linked array<long>"), "join-cells")
+    cells = done.select("m", F.explode("cells").alias("p"), "region", "node").select(F.xxhash64("region", "p").alias("region"), "node", "m")
+    return cells, done.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
+
+
+def _links(regions: DataFrame, sets: DataFrame, percent: int, leaf: int, max_nodes: int, max_shingles: int) -> DataFrame:
+    """a, b: verified links that join the components of the regions (region, node)."""
+    found = []
+    while True:
+        sized = materialise(_sized(regions, sets), "join-sizes")
+        over = sized.where((F.col("m") > max_nodes) | (F.col("s") > max_shingles))
+        if over.isEmpty():
+            break
+        fits = regions.join(over, "region", "left_anti").select("region", "node")
+        found.append(materialise(_joined_regions(fits, sets, percent, leaf), "join-links"))
+        cells, linked = _cut(regions.join(over.select("region", "m"), "region"), sets, percent, pivots=8)
+        found.append(linked)
+        sizes = _sized(cells, sets).join(cells.groupBy("region").agg(F.first("m").alias("was")), "region")
+        alike = materialise(sizes.where(F.col("m") > 0.8 * F.col("was")), "join-alike")
+        # Windows don't part these: the blocks of such a region are compared two by two.
+        blocks = F.ceil(F.greatest(2 * F.col("m") / max_nodes, 2 * F.col("s") / max_shingles)).cast("int") + 1
+        split = cells.select("region", "node").join(alike.select("region", blocks.alias("blocks")), "region").withColumn("one", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        split = split.select(F.xxhash64("region", F.least("one", "other"), F.greatest("one", "other")).alias("region"), "node")
+        found.append(materialise(_joined_regions(split, sets, percent, leaf), "join-links"))
+        regions = materialise(cells.select("region", "node").join(alike, "region", "left_anti"), "join-regions")
+    found.append(materialise(_joined_regions(regions, sets, percent, leaf), "join-links"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -242,139 +434,96 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_link(a: str, b: str, percent: int):
-    """Whether sets of these sizes can have a similarity of ``percent`` per cent."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _frequent(first: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures counted most often, in order, and their counts; as many whole classes of counts as fit in ``most``."""
+    hot = first.where("hot is not null").select(F.explode("hot").alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
+    hot = materialise(hot.withColumn("class", F.floor(4 * F.log2("n")).cast("int")), "join-frequent")
+    room, least = most, None
+    for r in sorted(hot.groupBy("class").count().collect(), reverse=True):  # 256 rows at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["class"]
+    rows = sorted((r["h"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in hot.where(F.col("class") >= least).select("h", "n").collect()) if least is not None else []
+    return np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
 
 
-def _links(regions: DataFrame, sets: DataFrame, percent: int, small: int, rounds: int) -> DataFrame:
-    """node, component of the nodes that verified links of the regions (region, sig, n) connect."""
-    reach = 1 - percent / 100
-    components = empty(regions.select(F.col("sig").alias("node"), F.col("sig").alias("component")))
-    regions = materialise(regions.withColumn("ball", F.lit(False)), "join-regions")
-
-    def grown(more: DataFrame):
-        """Adds the links among the compared pairs; components are joined where a link crosses them."""
-        nonlocal components
-        found = more.where(f"100 * shared >= {percent} * every").select("a", "b")
-        for k in "ab":
-            found = found.join(components.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
-        crossed = found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-        crossed = materialise(crossed, "join-links")
-        if crossed.count() == 0:
-            return
-        roots = connected_components(crossed).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        fresh = roots.select(F.col("component").alias("node"), "component")
-        nodes = components.unionByName(fresh).distinct().join(roots, "component", "left")
-        components = materialise(nodes.select("node", F.coalesce("root", "component").alias("component")), "join-components")
-
-    def unfinished(df: DataFrame) -> DataFrame:
-        """Rows of regions that hold two components or more, with the component as ``c``."""
-        own = components.select(F.col("node").alias("sig"), "component")
-        df = df.join(own, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-        many = df.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("region", "size")
-        return materialise(df.join(many, "region"), "join-regions")
-
-    def crossing(df: DataFrame, near: bool) -> DataFrame:
-        """Pairs of a region's nodes in different components that no bound excludes."""
-        cols = ["sig", "n", "c"] + ["d"] * near
-        a, b = (df.select("region", *[F.col(c).alias(f"{c}{k}") for c in cols]) for k in "ab")
-        pairs = a.join(b, "region").where((F.col("siga") < F.col("sigb")) & (F.col("ca") != F.col("cb")) & _may_link("na", "nb", percent))
-        if near:
-            pairs = pairs.where(F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9))
-        return pairs.select(F.col("siga").alias("a"), F.col("sigb").alias("b")).distinct()
-
-    for k in range(rounds + 1):
-        # A pivot outside any ball if there is one; the row is struct(in a ball, sig, n).
-        pivots = regions.groupBy("region").agg(F.min(F.struct("ball", "sig", "n")).alias("p")).select("region", F.col("p.sig").alias("p"), F.col("p.n").alias("pn"))
-        rows = regions.join(pivots, "region").where("sig <> p")
-        # The window reaches to 2e, so the distance is needed wherever sizes allow one of 2e, not only where they allow a link.
-        pairs = rows.where(_may_link("n", "pn", 2 * percent - 100)).select(F.col("p").alias("a"), F.col("sig").alias("b")).distinct()
-        checked = materialise(_verified(pairs, sets), "join-checked")
-        grown(checked)
-        far = checked.select(F.col("a").alias("p"), F.col("b").alias("sig"), (1 - F.col("shared") / F.col("every")).alias("d"))
-        # Without a distance a node is beyond 2e from the pivot in size alone.
-        rest = unfinished(rows.join(far, ["p", "sig"], "left").select("region", "sig", "n", "ball", "d"))
-        if rest.count() == 0:
-            return components
-        few = rest.where(F.col("size") <= small)
-        pairs = crossing(few, near=False)
-        large = rest.where(F.col("size") > small)
-        if k == rounds:
-            pairs, large = pairs.unionByName(crossing(large, near=True)).distinct(), None
-        grown(_verified(pairs, sets))
-        if large is None or large.isEmpty():
-            return components
-        d = F.coalesce("d", F.lit(2.0))
-        inner = large.where(d <= 2 * reach + 1e-9).select(F.xxhash64("region", F.lit("i")).alias("region"), "sig", "n", (d <= reach + 1e-9).alias("ball"))
-        outer = large.where(d > reach + 1e-9).select(F.xxhash64("region", F.lit("o")).alias("region"), "sig", "n", F.lit(False).alias("ball"))
-        regions = unfinished(inner.unionByName(outer)).select("region", "sig", "n", "ball")
-    return components
-
-
-def join_components(docs: DataFrame, words: int = 4, percent: int = 85, local_hot: int = 4, max_hot: int = 200_000, small: int = 256, rounds: int = 3) -> DataFrame:
+def join_components(docs: DataFrame, words: int = 4, percent: int = 85, **how) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least ``percent`` per
     cent; component_id is the smallest doc_id that links reach, nulls last. A null text, or one without words, has
     an empty set and is its own component. Each of repeated rows is returned. An empty table gives no rows.
 
-    ``local_hot`` and ``max_hot`` bound the list of frequent shingles that go last in the common order, which
-    changes how much is compared and not what is found; ``small`` is the size of a region that is joined pair by
-    pair, and after ``rounds`` rounds larger ones are too, within the windows of their last pivot.
+    ``local_hot`` and ``max_hot`` bound the list of frequent signatures that go last in the common order, which
+    changes how much is compared and not what is found; ``leaf`` is the size of a region that is joined pair by
+    pair, ``max_nodes`` and ``max_shingles`` bound what one task joins.
     """
-    return _joined(docs, words, percent, local_hot, max_hot, small, rounds).drop("th")
+    return _joined(docs, words, percent, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def _joined(docs: DataFrame, words: int = 4, percent: int = 85, local_hot: int = 4, max_hot: int = 200_000, small: int = 256, rounds: int = 3) -> DataFrame:
-    """``join_components`` with the hash of each row's text as th."""
+def _joined(docs: DataFrame, words: int, percent: int, local_hot: int = 4, max_hot: int = 200_000, leaf: int = 256, max_nodes: int = 4096, max_shingles: int = 4_000_000) -> DataFrame:
+    """``join_components`` with the hash of each row's text as th, and the row that stands for its component as best
+    (its doc_id, nulls last, and th)."""
+    classes = SizeClasses(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    first = materialise(_sets(rows, words, local_hot), "shingle-sets")
-    every = first.where("sig is not null").select("doc_id", "th", "n", "sig")
-    hot = first.where("hot is not null").select(F.explode("hot").alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
-    frequent = sorted((np.uint64(h & 0xFFFFFFFFFFFFFFFF), n) for h, n in hot.orderBy(F.desc("n"), "h").limit(max_hot).toPandas().itertuples(index=False))
-    hot_h, hot_n = np.array([h for h, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64)
-
-    postings = _postings(rows, words, percent, hot_h, hot_n)
-    by_shingle = Window.partitionBy("h")
-    shared = postings.withColumn("lo", F.min("sig").over(by_shingle)).withColumn("hi", F.max("sig").over(by_shingle)).where("lo <> hi")
-    regions = materialise(shared.select(F.col("h").alias("region"), "sig", F.col("n").cast("long").alias("n")).distinct(), "join-postings")
-    regions = _peeled(regions, percent)
+    first = materialise(_sets(rows, words, classes, local_hot), "shingle-sets")
+    hot_h, hot_n = _frequent(first, max_hot)
+    every = first.where("a is not null").select("doc_id", "th", "n", "a", "b")
+    clashes = every.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("a")
+    clashes = every.join(clashes, "a").select("a", "b").distinct().collect()  # pairs of sets that share 64 bits of their hash: none below billions of sets
+    nodes = Nodes([tuple(r) for r in clashes])
+    if nodes.other:
+        renamed = docs.sparkSession.createDataFrame([(a, b, node) for a, of in nodes.other.items() for b, node in of.items()], "a long, b long, node long")
+        every = every.join(F.broadcast(renamed), ["a", "b"], "left").withColumn("node", F.coalesce("node", "a"))
+    else:
+        every = every.withColumn("node", F.col("a"))
+
+    postings = _postings(rows, words, classes, nodes, hot_h, hot_n)
+    by_signature = Window.partitionBy("h")
+    shared = postings.withColumn("region", F.min("node").over(by_signature)).withColumn("hi", F.max("node").over(by_signature)).where("region <> hi")
+    regions = materialise(shared.select("region", "node").distinct(), "join-regions")
 
     # The sets of the nodes in regions, each from one document that has it.
-    nodes = regions.select("sig").distinct()
-    holder = every.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("th", "doc_id")).alias("x")).select(F.col("sig").alias("want"), F.col("x.th").alias("t"), F.col("x.doc_id").alias("d"))
+    holder = every.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("x")).select(F.col("node").alias("want"), F.col("x.th").alias("t"), F.col("x.doc_id").alias("d"))
     holder = materialise(holder, "join-holders")
 
     def sets_of(batches):
-        for b in _parts(batches):
-            h, at = shingle_sets(_texts(b.column(1)), words)
-            want = b.column(0).to_pylist()
-            keep = np.flatnonzero(_signatures(h, at) == np.array(want, np.int64)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([want[k] for k in keep], pa.int64()), pa.array([h[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "shingles"])
-
-    if holder.count() <= 500_000:  # 24 bytes a row
+        for batch in batches:
+            for part in by_bytes(batch, 1):
+                h, at = shingle_sets(_texts(part.column(1)), words)
+                want = part.column(0).to_numpy()
+                keep = np.flatnonzero(nodes.of(*_signatures(h, at)) == want).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(want[keep]), pa.array(np.diff(at)[keep]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["node", "n", "shingles"])
+
+    if holder.count() <= 1_000_000:  # 24 bytes a row
         holder = F.broadcast(holder)
     texts = rows.join(holder, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("want", "text")
-    sets = materialise(texts.mapInArrow(sets_of, "sig long, shingles binary").dropDuplicates(["sig"]), "join-sets")
+    sets = materialise(texts.mapInArrow(sets_of, "node long, n long, shingles binary").dropDuplicates(["node"]), "join-sets")
 
-    components = _links(regions, sets, percent, small, rounds)
-    of = components.select(F.col("node").alias("sig"), F.col("component").alias("c"))
-    smallest = every.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(of, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
-    labels = smallest.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_set = smallest.join(labels, "c").select("sig", "component_id")
-    return every.join(by_set, "sig", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    components = connected_components(_links(regions, sets, percent, leaf, max_nodes, max_shingles)).withColumnRenamed("component", "c")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    smallest = every.where("n > 0").groupBy("node").agg(F.min(best).alias("best")).join(components, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    labels = smallest.groupBy("c").agg(F.min("best").alias("best"))
+    by_set = smallest.select("node", "c").join(labels, "c").select("node", "best")
+    return every.join(by_set, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "best")
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their component.
+    """The rows of ``docs``, with all their columns, without the copies: of each component the row with the smallest
+    doc_id stays (nulls last, ties by a hash of the text), and one of rows that repeat both its doc_id and text.
 
-    Rows that repeat a doc_id and its text are kept or dropped alike, those with different texts each on its own; rows without
-    doc_id stay if nothing with one links to them.
+    Rows without words link to nothing and all stay, repeated ones too. An empty table gives no rows. Columns of ``docs`` other than doc_id and text
+    play no part; their names may be any that don't start with ``_join_``.
     """
-    joined = _joined(docs, words, percent, **how)
-    dropped = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"), F.col("th").alias("_th")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    joined = materialise(_joined(docs, words, percent, **how).where("n_shingles > 0").select(F.col("doc_id").alias("_join_id"), F.col("th").alias("_join_th"), "best"), "join-rows")
+    same = F.col("_join_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_join_th") == F.col("best.th"))
+    of_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_join_id")) & (F.xxhash64("text") == F.col("_join_th"))
+    kept = docs.join(joined.where(~same).select("_join_id", "_join_th").distinct(), of_row, "left_anti")
+    repeated = joined.where(same).groupBy("_join_id", "_join_th").count().where("count > 1").select("_join_id", "_join_th")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, of_row).dropDuplicates(["_join_id", "_join_th"]).select(*docs.columns)
+    return kept.join(repeated, of_row, "left_anti").unionByName(once)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

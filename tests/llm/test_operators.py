@@ -183,8 +183,8 @@ def brute_components(rows, words=4, percent=85):
     return [(i, len(s), least.get(find(k)) if s else i) for k, ((i, _, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-@pytest.mark.parametrize(("small", "rounds"), [(64, 6), (2, 0), (2, 3)])
-def test_jaccard_join_equals_brute_force(spark, small, rounds):
+@pytest.mark.parametrize("how", [{}, {"leaf": 2}, {"leaf": 2, "max_nodes": 6, "max_hot": 0}, {"leaf": 4, "max_shingles": 300}])
+def test_jaccard_join_equals_brute_force(spark, how):
     from oddsmill.llm.jaccard_join import join_components, representatives
 
     r = random.Random(8)
@@ -197,23 +197,54 @@ def test_jaccard_join_equals_brute_force(spark, small, rounds):
                 w[r.randrange(len(w))] = prose(r, 1).upper()
             rows.append((100 * g + 10 + k, " ".join(w), "en"))
     rows += [(9000, rows[-1][1], "en"), (9001, rows[-1][1].upper(), "en"), (9002, rows[-1][1], "en")]
-    got = join_components(docs(spark, rows), small=small, rounds=rounds, local_hot=3).collect()
+    got = join_components(docs(spark, rows), local_hot=3, **how).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows), key=key)
     assert join_components(docs(spark, [])).count() == 0
-    want = Counter(i for i, _, c in brute_components(rows, 5, 80) if i == c)
-    assert Counter(x.doc_id for x in representatives(docs(spark, rows)).collect()) == want
-
-
-def test_jaccard_join_links_copies_cut_short(spark):
-    """Each copy links to the next shorter one alone, and the longest is the pivot of their region."""
-    from oddsmill.llm.jaccard_join import _links
-
-    sizes = (100, 90, 80, 71)
-    regions = spark.createDataFrame([(1, k, n) for k, n in enumerate(sizes)], "region long, sig long, n long")
-    sets = spark.createDataFrame([(k, bytearray(np.arange(n, dtype=np.uint64).tobytes())) for k, n in enumerate(sizes)], "sig long, shingles binary")
-    got = _links(regions, sets, 85, small=2, rounds=3).collect()
-    assert sorted(map(tuple, got)) == [(k, 0) for k in range(4)]
+    best = {}
+    for (i, t, _), (_, n, c) in zip(rows, brute_components(rows, 5, 80), strict=True):
+        best.setdefault(c if n else ("no words", len(best)), (i, t))
+    assert Counter(x.doc_id for x in representatives(docs(spark, rows)).collect()) == Counter(c if isinstance(c, int) or c is None else i for c, (i, _) in best.items())
+
+
+def test_region_joins_equal_all_pairs():
+    """Chains of copies cut short, and a crowd that shares one passage: windows must keep each link, blocks each pair."""
+    from oddsmill.llm.jaccard_join import Region
+
+    r = np.random.default_rng(5)
+    sets = [np.arange(n, dtype=np.uint64) for n in (100, 90, 80, 71)]
+    sets += [np.unique(np.concatenate([np.arange(1000, 1040, dtype=np.uint64), r.integers(2000, 9000, 30).astype(np.uint64)])) for _ in range(40)]
+    for _ in range(60):
+        s = sets[r.integers(len(sets))]
+        sets.append(np.unique(np.concatenate([s[r.random(len(s)) > 0.06], r.integers(10_000, 99_999, r.integers(1, 6)).astype(np.uint64)])))
+    want = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(x, sets[j]))
+            if 100 * shared >= 85 * (len(x) + len(sets[j]) - shared):
+                a, b = want[i], want[j]
+                want = [min(a, b) if w in (a, b) else w for w in want]
+    for leaf in (2, 16, 1000):
+        region = Region(sets, 85, leaf, 8)
+        links = dict(region.links())
+        assert [links.get(i, i) for i in range(len(sets))] == want
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80), (3, 55)])
+def test_linked_sets_share_a_first_signature(words, percent):
+    from oddsmill.llm.jaccard_join import SizeClasses
+
+    r = np.random.default_rng(6)
+    classes, none = SizeClasses(percent), np.zeros(0, np.uint64)
+    for n in [*range(1, 40), 60, 135, 136, 500, 3000]:
+        for _ in range(4):
+            x = np.unique(r.integers(0, 2**64, n, np.uint64))
+            y = x[: max(1, len(x) - r.integers(0, max(1, round(n * (1 - percent / 100)) + 1)))]
+            y = np.unique(np.concatenate([y, r.integers(0, 2**64, r.integers(0, max(1, n // 8) + 1), np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            if 100 * shared >= percent * (len(x) + len(y) - shared) and (len(x) != len(y) or shared < len(x)):
+                sig, of = classes.first(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), none, none)
+                assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
 def test_a_repeated_id_loses_only_its_copies(spark):
@@ -224,6 +255,8 @@ def test_a_repeated_id_loses_only_its_copies(spark):
     rows = [(1, copied, "en"), (2, copied, "en"), (2, clean, "en"), (None, copied, "en"), (None, prose(r, 30), "en")]
     got = [(x.doc_id, x.text) for x in representatives(docs(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([rows[0][:2], rows[2][:2], rows[4][:2]], key=str)
+    rows = [(1, copied, "en"), (1, copied, "en"), (None, clean, "en"), (None, clean, "en"), (None, None, "en"), (None, None, "en")]
+    assert Counter(x.text for x in representatives(docs(spark, rows)).collect()) == {copied: 1, clean: 1, None: 2}
 
 
 # -- decontamination ------------------------------------------------------------------------------
