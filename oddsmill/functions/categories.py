@@ -14,20 +14,20 @@ class Category:
     labels: tuple[str, ...]
     exclusions: tuple[str, ...] = ()
     min_edge: float = 0.05
-    window_s: int = 86_400
+    window_s: int = 48 * 3600
     mispricing_skip: bool = False
 
 
-# Nine categories in order of priority, with the tag labels that make them.
+# Nine categories in order of priority, with the tag labels (lower case) that make and rule out each.
 TAXONOMY = (
-    Category("esports", ("esports", "counter strike", "cs2", "dota 2", "league of legends", "valorant"), window_s=14_400, mispricing_skip=True),
-    Category("sports", ("sports", "nba", "nfl", "mlb", "nhl", "soccer", "tennis", "golf", "ufc", "f1"), ("esports",), window_s=14_400, mispricing_skip=True),
-    Category("macro", ("economy", "fed", "fed rates", "inflation", "interest rates", "gdp")),
-    Category("crypto", ("crypto", "bitcoin", "ethereum", "solana", "crypto prices")),
-    Category("geopolitics", ("geopolitics", "world", "ukraine", "middle east", "china")),
-    Category("elections", ("elections", "us election", "world elections")),
-    Category("tech", ("tech", "ai", "openai", "science")),
-    Category("culture", ("culture", "pop culture", "movies", "music", "awards")),
+    Category("sports", ("sports",), min_edge=0.10, window_s=6 * 3600, mispricing_skip=True),
+    Category("esports", ("esports",), window_s=24 * 3600, mispricing_skip=True),
+    Category("macro", ("fed rates", "fed", "fomc", "jerome powell", "economic policy")),
+    Category("crypto", ("crypto", "bitcoin", "ethereum", "solana", "xrp", "ripple", "dogecoin", "bnb", "$trump"), ("crypto prices", "recurring", "up or down", "hide from new")),
+    Category("elections", ("global elections", "world elections", "us election", "mayoral elections", "elections")),
+    Category("geopolitics", ("geopolitics", "foreign policy", "middle east")),
+    Category("tech", ("ai", "big tech", "tech")),
+    Category("culture", ("culture", "movies", "celebrities")),
     Category("thesis", ()),
 )
 FALLBACK = "thesis"

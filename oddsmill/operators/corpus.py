@@ -20,7 +20,7 @@ def closed_market_qualifier(events: DataFrame) -> DataFrame:
 
 
 def exchange_qualifier(markets: DataFrame, floor: float = 10_000) -> DataFrame:
-    return markets.where((F.col("market_type") == "binary") & F.col("result").isin("yes", "no") & (F.col("volume") >= floor) & F.col("status").isin("finalized", "settled", "determined"))
+    return markets.where((F.col("market_type") == "binary") & F.col("result").isin("yes", "no") & (F.col("volume") >= floor) & F.col("status").isin("determined", "amended", "finalized"))
 
 
 def play_money_qualifier(markets: DataFrame, floor: float = 1000) -> DataFrame:
@@ -101,6 +101,12 @@ def repair_close_times(markets: DataFrame, trades: DataFrame) -> DataFrame:
     return markets.join(last, ["platform", "condition_id"], "left").withColumn("closed_at", F.coalesce("_last", "closed_at")).drop("_last")
 
 
+def repair_resolution_times(resolutions: DataFrame, repaired: DataFrame) -> DataFrame:
+    """Resolutions with the repaired closing time of their market as resolved_at."""
+    closed = repaired.select("platform", "condition_id", F.col("closed_at").alias("_closed"))
+    return resolutions.join(closed, ["platform", "condition_id"], "left").withColumn("resolved_at", F.coalesce("_closed", "resolved_at")).drop("_closed")
+
+
 def refresh_truncation(markets: DataFrame, trades: DataFrame, enough: int = 3000) -> DataFrame:
     n = trades.groupBy("platform", "condition_id").agg(F.count("*").alias("trades_count"))
     out = markets.join(n, ["platform", "condition_id"], "left").withColumn("trades_count", F.coalesce("trades_count", F.lit(0)))

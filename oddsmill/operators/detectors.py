@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmill.functions.categories import primary_category
+from oddsmill.functions.categories import TAXONOMY, primary_category, with_settings
 from oddsmill.operators.ingest import first_write_wins
 
 
@@ -23,15 +23,15 @@ def severity(value: Column, high: float, med: float) -> Column:
 
 
 def wallet_skill(positions: DataFrame, by: tuple[str, ...] = ("wallet_address",)) -> DataFrame:
-    """Edge, stake-weighted edge, excess profit, stake and win rate of settled positions.
+    """Edge, stake-weighted edge, excess profit (realised profit), stake and win rate of settled positions.
 
-    Positions priced outside (0, 1), and those without profit and value, don't count.
+    Positions priced outside (0, 1), and those without profit and current value, which only moved shares, don't count.
     """
-    p = positions.where("avg_price > 0 and avg_price < 1 and not (realized_pnl = 0 and size = 0)")
+    p = positions.where("avg_price > 0 and avg_price < 1 and not (coalesce(realized_pnl, 0) = 0 and current_value = 0)")
     edge, stake = F.col("won") - F.col("avg_price"), F.col("size") * F.col("avg_price")
     out = p.groupBy(*by).agg(
         F.count("*").alias("positions"), F.sum("won").cast("long").alias("wins"), F.avg("won").alias("winrate"), F.avg(edge).alias("mean_edge"),
-        F.sum(edge * stake).alias("_weighted"), F.sum(stake).alias("total_stake_usd"), F.sum(edge * F.col("size")).alias("excess_pnl_usd"),
+        F.sum(edge * stake).alias("_weighted"), F.sum(stake).alias("total_stake_usd"), F.sum(F.coalesce("realized_pnl", F.lit(0.0))).alias("excess_pnl_usd"),
     )
     return out.withColumn("weighted_edge", F.coalesce(F.try_divide("_weighted", "total_stake_usd"), "mean_edge")).drop("_weighted")
 
@@ -52,16 +52,35 @@ def position_growth(history: DataFrame, edges: DataFrame, floor: float = 1000.0)
     """Growth of a position since its last snapshot of at least ``floor``; a first snapshot is none."""
     w = Window.partitionBy("wallet_address", "condition_id", "outcome_side").orderBy("snapshot_at")
     grown = history.withColumn("previous_size", F.lag("size").over(w)).withColumn("delta_usd", (F.col("size") - F.col("previous_size")) * F.col("avg_price")).where(F.col("delta_usd") >= floor)
-    weight = F.col("delta_usd") / 10_000 * F.coalesce("weighted_edge", F.lit(0.0))
-    return grown.join(edges.select("wallet_address", "weighted_edge"), "wallet_address", "left").withColumn("severity", severity(weight, 0.5, 0.1))
+    score = F.col("delta_usd") / 10_000 * F.greatest(F.coalesce("mean_edge", F.lit(0.0)), F.lit(0.0))
+    graded = F.when(score >= 0.5, "high").when(score >= 0.1, "med").otherwise("low")
+    return grown.join(edges.select("wallet_address", "mean_edge"), "wallet_address", "left").withColumn("severity", graded)
 
 
 # -- prices of an event ---------------------------------------------------------------------------
 
 
-def mispricing_eligible(event_markets: DataFrame, min_liquidity: float = 0.0) -> DataFrame:
-    """Markets of events with 2 to 8 markets, order books, enough liquidity, and labels that aren't all buckets."""
-    bucket = F.col("label").rlike(r"^\s*[<>]?\$?\d[\d.,]*[KMB%]?\s*(?:-|to)\s*\$?\d")
+#: Labels that are dates, amounts, or ranges by their first word.
+BUCKET_LABELS = (
+    r"^\d{4}-\d{2}-\d{2}",
+    r"^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d+(?:,\s*\d{4})?$",
+    r"^[<>]?=?\s*\$?\d",
+    r"(?i)^(?:above|below|over|under|at\s+least|at\s+most|more\s+than|less\s+than|>=|<=|≥|≤)\s+\$?\d",
+)
+
+
+def is_bucket(label: Column) -> Column:
+    text = F.trim(F.coalesce(label, F.lit("")))
+    return sum((text.rlike(x).cast("int") for x in BUCKET_LABELS), F.lit(0)) > 0
+
+
+def mispricing_eligible(event_markets: DataFrame, min_liquidity: float = 0.0, event_tags: DataFrame | None = None) -> DataFrame:
+    """Markets of events with 2 to 8 markets, order books, enough liquidity, labels that aren't all buckets, and no category
+    that the taxonomy skips (by ``event_tags``: event_slug, tags; without tags an event is thesis)."""
+    bucket = is_bucket(F.col("label"))
+    if event_tags is not None:
+        skipped = with_settings(event_tags.select("event_slug", primary_category(F.col("tags")).alias("category"))).where("mispricing_skip")
+        event_markets = event_markets.join(skipped.select("event_slug"), "event_slug", "left_anti")
     per_event = event_markets.groupBy("event_slug").agg(F.count("*").alias("n"), F.min("order_book").alias("books"), F.min(bucket).alias("buckets"), F.sum("liquidity_usd").alias("liquidity"))
     good = per_event.where((F.col("n") >= 2) & (F.col("n") <= 8) & F.col("books") & ~F.col("buckets") & (F.col("liquidity") >= min_liquidity)).select("event_slug")
     return event_markets.join(good, "event_slug", "left_semi")
@@ -86,38 +105,36 @@ def mispricing_alerts(event_markets: DataFrame, low: float = 0.03, high: float =
     )
 
 
-_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# Names of months, words of direction, and scales of amounts.
+_MONTHS = {"jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12}
+_HIGHER = r"(?:>=|>|≥|above|over|at\s+least|more\s+than)"
+_LOWER = r"(?:<=|<|≤|below|under|at\s+most|less\s+than)"
 _SCALES = {"k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
 
 
 def axes(label: Column, year: Column | None = None) -> dict[str, Column]:
     """What a market's label sets: a date (days since 1970), or a threshold and whether higher or lower is stricter.
 
-    ISO dates, ``Month D[, Y]`` with ``year`` as a hint, and amounts with a direction and a K, M, B or T; a range
-    sets nothing.
+    The label starts with an ISO date, ``Month D[, Y]`` with ``year`` as a hint, or a word of direction with an amount in K, M,
+    B or T; what follows is ignored. Anything else, and a range, sets nothing.
     """
-    low = F.lower(F.coalesce(label, F.lit("")))
-    iso = F.regexp_extract(low, r"(\d{4}-\d{2}-\d{2})", 1)
-    month = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?"
+    low = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    iso = F.regexp_extract(low, r"^(\d{4}-\d{2}-\d{2})\b", 1)
+    month = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,\s*(\d{4}))?\b"
     named, day, said = (F.regexp_extract(low, month, k) for k in (1, 2, 3))
-    number = F.array_position(F.array(*map(F.lit, _MONTHS)), named)
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair]), named)
     y = F.coalesce(F.when(said != "", said.try_cast("int")), year if year is not None else F.lit(None).cast("int"))
-    spelled = F.concat_ws("-", y.cast("string"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
-    date = F.coalesce(F.when(iso != "", iso.try_cast("date")), F.when((named != "") & y.isNotNull(), spelled))
-    amount = r"\$?(\d[\d,]*(?:\.\d+)?)\s*([kmbt])?\b"
-    higher, lower = r"(?:above|over|more than|at least|higher than|reach(?:es)?|hits?|exceeds?|>=?|↑)\s*", r"(?:below|under|less than|at most|lower than|falls? to|dips? to|<=?|↓)\s*"
+    spelled = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+    date = F.coalesce(F.when(iso != "", iso.try_cast("date")), F.when((named != "") & number.isNotNull() & y.isNotNull(), spelled))
+    is_range = low.rlike(r"^\$?[\d,.]+\s*[kmbt]?\s*[-–]\s*\$?[\d,.]+")
 
     def value(direction: str) -> Column:
-        digits, scale = F.regexp_extract(low, direction + amount, 1), F.regexp_extract(low, direction + amount, 2)
+        amount = rf"^{direction}\s*\$?([\d,.]+)\s*([kmbt]?)"
+        digits, scale = F.regexp_extract(low, amount, 1), F.regexp_extract(low, amount, 2)
         factor = F.coalesce(*[F.when(scale == k, F.lit(v)) for k, v in _SCALES.items()], F.lit(1.0))
-        return F.when(digits != "", F.regexp_replace(digits, ",", "").try_cast("double") * factor)
+        return F.when((digits != "") & ~is_range, F.regexp_replace(digits, ",", "").try_cast("double") * factor)
 
-    is_range = low.rlike(r"\d\s*[kmbt%]?\s*(?:-|–|to)\s*\$?\d") & (iso == "")
-    return {
-        "date_axis": F.unix_date(date),
-        "higher_axis": F.when(date.isNull() & ~is_range, value(higher)),
-        "lower_axis": F.when(date.isNull() & ~is_range, value(lower)),
-    }
+    return {"date_axis": F.unix_date(date), "higher_axis": value(_HIGHER), "lower_axis": value(_LOWER)}
 
 
 def with_axis(event_markets: DataFrame, year: Column | None = None) -> DataFrame:
@@ -126,7 +143,7 @@ def with_axis(event_markets: DataFrame, year: Column | None = None) -> DataFrame
     ``strictness`` grows with how much a market asks: an earlier date, a higher or a lower threshold.
     """
     own = Window.partitionBy("event_slug")
-    m = event_markets.withColumns(axes(F.col("label"), year))
+    m = event_markets.where("yes_price is not null").withColumns(axes(F.col("label"), year))
     n = {k: F.count(k).over(own) for k in ("date_axis", "higher_axis", "lower_axis")}
     kind = F.when(n["date_axis"] >= 2, "date").when(n["higher_axis"] >= 2, "higher").when(n["lower_axis"] >= 2, "lower")
     m = m.withColumn("axis", kind)
@@ -137,7 +154,7 @@ def with_axis(event_markets: DataFrame, year: Column | None = None) -> DataFrame
 def monotone_violations(placed: DataFrame, gap: float = 0.02) -> DataFrame:
     """Neighbours on an axis where the stricter market costs at least ``gap`` more than the looser one."""
     w = Window.partitionBy("event_slug").orderBy(F.desc("strictness"), "position")
-    nxt = placed.where("yes_price is not null").withColumns({"loose_id": F.lead("condition_id").over(w), "loose_price": F.lead("yes_price").over(w), "loose_at": F.lead("strictness").over(w)})
+    nxt = placed.withColumns({"loose_id": F.lead("condition_id").over(w), "loose_price": F.lead("yes_price").over(w), "loose_at": F.lead("strictness").over(w)})
     out = nxt.where("loose_at < strictness").withColumn("gap", F.round(F.col("yes_price") - F.col("loose_price"), 6)).where(F.col("gap") >= gap)
     return out.select("event_slug", "axis", F.col("condition_id").alias("strict_id"), F.col("yes_price").alias("strict_price"), "loose_id", "loose_price", "gap", severity(F.col("gap"), 0.10, 0.05).alias("severity"))
 
@@ -175,68 +192,106 @@ def liquidity_gate(min_ratio: float = 0.05, min_usd: float = 100.0) -> Column:
     return F.coalesce(known & (hi > 0) & (lo / hi >= min_ratio) & (lo * F.col("mid_price") >= min_usd), F.lit(False))
 
 
-def velocity_alerts(moves: DataFrame, high: float = 0.15) -> DataFrame:
-    """Liquid moves, one for an asset and minute; a consolidating spread makes it low."""
-    s = F.when(F.col("consolidated"), "low").when(F.abs("change") >= high, "high").otherwise("med")
-    return first_write_wins(moves.where("liquid").withColumn("severity", s).withColumn("minute", F.floor(F.col("snapshot_at") / 60)), ["asset_id", "minute"], ["snapshot_at"])
+def velocity_alerts(moves: DataFrame, assets: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Liquid moves, one for a market and minute, as both outcomes of a market move together; of an asset without a known
+    market (``assets``: asset_id, condition_id) one for the asset. Low where the spread consolidated, high over twice the threshold."""
+    s = F.when(F.col("consolidated"), "low").when(F.abs("change") > 2 * threshold, "high").otherwise("med")
+    own = moves.where("liquid").join(assets.select("asset_id", "condition_id"), "asset_id", "left").withColumn("severity", s)
+    own = own.withColumn("alert_key", F.concat_ws(":", F.lit("velocity"), F.coalesce("condition_id", "asset_id"), F.floor(F.col("snapshot_at") / 60).cast("string")))
+    return first_write_wins(own, ["alert_key"], ["snapshot_at", "asset_id"])
 
 
 def burst_windows(alerts_: DataFrame, trades: DataFrame, step: int = 300, factor: float = 3.0, back: int = 7200, baseline_s: int = 86_400) -> DataFrame:
     """Where the burst before each alert (alert_key, condition_id, at) began: since, until.
 
-    Windows of ``step`` seconds go back from the alert until two in a row are under ``factor`` times the rate of
-    the day before, or ``back`` is reached.
+    Windows of ``step`` seconds, without their end, go back from the alert until the second of two in a row under ``factor`` times
+    the rate of the time before the alert (``baseline_s``); the burst starts at that window's end, or ``back`` before the alert.
+    Alerts and trades meet in a market and a bucket of the baseline's length.
     """
-    n = back // step
-    t = trades.select("condition_id", "ts")
-    seen = alerts_.join(t, "condition_id", "left").where("ts is null or (ts >= at - %d and ts <= at)" % baseline_s)
-    rate = seen.groupBy("alert_key", "condition_id", "at").agg((F.count("ts") / baseline_s * step).alias("baseline"))
-    counts = seen.where(F.col("ts") > F.col("at") - back).groupBy("alert_key", F.floor((F.col("at") - F.col("ts")) / step).alias("k")).agg(F.count("*").alias("trades"))
-    steps = alerts_.join(rate, ["alert_key", "condition_id", "at"], "left").select("alert_key", "condition_id", "at", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-    w = Window.partitionBy("alert_key").orderBy("k")
-    quiet = steps.join(counts, ["alert_key", "k"], "left").withColumn("quiet", F.coalesce("trades", F.lit(0)) < factor * F.col("baseline"))
-    quiet = quiet.withColumn("stop", F.col("quiet") & F.coalesce(F.lag("quiet").over(w), F.lit(False)))
-    first = quiet.groupBy("alert_key", "condition_id", "at").agg(F.min(F.when(F.col("stop"), F.col("k"))).alias("k"))
-    return first.select("alert_key", "condition_id", (F.col("at") - F.coalesce((F.col("k") - 1) * step, F.lit(back))).alias("since"), F.col("at").alias("until"))
+    n = -(-back // step)
+    bucket = F.floor(F.col("at") / baseline_s)
+    asked = alerts_.select("alert_key", "condition_id", "at", F.explode(F.array(bucket - 1, bucket)).alias("bucket"))
+    t = trades.select("condition_id", "ts", F.floor(F.col("ts") / baseline_s).alias("bucket"))
+    key = ["alert_key", "condition_id", "at"]
+    seen = asked.join(t, ["condition_id", "bucket"]).where(F.col("ts").between(F.col("at") - baseline_s, F.col("at")))
+    counts = seen.groupBy(*key, F.floor((F.col("at") - 1 - F.col("ts")) / step).alias("k")).agg(F.count("*").alias("c"))
+    near = F.map_from_entries(F.collect_list(F.when(F.col("k").between(0, n - 1), F.struct("k", "c"))))  # a window each
+    per = counts.groupBy(*key).agg(F.sum("c").alias("all"), near.alias("near"))
+    least = F.col("all") / max(baseline_s / 60, 1) * factor * (step / 60)
+
+    def quiet(k: Column) -> Column:
+        return F.coalesce(F.try_element_at("near", k), F.lit(0)) < least
+
+    stops = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(n - 1).cast("long")), lambda k: quiet(k) & quiet(k - 1))
+    back_to = F.least(F.coalesce(F.try_element_at(stops, F.lit(1)) * step, F.lit(back)), F.lit(back))
+    return alerts_.select(*key).join(per, key, "left").select("alert_key", "condition_id", (F.col("at") - F.coalesce(back_to, F.lit(back))).alias("since"), F.col("at").alias("until"))
 
 
 def burst_hits(trades: DataFrame, bucket: int = 60, min_wallets: int = 4, max_cv: float = 0.4, top: int = 5, contributors: int = 50) -> DataFrame:
     """Buckets (market, outcome, side, minute) where many wallets trade alike sizes, with those nearest the median.
 
-    The first trade of each wallet with a positive size counts; a market keeps its ``top`` hits by wallets.
+    The first trade of each wallet counts, if its size is positive; a market keeps its ``top`` hits by listed wallets.
     """
     key = ["condition_id", "outcome_side", "bs", "bucket"]
-    t = trades.where("size > 0").withColumn("bucket", F.floor(F.col("ts") / bucket) * bucket)
-    t = first_write_wins(t, [*key, "wallet_address"], ["ts", "tx_hash", "asset_id"])
+    t = first_write_wins(trades.withColumn("bucket", F.floor(F.col("ts") / bucket) * bucket), [*key, "wallet_address"], ["ts", "tx_hash", "asset_id"]).where("size > 0")
     hits = t.groupBy(*key).agg(F.count("*").alias("n_wallets"), F.median("size").alias("median_size"), (F.stddev_pop("size") / F.avg("size")).alias("cv"))
     hits = hits.where((F.col("n_wallets") >= min_wallets) & (F.col("cv") <= max_cv))
-    first = Window.partitionBy("condition_id").orderBy(F.desc("n_wallets"), "bucket", "outcome_side", "bs")
+    first = Window.partitionBy("condition_id").orderBy(F.desc(F.least("n_wallets", F.lit(contributors))), "bucket", "outcome_side", "bs")
     hits = hits.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= top).drop("_k")
     near = Window.partitionBy(*key).orderBy(F.abs(F.col("size") - F.col("median_size")), "wallet_address")
     own = t.join(hits, key).withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= contributors)
     return own.groupBy(*key, "n_wallets", "median_size", "cv").agg(F.sort_array(F.collect_list("wallet_address")).alias("wallets"))
 
 
+def triggers(alerts_: DataFrame, detectors: tuple[str, ...] = ("velocity", "mispricing", "convergence")) -> DataFrame:
+    """alert_key, condition_id, at of the alerts whose detector starts an attribution and whose body names a market."""
+    named = F.get_json_object("body", "$.condition_id")
+    return alerts_.where(F.col("detector").isin(*detectors) & named.isNotNull()).select("alert_key", named.alias("condition_id"), F.col("created_at").alias("at"))
+
+
 def candidate_wallets(hits: DataFrame, at: int) -> DataFrame:
     """Watchlist rows of the wallets in burst hits."""
-    return hits.select(F.explode("wallets").alias("address"), F.lit("move_attribution").alias("source"), F.col("condition_id").alias("reason"), F.lit(at).alias("added_at")).dropDuplicates(["address"])
+    return first_write_wins(hits.select(F.explode("wallets").alias("address"), F.lit("move_attribution").alias("source"), F.col("condition_id").alias("reason"), F.lit(at).alias("added_at")), ["address"], ["reason"])
+
+
+def _rolling(df: DataFrame, keys: list[str], span: int) -> tuple[DataFrame, Window]:
+    """``df`` dealt into buckets of ``span`` seconds, each with the rows of the bucket before it (``_own`` false), and the window of
+    the ``span`` seconds up to each row: a hot key is as many partitions as it has buckets."""
+    bucket = F.floor(F.col("ts") / span)
+    both = df.withColumns({"_bucket": bucket, "_own": F.lit(True)}).unionByName(df.withColumns({"_bucket": bucket + 1, "_own": F.lit(False)}))
+    return both, Window.partitionBy(*keys, "_bucket").orderBy("ts").rangeBetween(-span, 0)
 
 
 def convergence(trades: DataFrame, roster: DataFrame, window_s: int = 86_400, min_wallets: int = 2, newest: int = 200) -> DataFrame:
     """Trades of roster wallets (wallet_address[, category]) with others of the roster in the same market within the window.
 
-    Each wallet's ``newest`` trades count, as the detector sees no more. Per trade: distinct wallets and their volume
-    up to then. Buckets of the window's length give the range join an equal key.
+    Per trade: distinct wallets up to then, and the volume of those of their trades that are among each wallet's ``newest``.
     """
     by = [c for c in roster.columns if c in ("wallet_address", "category")]
-    t = trades.join(roster.select(*by).distinct(), by)
     own = Window.partitionBy("wallet_address").orderBy(F.desc("ts"), F.desc("tx_hash"), F.desc("asset_id"))
-    t = t.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= newest).drop("_k")
-    a = t.select("tx_hash", "asset_id", "wallet_address", "condition_id", "ts", F.floor(F.col("ts") / window_s).alias("bucket"))
-    b = t.select("condition_id", F.col("wallet_address").alias("other"), F.col("ts").alias("other_ts"), F.col("notional_usd").alias("usd"), F.explode(F.array(F.floor(F.col("ts") / window_s), F.floor(F.col("ts") / window_s) + 1)).alias("bucket"))
-    near = a.join(b, ["condition_id", "bucket"]).where(F.col("other_ts").between(F.col("ts") - window_s, F.col("ts")))
-    out = near.groupBy("condition_id", "tx_hash", "asset_id", "wallet_address", "ts").agg(F.count_distinct("other").alias("n_wallets"), F.sum("usd").alias("total_usd"))
-    return out.where(F.col("n_wallets") >= min_wallets).withColumn("severity", F.when(F.col("n_wallets") >= 3, "high").otherwise("med"))
+    t = trades.join(roster.select("wallet_address").distinct(), "wallet_address", "left_semi").withColumn("_usd", F.when(F.row_number().over(own) <= newest, F.col("notional_usd")).otherwise(0.0))
+    both, w = _rolling(t.join(roster.select(*by).distinct(), by), ["condition_id"], window_s)
+    out = both.withColumns({"n_wallets": F.size(F.collect_set("wallet_address").over(w)).cast("long"), "total_usd": F.sum("_usd").over(w)}).where(F.col("_own") & (F.col("n_wallets") >= min_wallets))
+    out = out.select("condition_id", "tx_hash", "asset_id", "wallet_address", "ts", *[c for c in by if c == "category"], "n_wallets", "total_usd")
+    return out.withColumn("severity", F.when(F.col("n_wallets") >= 3, "high").otherwise("med"))
+
+
+def convergence_by_category(trades: DataFrame, market_tags: DataFrame, roster: DataFrame, min_wallets: int = 2, min_edge: dict[str, float] | None = None, min_positions: int = 20) -> DataFrame:
+    """Convergence with the window and the roster of each market's category.
+
+    ``market_tags`` has condition_id and tags; ``roster`` the skill by wallet and category (``skill_by_category``), of which those
+    over the category's least edge with any profit count.
+    """
+    skilled = with_settings(roster).where((F.col("positions") >= min_positions) & (F.col("excess_pnl_usd") >= 0))
+    floor = F.coalesce(*[F.when(F.col("category") == k, F.lit(v)) for k, v in (min_edge or {}).items()], F.col("min_edge"))
+    skilled = skilled.where(F.col("mean_edge") >= floor).select("wallet_address", "category")
+    placed = trades.join(market_tags.select("condition_id", primary_category(F.col("tags")).alias("category")), "condition_id")
+    out = None
+    for window_s in sorted({c.window_s for c in TAXONOMY}):
+        names = [c.name for c in TAXONOMY if c.window_s == window_s]
+        one = convergence(placed.where(F.col("category").isin(*names)), skilled.where(F.col("category").isin(*names)), window_s, min_wallets)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # -- clusters of wallets --------------------------------------------------------------------------
@@ -263,19 +318,33 @@ def obscure_markets(cache: DataFrame, max_liquidity: float = 50_000, max_volume:
     return cache.where((F.col("liquidity_usd") <= max_liquidity) & (F.col("volume_usd") <= max_volume))
 
 
-def cotrade_edges(trades: DataFrame, markets: DataFrame, least: int = 3, newest: int = 500) -> DataFrame:
-    """Pairs of wallets that share at least ``least`` of ``markets``, by each wallet's ``newest`` trades: a < b, shared."""
+def newest_trades(trades: DataFrame, newest: int = 500) -> DataFrame:
+    """Each wallet's ``newest`` trades."""
     own = Window.partitionBy("wallet_address").orderBy(F.desc("ts"), F.desc("tx_hash"), F.desc("asset_id"))
-    t = trades.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= newest)
-    held = t.join(markets.select("condition_id"), "condition_id", "left_semi").select("wallet_address", "condition_id").distinct()
-    # A wallet with fewer markets than an edge needs has none.
-    held = held.join(held.groupBy("wallet_address").count().where(F.col("count") >= least).select("wallet_address"), "wallet_address", "left_semi")
-    a, b = held.withColumnRenamed("wallet_address", "a"), held.withColumnRenamed("wallet_address", "b")
-    return a.join(b, "condition_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return trades.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= newest).drop("_k")
+
+
+def cotrade_edges(trades: DataFrame, markets: DataFrame, least: int = 3, newest: int = 500) -> DataFrame:
+    """Pairs of wallets that share at least ``least`` of ``markets``, by each wallet's ``newest`` trades: a < b, shared.
+
+    Two such wallets also share one of their markets without each one's ``least - 1`` busiest, so only those bring wallets
+    together: a hot market pairs no one. What they share is then counted from their lists, of ``newest`` entries at most.
+    """
+    held = newest_trades(trades, newest).join(markets.select("condition_id"), "condition_id", "left_semi").select("wallet_address", "condition_id").distinct()
+    busy = held.groupBy("condition_id").agg(F.count("*").alias("_n"))
+    lists = held.join(busy, "condition_id").groupBy("wallet_address").agg(F.array_sort(F.collect_list(F.struct("_n", "condition_id"))).alias("m")).where(F.size("m") >= least)
+    lists = lists.select("wallet_address", F.col("m.condition_id").alias("m"))
+    rare = lists.select("wallet_address", F.explode(F.slice("m", F.lit(1), F.size("m") - (least - 1))).alias("condition_id"))
+    a, b = rare.withColumnRenamed("wallet_address", "a"), rare.withColumnRenamed("wallet_address", "b")
+    pairs = a.join(b, "condition_id").where("a < b").select("a", "b").distinct()
+    for k in "ab":
+        pairs = pairs.join(lists.select(F.col("wallet_address").alias(k), F.col("m").alias(f"m{k}")), k)
+    return pairs.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def components(edges: DataFrame, write) -> DataFrame:
-    """wallet_address, component (its smallest address): labels fall to the smallest neighbour's until none changes.
+    """wallet_address, component (its smallest address): labels fall to the smallest neighbour's, and to their label's label,
+    until none changes, so that a long chain takes few rounds.
 
     ``write(df, name)`` writes a table and reads it back, so a round is not computed again in the next.
     """
@@ -283,9 +352,12 @@ def components(edges: DataFrame, write) -> DataFrame:
     labels = write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = write(labels.join(near, "a").select("a", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "labels")
+        own = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("a").alias("next"), F.col("label").alias("beyond"))
+        new = own.join(jump, "next", "left").select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"), F.col("label").alias("was"))
+        new = write(new, "labels")
         labels = new.select("a", "label")
-        if new.where("moved").isEmpty():
+        if new.where("label <> was").isEmpty():
             return labels.select(F.col("a").alias("wallet_address"), F.col("label").alias("component"))
 
 
@@ -296,31 +368,36 @@ def cluster_groups(labelled: DataFrame, least: int = 3, most: int = 100) -> Data
     return labelled.withColumns({"n": F.count("*").over(own), "_k": k}).where((F.col("n") >= least) & (F.col("_k") <= most)).drop("n", "_k")
 
 
-def cluster_scores(members: DataFrame, trades: DataFrame, first_seen: DataFrame, cohesion_s: int = 86_400, bucket: int = 600) -> DataFrame:
+def cluster_scores(members: DataFrame, trades: DataFrame, first_seen: DataFrame, markets: DataFrame, cohesion_s: int = 86_400, bucket: int = 600, least: int = 3, max_cv: float = 0.3, newest: int = 500) -> DataFrame:
     """Score, identity and behaviour of each cluster (component, wallet_address).
 
-    +2 created within ``cohesion_s``; +2 for three markets that three members share; +1 for sizes that vary
-    little; +2 for a burst of three members in one asset, side and bucket. 5 alerts, 7 is high.
+    +2 if ``least`` members or more have a creation time and all those lie within ``cohesion_s``. The rest looks at the obscure
+    ``markets`` that three members or more traded, by each member's ``newest`` trades: +2 for ``least`` of them; +1 if sizes vary little in any one
+    of them; +2 for a burst of three members in one asset, side and bucket of any one. 5 alerts, 7 is high. The tag is that of the trades in
+    those markets.
     """
-    own = members.join(trades, "wallet_address")
-    shared = own.groupBy("component", "condition_id").agg(F.count_distinct("wallet_address").alias("w")).groupBy("component").agg(F.sum((F.col("w") >= 3).cast("long")).alias("shared_markets"))
-    burst = own.groupBy("component", "asset_id", "bs", F.floor(F.col("ts") / bucket).alias("b")).agg(F.count_distinct("wallet_address").alias("w")).groupBy("component").agg(F.max("w").alias("burst_wallets"))
-    traded = own.groupBy("component").agg((F.stddev_pop("size") / F.avg("size")).alias("size_cv"), F.avg((F.col("bs") == "BUY").cast("double")).alias("buy_ratio"))
-    made = members.join(first_seen, "wallet_address").groupBy("component").agg(F.count("*").alias("member_count"), F.min("first_activity_at").alias("first_created"), F.max("first_activity_at").alias("last_created"))
+    own = newest_trades(trades.join(members, "wallet_address"), newest).join(markets.select("condition_id"), "condition_id", "left_semi")
+    shared = own.groupBy("component", "condition_id").agg(F.count_distinct("wallet_address").alias("w")).where("w >= 3").select("component", "condition_id")
+    own = own.join(shared, ["component", "condition_id"])
+    size = F.when(F.col("size") > 0, F.col("size"))
+    per_market = own.groupBy("component", "condition_id").agg(F.when(F.count(size) >= 2, F.stddev_pop(size) / F.avg(size)).alias("cv"), F.count("*").alias("n"), F.count(F.when(F.upper("bs") == "BUY", 1)).alias("buys"))
+    traded = per_market.groupBy("component").agg(F.count("*").alias("shared_markets"), F.min("cv").alias("size_cv"), (F.sum("buys") / F.sum("n")).alias("buy_ratio"))
+    burst = own.groupBy("component", "condition_id", "asset_id", "bs", F.floor(F.col("ts") / bucket).alias("b")).agg(F.count_distinct("wallet_address").alias("w")).groupBy("component").agg(F.max("w").alias("burst_wallets"))
+    made = members.join(first_seen, "wallet_address", "left").groupBy("component").agg(F.count("*").alias("member_count"), F.count("first_activity_at").alias("dated"), F.min("first_activity_at").alias("first_created"), F.max("first_activity_at").alias("last_created"))
     who = members.groupBy("component").agg(F.sort_array(F.collect_set(F.lower("wallet_address"))).alias("_w"))
-    c = made.join(who, "component").join(traded, "component", "left").join(shared, "component", "left").join(burst, "component", "left")
-    score = sum((F.when(x, F.lit(n)).otherwise(F.lit(0)) for x, n in ((F.col("last_created") - F.col("first_created") <= cohesion_s, 2), (F.col("shared_markets") >= 3, 2), (F.col("size_cv") < 0.3, 1), (F.col("burst_wallets") >= 3, 2))), F.lit(0))
-    tag = F.when(F.col("buy_ratio").between(0.5, 0.8), "farmer").when(F.col("buy_ratio") > 0.9, "trader").otherwise("mixed")
+    c = made.join(who, "component").join(traded, "component", "left").join(burst, "component", "left").fillna(0, ["shared_markets", "burst_wallets"])
+    cohesive = (F.col("dated") >= least) & (F.col("last_created") - F.col("first_created") <= cohesion_s)
+    score = sum((F.when(x, F.lit(n)).otherwise(F.lit(0)) for x, n in ((cohesive, 2), (F.col("shared_markets") >= least, 2), (F.col("size_cv") < max_cv, 1), (F.col("burst_wallets") >= 3, 2))), F.lit(0))
+    tag = F.when(F.col("buy_ratio").isNull(), F.lit(None)).when(F.col("buy_ratio").between(0.5, 0.8), "farmer").when(F.col("buy_ratio") > 0.9, "trader").otherwise("mixed")
     c = c.withColumns({"cluster_id": F.concat(F.lit("cluster-"), F.substring(F.sha2(F.array_join("_w", "|"), 256), 1, 16)), "score": score, "behavior_tag": tag}).drop("_w")
     return c.withColumn("severity", F.when(F.col("score") >= 7, "high").when(F.col("score") >= 5, "med"))
 
 
 def cluster_active(trades: DataFrame, members: DataFrame, window_s: int = 300) -> DataFrame:
     """Trades of a cluster's member within ``window_s`` after another member's in the same market; high from half on."""
-    t = trades.join(members.select("wallet_address", "component"), "wallet_address")
     n = members.groupBy("component").agg(F.count("*").alias("member_count"))
-    w = Window.partitionBy("component", "condition_id").orderBy("ts").rangeBetween(-window_s, 0)
-    out = t.withColumn("n_active", F.size(F.collect_set("wallet_address").over(w)).cast("long")).where("n_active >= 2").join(n, "component")
+    both, w = _rolling(trades.join(members.select("wallet_address", "component"), "wallet_address"), ["component", "condition_id"], window_s)
+    out = both.withColumn("n_active", F.size(F.collect_set("wallet_address").over(w)).cast("long")).where("_own and n_active >= 2").drop("_own", "_bucket").join(n, "component")
     return out.withColumn("severity", F.when(F.col("n_active") * 2 >= F.col("member_count"), "high").otherwise("med"))
 
 

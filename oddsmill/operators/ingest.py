@@ -37,13 +37,24 @@ def keep_first_provenance(new: DataFrame, target: DataFrame) -> DataFrame:
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def deactivate(target: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Watchlist rows with the given addresses switched off; their provenance stays."""
+    gone = addresses.select("address").distinct().withColumn("_gone", F.lit(True))
+    return target.join(gone, "address", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
 def load_rules(trades: DataFrame) -> DataFrame:
-    """Notional floor by platform; lower-case wallets where addresses are not case-sensitive."""
-    floor = F.coalesce(*[F.when(F.col("platform") == k, F.lit(v)) for k, v in NOTIONAL_FLOOR.items()], F.lit(0.0))
+    """Notional floor by platform, that of ``polymarket`` for others; lower-case wallets where addresses are not case-sensitive."""
+    floor = F.coalesce(*[F.when(F.col("platform") == k, F.lit(v)) for k, v in NOTIONAL_FLOOR.items()], F.lit(NOTIONAL_FLOOR["polymarket"]))
     wallet = F.when(F.col("platform") == "polymarket", F.lower("wallet_address")).otherwise(F.col("wallet_address"))
     return trades.where(F.col("notional_usd") >= floor).withColumn("wallet_address", wallet)
 
 
+def stored_trades(trades: DataFrame) -> DataFrame:
+    """``load_rules``, then one row for each key: the earliest, as the first write stays."""
+    return first_write_wins(load_rules(trades), ["platform", "tx_hash", "asset_id", "wallet_address"], ["ts", "size", "price", "bs"])
+
+
 def _number(c: str | Column) -> Column:
     return F.col(c).try_cast(DoubleType()) if isinstance(c, str) else c.try_cast(DoubleType())
 
@@ -91,11 +102,11 @@ def exchange_trades(fills: DataFrame, fallback_ts: int = 0) -> DataFrame:
 
 
 def bet_trades(bets: DataFrame) -> DataFrame:
-    """Corpus trades from play-money bets: no cancelled bet and no limit bet that was never filled."""
+    """Corpus trades from play-money bets: no cancelled bet and no limit bet that was never filled; each is a BUY of its amount."""
     real = bets.where(~F.coalesce("is_cancelled", F.lit(False)) & ~(F.col("limit_prob").isNotNull() & ~F.coalesce("is_filled", F.lit(False))))
     return real.select(
         F.lit("manifold").alias("platform"), F.col("id").alias("tx_hash"), F.concat_ws(":", "contract_id", "outcome").alias("asset_id"), F.col("user_id").alias("wallet_address"), F.col("contract_id").alias("condition_id"),
-        F.upper("outcome").alias("outcome_side"), F.when(F.col("amount") >= 0, "BUY").otherwise("SELL").alias("bs"), F.col("prob_before").alias("price"), F.abs("amount").alias("size"), F.abs("amount").alias("notional_usd"), F.col("created_time").alias("ts"),
+        F.col("outcome").alias("outcome_side"), F.lit("BUY").alias("bs"), F.col("prob_before").alias("price"), F.col("amount").alias("size"), F.col("amount").alias("notional_usd"), F.col("created_time").alias("ts"),
     )
 
 
@@ -144,9 +155,11 @@ def fills_to_trades(fills: DataFrame, asset_index: DataFrame, exchange: str) ->
 
 def subgraph_fills(as_maker: DataFrame, as_taker: DataFrame, assets: DataFrame) -> DataFrame:
     """Maker and taker answers together, each fill once, only those of the market's assets."""
-    both = as_maker.unionByName(as_taker).dropDuplicates(["transaction_hash", "log_index"])
-    own = assets.select(F.col("asset_id").alias("_a"))
-    return both.join(own, (F.col("maker_asset_id") == F.col("_a")) | (F.col("taker_asset_id") == F.col("_a")), "left_semi")
+    key = ["transaction_hash", "log_index"]
+    both = as_maker.unionByName(as_taker).dropDuplicates(key)
+    own = assets.select("asset_id").distinct()
+    of = [both.join(own.withColumnRenamed("asset_id", c), c, "left_semi") for c in ("maker_asset_id", "taker_asset_id")]
+    return of[0].unionByName(of[1]).dropDuplicates(key)
 
 
 def market_payloads(raw: DataFrame) -> DataFrame:
@@ -221,6 +234,21 @@ def to_cents(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.round(_number(c) * 100).cast("int") for c in columns})
 
 
+def exchange_tables(markets: DataFrame, known_markets: DataFrame, trades: DataFrame, known_trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A regulated exchange's tables after an update, prices in cents: a market replaces what its ticker had, a trade that is
+    known stays as it was."""
+    fresh = to_cents(markets, ["yes_bid", "yes_ask", "no_bid", "no_ask", "last_price"])
+    added = insert_or_ignore(to_cents(trades, ["yes_price", "no_price"]), known_trades, ["trade_id"], ["created_at", "ticker"])
+    return upsert(fresh, known_markets, ["ticker"], ["seen_at"]), known_trades.unionByName(added, allowMissingColumns=True)
+
+
+def play_money_rows(raw: DataFrame, known: DataFrame, fields: str) -> DataFrame:
+    """Play-money markets, bets or users after an update: of each id the newest payload (raw JSON, seen_at), which is kept
+    beside the parsed ``fields``; payloads without an id are dropped."""
+    parsed = raw.select(F.from_json("raw", f"id string, {fields}").alias("r"), F.col("raw").alias("payload_json"), "seen_at").select("r.*", "payload_json", "seen_at")
+    return upsert(parsed.where("id is not null"), known, ["id"], ["seen_at", "payload_json"])
+
+
 def asset_index(trades: DataFrame) -> DataFrame:
     """One row for each asset, from its earliest trade; outcome 0 is YES."""
     first = trades.groupBy("platform", "asset_id").agg(F.min_by(F.struct("condition_id", "outcome_side"), F.struct("ts", "tx_hash", "condition_id", "outcome_side")).alias("x"))
@@ -233,6 +261,16 @@ def newer_than_seen(new: DataFrame, target: DataFrame, by: str = "condition_id",
     return new.join(marks, by, "left").where(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
 
 
+def until_known(new: DataFrame, target: DataFrame, key: Sequence[str], by: str, ts: str = "ts", stop: int = 20) -> DataFrame:
+    """New rows of a newest-first poll that ends, in each group, at ``stop`` known rows in a row."""
+    seen = target.select(*key).distinct().withColumn("_known", F.lit(1))
+    newest = Window.partitionBy(by).orderBy(F.desc(ts), *key)
+    rows = new.join(seen, list(key), "left").withColumn("_known", F.coalesce("_known", F.lit(0)))
+    rows = rows.withColumn("_run", F.sum("_known").over(newest.rowsBetween(-(stop - 1), 0)))
+    ended = F.max(F.when(F.col("_run") >= stop, 1).otherwise(0)).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_ended", ended).where("_ended = 0 and _known = 0").drop("_known", "_run", "_ended")
+
+
 def watchlist_mirror(tracked: DataFrame, alerts: DataFrame, manual: DataFrame) -> DataFrame:
     """Tracked wallets, wallets that whale alerts name and manual ones, each with its first source."""
     named = alerts.where("detector = 'whales'").select(F.get_json_object("body", "$.wallet").alias("address"))

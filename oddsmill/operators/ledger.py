@@ -10,7 +10,7 @@ from oddsmill.operators.ingest import insert_or_ignore
 SEVERITY_RANK = "case severity when 'high' then 2 when 'med' then 1 else 0 end"
 
 #: Share of the bankroll that a source may put into one entry.
-FRACTIONS = {"smart_money": 0.01, "move_attribution": 0.01, "velocity": 0.0025, "mispricing": 0.005, "monotone": 0.005, "gate_model": 0.0025}
+FRACTIONS = {"smart_money": 0.01, "move_attribution": 0.01, "velocity": 0.0025, "mispricing": 0.01, "monotone": 0.005, "gate_buy": 0.005}
 
 
 def _body(path: str, kind: str = "string") -> Column:
@@ -54,7 +54,7 @@ def monotone_signals(alerts: DataFrame, min_gap: float = 0.02) -> DataFrame:
 
 
 def gate_signals(alerts: DataFrame, min_edge: float = 0.05) -> DataFrame:
-    own = alerts.where("detector = 'gate_model'").where(_body("pred", "double") - _body("implied_prob_at_buy", "double") >= min_edge)
+    own = alerts.where("detector = 'gate_buy'").where(_body("pred", "double") - _body("implied_prob_at_buy", "double") >= min_edge)
     return _signals(own, _body("condition_id"), _body("side"))
 
 
@@ -65,14 +65,29 @@ def outcome_assets(cache: DataFrame) -> DataFrame:
     return z.select("condition_id", "active", F.upper(F.trim("z.outcomes")).alias("side"), F.col("z.asset_ids").alias("asset_id"), F.col("z.outcome_prices").alias("cached_price"))
 
 
+def as_of(points: DataFrame, known: DataFrame, key: str, value: str, day: int = 86_400) -> DataFrame:
+    """``points`` (key, at) with the ``value`` of the latest row of ``known`` (key, at, value) at that time or before; null if none.
+
+    Both lie in one series that is carried on within each day; a day starts with what the days before it left, which are
+    one row each. So no point meets all that is known of its key, and a key of long history is many tasks.
+    """
+    both = points.withColumns({"_new": F.lit(1), "_day": F.floor(F.col("at") / day)}).unionByName(known.select(key, "at", value, F.lit(0).alias("_new"), F.floor(F.col("at") / day).alias("_day")), allowMissingColumns=True)
+    inside = Window.partitionBy(key, "_day").orderBy("at", "_new").rowsBetween(Window.unboundedPreceding, 0)
+    left = known.groupBy(key, F.floor(F.col("at") / day).alias("_day")).agg(F.max_by(value, "at").alias("_left"))
+    days = points.select(key, F.floor(F.col("at") / day).alias("_day")).distinct().join(left, [key, "_day"], "full")
+    past = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_left", F.last("_left", ignorenulls=True).over(past))
+    carried = both.withColumn("_seen", F.last(F.when(F.col("_new") == 0, F.col(value)), ignorenulls=True).over(inside)).where("_new = 1").drop(value)
+    return carried.join(days, [key, "_day"]).withColumn(value, F.coalesce("_seen", "_left")).drop("_seen", "_left", "_new", "_day")
+
+
 def fill_prices(signals: DataFrame, assets: DataFrame, ticks: DataFrame) -> DataFrame:
     """Signals with the price of their asset as of created_at: the latest tick's best ask, its last trade, or the cached
     price, whichever first lies in (0, 1)."""
     s = signals.withColumn("side", F.upper(F.trim("side"))).join(assets.select("condition_id", "side", "asset_id", "cached_price"), ["condition_id", "side"])
     variant = F.coalesce("rule_variant", F.lit(""))
-    t = ticks.select("asset_id", "snapshot_at", "best_ask", "last_trade_price")
-    seen = s.select("alert_key", variant.alias("_v"), "asset_id", "created_at").join(t, "asset_id").where("snapshot_at <= created_at")
-    last = seen.groupBy("alert_key", "_v", "asset_id").agg(F.max_by(F.struct("best_ask", "last_trade_price"), "snapshot_at").alias("t"))
+    asked = s.select("alert_key", variant.alias("_v"), "asset_id", F.col("created_at").alias("at"))
+    last = as_of(asked, ticks.select("asset_id", F.col("snapshot_at").alias("at"), F.struct("best_ask", "last_trade_price").alias("t")), "asset_id", "t").drop("at")
 
     def valid(c: Column) -> Column:
         return F.when((c > 0) & (c < 1), c)
@@ -121,9 +136,12 @@ def settled(ledger: DataFrame) -> DataFrame:
 
 
 def nav_curve(ledger: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
-    """Net asset value after each day's exits: one sum a day, then a running sum over the days."""
-    days = settled(ledger).where("pnl is not null").groupBy((F.floor(F.col("exit_ts") / 86_400)).alias("day")).agg(F.sum("pnl").alias("pnl"))
-    return days.withColumn("nav", F.lit(bankroll) + F.sum("pnl").over(Window.orderBy("day")))
+    """Net asset value after each exit, in the order of time and trade_id: sums of the days, then of each day's exits."""
+    exits = settled(ledger).where("pnl is not null").select("trade_id", "exit_ts", "pnl", F.floor(F.col("exit_ts") / 86_400).alias("day"))
+    days = exits.groupBy("day").agg(F.sum("pnl").alias("of_day"))
+    days = days.select("day", (F.sum("of_day").over(Window.orderBy("day")) - F.col("of_day")).alias("before"))  # a row for each day
+    inside = Window.partitionBy("day").orderBy("exit_ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    return exits.join(days, "day").select("trade_id", "exit_ts", "pnl", (F.lit(bankroll) + F.col("before") + F.sum("pnl").over(inside)).alias("nav"))
 
 
 def summary(ledger: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
@@ -137,10 +155,12 @@ def pnl_by(ledger: DataFrame, *by: str) -> DataFrame:
 
 
 def pnl_by_prediction(ledger: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Settled profit by the alert's prediction in tenths from 0.5 to 1, 1 in the last."""
-    own = settled(ledger).join(alerts.select("alert_key", _body("pred", "double").alias("pred")), "alert_key").where("pred between 0.5 and 1")
-    bucket = F.least(F.floor(F.round(F.col("pred") * 10, 9)), F.lit(9)) / 10
-    return own.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count("pnl").alias("resolved"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("pnl"))
+    """The gate's entries by their alert's prediction, 0.5 or more, in tenths; 0.9 and over are the last bucket."""
+    own = settled(ledger.where("source = 'gate_buy'")).join(alerts.select("alert_key", _body("pred", "double").alias("pred")), "alert_key").where("pred >= 0.5")
+    label = F.when(F.col("pred") < 0.6, "0.5-0.6").when(F.col("pred") < 0.7, "0.6-0.7").when(F.col("pred") < 0.8, "0.7-0.8").when(F.col("pred") < 0.9, "0.8-0.9").otherwise("0.9-1.0")
+    return own.groupBy(label.alias("bucket")).agg(
+        F.count(F.when(F.col("pnl").isNull(), 1)).alias("open"), F.count("pnl").alias("resolved"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("pnl"), F.coalesce(F.avg((F.col("pnl") > 0).cast("double")), F.lit(0.0)).alias("win_rate"),
+    )
 
 
 def wallet_leaderboard(ledger: DataFrame, alerts: DataFrame) -> DataFrame:

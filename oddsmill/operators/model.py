@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from oddsmill.operators.features import CATEGORIES
 
 NONE = "__none__"
+#: Buckets of a market's lifetime volume and where each ends; what is over all is ``25M+``.
+VOLUME_BUCKETS = (("<250K", 250e3), ("250K-1M", 1e6), ("1M-5M", 5e6), ("5M-25M", 25e6))
 CATEGORICAL = ("side", "top_category", "market_category")
 #: Columns that name or leak: identity, outcome, and what only time tells.
 NOT_FEATURES = frozenset("platform tx_hash asset_id wallet_address condition_id built_at label_won resolved_at time_to_resolution_seconds ts split price implied_prob".split())
@@ -63,7 +65,7 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scored(examples: DataFrame) -> DataFrame:
     """Examples with a fixed score in place of a model's, for reports that SQL can check."""
-    return examples.withColumn("pred", F.round(F.least(F.lit(0.99), 0.2 + 0.6 * F.col("implied_prob_at_buy") + 0.3 * F.coalesce("win_rate", F.lit(0.0))), 4))
+    return examples.withColumn("pred", F.round(F.least(F.lit(0.99), 0.2 + 0.6 * F.col("implied_prob_at_buy") + 0.3 * F.coalesce("win_rate", F.lit(0.0))) + 3e-12, 4))
 
 
 def _edge(n_min: int) -> list[Column]:
@@ -72,20 +74,31 @@ def _edge(n_min: int) -> list[Column]:
     return [n.alias("n_taken"), F.when(n >= n_min, F.avg(F.when(taken, F.col("label_won") - F.col("implied_prob_at_buy")))).otherwise(-1.0).alias("edge")]
 
 
+def _mean_edge() -> list[Column]:
+    return [F.count("*").alias("n"), F.avg(F.col("label_won") - F.col("implied_prob_at_buy")).alias("mean_edge")]
+
+
+def _taken(df: DataFrame) -> DataFrame:
+    return df.where(F.col("pred") > F.col("implied_prob_at_buy"))
+
+
 def realized_edge(df: DataFrame, n_min: int = 20) -> DataFrame:
     """Mean of label less price where the prediction is over the price; -1 for fewer than ``n_min``."""
     return df.agg(*_edge(n_min))
 
 
 def edge_by_decile(df: DataFrame) -> DataFrame:
-    decile = F.least(F.floor(F.col("implied_prob_at_buy") * 10), F.lit(9))
-    return df.groupBy(decile.alias("decile")).agg(F.count("*").alias("n"), *_edge(1))
+    """Taken bets and their mean edge by tenths of the price, 1 in the last; tenths without a taken bet have no row."""
+    p = F.col("implied_prob_at_buy")
+    decile = sum(((p >= k / 10).cast("int") for k in range(1, 10)), F.lit(0))
+    return _taken(df).groupBy(decile.alias("decile")).agg(*_mean_edge())
 
 
 def edge_by_volume(df: DataFrame, markets: DataFrame) -> DataFrame:
+    """Taken bets and their mean edge by the lifetime volume of their market; buckets without a taken bet have no row."""
     v = F.col("total_volume_usd")
-    bucket = F.when(v < 1e2, "0-100").when(v < 1e3, "100-1k").when(v < 1e4, "1k-10k").when(v < 1e5, "10k-100k").otherwise("100k+")
-    return df.join(markets.select("condition_id", "total_volume_usd"), "condition_id").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *_edge(1))
+    bucket = F.coalesce(*[F.when(v < limit, name) for name, limit in VOLUME_BUCKETS], F.when(v.isNotNull(), "25M+"))
+    return _taken(df).join(markets.select("condition_id", "total_volume_usd"), "condition_id").groupBy(bucket.alias("bucket")).agg(*_mean_edge())
 
 
 def classification(df: DataFrame, accepted: Iterable[str]) -> DataFrame:

@@ -6,37 +6,15 @@ binary fractions off the middle between two roundings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oddsmill.functions.categories import TAXONOMY, categorize_tags, primary_category, with_settings
+from oddsmill.functions.categories import categorize_tags, primary_category, with_settings
 from oddsmill.operators import corpus, detectors, features, ingest, ledger, model, report
 from oddsmill.plans import views
-from oddsmill.plans.views import with_views
+from oddsmill.plans.registry import query
 from oddsmill.sources.tables import scratch_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + 3e-12, digits) + 0.0 for c, kind in df.dtypes if kind == "double"})
-
-
-def query(sql: str | None = None, **more: str):
-    """Registers a query; ``sql`` may use all views, and ``more`` are further ones for it alone."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_views(sql, **more)
-        return f
-
-    return register
-
-
 # -- clean tables ---------------------------------------------------------------------------------
 
 
@@ -114,25 +92,20 @@ def book_to_ticks(spark, sf_dir):
 
 # -- categories, selection, upkeep ----------------------------------------------------------------
 
-_TAGGED = """select 'm' || p_partkey as condition_id, [case p_partkey % 9 when 0 then 'NBA' when 1 then 'Esports' when 2 then 'Bitcoin' when 3 then 'AI' when 4 then 'Fed' when 5 then 'World' when 6 then 'Movies' when 7 then 'US Election' else 'Weather' end,
-  case when p_partkey % 4 = 0 then 'Sports' else 'Other' end] as tags from part"""
+_TAGGED = """select 'm' || p_partkey as condition_id, p_brand || '-' || p_size as event_slug, [case p_partkey % 9 when 0 then 'ESPORTS' when 1 then 'Bitcoin' when 2 then 'AI' when 3 then 'Fed Rates' when 4 then 'Middle East' when 5 then 'Movies' when 6 then 'US Election' when 7 then 'Crypto Prices' else 'Weather' end,
+  case p_partkey % 4 when 0 then 'Sports' when 1 then 'Bitcoin' else 'Other' end] as tags from part"""
 
 
 def _tagged(spark, sf_dir):
-    first = ["NBA", "Esports", "Bitcoin", "AI", "Fed", "World", "Movies", "US Election", "Weather"]
+    first, second = ["ESPORTS", "Bitcoin", "AI", "Fed Rates", "Middle East", "Movies", "US Election", "Crypto Prices", "Weather"], ["Sports", "Bitcoin", "Other", "Other"]
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("condition_id"), F.array(F.element_at(F.array(*map(F.lit, first)), (F.col("p_partkey") % 9 + 1).cast("int")), F.when(F.col("p_partkey") % 4 == 0, "Sports").otherwise("Other")).alias("tags"))
-
-
-def _match_sql(c) -> str:
-    def any_of(labels):
-        return f"list_has_any(low, [{', '.join(repr(x) for x in labels)}])"
-
-    return any_of(c.labels) + (f" and not {any_of(c.exclusions)}" if c.exclusions else "")
+    tags = [F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int")) for names in (first, second)]
+    return p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("condition_id"), F.concat_ws("-", F.col("p_brand"), F.col("p_size").cast("string")).alias("event_slug"), F.array(*tags).alias("tags"))
 
 
-_CATEGORIZED = f"""select condition_id, list_filter([{", ".join(f"case when {_match_sql(c)} then '{c.name}' end" for c in TAXONOMY if c.labels)}], lambda x: x is not null) as found
-  from (select condition_id, list_transform(tags, lambda x: lower(x)) as low from tagged)"""
+_CATEGORIZED = """select condition_id, event_slug, list_filter([case when list_contains(tags, 'Sports') then 'sports' end, case when list_contains(tags, 'ESPORTS') then 'esports' end, case when list_contains(tags, 'Fed Rates') then 'macro' end,
+  case when list_contains(tags, 'Bitcoin') and not list_contains(tags, 'Crypto Prices') then 'crypto' end, case when list_contains(tags, 'US Election') then 'elections' end, case when list_contains(tags, 'Middle East') then 'geopolitics' end,
+  case when list_contains(tags, 'AI') then 'tech' end, case when list_contains(tags, 'Movies') then 'culture' end], lambda x: x is not null) as found from tagged"""
 
 
 @query("select condition_id, case when len(found) > 0 then array_to_string(found, ',') else 'thesis' end as categories, coalesce(found[1], 'thesis') as category from categorized", tagged=_TAGGED, categorized=_CATEGORIZED)
@@ -141,11 +114,14 @@ def categorize(spark, sf_dir):
 
 
 @query(
-    "select condition_id, coalesce(found[1], 'thesis') as category, case when coalesce(found[1], 'thesis') in ('sports', 'esports') then 14400 else 86400 end as window_s, coalesce(found[1], 'thesis') in ('sports', 'esports') as mispricing_skip from categorized",
+    """select condition_id, category, cast(case category when 'sports' then 0.1 else 0.05 end as double) as min_edge, case category when 'sports' then 21600 when 'esports' then 86400 when 'tech' then 3600 else 172800 end as window_s, category in ('sports', 'esports') as mispricing_skip
+    from (select condition_id, coalesce(found[1], 'thesis') as category from categorized)""",
     tagged=_TAGGED, categorized=_CATEGORIZED,
 )
 def category_settings(spark, sf_dir):
-    return with_settings(_tagged(spark, sf_dir).select("condition_id", primary_category(F.col("tags")).alias("category"))).select("condition_id", "category", "window_s", "mispricing_skip")
+    """With a run's own window for one category."""
+    overrides = spark.sql("select 'tech' as category, 3600L as window_s")
+    return with_settings(_tagged(spark, sf_dir).select("condition_id", primary_category(F.col("tags")).alias("category")), overrides).select("condition_id", "category", "min_edge", "window_s", "mispricing_skip")
 
 
 @query("select condition_id, event_slug, round(total_volume_usd + 3e-12, 8) as total_volume_usd from markets where backfill_state = 'complete' and condition_id not in (select condition_id from resolutions) and total_volume_usd is not null")
@@ -215,7 +191,7 @@ _SQL_FEATURES = {
       cast(len(used) as bigint) as category_diversity, greatest(0.0, (ts - first_ts) / 86400) as wallet_age_days, ts - last_ts as seconds_since_last_trade, prior_trades_count - old as prior_trades_30d,
       case when (outcome_side = 'YES') = (outcome_yes_won = 1) then 1 else 0 end as label_won, price as implied_prob_at_buy, resolved_at
       from known_trades k join resolutions using (condition_id) where bs = 'BUY'""",
-    "scored": "select *, round(least(0.99, cast(0.2 as double) + cast(0.6 as double) * implied_prob_at_buy + cast(0.3 as double) * coalesce(win_rate, 0)), 4) as pred from examples",
+    "scored": "select *, round(least(0.99, cast(0.2 as double) + cast(0.6 as double) * implied_prob_at_buy + cast(0.3 as double) * coalesce(win_rate, 0)) + 3e-12, 4) as pred from examples",
 }
 
 
@@ -274,8 +250,8 @@ def market_state(spark, sf_dir):
 # -- detectors ------------------------------------------------------------------------------------
 
 _SKILL = """select wallet_address, count(*) as positions, cast(sum(won) as bigint) as wins, round(avg(won) + 3e-12, 8) as winrate, round(avg(won - avg_price) + 3e-12, 8) as mean_edge, round(sum(size * avg_price) + 3e-12, 8) as total_stake_usd,
-  round(sum((won - avg_price) * size) + 3e-12, 8) as excess_pnl_usd, round(sum((won - avg_price) * size * avg_price) / sum(size * avg_price) + 3e-12, 8) as weighted_edge
-  from closed_positions where avg_price > 0 and avg_price < 1 group by wallet_address"""
+  round(sum(realized_pnl) + 3e-12, 8) as excess_pnl_usd, round(sum((won - avg_price) * size * avg_price) / sum(size * avg_price) + 3e-12, 8) as weighted_edge
+  from closed_positions where avg_price > 0 and avg_price < 1 and not (realized_pnl = 0 and current_value = 0) group by wallet_address"""
 
 
 @query(_SKILL)
@@ -288,15 +264,16 @@ def smart_roster(spark, sf_dir):
     return corpus.roster(detectors.wallet_skill(views.closed_positions(spark, sf_dir)), 10, 0.05, 10.0)
 
 
-@query("""select wallet_address, condition_id, outcome_side, snapshot_at, round(size + 3e-12, 8) as size, round(delta_usd + 3e-12, 8) as delta_usd from (
+@query(f"""select wallet_address, condition_id, outcome_side, snapshot_at, round(g.size + 3e-12, 8) as size, round(delta_usd + 3e-12, 8) as delta_usd,
+  case when delta_usd / 10000 * greatest(coalesce(mean_edge, 0), 0) >= 0.5 then 'high' when delta_usd / 10000 * greatest(coalesce(mean_edge, 0), 0) >= 0.1 then 'med' else 'low' end as severity from (select * from (
   select *, (size - lag(size) over (partition by wallet_address, condition_id, outcome_side order by snapshot_at)) * price as delta_usd from (
-    select wallet_address, condition_id, outcome_side, ts as snapshot_at, max(price) as price, sum(sum(size)) over (partition by wallet_address, condition_id, outcome_side order by ts) as size from trades group by wallet_address, condition_id, outcome_side, ts)) where delta_usd >= 5""")
+    select wallet_address, condition_id, outcome_side, ts as snapshot_at, max(price) as price, 100 * sum(sum(size)) over (partition by wallet_address, condition_id, outcome_side order by ts) as size from trades group by wallet_address, condition_id, outcome_side, ts)) where delta_usd >= 500) g left join ({_SKILL}) using (wallet_address)""")
 def position_growth(spark, sf_dir):
     w = Window.partitionBy("wallet_address", "condition_id", "outcome_side").orderBy("snapshot_at")
     per = views.trades(spark, sf_dir).groupBy("wallet_address", "condition_id", "outcome_side", F.col("ts").alias("snapshot_at")).agg(F.max("price").alias("avg_price"), F.sum("size").alias("size"))
-    history = per.withColumn("size", F.sum("size").over(w))
+    history = per.withColumn("size", 100 * F.sum("size").over(w))
     skill = detectors.wallet_skill(views.closed_positions(spark, sf_dir))
-    return detectors.position_growth(history, skill, 5.0).select("wallet_address", "condition_id", "outcome_side", "snapshot_at", "size", "delta_usd")
+    return detectors.position_growth(history, skill, 500.0).select("wallet_address", "condition_id", "outcome_side", "snapshot_at", "size", "delta_usd", "severity")
 
 
 @query("select event_slug, count(yes_price) as n_priced, round(sum(yes_price) + 3e-12, 8) as price_sum, round(sum(yes_price) - 1 + 3e-12, 8) as deviation from event_markets group by event_slug having count(yes_price) >= 2")
@@ -317,11 +294,13 @@ def mispricing_target(spark, sf_dir):
     return detectors.mispricing_alerts(views.event_markets(spark, sf_dir))
 
 
-_AXES = """select *, case when label like '2025-%' then datediff('day', date '1970-01-01', cast(label as date)) when label like 'by March %' then datediff('day', date '1970-01-01', make_date(2026, 3, cast(regexp_extract(label, 'March (\\d+),', 1) as int))) end as date_axis,
-  case when label like 'Above %' then cast(regexp_extract(label, 'Above (\\d+)K', 1) as double) * 1000 end as higher_axis from event_markets"""
+_AXES = """select *, case when label like '2025-%' then datediff('day', date '1970-01-01', cast(label as date)) when label like 'March %' then datediff('day', date '1970-01-01', make_date(2026, 3, cast(regexp_extract(label, 'March (\\d+),', 1) as int)))
+    when label like 'Sept. %' then datediff('day', date '1970-01-01', make_date(2026, 9, cast(regexp_extract(label, 'Sept. (\\d+)th', 1) as int))) end as date_axis,
+  case when label like 'Above %' then cast(regexp_extract(label, 'Above (\\d+)K', 1) as double) * 1000 end as higher_axis,
+  case when label like '≤ $%' then cast(regexp_extract(label, '(\\d),500', 1) as double) * 1000 + 500 when label like 'under %' then cast(regexp_extract(label, 'under (\\d.5) k', 1) as double) * 1000 end as lower_axis from event_markets"""
 
 
-@query(f"select event_slug, condition_id, label, cast(date_axis as int) as date_axis, higher_axis, cast(null as double) as lower_axis from ({_AXES})")
+@query(f"select event_slug, condition_id, label, cast(date_axis as int) as date_axis, higher_axis, lower_axis from ({_AXES})")
 def axis_extract(spark, sf_dir):
     return views.event_markets(spark, sf_dir).withColumns(detectors.axes(F.col("label"))).select("event_slug", "condition_id", "label", "date_axis", "higher_axis", "lower_axis")
 
@@ -329,8 +308,8 @@ def axis_extract(spark, sf_dir):
 @query(f"""select event_slug, axis, condition_id as strict_id, round(yes_price + 3e-12, 8) as strict_price, loose_id, round(loose_price + 3e-12, 8) as loose_price, round(yes_price - loose_price, 6) as gap,
   case when round(yes_price - loose_price, 6) > 0.10 then 'high' when round(yes_price - loose_price, 6) > 0.05 then 'med' else 'low' end as severity from (
   select *, lead(condition_id) over w as loose_id, lead(yes_price) over w as loose_price, lead(strictness) over w as loose_at from (
-    select *, case when axis = 'date' then -date_axis when axis = 'higher' then higher_axis end as strictness from (
-      select *, case when count(date_axis) over (partition by event_slug) >= 2 then 'date' when count(higher_axis) over (partition by event_slug) >= 2 then 'higher' end as axis from ({_AXES}))) where strictness is not null
+    select *, case when axis = 'date' then -date_axis when axis = 'higher' then higher_axis when axis = 'lower' then -lower_axis end as strictness from (
+      select *, case when count(date_axis) over (partition by event_slug) >= 2 then 'date' when count(higher_axis) over (partition by event_slug) >= 2 then 'higher' when count(lower_axis) over (partition by event_slug) >= 2 then 'lower' end as axis from ({_AXES}))) where strictness is not null
   window w as (partition by event_slug order by strictness desc, position)) where loose_at < strictness and round(yes_price - loose_price, 6) >= 0.02""")
 def monotone_violations(spark, sf_dir):
     return detectors.monotone_violations(detectors.with_axis(views.event_markets(spark, sf_dir)))
@@ -344,10 +323,26 @@ def whale_alerts(spark, sf_dir):
     return out.select("tx_hash", "asset_id", "wallet_address", "condition_id", "notional_usd", "liquidity_usd", "wallet_age_days", "total_trades")
 
 
-@query("""select asset_id, snapshot_at, mid_price, start_price, n_ticks, round((mid_price - start_price) / start_price + 3e-12, 8) as change, coalesce(start_spread / spread > 5, false) as consolidated,
+_MOVES = """select asset_id, snapshot_at, mid_price, start_price, n_ticks, (mid_price - start_price) / start_price as change, coalesce(start_spread / spread > 5, false) as consolidated,
   coalesce(least(bid_depth_top5, ask_depth_top5) / greatest(bid_depth_top5, ask_depth_top5) >= 0.05 and least(bid_depth_top5, ask_depth_top5) * mid_price >= 100, false) as liquid from (
-  select *, first_value(mid_price) over w as start_price, first_value(spread) over w as start_spread, cast(count(*) over w as int) as n_ticks from ticks where mid_price is not null
-  window w as (partition by asset_id order by snapshot_at range between 43199 preceding and current row)) where n_ticks >= 2 and start_price > 0 and abs((mid_price - start_price) / start_price) >= 0.05""")
+  select *, w[1].m as start_price, w[1].s as start_spread, cast(len(w) as int) as n_ticks from (
+    select * exclude (w), list_filter(w, lambda x: x.t > snapshot_at - 43200) as w from (select *, list({'t': snapshot_at, 'm': mid_price, 's': spread}) over (partition by asset_id order by snapshot_at rows between 31 preceding and current row) as w from ticks where mid_price is not null)))
+  where n_ticks >= 2 and start_price > 0 and abs((mid_price - start_price) / start_price) >= 0.05"""
+
+
+@query(
+    """select alert_key, asset_id, condition_id, snapshot_at, round(change + 3e-12, 8) as change, case when consolidated then 'low' when abs(change) > 0.10 then 'high' else 'med' end as severity from (
+    select *, row_number() over (partition by alert_key order by snapshot_at, asset_id) as k from (
+      select *, 'velocity:' || coalesce(condition_id, asset_id) || ':' || cast(floor(snapshot_at / 60) as bigint) as alert_key from moves
+      left join (select cast(p_partkey as varchar) as asset_id, 'm' || cast(floor(p_partkey / 2) as bigint) as condition_id from part where p_partkey % 5 <> 0) using (asset_id) where liquid)) where k = 1""",
+    moves=_MOVES,
+)
+def velocity_alerts(spark, sf_dir):
+    assets = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("asset_id"), F.concat(F.lit("m"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("condition_id"))
+    return detectors.velocity_alerts(detectors.velocity(views.ticks(spark, sf_dir), 43_200), assets).select("alert_key", "asset_id", "condition_id", "snapshot_at", "change", "severity")
+
+
+@query("select * replace (round(change + 3e-12, 8) as change) from moves", moves=_MOVES)
 def velocity_moves(spark, sf_dir):
     t = detectors.velocity(views.ticks(spark, sf_dir), 43_200)
     return t.select("asset_id", "snapshot_at", "mid_price", "start_price", "n_ticks", "change", "consolidated", "liquid")
@@ -357,12 +352,12 @@ _BURST_ALERTS = "select condition_id as alert_key, condition_id, max(ts) as at_t
 
 
 @query(
-    """select alert_key, condition_id, at_ts - coalesce((min(case when quiet and before then k end) - 1) * 86400, 864000) as since, at_ts as until from (
+    """select alert_key, condition_id, at_ts - coalesce(min(case when quiet and before then k end) * 86400, 864000) as since, at_ts as until from (
     select *, lag(quiet, 1, false) over (partition by alert_key order by k) as before from (
       select a.alert_key, a.condition_id, a.at_ts, s.k, coalesce(c.n, 0) < 3.0 * (coalesce(b.n, 0) / 31536000 * 86400) as quiet
       from burst_alerts a cross join (select unnest(range(0, 10)) as k) s
       left join (select alert_key, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts between a.at_ts - 31536000 and a.at_ts group by alert_key) b using (alert_key)
-      left join (select alert_key, cast(floor((a.at_ts - t.ts) / 86400) as bigint) as k, count(*) as n from burst_alerts a join trades t using (condition_id) where t.ts > a.at_ts - 864000 and t.ts <= a.at_ts group by all) c on c.alert_key = a.alert_key and c.k = s.k))
+      left join (select alert_key, s.k, count(*) as n from burst_alerts a cross join (select unnest(range(0, 10)) as k) s join trades t using (condition_id) where t.ts >= a.at_ts - (s.k + 1) * 86400 and t.ts < a.at_ts - s.k * 86400 group by all) c on c.alert_key = a.alert_key and c.k = s.k))
     group by alert_key, condition_id, at_ts""",
     burst_alerts=_BURST_ALERTS,
 )
@@ -371,24 +366,48 @@ def burst_start(spark, sf_dir):
     return detectors.burst_windows(a, views.trades(spark, sf_dir), step=86_400, back=864_000, baseline_s=31_536_000)
 
 
-@query("""select condition_id, outcome_side, bs, bucket, n_wallets, round(median_size + 3e-12, 8) as median_size, round(cv + 3e-12, 8) as cv from (
-  select *, row_number() over (partition by condition_id order by n_wallets desc, bucket, outcome_side, bs) as k from (
-    select condition_id, outcome_side, bs, bucket, count(*) as n_wallets, median(size) as median_size, stddev_pop(size) / avg(size) as cv from (
-      select *, row_number() over (partition by condition_id, outcome_side, bs, bucket, wallet_address order by ts, tx_hash, asset_id) as r from (select *, cast(floor(ts / 31536000) as bigint) * 31536000 as bucket from trades where size > 0)) where r = 1
-    group by all having count(*) >= 4 and stddev_pop(size) / avg(size) <= 0.4)) where k <= 5""")
+@query("""select condition_id, outcome_side, bs, bucket, n_wallets, round(median_size + 3e-12, 8) as median_size, round(cv + 3e-12, 8) as cv,
+  list_aggregate(list_sort(list_transform(list_sort(near)[1:3], lambda x: x.w)), 'string_agg', ',') as wallets from (
+  select *, row_number() over (partition by condition_id order by least(n_wallets, 3) desc, bucket, outcome_side, bs) as k from (
+    select condition_id, outcome_side, bs, bucket, count(*) as n_wallets, median(size) as median_size, stddev_pop(size) / avg(size) as cv,
+      list_transform(list({'s': size, 'w': wallet_address}), lambda x: {'d': abs(x.s - median(size)), 'w': x.w}) as near from (
+      select *, row_number() over (partition by condition_id, outcome_side, bs, bucket, wallet_address order by ts, tx_hash, asset_id) as r from (select * replace (case when ts % 11 = 0 then 0 else size end as size), cast(floor(ts / 31536000) as bigint) * 31536000 as bucket from trades)) where r = 1 and size > 0
+    group by all having count(*) >= 4 and stddev_pop(size) / avg(size) <= 0.4)) where k <= 5""".replace("list_transform(list({'s': size, 'w': wallet_address}), lambda x: {'d': abs(x.s - median(size)), 'w': x.w}) as near", "list({'s': size, 'w': wallet_address}) as own").replace("list_sort(near)", "list_sort(list_transform(own, lambda x: {'d': abs(x.s - median_size), 'w': x.w}))"))
 def burst_hits(spark, sf_dir):
-    return detectors.burst_hits(views.trades(spark, sf_dir), bucket=31_536_000).select("condition_id", "outcome_side", "bs", "bucket", "n_wallets", "median_size", "cv")
+    t = views.trades(spark, sf_dir).withColumn("size", F.when(F.col("ts") % 11 == 0, 0.0).otherwise(F.col("size")))
+    hits = detectors.burst_hits(t, bucket=31_536_000, contributors=3)
+    return hits.select("condition_id", "outcome_side", "bs", "bucket", "n_wallets", "median_size", "cv", F.array_join("wallets", ",").alias("wallets"))
 
 
 @query(
     """select condition_id, tx_hash, asset_id, wallet_address, ts, n_wallets, round(total_usd + 3e-12, 8) as total_usd, case when n_wallets >= 3 then 'high' else 'med' end as severity from (
-    select a.condition_id, a.tx_hash, a.asset_id, a.wallet_address, a.ts, count(distinct b.wallet_address) as n_wallets, sum(b.notional_usd) as total_usd
+    select a.condition_id, a.tx_hash, a.asset_id, a.wallet_address, a.ts, count(distinct b.wallet_address) as n_wallets, sum(case when b.newness <= 10 then b.notional_usd else 0 end) as total_usd
     from chosen a join chosen b on a.condition_id = b.condition_id and b.ts between a.ts - 2592000 and a.ts group by all) where n_wallets >= 2""",
-    chosen="select * from trades where cast(substr(wallet_address, 2) as bigint) in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
+    chosen="""select *, row_number() over (partition by wallet_address order by ts desc, tx_hash desc, asset_id desc) as newness from trades
+      where wallet_address in (select wallet_address from closed_positions where avg_price > 0 and avg_price < 1 group by wallet_address having sum(realized_pnl) >= 0)""",
 )
 def convergence_alerts(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("wallet_address"))
-    return detectors.convergence(views.trades(spark, sf_dir), c, window_s=2_592_000)
+    """With the roster of wallets that earned; only each one's ten newest trades add to the volume."""
+    roster = corpus.roster(detectors.wallet_skill(views.closed_positions(spark, sf_dir)), 1, -1.0, 0.0)
+    return detectors.convergence(views.trades(spark, sf_dir), roster.select("wallet_address"), window_s=2_592_000, newest=10)
+
+
+@query(
+    """select condition_id, tx_hash, asset_id, wallet_address, ts, category, n_wallets, round(total_usd + 3e-12, 8) as total_usd, case when n_wallets >= 3 then 'high' else 'med' end as severity from (
+    select a.condition_id, a.tx_hash, a.asset_id, a.wallet_address, a.ts, a.category, count(distinct b.wallet_address) as n_wallets, sum(b.notional_usd) as total_usd
+    from chosen a join chosen b on a.condition_id = b.condition_id and b.ts between a.ts - case a.category when 'sports' then 21600 when 'esports' then 86400 else 172800 end and a.ts group by all) where n_wallets >= 2""",
+    tagged=_TAGGED, categorized=_CATEGORIZED,
+    skilled="""select wallet_address, c as category from (select p.*, coalesce(found[1], 'thesis') as c from closed_positions p join categorized using (condition_id)) where avg_price > 0 and avg_price < 1 group by wallet_address, c
+      having count(*) >= 2 and sum(realized_pnl) >= 0 and avg(won - avg_price) >= case c when 'sports' then 0.10 else 0.05 end""",
+    chosen="select t.*, s.category from (select * replace (ts - ts % 604800 + ts % 86400 as ts) from trades) t join categorized c using (condition_id) join skilled s on s.wallet_address = t.wallet_address and s.category = coalesce(c.found[1], 'thesis')",
+)
+def convergence_by_category(spark, sf_dir):
+    """By the windows and rosters of categories; the days of a week are laid on one another, as trades of the tables are sparse."""
+    t = views.trades(spark, sf_dir).withColumn("ts", F.col("ts") - F.col("ts") % 604_800 + F.col("ts") % 86_400)
+    tags = _tagged(spark, sf_dir)
+    positions = views.closed_positions(spark, sf_dir).join(tags.select("condition_id", primary_category(F.col("tags")).alias("category")), "condition_id")
+    skill = detectors.wallet_skill(positions, ("wallet_address", "category"))
+    return detectors.convergence_by_category(t, tags, skill, min_positions=2)
 
 
 @query("""select wallet_address, first_activity_at, wave, members from (select *, count(*) over (partition by g) as members, min(first_activity_at) over (partition by g) as wave from (
@@ -411,15 +430,38 @@ def cotrade_edges(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
-@query(None)
+_COMPONENTS = {
+    "held": _HELD,
+    "edges": _EDGES,
+    "linked": "select a, b from edges union all select b, a from edges",
+    "reached": "select distinct a as node, a as other from linked union select r.node, l.b from reached r join linked l on l.a = r.other",
+    "parts": "select node as wallet_address, min(other) as component from reached group by node",
+}
+
+
+@query("select * from parts", **_COMPONENTS)
 def wallet_components(spark, sf_dir):
     return detectors.components(_edges(spark, sf_dir), scratch_table)
 
 
-@query(None)
+@query(
+    """select component, member_count, dated, first_created, last_created, shared_markets, round(size_cv + 3e-12, 8) as size_cv, round(buy_ratio + 3e-12, 8) as buy_ratio, burst_wallets, 'cluster-' || substr(sha256(who), 1, 16) as cluster_id, score,
+    case when buy_ratio is null then null when buy_ratio between 0.5 and 0.8 then 'farmer' when buy_ratio > 0.9 then 'trader' else 'mixed' end as behavior_tag, case when score >= 7 then 'high' when score >= 5 then 'med' end as severity from (
+    select *, case when dated >= 3 and last_created - first_created <= 86400 then 2 else 0 end + case when shared_markets >= 3 then 2 else 0 end + case when size_cv < 0.3 then 1 else 0 end + case when burst_wallets >= 3 then 2 else 0 end as score from (
+      select component, count(*) as member_count, count(first_activity_at) as dated, min(first_activity_at) as first_created, max(first_activity_at) as last_created, string_agg(lower(wallet_address), '|' order by lower(wallet_address)) as who
+      from members left join first_seen using (wallet_address) group by component)
+    left join (select component, count(*) as shared_markets, min(cv) as size_cv, sum(buys) / sum(n) as buy_ratio from (
+      select component, condition_id, case when count(*) filter (size > 0) >= 2 then stddev_pop(size) filter (size > 0) / avg(size) filter (size > 0) end as cv, count(*) as n, count(*) filter (bs = 'BUY') as buys from in_shared group by all) group by component) using (component)
+    left join (select component, max(w) as burst_wallets from (select component, condition_id, asset_id, bs, cast(floor(ts / 2592000) as bigint) as b, count(distinct wallet_address) as w from in_shared group by all) group by component) using (component))""",
+    **_COMPONENTS,
+    members="select wallet_address, component from (select *, count(*) over (partition by component) as n, row_number() over (partition by component order by wallet_address) as k from parts) where n >= 3 and k <= 100",
+    own="select m.component, t.* from trades t join members m using (wallet_address) semi join (select * from market_cache where liquidity_usd <= 19000 and volume_usd <= 1000000) c using (condition_id)",
+    in_shared="select o.* from own o join (select component, condition_id from own group by all having count(distinct wallet_address) >= 3) using (component, condition_id)",
+)
 def cluster_scores(spark, sf_dir):
     groups = detectors.cluster_groups(detectors.components(_edges(spark, sf_dir), scratch_table))
-    return detectors.cluster_scores(groups, views.trades(spark, sf_dir), views.first_seen(spark, sf_dir))
+    obscure = detectors.obscure_markets(views.market_cache(spark, sf_dir), 19_000)
+    return detectors.cluster_scores(groups, views.trades(spark, sf_dir), views.first_seen(spark, sf_dir), obscure, bucket=2_592_000)
 
 
 @query("""select component, condition_id, tx_hash, asset_id, wallet_address, ts, n_active, case when n_active * 2 >= member_count then 'high' else 'med' end as severity from (
@@ -471,8 +513,8 @@ _GATED = {
       coalesce((select case when best_ask > 0 and best_ask < 1 then best_ask when last_trade_price > 0 and last_trade_price < 1 then last_trade_price end from asset_ticks t where t.asset_id = a.asset_id and t.snapshot_at <= g.ts order by t.snapshot_at desc limit 1),
         case when cached_price > 0 and cached_price < 1 then cached_price end) as price
       from gated g join assets a on a.condition_id = g.condition_id and a.side = g.outcome_side""",
-    "entries": "select *, cast(25 as double) as cost_usd, cast(25 as double) / price as shares from priced where price > 0 and price < 1",
-    "booked": "select e.*, case when r.condition_id is not null then case when (side = 'YES') = (outcome_yes_won = 1) then shares else 0 end end as proceeds from entries e left join resolutions r using (condition_id)",
+    "entries": "select *, cast(50 as double) as cost_usd, cast(50 as double) / price as shares from priced where price > 0 and price < 1",
+    "booked": "select e.*, case when r.condition_id is not null and cast(substr(condition_id, 2) as bigint) % 3 <> 0 then case when (side = 'YES') = (outcome_yes_won = 1) then shares else 0 end end as proceeds from entries e left join resolutions r using (condition_id)",
     "settled": "select *, proceeds - cost_usd as pnl from booked",
 }
 
@@ -480,7 +522,7 @@ _GATED = {
 def _gate_alerts(spark, sf_dir):
     g = detectors.gate_alerts(model.scored(_examples(spark, sf_dir)), ["sports", "crypto", "tech"])
     g = g.select("tx_hash", "asset_id", "wallet_address", "condition_id", "side", "pred", "implied_prob_at_buy", "ts")
-    return detectors.alerts(g, "gate_model", F.concat_ws("|", "tx_hash", "asset_id", "wallet_address"), F.lit("med"), F.lit("model edge"), F.col("ts"))
+    return detectors.alerts(g, "gate_buy", F.concat_ws("|", "tx_hash", "asset_id", "wallet_address"), F.lit("med"), F.lit("model edge"), F.col("ts"))
 
 
 def _priced(spark, sf_dir):
@@ -491,7 +533,7 @@ def _priced(spark, sf_dir):
 def _ledger(spark, sf_dir):
     sized = ledger.size_entries(_priced(spark, sf_dir)).select(F.concat(F.lit("entry-"), "alert_key").alias("trade_id"), F.lit("entry").alias("trade_kind"), F.lit(None).cast("string").alias("parent_trade_id"), "alert_key", "source", "rule_variant", "condition_id", "asset_id", "shares", "price", "cost_usd", F.col("created_at").alias("ts"))
     won = views.resolutions(spark, sf_dir).select("condition_id", F.col("outcome_yes_won").cast("double").alias("w"))
-    cache = views.market_cache(spark, sf_dir).join(won, "condition_id").withColumns({"outcome_prices": F.array("w", 1 - F.col("w")), "active": F.lit(False)})
+    cache = views.market_cache(spark, sf_dir).join(won, "condition_id").withColumns({"outcome_prices": F.array("w", 1 - F.col("w")), "active": F.substring("condition_id", 2, 20).cast("long") % 3 == 0})
     entries = scratch_table(sized, "entries")
     return entries.unionByName(ledger.book_exits(entries, cache, 1_700_000_000))
 
@@ -516,12 +558,13 @@ def open_positions(spark, sf_dir):
     return ledger.open_positions(_ledger(spark, sf_dir)).select("alert_key", "condition_id", "asset_id", "cost_usd")
 
 
-@query("select 'gate_model' as source, cast(null as varchar) as rule_variant, count(*) filter (pnl is null) as open, count(pnl) as resolved, round(sum(pnl) + 3e-12, 8) as pnl, round(avg(case when pnl > 0 then 1.0 when pnl <= 0 then 0.0 end) + 3e-12, 8) as win_rate from settled", **_GATED)
+@query("select 'gate_buy' as source, cast(null as varchar) as rule_variant, count(*) filter (pnl is null) as open, count(pnl) as resolved, round(sum(pnl) + 3e-12, 8) as pnl, round(avg(case when pnl > 0 then 1.0 when pnl <= 0 then 0.0 end) + 3e-12, 8) as win_rate from settled", **_GATED)
 def pnl_by_source(spark, sf_dir):
     return ledger.pnl_by(_ledger(spark, sf_dir), "source", "rule_variant")
 
 
-@query("select round(least(floor(round(pred * 10, 9)), 9) / 10 + 3e-12, 8) as bucket, count(*) as n, count(pnl) as resolved, round(coalesce(sum(pnl), 0) + 3e-12, 8) as pnl from settled where pred between 0.5 and 1 group by 1", **_GATED)
+@query("""select case when pred < 0.6 then '0.5-0.6' when pred < 0.7 then '0.6-0.7' when pred < 0.8 then '0.7-0.8' when pred < 0.9 then '0.8-0.9' else '0.9-1.0' end as bucket, count(*) filter (pnl is null) as open, count(pnl) as resolved,
+  round(coalesce(sum(pnl), 0) + 3e-12, 8) as pnl, round(coalesce(avg(case when pnl > 0 then 1.0 when pnl <= 0 then 0.0 end), 0) + 3e-12, 8) as win_rate from settled where pred >= 0.5 group by 1""", **_GATED)
 def pnl_by_pred_bucket(spark, sf_dir):
     return ledger.pnl_by_prediction(_ledger(spark, sf_dir), _gate_alerts(spark, sf_dir))
 
@@ -559,15 +602,21 @@ def realized_edge(spark, sf_dir):
     return model.realized_edge(model.scored(_examples(spark, sf_dir)))
 
 
-@query(f"select cast(least(floor(implied_prob_at_buy * 10), 9) as bigint) as decile, count(*) as n, {_EDGE_SQL} from scored group by 1", **_SQL_FEATURES)
+_MEAN_EDGE = "count(*) as n, round(avg(label_won - implied_prob_at_buy) + 3e-12, 8) as mean_edge from scored"
+
+
+@query(f"""select case when implied_prob_at_buy < 0.1 then 0 when implied_prob_at_buy < 0.2 then 1 when implied_prob_at_buy < 0.3 then 2 when implied_prob_at_buy < 0.4 then 3 when implied_prob_at_buy < 0.5 then 4 when implied_prob_at_buy < 0.6 then 5
+  when implied_prob_at_buy < 0.7 then 6 when implied_prob_at_buy < 0.8 then 7 when implied_prob_at_buy < 0.9 then 8 else 9 end as decile, {_MEAN_EDGE} where pred > implied_prob_at_buy group by 1""", **_SQL_FEATURES)
 def edge_by_decile(spark, sf_dir):
     return model.edge_by_decile(model.scored(_examples(spark, sf_dir)))
 
 
-@query(f"""select case when total_volume_usd < 100 then '0-100' when total_volume_usd < 1000 then '100-1k' when total_volume_usd < 10000 then '1k-10k' when total_volume_usd < 100000 then '10k-100k' else '100k+' end as bucket, count(*) as n, {_EDGE_SQL}
-  from scored join per_market using (condition_id) group by 1""", **_SQL_FEATURES)
+@query(f"""select case when v < 250000 then '<250K' when v < 1000000 then '250K-1M' when v < 5000000 then '1M-5M' when v < 25000000 then '5M-25M' else '25M+' end as bucket, {_MEAN_EDGE}
+  join (select condition_id, total_volume_usd * total_volume_usd * 10 as v from per_market) using (condition_id) where pred > implied_prob_at_buy group by 1""", **_SQL_FEATURES)
 def edge_by_volume(spark, sf_dir):
-    return model.edge_by_volume(model.scored(_examples(spark, sf_dir)), views.markets(spark, sf_dir))
+    """Volumes of the tables are small; their squares spread over the buckets."""
+    m = views.markets(spark, sf_dir).withColumn("total_volume_usd", F.col("total_volume_usd") * F.col("total_volume_usd") * 10)
+    return model.edge_by_volume(model.scored(_examples(spark, sf_dir)), m)
 
 
 @query(f"select coalesce(top_category, '__none__') as category, count(*) as n, {_EDGE_SQL} from scored group by 1", **_SQL_FEATURES)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsmill.operators.ingest import first_write_wins
+from oddsmill.sources.tables import built_once
 
 TRADE_KEY = ("platform", "tx_hash", "asset_id", "wallet_address")
 
@@ -23,6 +24,11 @@ def _epoch(column: str):
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades, built once a session: most queries read them several times."""
+    return built_once(spark, f"trades {sf_dir}", lambda: _trades(spark, sf_dir))
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     side = F.when(F.col("l_returnflag") == "A", "NO").otherwise("YES")
     price = F.lit(0.05) + 9 * F.col("l_discount")
@@ -69,8 +75,9 @@ def event_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = Window.partitionBy("p_brand", "p_size")
     part = _table(spark, sf_dir, "part").withColumn("total", F.sum("p_retailprice").over(event)).withColumn("n", F.count("*").over(event)).where("n > 1")
     label = F.expr(
-        "case p_partkey % 4 when 0 then concat('Above ', p_partkey % 50 * 10, 'K') when 1 then concat('2025-', lpad(cast(p_partkey % 12 + 1 as string), 2, '0'), '-15') "
-        "when 2 then concat('by March ', p_partkey % 28 + 1, ', 2026') else p_name end"
+        "case when p_partkey % 4 = 0 then concat('Above ', p_partkey % 50 * 10, 'K') when p_partkey % 4 = 1 then concat('2025-', lpad(cast(p_partkey % 12 + 1 as string), 2, '0'), '-15') "
+        "when p_partkey % 8 = 2 then concat('March ', p_partkey % 28 + 1, ', 2026') when p_partkey % 8 = 6 then concat('Sept. ', p_partkey % 28 + 1, 'th, 2026 at noon') "
+        "when p_partkey % 16 = 3 then concat('≤ $', p_partkey % 9 + 1, ',500') when p_partkey % 16 = 11 then concat('under ', p_partkey % 9 + 1, '.5 k per day') when p_partkey % 16 = 7 then concat('by March ', p_partkey % 28 + 1, ', 2026') else p_name end"
     )
     return part.select(
         F.concat_ws("-", F.col("p_brand"), F.col("p_size").cast("string")).alias("event_slug"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("condition_id"),
@@ -108,7 +115,7 @@ def closed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = ((F.col("outcome_side") == "YES") == (F.col("outcome_yes_won") == 1)).cast("int")
     bought = trades(spark, sf_dir).where("bs = 'BUY'").join(resolutions(spark, sf_dir).select("condition_id", "outcome_yes_won"), "condition_id")
     own = bought.withColumn("won", won).groupBy("wallet_address", "condition_id", "outcome_side", "won").agg(F.sum("size").alias("size"), F.sum("notional_usd").alias("notional"))
-    return own.select("wallet_address", "condition_id", "outcome_side", "won", "size", (F.col("notional") / F.col("size")).alias("avg_price"), (F.when(F.col("won") == 1, F.col("size")).otherwise(0.0) - F.col("notional")).alias("realized_pnl"))
+    return own.select("wallet_address", "condition_id", "outcome_side", "won", "size", (F.col("notional") / F.col("size")).alias("avg_price"), (F.when(F.col("won") == 1, F.col("size")).otherwise(0.0) - F.col("notional")).alias("realized_pnl"), F.when(F.col("won") == 1, F.col("size")).otherwise(0.0).alias("current_value"))
 
 
 SQL = {
@@ -128,8 +135,9 @@ SQL = {
       from per_market where cast(substr(condition_id, 2) as bigint) % 10 <> 0""",
     "event_markets": """select p_brand || '-' || p_size as event_slug, 'm' || p_partkey as condition_id, p_partkey as position,
       p_retailprice / total * (1 + (p_partkey % 7 - 3) * cast(0.03 as double)) as yes_price,
-      case p_partkey % 4 when 0 then 'Above ' || (p_partkey % 50 * 10) || 'K' when 1 then '2025-' || lpad(cast(p_partkey % 12 + 1 as varchar), 2, '0') || '-15'
-        when 2 then 'by March ' || (p_partkey % 28 + 1) || ', 2026' else p_name end as label, p_retailprice * 20 as liquidity_usd
+      case when p_partkey % 4 = 0 then 'Above ' || (p_partkey % 50 * 10) || 'K' when p_partkey % 4 = 1 then '2025-' || lpad(cast(p_partkey % 12 + 1 as varchar), 2, '0') || '-15'
+        when p_partkey % 8 = 2 then 'March ' || (p_partkey % 28 + 1) || ', 2026' when p_partkey % 8 = 6 then 'Sept. ' || (p_partkey % 28 + 1) || 'th, 2026 at noon'
+        when p_partkey % 16 = 3 then '≤ $' || (p_partkey % 9 + 1) || ',500' when p_partkey % 16 = 11 then 'under ' || (p_partkey % 9 + 1) || '.5 k per day' when p_partkey % 16 = 7 then 'by March ' || (p_partkey % 28 + 1) || ', 2026' else p_name end as label, p_retailprice * 20 as liquidity_usd
       from (select *, sum(p_retailprice) over (partition by p_brand, p_size) as total, count(*) over (partition by p_brand, p_size) as n from part) where n > 1""",
     "market_cache": """select 'm' || p_partkey as condition_id, p_brand || '-' || p_size as event_slug, p_retailprice * 20 as liquidity_usd, p_retailprice * 500 as volume_usd,
       [p_partkey || ':YES', p_partkey || ':NO'] as asset_ids, p_partkey % 19 * cast(0.05 as double) + cast(0.05 as double) as yes_price, p_partkey % 3 <> 0 as active from part""",
@@ -137,7 +145,7 @@ SQL = {
       select cast(user_id as varchar) as asset_id, cast(floor(epoch(ts)) as bigint) as snapshot_at, value as mid_price, cast(1 + event_id % 7 as double) as spread,
         cast(10 + event_id % 50 as double) as bid_depth_top5, cast(10 + event_id % 37 as double) as ask_depth_top5, event_id from events)) where k = 1""",
     "first_seen": "select wallet_address, min(ts) as first_activity_at, count(*) as total_trades from trades group by wallet_address",
-    "closed_positions": """select wallet_address, condition_id, outcome_side, won, size, notional / size as avg_price, case when won = 1 then size else 0 end - notional as realized_pnl from (
+    "closed_positions": """select wallet_address, condition_id, outcome_side, won, size, notional / size as avg_price, case when won = 1 then size else 0 end - notional as realized_pnl, case when won = 1 then size else 0 end as current_value from (
       select wallet_address, condition_id, outcome_side, case when (outcome_side = 'YES') = (outcome_yes_won = 1) then 1 else 0 end as won, sum(size) as size, sum(notional_usd) as notional
       from trades join resolutions using (condition_id) where bs = 'BUY' group by all)""",
 }
@@ -145,4 +153,4 @@ SQL = {
 
 def with_views(query: str, **more: str) -> str:
     """``query`` after all views and the given further ones."""
-    return "with " + ",\n".join(f"{k} as ({v})" for k, v in {**SQL, **more}.items()) + "\n" + query
+    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in {**SQL, **more}.items()) + "\n" + query

@@ -28,6 +28,17 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BUILT: dict[tuple[str, str], DataFrame] = {}
+
+
+def built_once(spark: SparkSession, name: str, build) -> DataFrame:
+    """The scratch table of ``build()``, written at its first use in a session and then read by every query that names it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _BUILT:
+        _BUILT[key] = scratch_table(build(), "built")
+    return _BUILT[key]
+
+
 def scan(spark: SparkSession, path: str, schema, platform: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """A Parquet table with an explicit schema, one platform's rows and the columns asked for."""
     df = spark.read.schema(schema).parquet(path)
