@@ -214,7 +214,8 @@ def burst_windows(alerts_: DataFrame, trades: DataFrame, step: int = 300, factor
     t = trades.select("condition_id", "ts", F.floor(F.col("ts") / baseline_s).alias("bucket"))
     key = ["alert_key", "condition_id", "at"]
     seen = asked.join(t, ["condition_id", "bucket"]).where(F.col("ts").between(F.col("at") - baseline_s, F.col("at")))
-    counts = seen.groupBy(*key, F.floor((F.col("at") - 1 - F.col("ts")) / step).alias("k")).agg(F.count("*").alias("c"))
+    window = F.when(F.col("ts") >= F.col("at") - back, F.floor((F.col("at") - 1 - F.col("ts")) / step)).otherwise(n)
+    counts = seen.groupBy(*key, window.alias("k")).agg(F.count("*").alias("c"))
     near = F.map_from_entries(F.collect_list(F.when(F.col("k").between(0, n - 1), F.struct("k", "c"))))  # a window each
     per = counts.groupBy(*key).agg(F.sum("c").alias("all"), near.alias("near"))
     least = F.col("all") / max(baseline_s / 60, 1) * factor * (step / 60)

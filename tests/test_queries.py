@@ -1,70 +1,75 @@
 """Registered queries against their SQL, and operators on small golden inputs."""
 
+import datetime
+import hashlib
 import json
 import math
+import random
 
 import pytest
 
-from oddsmill.operators import corpus, detectors, features, ingest, ledger, report
+from oddsmill.operators import corpus, detectors, features, ingest, ledger, model, report
 from oddsmill.functions.categories import categorize_tags, primary_category
-from oddsmill.plans.queries import ORACLE_SQL, QUERIES
+from oddsmill.plans.catalogue import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-FAST = ["asset_index", "pit_market_features", "training_examples", "categorize", "ts_interpolate", "wallet_skill", "mispricing_target", "axis_extract", "monotone_violations", "velocity_moves", "burst_hits", "creation_waves", "temporal_split", "latest_tick", "dataset_diff"]
 
 
 def same(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 8) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("customer", "part", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(same(r[c]) for c in cols) for r in df.collect()), key=repr)
     want = con.sql(ORACLE_SQL[name])
     at = [want.columns.index(c) for c in cols]
-    assert got == sorted((tuple(same(x[i]) for i in at) for x in want.fetchall()), key=repr)
+    assert got == sorted((tuple(same(x[i]) for i in at) for x in want.fetchall()), key=repr) and got
 
 
-MARKETS = [("MKT_A", "sports", '["sports","thesis"]', 2000000), ("MKT_B", "esports", '["esports"]', 2000500), ("MKT_C", "geopolitics", "[]", 2001000), ("MKT_D", "sports", "[]", 0)]
+MARKETS = [("rain", "culture", '["culture","thesis"]', 900_000), ("vote", "elections", "[]", 800_000), ("coin", "crypto", "[]", 0)]
 TRADES = [
-    ("tx_a", "asset_a_yes", "0xw1", "MKT_A", "YES", "BUY", 0.40, 100.0, 40.0, 1000000), ("tx_b", "asset_b_yes", "0xw1", "MKT_B", "YES", "BUY", 0.30, 100.0, 30.0, 1000000),
-    ("tx_c", "asset_a_no", "0xw2", "MKT_A", "NO", "BUY", 0.55, 50.0, 27.5, 1000500), ("tx_d", "asset_a_yes", "0xw1", "MKT_A", "YES", "SELL", 0.45, 30.0, 13.5, 1001000),
-    ("tx_e", "asset_c_yes", "0xw3", "MKT_C", "YES", "BUY", 0.20, 200.0, 40.0, 1500000), ("tx_f", "asset_c_no", "0xw1", "MKT_C", "NO", "BUY", 0.85, 50.0, 42.5, 1900000),
-    ("tx_g", "asset_b_no", "0xw2", "MKT_B", "NO", "BUY", 0.65, 80.0, 52.0, 2000000), ("tx_h", "asset_d_yes", "0xw1", "MKT_D", "YES", "BUY", 0.50, 40.0, 20.0, 2100000),
+    ("t1", "rain:Y", "ann", "rain", "YES", "BUY", 0.25, 40.0, 10.0, 100_000), ("t2", "rain:N", "bob", "rain", "NO", "BUY", 0.70, 20.0, 14.0, 100_600), ("t3", "vote:N", "ann", "vote", "NO", "BUY", 0.60, 50.0, 30.0, 200_000),
+    ("t4", "rain:Y", "ann", "rain", "YES", "SELL", 0.50, 10.0, 5.0, 300_000), ("t5", "vote:Y", "bob", "vote", "YES", "BUY", 0.45, 100.0, 45.0, 400_000), ("t6", "vote:N", "ann", "vote", "NO", "BUY", 0.55, 60.0, 33.0, 700_000),
+    ("t7", "coin:Y", "ann", "coin", "YES", "BUY", 0.10, 10.0, 1.0, 710_000),
 ]
 TRADE_SCHEMA = "platform string, tx_hash string, asset_id string, wallet_address string, condition_id string, outcome_side string, bs string, price double, size double, notional_usd double, ts long"
 
 
-def golden(spark):
+def small_corpus(spark):
+    """Seven trades of two wallets; ``rain`` resolves between ann's trades, ``coin`` never does."""
     t = spark.createDataFrame([("polymarket", *x) for x in TRADES], TRADE_SCHEMA)
     m = spark.createDataFrame([("polymarket", *x) for x in MARKETS], "platform string, condition_id string, category string, categories_json string, closed_at long")
-    r = spark.createDataFrame([("polymarket", "MKT_A", 1, 2000000), ("polymarket", "MKT_B", 0, 2000500), ("polymarket", "MKT_C", 1, 2001000)], "platform string, condition_id string, outcome_yes_won int, resolved_at long")
+    r = spark.createDataFrame([("polymarket", "rain", 1, 650_000), ("polymarket", "vote", 0, 800_000)], "platform string, condition_id string, outcome_yes_won int, resolved_at long")
     return t, m, r
 
 
-def test_golden_features(spark):
-    rows = {x.tx_hash: x for x in features.build_features(*golden(spark)).collect()}
-    assert sorted(rows) == ["tx_a", "tx_b", "tx_c", "tx_e", "tx_f", "tx_g"]
-    f, g, b, a = rows["tx_f"], rows["tx_g"], rows["tx_b"], rows["tx_a"]
-    assert (f.prior_trades_count, f.prior_buys_count, f.top_category, f.category_diversity, f.seconds_since_last_trade, f.prior_trades_30d) == (3, 2, "sports", 2, 899000, 3)
-    assert f.avg_implied_prob_paid == pytest.approx(0.35) and f.bet_size_rel_to_avg == pytest.approx(1.2142857) and f.label_won == 0
-    assert g.prior_resolved_buys == 0 and g.label_won == 1 and (g.market_volume_so_far_usd, g.market_unique_traders_so_far, g.last_trade_price) == (30.0, 1, 0.30)
-    assert b.seconds_since_last_trade == 0 and b.bet_size_rel_to_avg == 0.75 and a.market_age_seconds == 1000000 and a.top_category is None
-    assert all(x.price_volatility_recent is None for x in rows.values())
+def test_features_of_a_small_corpus(spark):
+    rows = {x.tx_hash: x for x in features.build_features(*small_corpus(spark)).collect()}
+    assert sorted(rows) == ["t1", "t2", "t3", "t5", "t6"]  # buys of resolved markets
+    t1, t2, t6 = rows["t1"], rows["t2"], rows["t6"]
+    assert (t6.prior_trades_count, t6.prior_buys_count, t6.prior_resolved_buys, t6.prior_wins, t6.prior_losses, t6.prior_realized_pnl_usd) == (3, 2, 1, 1, 0, 30.0)
+    assert (t6.win_rate, t6.top_category, t6.category_diversity, t6.seconds_since_last_trade, t6.prior_trades_30d) == (1.0, "culture", 2, 400_000, 3)
+    assert [t6.avg_implied_prob_paid, t6.realized_edge_pp, t6.avg_bet_size_usd, t6.bet_size_rel_to_avg, t6.edge_confidence_weighted] == pytest.approx([0.425, 0.575, 20.0, 1.65, 0.575 / 20])
+    assert (t6.market_volume_so_far_usd, t6.market_unique_traders_so_far, t6.last_trade_price, t6.market_age_seconds, t6.time_to_resolution_seconds) == (75.0, 2, 0.45, 500_000, 100_000)
+    assert t6.price_volatility_recent == pytest.approx(0.075) and t6.wallet_age_days == pytest.approx(600_000 / 86_400) and (t6.label_won, t6.cat_elections, t6.cat_culture) == (1, 1, 0)
+    assert (t2.win_rate, t2.top_category, t2.market_volume_so_far_usd, t2.last_trade_price, t2.market_age_seconds, t2.label_won) == (None, None, 10.0, 0.25, 600, 0)
+    assert (t1.market_age_seconds, t1.last_trade_price, t1.cat_culture, t1.cat_thesis, t1.cat_elections, t1.is_high_quality_wallet) == (100_000, None, 1, 1, 0, 0)
+    assert all(x.price_volatility_recent is None for k, x in rows.items() if k != "t6") and rows["t3"].prior_resolved_buys == 0
 
 
 def test_anonymous_wallets_have_no_history(spark):
-    t, m, r = golden(spark)
+    t, m, r = small_corpus(spark)
     rows = features.build_features(t.withColumn("wallet_address", F.lit("")), m, r).collect()
-    assert len(rows) == 6 and all(x.prior_trades_count == 0 and x.win_rate is None for x in rows)
+    assert len(rows) == 5 and all(x.prior_trades_count == 0 and x.win_rate is None for x in rows)
 
 
 def test_sinks(spark):
@@ -104,24 +109,176 @@ def test_payloads(spark):
 
 
 def test_categories(spark):
-    df = spark.createDataFrame([(["NBA", "Esports"],), (["AI", "bitcoin"],), ([],), (None,)], "tags array<string>")
+    df = spark.createDataFrame([(["Esports", "SPORTS"],), (["Big Tech", "bitcoin"],), (["Bitcoin", "Crypto Prices"],), (["Elections", "fomc"],), (["Elections", "Geopolitics"],), (["NBA"],), ([],), (None,)], "tags array<string>")
     got = [tuple(x) for x in df.select(categorize_tags(F.col("tags")), primary_category(F.col("tags"))).collect()]
-    assert got == [(["esports"], "esports"), (["crypto", "tech"], "crypto"), (["thesis"], "thesis"), (["thesis"], "thesis")]
+    assert got == [(["sports", "esports"], "sports"), (["crypto", "tech"], "crypto"), (["thesis"], "thesis"), (["macro", "elections"], "macro"), (["elections", "geopolitics"], "elections"), (["thesis"], "thesis"), (["thesis"], "thesis"), (["thesis"], "thesis")]
+
+
+def test_axes_of_labels(spark):
+    day = lambda y, m, d: (datetime.date(y, m, d) - datetime.date(1970, 1, 1)).days
+    want = {
+        "2031-02-07 or so": (day(2031, 2, 7), None, None), "2031-02-30": (None, None, None), " Feb. 9th, 2031": (day(2031, 2, 9), None, None), "sept 4": (day(2030, 9, 4), None, None), "by March 5, 2031": (None, None, None), "Maybe 5, 2031": (None, None, None),
+        "March 5 2031": (day(2030, 3, 5), None, None), "≥ 12": (None, 12.0, None), "At  least $1,250": (None, 1250.0, None), "over 2.5m units": (None, 2.5e6, None), "<= 3T": (None, None, 3e12), "Less than 2 seconds": (None, None, 2.0), "reach 70K": (None, None, None),
+        "$1T-$1.25T": (None, None, None), "above 1.2.3": (None, None, None), "70K": (None, None, None), "": (None, None, None), None: (None, None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in want], "label string").withColumns(detectors.axes(F.col("label"), F.lit(2030)))
+    assert {x.label: (x.date_axis, x.higher_axis, x.lower_axis) for x in df.collect()} == want
+    assert df.where("label like 'sept%'").withColumns(detectors.axes(F.col("label"))).first().date_axis is None
+    buckets = spark.createDataFrame([("2031-01-01",), ("Jun 3, 2031",), ("$5M to $6M",), ("At least $5",), ("≤ 3",), ("Someone",), ("June",), (None,)], "label string")
+    assert [x[0] for x in buckets.select(detectors.is_bucket(F.col("label"))).collect()] == [True] * 5 + [False] * 3
+
+
+def test_eligible_events(spark):
+    rows = [("named", "A"), ("named", "B"), ("dates", "2031-01-01"), ("dates", "2031-02-01"), ("mixed", "2031-01-01"), ("mixed", "A"), ("one", "A"), ("game", "A"), ("game", "B")]
+    m = spark.createDataFrame([(e, x, True, 5.0) for e, x in rows], "event_slug string, label string, order_book boolean, liquidity_usd double")
+    tags = spark.createDataFrame([("game", ["Sports"]), ("named", ["AI"])], "event_slug string, tags array<string>")
+    assert {x.event_slug for x in detectors.mispricing_eligible(m, 0.0, tags).collect()} == {"named", "mixed"}
+
+
+def test_skill_and_growth(spark):
+    p = spark.createDataFrame([("a", 0.5, 10.0, 1, 5.0, 10.0), ("a", 0.2, 10.0, 0, -2.0, 0.0), ("a", 0.4, 10.0, 0, 0.0, 0.0), ("a", 1.0, 10.0, 1, 9.0, 9.0), ("a", 0.4, 10.0, 0, None, 3.0)], "wallet_address string, avg_price double, size double, won int, realized_pnl double, current_value double")
+    x = detectors.wallet_skill(p).first()
+    assert (x.positions, x.wins, x.excess_pnl_usd, x.total_stake_usd) == (3, 1, 3.0, 11.0)
+    assert x.mean_edge == pytest.approx((0.5 - 0.2 - 0.4) / 3) and x.weighted_edge == pytest.approx((2.5 - 0.4 - 1.6) / 11)
+    h = spark.createDataFrame([(w, "m", "YES", k, s, 0.5) for w in "abc" for k, s in ((1, 0.0), (2, 20_000.0), (3, 120_000.0))], "wallet_address string, condition_id string, outcome_side string, snapshot_at long, size double, avg_price double")
+    e = spark.createDataFrame([("a", 0.1), ("b", -0.3)], "wallet_address string, mean_edge double")
+    got = {(x.wallet_address, x.snapshot_at): x.severity for x in detectors.position_growth(h, e).collect()}
+    assert got == {("a", 2): "med", ("a", 3): "high", ("b", 2): "low", ("b", 3): "low", ("c", 2): "low", ("c", 3): "low"}
+
+
+def test_velocity_alerts_of_both_outcomes_are_one(spark):
+    moves = spark.createDataFrame([("y", 120, 0.10, False, True), ("n", 130, -0.3, False, True), ("y", 190, 0.1001, False, True), ("z", 130, 0.4, True, True), ("q", 130, 0.4, False, False)], "asset_id string, snapshot_at long, change double, consolidated boolean, liquid boolean")
+    assets = spark.createDataFrame([("y", "m"), ("n", "m")], "asset_id string, condition_id string")
+    got = {x.alert_key: (x.asset_id, x.severity) for x in detectors.velocity_alerts(moves, assets).collect()}
+    assert got == {"velocity:m:2": ("y", "med"), "velocity:m:3": ("y", "high"), "velocity:z:2": ("z", "low")}
+
+
+def burst_start(times, at, step, factor, back, baseline):
+    """The walk back, window by window."""
+    known = [t for t in times if at - baseline <= t <= at]
+    if not known:
+        return at - back
+    least, quiet, end = len(known) / (baseline / 60) * factor * (step / 60), 0, at
+    while end > at - back:
+        start = max(end - step, at - back)
+        quiet = quiet + 1 if sum(start <= t < end for t in known) < least else 0
+        if quiet == 2:
+            return end
+        end = start
+    return at - back
+
+
+def test_burst_windows_equal_the_walk(spark):
+    r = random.Random(3)
+    times = {m: sorted(r.choice([r.randrange(90_000, 100_000), r.randrange(95_000, 97_000), 100_000, 99_700]) for _ in range(n)) for m, n in (("a", 0), ("b", 3), ("c", 40), ("d", 300))}
+    times["e"] = [99_500, 99_450, 99_400]
+    trades = spark.createDataFrame([(m, t) for m, ts in times.items() for t in ts], "condition_id string, ts long")
+    alerts = spark.createDataFrame([(f"{m}{at}", m, at) for m in times for at in (96_500, 98_001, 100_000)], "alert_key string, condition_id string, at long")
+    for step, back in ((300, 7200), (400, 1000)):
+        got = {x.alert_key: x.since for x in detectors.burst_windows(alerts, trades, step=step, back=back, baseline_s=9000).collect()}
+        assert got == {f"{m}{at}": burst_start(ts, at, step, 3.0, back, 9000) for m, ts in times.items() for at in (96_500, 98_001, 100_000)}
+
+
+def test_burst_hits_take_first_trades(spark):
+    rows = [("m", "YES", "BUY", w, 60 + k, s) for k, (w, s) in enumerate([("a", 10.0), ("b", 11.0), ("c", 12.0), ("d", 10.0), ("a", 900.0), ("e", 0.0), ("e", 10.0)])]
+    t = spark.createDataFrame([(*x, f"t{k}", "x") for k, x in enumerate(rows)], "condition_id string, outcome_side string, bs string, wallet_address string, ts long, size double, tx_hash string, asset_id string")
+    hit = detectors.burst_hits(t).first()
+    assert (hit.n_wallets, hit.median_size, hit.wallets) == (4, 10.5, ["a", "b", "c", "d"])
+
+
+def test_cluster_scores(spark):
+    """Three members share three obscure markets; sizes are alike in one of them, and one has a burst."""
+    members = spark.createDataFrame([(w, "c1") for w in ("A", "b", "c")] + [("d", "c2")], "wallet_address string, component string")
+    seen = spark.createDataFrame([("A", 0), ("b", 86_400), ("c", 10)], "wallet_address string, first_activity_at long")
+    rows = [(w, m, "BUY" if k else "SELL", s * (1 + k), 5000 * k) for k, w in enumerate(("A", "b", "c")) for m, s in (("m1", 1.0), ("m2", 1.0))]
+    rows += [(w, "m3", "BUY", 10.0 + k, 60_000 + k) for k, w in enumerate(("A", "b", "c"))] + [("A", "big", "SELL", 9.0, 1), ("b", "big", "SELL", 900.0, 1), ("c", "big", "SELL", 1.0, 1), ("d", "m1", "SELL", 1.0, 1)]
+    t = spark.createDataFrame([(*x, f"{x[1]}:Y", f"t{k}") for k, x in enumerate(rows)], "wallet_address string, condition_id string, bs string, size double, ts long, asset_id string, tx_hash string")
+    obscure = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "condition_id string")
+    got = {x.component: x for x in detectors.cluster_scores(members, t, seen, obscure).collect()}
+    c1, c2 = got["c1"], got["c2"]
+    assert (c1.score, c1.severity, c1.shared_markets, c1.burst_wallets, c1.behavior_tag, c1.member_count) == (7, "high", 3, 3, "farmer", 3) and c1.buy_ratio == pytest.approx(7 / 9)
+    assert c1.cluster_id == "cluster-" + hashlib.sha256(b"a|b|c").hexdigest()[:16] and (c2.score, c2.severity, c2.behavior_tag, c2.dated) == (0, None, None, 0)
+
+
+def test_cotrade_edges_equal_all_pairs(spark):
+    r = random.Random(4)
+    held = {f"w{k}": {f"m{r.randrange(3) if r.random() < 0.5 else r.randrange(12)}" for _ in range(r.randrange(1, 8))} for k in range(30)}
+    t = spark.createDataFrame([(w, m, k, "x", "y") for w, ms in held.items() for k, m in enumerate(sorted(ms))], "wallet_address string, condition_id string, ts long, tx_hash string, asset_id string")
+    markets = spark.createDataFrame([(f"m{k}",) for k in range(11)], "condition_id string")
+    want = {(a, b): len((held[a] & held[b]) - {"m11"}) for a in held for b in held if a < b and len((held[a] & held[b]) - {"m11"}) >= 3}
+    assert {(x.a, x.b): x.shared for x in detectors.cotrade_edges(t, markets).collect()} == want and want
+
+
+def test_rolling_windows_equal_pairs(spark):
+    r = random.Random(5)
+    rows = [(f"w{r.randrange(6)}", f"m{r.randrange(2)}", r.randrange(400), float(r.randrange(9)), f"t{k}", "x") for k in range(120)]
+    t = spark.createDataFrame(rows, "wallet_address string, condition_id string, ts long, notional_usd double, tx_hash string, asset_id string")
+    roster = spark.createDataFrame([(f"w{k}",) for k in range(5)], "wallet_address string")
+    own = [x for x in rows if x[0] != "w5"]
+    near = {x[4]: [y for y in own if y[1] == x[1] and x[2] - 50 <= y[2] <= x[2]] for x in own}
+    got = {x.tx_hash: (x.n_wallets, x.total_usd) for x in detectors.convergence(t, roster, 50, newest=1000).collect()}
+    assert got == {k: (len({y[0] for y in ys}), sum(y[3] for y in ys)) for k, ys in near.items() if len({y[0] for y in ys}) >= 2}
+    members = roster.withColumn("component", F.lit("c"))
+    assert {x.tx_hash: x.n_active for x in detectors.cluster_active(t, members, 50).collect()} == {k: v[0] for k, v in got.items()}
 
 
 def test_components_and_groups(spark):
     from oddsmill.sources.tables import scratch_table
 
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("d", "c")], "a string, b string")
+    chain = [(f"k{i:03d}", f"k{i + 1:03d}") for i in range(40)]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("d", "c"), *chain], "a string, b string")
     got = detectors.components(edges, scratch_table)
-    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")]
-    assert [x.wallet_address for x in detectors.cluster_groups(got, 3, 3).orderBy("wallet_address").collect()] == ["a", "b", "c"]
+    rows = {tuple(x) for x in got.collect()}
+    assert {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")} <= rows and {c for w, c in rows if w[0] == "k"} == {"k000"} and len(rows) == 47
+    assert [x.wallet_address for x in detectors.cluster_groups(got.where("component = 'a'"), 3, 3).orderBy("wallet_address").collect()] == ["a", "b", "c"]
+
+
+def test_venue_rules(spark):
+    bets = spark.createDataFrame([("1", "c", "u", "YES", -5.0, 0.3, 9, None, None, None), ("2", "c", "u", "answer", 7.0, 0.3, 9, True, False, 0.4), ("3", "c", "u", "NO", 7.0, 0.3, 9, False, False, 0.4), ("4", "c", "u", "NO", 7.0, 0.3, 9, True, True, None)], "id string, contract_id string, user_id string, outcome string, amount double, prob_before double, created_time long, is_filled boolean, is_cancelled boolean, limit_prob double")
+    assert sorted(tuple(x)[1:9] for x in ingest.bet_trades(bets).collect()) == [("1", "c:YES", "u", "c", "YES", "BUY", 0.3, -5.0), ("2", "c:answer", "u", "c", "answer", "BUY", 0.3, 7.0)]
+    m = spark.createDataFrame([("binary", "yes", 10_000.0, s) for s in ("determined", "amended", "finalized", "settled", "closed")], "market_type string, result string, volume double, status string")
+    assert [x.status for x in corpus.exchange_qualifier(m).collect()] == ["determined", "amended", "finalized"]
+    t = spark.createDataFrame([("polymarket", "h", "a", "0xAB", 9.99, 1, 1.0, 0.5, "BUY"), ("polymarket", "h", "a", "0xAB", 10.0, 3, 1.0, 0.5, "BUY"), ("polymarket", "h", "a", "0xab", 11.0, 2, 1.0, 0.5, "BUY"), ("elsewhere", "h", "a", "Q", 9.0, 1, 1.0, 0.5, "BUY"), ("manifold", "h", "a", "Q", 99.0, 1, 1.0, 0.5, "BUY")], "platform string, tx_hash string, asset_id string, wallet_address string, notional_usd double, ts long, size double, price double, bs string")
+    assert [(x.wallet_address, x.ts) for x in ingest.stored_trades(t).collect()] == [("0xab", 2)]
+
+
+def test_polls_end_at_known_rows(spark):
+    new = spark.createDataFrame([("a", k, f"h{k}") for k in range(10)], "condition_id string, ts long, tx_hash string")
+    known = spark.createDataFrame([("h7",), ("h5",), ("h4",), ("h1",)], "tx_hash string")
+    assert sorted(x.ts for x in ingest.until_known(new, known, ["tx_hash"], "condition_id", stop=2).collect()) == [6, 8, 9]
+    assert sorted(x.ts for x in ingest.newer_than_seen(new, new.where("ts = 4")).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_watchlist(spark):
+    rows = spark.createDataFrame([("a", "manual", False), ("b", "tracked", True)], "address string, source string, active boolean")
+    fresh = spark.createDataFrame([("a", "whale", 1), ("c", "whale", 1)], "address string, source string, added_at long")
+    both = ingest.keep_first_provenance(fresh, rows)
+    assert sorted((x.address, x.source, x.active) for x in both.collect()) == [("a", "manual", True), ("b", "tracked", True), ("c", "whale", True)]
+    assert {x.address: x.active for x in ingest.deactivate(both, fresh).collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_as_of_equals_a_scan(spark):
+    r = random.Random(6)
+    known = [(f"k{r.randrange(3)}", r.randrange(300), k) for k in range(40)]
+    known = [*{x[:2]: x for x in known}.values()]
+    points = [(f"k{r.randrange(4)}", r.randrange(320), f"p{k}") for k in range(60)]
+    got = ledger.as_of(spark.createDataFrame(points, "key string, at long, name string"), spark.createDataFrame(known, "key string, at long, value int"), "key", "value", day=50)
+    want = {n: max(((a, v) for k2, a, v in known if k2 == k and a <= at), default=(0, None))[1] for k, at, n in points}
+    assert {x.name: x.value for x in got.collect()} == want
+
+
+def test_reports_count_taken_bets(spark):
+    df = spark.createDataFrame([("m", 0.1, 0.2, 1), ("m", 0.3, 0.2, 1), ("n", 1.0, 1.1, 0), ("n", 0.55, 0.6, 1)], "condition_id string, implied_prob_at_buy double, pred double, label_won int")
+    assert {x.decile: (x.n, round(x.mean_edge, 6)) for x in model.edge_by_decile(df).collect()} == {1: (1, 0.9), 9: (1, -1.0), 5: (1, 0.45)}
+    volumes = spark.createDataFrame([("m", 249_999.0), ("n", 25e6)], "condition_id string, total_volume_usd double")
+    assert {x.bucket: x.n for x in model.edge_by_volume(df, volumes).collect()} == {"<250K": 1, "25M+": 2}
 
 
 def test_ledger_and_diff(spark):
     cache = spark.createDataFrame([("m", False, ["Yes", "No"], ["1", "2"], [1.0, 0.0]), ("n", True, ["Yes", "No"], ["3", "4"], [0.4, 0.6])], "condition_id string, active boolean, outcomes array<string>, asset_ids array<string>, outcome_prices array<double>")
     book = spark.createDataFrame([("t1", "entry", None, "k1", "velocity", None, "m", "1", 50.0, 0.5, 25.0, 1), ("t2", "entry", None, "k2", "velocity", None, "n", "3", 50.0, 0.5, 25.0, 2)], "trade_id string, trade_kind string, parent_trade_id string, alert_key string, source string, rule_variant string, condition_id string, asset_id string, shares double, price double, cost_usd double, ts long")
     full = book.unionByName(ledger.book_exits(book, cache, 9))
+    assert [(x.trade_id, x.nav) for x in ledger.nav_curve(full).collect()] == [("t1", 10_025.0)]
     assert [x.trade_id for x in ledger.open_positions(full).collect()] == ["t2"] and ledger.summary(full).first().nav == 10_025.0
     assert {x.column: x.mismatches for x in report.dataset_diff(book, book.where("trade_id = 't1'"), ["trade_id"]).collect()}["_only_left"] == 1
     assert corpus.resolve_by_price(cache).count() == 1
@@ -130,13 +287,13 @@ def test_ledger_and_diff(spark):
 def test_stream_equals_batch(spark, tmp_path):
     from oddsmill.streaming.state import stream_features
 
-    t, m, r = golden(spark)
+    t, m, r = small_corpus(spark)
     schema = t.schema
-    for k, lo in enumerate((0, 3, 6)):
+    for lo in (0, 3, 6):
         part = spark.createDataFrame(t.orderBy("ts", "tx_hash").collect()[lo : lo + 3], schema)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "history" / "start"))
     stream_features(spark, str(tmp_path / "in"), schema, m, r, str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert {x.tx_hash for x in out.collect()} == {"tx_a", "tx_b", "tx_c", "tx_e", "tx_f", "tx_g"}
-    assert out.where("tx_hash = 'tx_f'").first().prior_buys_count == 2
+    assert {x.tx_hash for x in out.collect()} == {"t1", "t2", "t3", "t5", "t6"}
+    assert out.where("tx_hash = 't6'").first().prior_buys_count == 2
