@@ -21,10 +21,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, so that executors may be lost without computing it again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
