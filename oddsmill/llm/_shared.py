@@ -14,9 +14,9 @@ from oddsmill.sources.tables import scratch_table
 WS_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts the lineage."""
-    return scratch_table(df, name)
+    return scratch_table(df, name, compression)
 
 
 def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000):

@@ -1,11 +1,11 @@
 """Packing of documents into sequences of fixed length: first-fit decreasing in randomised groups.
 
 Every document becomes its token ids and one end id. It is cut at multiples of the sequence length; a full
-piece is a sequence of its own, and the remainders of a group of documents are packed first-fit decreasing,
+piece is a sequence of its own, and the remainders of a group of pieces are packed first-fit decreasing,
 where a tournament tree over the free room of the bins finds the first bin that fits in O(log bins).
 
-Groups are random and of about ``docs_per_group`` documents, whatever the keys are, so that no key, source or
-group of copies makes a large one, and groups are packed independently of each other.
+Groups are random and of about ``pieces_per_group`` pieces, whatever the keys are and however long documents are, so that no
+key, source, group of copies or long document makes a large one, and groups are packed independently of each other.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import table
-from oddsmill.llm._tokens import encoder
+from oddsmill.llm._shared import by_bytes, table
+from oddsmill.llm._tokens import BATCH, binaries, encoder, texts_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -58,23 +58,29 @@ def first_fit_decreasing(sizes: list[int], room: int) -> list[tuple[int, int]]:
     return placed
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, end id included) of each row; null text: empty."""
-    end = np.array([end_id], "<u4").tobytes()
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataFrame:
+    """doc_id, row, start, ids (little-endian unsigned 32-bit integers) and doc_tokens of the pieces of each row, the end id included."""
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"])
+            for part in by_bytes(b, 1, BATCH):
+                ids, starts = enc.encode_with_end(texts_of(part.column(1)), end_id)
+                size = np.diff(starts)
+                n = -(-size // room)
+                of = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * room
+                cuts = np.append(starts[of] + start, starts[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of)), part.column(2).take(pa.array(of)), pa.array(start), binaries(ids, cuts).cast(pa.binary()), pa.array(size[of])],
+                    ["doc_id", "row", "start", "ids", "doc_tokens"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, row long, start long, ids binary, doc_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 1024, docs_per_group: int = 4096, seed: int = 7) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 1024, pieces_per_group: int = 4096, seed: int = 7) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; other columns are ignored) with their place in the packed sequences.
 
     Returns doc_id, start, length, ids (binary, 4 bytes an id), doc_tokens, sequence_id, offset. Each row of
@@ -82,29 +88,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int =
     null; an empty table gives no rows. Texts of any length are cut. Pieces keep their ids on the way, so what
     is written is what was packed.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-(rows + size // room) // pieces_per_group))  # no text has more ids than bytes
 
     def pack(key, t):
-        t = t.sort_by("row")
-        ids = t.column("ids").to_pylist()
-        pieces, rest = [], []
-        full = 0
-        for d, x in zip(t.column("doc_id").to_pylist(), ids, strict=True):
-            n = len(x) // 4
-            for s in range(0, n, room):
-                m = min(room, n - s)
-                if m < room:
-                    rest.append(len(pieces))
-                pieces.append([d, s, m, x[4 * s : 4 * (s + m)], n, full, 0])
-                full += m == room
-        for i, (bin_, offset) in zip(rest, first_fit_decreasing([pieces[i][2] for i in rest], room), strict=True):
-            pieces[i][5:] = [full + bin_, offset]
-        first = key[0].as_py() << 32
-        cols = [*zip(*pieces, strict=True)]
-        cols[5] = [first + x for x in cols[5]]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    grouped = tokenize(docs, tokenizer, end_id).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
+        t = t.sort_by([("row", "ascending"), ("start", "ascending")])
+        length = np.array([len(x) // 4 for x in t.column("ids").to_pylist()], np.int64)
+        whole = length == room
+        rest = np.flatnonzero(~whole)
+        sequence, offset = np.cumsum(whole) - 1, np.zeros(len(length), np.int64)
+        placed = first_fit_decreasing(length[rest].tolist(), room)
+        sequence[rest] = int(whole.sum()) + np.array([b for b, _ in placed], np.int64)
+        offset[rest] = [o for _, o in placed]
+        cols = [t.column("doc_id"), t.column("start"), pa.array(length), t.column("ids"), t.column("doc_tokens"), pa.array(sequence + (key[0].as_py() << 32)), pa.array(offset)]
+        return pa.table(cols, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    grouped = cut_pieces(docs, tokenizer, end_id, room).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(groups)))
     return grouped.groupBy("g").applyInArrow(pack, PIECES)
 
 

@@ -36,9 +36,7 @@ def reference(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def reference_ids(name, text):
@@ -52,10 +50,13 @@ def test_cached_encoder_equals_the_tokenizer(name):
     from oddsmill.llm._tokens import WordCachingEncoder
 
     r = random.Random(2)
-    bits = ["a", "b", "'s", " ", "  ", "\n", " \n", "\t", "é", "é", " ", "\x1c", "\x85", "1", "!", "?!", "Σ", "<|endoftext|>", "\x01", "\x00", "漢", "😀", ".", ","]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(800)]
-    enc = WordCachingEncoder(public_tokenizers.path(name), max_words=50)
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [reference_ids(name, t) for t in texts]
+    bits = ["a", "b", "'s", " ", "  ", "\n", " \n", "\t", "\u00e9", "e\u0301", "\u00a0", "\u2003", "\u200a", "\u3000", "\u1680", "\x1c", "\x85", "1", "!", "?!", "\u03a3", "\u00df", "A\u00e9 ", "<|endoftext|>", "<|startoftext|>", "\x01", "\x00", "\u6f22", "\U0001f600", ".", ",", "|", "\u3002"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(1500)] + ["x" * 3000, "the end. The" * 200]
+    enc = WordCachingEncoder(public_tokenizers.path(name), max_words=100)
+    for k in (0, 1):  # from an empty cache, then from a full one
+        ids, starts = enc.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [reference_ids(name, t) for t in texts], k
+    assert enc.encode([])[1].tolist() == [0] and enc.encode_with_end([b"", b""], 7)[0].tolist() == [7, 7]
 
 
 def test_packing_keeps_every_id_in_order(spark):
@@ -63,7 +64,7 @@ def test_packing_keeps_every_id_in_order(spark):
 
     r = random.Random(1)
     rows = ODD + [(i, prose(r, r.randrange(1, 900)), "en") for i in range(10, 60)]
-    packed = digest(pack_documents(docs(spark, rows), default_tokenizer(), docs_per_group=16)).collect()
+    packed = digest(pack_documents(docs(spark, rows), default_tokenizer(), pieces_per_group=16)).collect()
     assert len({(p.sequence_id, p.offset) for p in packed}) == len(packed)
     by_doc, by_sequence = {}, {}
     for p in packed:
@@ -105,11 +106,11 @@ def test_first_fit_decreasing_equals_a_scan():
 def test_token_blocks_round_trip(spark):
     import public_tokenizers
 
-    from oddsmill.llm.token_file import BlockReader, encode_block, read_documents, write_token_blocks
+    from oddsmill.llm.token_file import BlockReader, encode_block, read_documents, tokens_at, write_token_blocks
 
     ids = np.array([0, 1, 255, 256, 65535, 65536, 2**32 - 1, 7] * 200, np.uint32)
     reader = BlockReader(encode_block(ids))
-    assert reader.all().tolist() == ids.tolist() and [reader[i] for i in range(len(reader))] == ids.tolist()
+    assert reader.all().tolist() == ids.tolist() and [reader[i] for i in range(len(reader))] == ids.tolist() and reader.take(np.arange(len(ids))[::-1]).tolist() == ids[::-1].tolist()
     path = public_tokenizers.path("word_bpe_49k.json")
     got = read_documents(write_token_blocks(docs(spark, ODD), path, ids_per_block=50)).collect()
     at = 0
@@ -120,6 +121,11 @@ def test_token_blocks_round_trip(spark):
         at += len(want)
     assert [x.doc_id for x in sorted(got, key=lambda x: x.start)] == sorted((i for i, _, _ in ODD), key=lambda i: (i is not None, i))
     assert read_documents(write_token_blocks(docs(spark, []), path)).count() == 0
+    whole = [x for row in sorted(got, key=lambda x: x.start) for x in [*reference_ids("word_bpe_49k.json", next(t for i, t, _ in ODD if i == row.doc_id)), 2]]
+    blocks = write_token_blocks(docs(spark, ODD), path, ids_per_block=900, bytes_per_range=4000)
+    asked = [0, 1, 5, 5, len(whole) - 1, len(whole), *range(7, len(whole), 97)]
+    found = tokens_at(blocks, spark.createDataFrame([(p,) for p in asked], "position long"), span=500).collect()
+    assert sorted(map(tuple, found)) == sorted((p, whole[p]) for p in asked if p < len(whole))
 
 
 # -- quality --------------------------------------------------------------------------------------
