@@ -1,94 +1,118 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped to lines: a block element starts a new line, and what is known to be no prose (head,
-scripts, menus, forms, sidebars, and elements whose class or id says advert, notice, comment and the like)
-leaves a gap of empty lines. A line's weight is its text outside links. Sums of weights over a
-sliding window of lines surge where the text starts and fall to nothing at a gap; of the stretches between a surge
-and the next dive those that hold the page's text are kept, whole. An article or main element is weighed as one, so that
-its short stretches stay with it.
+Markup is stripped to lines: a block element starts a new line, and elements that are no prose by their meaning (head, scripts,
+menus, footers, headers outside the article, and those whose class names say nothing but advert, comment, cookies and the like)
+leave a gap. A line's weight is its text outside links; headings and long linked lines weigh whole. Sums of weights over a window of
+the lines from each on surge to ``SURGE`` where text starts and dive to nothing where it ends; what stands between a surge and the
+next dive is kept, also its short lines.
+
+An article or main element is one stretch: where such elements hold most of the text that surges, each that surges is kept
+whole and nothing else is. Other class names (notice, related, legal, share and the like) and forms are weak evidence: such a part is left out
+only if its sums stay under half of the largest beside such parts.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import table
+from oddsmill.llm._shared import by_bytes, table
 
 WINDOW = 3
+SURGE = 86
+LONG_LINK = 80
 # Element names of the HTML standard by what they hold.
-_SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button form nav header footer aside dialog menu audio video map title".split())
+_SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button nav footer aside dialog menu audio video map title".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSED_BY_BLOCK = frozenset("p".split())
-_PART = frozenset("article main section div body figure".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HOLDERS = frozenset("div section article main body td form fieldset".split())
 _UNIT = frozenset("article main".split())
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|related|recommended|share|sharing|social|comments?|reader-comments|replies|disqus|respond|discussion|footer|header|masthead|topbar|toolbar|"
-    r"pagination|pager|copyright|legal|disclaimer|form|search)(?:$|[\s_-])",
-    re.I,
+# Words of class names and ids: those that say boilerplate, those that may, and those that say nothing.
+_STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored cookie cookies consent gdpr newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar comment comments replies disqus footer masthead topbar toolbar pagination pager popup modal".split()
 )
+_WEAK = frozenset("notice alert banner promo promotion overlay side rail widget related recommended share sharing social respond discussion header copyright legal disclaimer form search".split())
+_NEUTRAL = frozenset("box wrapper wrap container block slot area section list item items top bottom left right inner outer content body text panel bar unit zone group row col column primary secondary global site page reader user post posts the".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_GAP = None
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int
+    unit: int  # number of the outermost article or main element around it, 0 outside any
+    part: int  # number of the outermost part with weak evidence around it, 0 outside any
+    holder: int  # number of the element that holds it
+    stretch: int  # lines with a gap between them have different ones
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    if name in _SKIPPED:
-        return True
-    if name in ("html", "body", "article", "main") or not attributes:
-        return False
+def evidence(name: str, attributes: str, in_unit: bool) -> str:
+    """What an element's name, class, id and role say of it: ``strong``, ``weak`` or nothing.
+
+    A class name or id counts if it has no other words than those of the lists; a weak one on a holder of text alone.
+    """
+    if name in _SKIPPED or (name == "header" and not in_unit):
+        return "strong"
+    found = "weak" if name == "form" else ""
+    if name in ("html", "body", "main") or not attributes:
+        return found
     for key, *values in _MARKED.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in _ROLES):
-            return True
-        if key in ("class", "id") and _BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
+            return "strong"
+        if key in ("class", "id"):
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(one) if len(w) > 1}
+                if words <= _STRONG | _WEAK | _NEUTRAL:
+                    if words & _STRONG:
+                        return "strong"
+                    if words & _WEAK and name in _HOLDERS | {"ul", "ol", "table"}:
+                        found = "weak"
+    return found
 
 
-def to_lines(page: str) -> list[tuple[str, int, int, int] | None]:
-    """Lines of text with the characters outside links, the number of the outermost article or main element around
-    them (0 outside any) and that of their part, which ends at each tag of ``_PART``; None is a gap."""
-    lines: list[tuple[str, int, int, int] | None] = []
+def to_lines(page: str) -> list[Line]:
+    """The lines of text of a page outside what is boilerplate by strong evidence."""
+    lines: list[Line] = []
     text: list[str] = []
-    weight = 0
-    stack: list[str] = []
-    skip_from = -1  # place in the stack of the outermost element that is skipped
-    links = 0
-    unit = units = part = 0
-    unit_from = -1  # place in the stack of the outermost article or main element
+    weight = linked = 0
+    stack: list[tuple[str, int]] = []  # element and its number
+    skip_from = unit_from = part_from = -1  # places in the stack of the outermost such elements
+    links = headings = unit = part = stretch = count = 0
     at = 0
 
-    def flush(gap: bool, new_part: bool = False) -> None:
-        nonlocal weight, part
+    def flush() -> None:
+        nonlocal weight, linked
         line = " ".join("".join(text).split())
         if line:
-            lines.append((line, weight, unit, part))
+            holder = next((k for name, k in reversed(stack) if name in _HOLDERS), 0)
+            lines.append(Line(line, weight + (linked if headings or linked >= LONG_LINK else 0), unit, part, holder, stretch))
         text.clear()
-        weight = 0
-        part += new_part
-        if gap and lines and lines[-1] is not _GAP:
-            lines.append(_GAP)
+        weight = linked = 0
 
     def say(raw: str) -> None:
-        nonlocal weight
+        nonlocal weight, linked
         if skip_from < 0 and raw:
             said = html.unescape(raw)
             text.append(said)
-            if not links:
+            if links:
+                linked += len(said.strip())
+            else:
                 weight += len(said.strip())
 
     for m in _TAG.finditer(page):
@@ -102,80 +126,114 @@ def to_lines(page: str) -> list[tuple[str, int, int, int] | None]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in stack:
-                k = len(stack) - 1 - stack[::-1].index(name)
-                if 0 <= skip_from < k or skip_from < 0 or k <= skip_from:
-                    links -= sum(x == "a" for x in stack[k:])
-                    if skip_from < 0 and (name in _BLOCK or k <= unit_from):
-                        flush(False, name in _PART)
-                    del stack[k:]
-                    if len(stack) <= unit_from:
-                        unit, unit_from = 0, -1
-                    if 0 <= skip_from and len(stack) <= skip_from:
-                        skip_from = -1
-                        flush(True)
-            if name in _BLOCK and skip_from < 0:
-                flush(False, name in _PART)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+            if k >= 0:
+                if skip_from < 0 and (name in _BLOCK or any(0 <= x and k <= x for x in (unit_from, part_from))):
+                    flush()
+                links -= sum(x == "a" for x, _ in stack[k:])
+                headings -= sum(x in _HEADINGS for x, _ in stack[k:])
+                del stack[k:]
+                if k <= unit_from:
+                    unit, unit_from = 0, -1
+                if k <= part_from:
+                    part, part_from = 0, -1
+                if k <= skip_from:
+                    skip_from, stretch = -1, stretch + 1
+            elif name in _BLOCK and skip_from < 0:
+                flush()
             continue
         if name in _VOID:
             if skip_from < 0:
                 if name == "hr":
-                    flush(False)
-                else:
-                    text.append(" " if name == "br" else "")
+                    flush()
+                elif name == "br":
+                    text.append(" ")
             continue
         if name in _BLOCK:
-            while stack and stack[-1] in _CLOSED_BY_BLOCK:
-                stack.pop()
             if skip_from < 0:
-                flush(False, name in _PART)
+                flush()
+            while stack and stack[-1][0] == "p":
+                stack.pop()
         if m[3].rstrip().endswith("/") and name not in _BLOCK:
             continue
-        if skip_from < 0 and _is_boilerplate(name, m[3]):
-            skip_from = len(stack)
-            flush(True)
-        if name in _UNIT and skip_from < 0 and unit_from < 0:
-            units += 1
-            unit, unit_from = units, len(stack)
-        stack.append(name)
+        count += 1
+        if skip_from < 0:
+            says = evidence(name, m[3], unit_from >= 0)
+            if says == "strong":
+                flush()
+                skip_from, stretch = len(stack), stretch + 1
+            elif says == "weak" and part_from < 0:
+                flush()
+                part, part_from = count, len(stack)
+            if skip_from < 0 and name in _UNIT and unit_from < 0:
+                unit, unit_from = count, len(stack)
+        stack.append((name, count))
         links += name == "a"
+        headings += name in _HEADINGS
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.start() if end else len(page)
     say(page[at:])
-    flush(False)
+    flush()
     return lines
 
 
+def window_sums(weights: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each line, the weight of the window of lines from it on that are in its group."""
+    out = np.zeros(len(weights), np.int64)
+    for k in range(WINDOW):
+        out[: len(out) - k] += np.where(group[k:] == group[: len(out) - k], weights[k:], 0)
+    return out
+
+
+def surging(weights: np.ndarray, sums: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """Which lines stand between a surge of the sums to ``least`` and their next dive to nothing, group by group; lines without
+    weight at either end are no text."""
+    kept = np.zeros(len(sums), bool)
+    start = last = -1  # of the run: its first line with weight, and its latest
+    for i in range(len(sums)):
+        if start >= 0 and (group[i] != group[start] or not sums[i]):
+            kept[start : last + 1] = True
+            start = -1
+        if start < 0 and sums[i] >= least and weights[i]:
+            start = i
+        if start >= 0 and weights[i]:
+            last = i
+    if start >= 0:
+        kept[start : last + 1] = True
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The text between surges and dives of a page's line blocks; empty if there is none."""
-    if not page:
-        return ""
-    lines = to_lines(page)
-    # A gap stands for WINDOW empty lines, so that the sums of the window fall to nothing in it.
-    spread: list[tuple[str, int, int, int] | None] = []
-    for x in lines:
-        spread += [_GAP] * WINDOW if x is _GAP else [x]
-    weights = np.array([0 if x is _GAP else x[1] for x in spread], np.int64)
+    lines = to_lines(page) if page else []
+    weights = np.array([x.weight for x in lines], np.int64)
     if not weights.any():
         return ""
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the line and those after it
-    surge = (sums > 0) & (np.array([x is not _GAP for x in spread]))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], surge.astype(np.int8), [0]])))
-    stretches = [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
-    of_unit: Counter[int] = Counter()
-    most = 0  # the heaviest run of lines of one part, which sets what counts as text
-    for a, b in stretches:
-        of_part: Counter[int] = Counter()
-        for _, n, unit, part in spread[a:b]:
-            of_part[part] += n
-            of_unit[unit] += n if unit else 0
-        most = max(most, *of_part.values())
-    kept = []
-    for a, b in stretches:
-        if int(weights[a:b].sum()) * 4 >= most or any(of_unit[x[2]] * 4 >= most for x in spread[a:b]):
-            kept += [x[0] for x in spread[a:b]]
-    return "\n\n".join(kept)
+    of = {name: np.array([getattr(x, name) for x in lines], np.int64) for name in ("unit", "part", "holder", "stretch")}
+    sums = window_sums(weights, of["stretch"] * (of["part"].max() + 1) + of["part"])
+    beside = int(sums[of["part"] == 0].max(initial=0))
+    gone = {int(p) for p in np.unique(of["part"]) if p and 2 * int(sums[of["part"] == p].max()) < beside}
+    some = np.array([x.part not in gone for x in lines])
+    of["stretch"] = of["stretch"] * (len(lines) + 1) + np.cumsum(~some)  # what is left out leaves a gap
+    lines = [x for x, keep in zip(lines, some, strict=True) if keep]
+    weights, of = weights[some], {k: v[some] for k, v in of.items()}
+    # An article is one stretch, whatever was left out of it.
+    group = np.where(of["unit"] > 0, -of["unit"], of["stretch"])
+    sums = window_sums(weights, group)
+    least = min(SURGE, int(sums.max()))
+    kept = surging(weights, sums, group, least)
+    units = {int(u) for u in of["unit"][kept] if u}
+    if 2 * weights[kept & (of["unit"] > 0)].sum() >= weights[kept].sum():
+        kept = np.isin(of["unit"], list(units))
+    else:
+        kept |= np.isin(of["unit"], list(units))
+        # Short stretches beside a kept one in the same element were parted from it by what was left out between them.
+        near = np.unique(of["holder"][kept])
+        for g in np.unique(group[np.isin(of["holder"], near) & ~kept & (weights > 0)]):
+            own = (group == g) & np.isin(of["holder"], near)
+            kept |= own & ~np.any(kept[group == g])
+    return "\n\n".join(x.text for x, keep in zip(lines, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -187,8 +245,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in by_bytes(b, 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(x) for x in part.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

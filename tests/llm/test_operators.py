@@ -451,3 +451,53 @@ def test_main_text_keeps_the_short_parts_of_an_article():
         assert main_text(page.format(around.format(body))).split("\n\n") == want
     assert main_text(page.format(f"<div><h1>Title</h1></div><div>{long}</div>")).split("\n\n") == want[:2]
     assert main_text(page.format(f"<p>Hello</p><div class='menu'>Menu</div><article><p>{long}</p></article>")) == long.strip()
+
+
+def test_windows_surge_and_dive():
+    from oddsmill.llm.html_text import WINDOW, surging, window_sums
+
+    r = random.Random(12)
+    for _ in range(200):
+        n = r.randrange(1, 30)
+        w, g = np.array([r.choice([0, 0, 5, 40, 100]) for _ in range(n)]), np.sort([r.randrange(4) for _ in range(n)])
+        sums = window_sums(w, g)
+        assert sums.tolist() == [sum(int(w[j]) for j in range(i, min(n, i + WINDOW)) if g[j] == g[i]) for i in range(n)]
+        kept = surging(w, sums, g, 86).tolist()
+        for i in range(n):
+            # A line is text if a surge stands before it with no dive between, and it is no linked line at an end.
+            before = [a for a in range(i + 1) if g[a] == g[i] and sums[a] >= 86 and w[a] and all(sums[a : i + 1])]
+            after = [b for b in range(i, n) if g[b] == g[i] and w[b] and all(sums[i : b + 1])]
+            assert kept[i] == bool(before and after)
+
+
+def test_class_names_are_weighed_word_by_word():
+    from oddsmill.llm.html_text import evidence, main_text
+
+    strong = ["ad", "ad-slot-1", "cookie-notice", "siteFooter", "comments", "reader-comments", "navBar", "x sidebar"]
+    weak, none = ["legal", "related-posts", "notice"], ["side-effects", "search-engines", "adrenaline", "legal-history", "content", "add", "menuhin"]
+    assert [evidence("div", f' class="{c}"', True) for c in strong + weak + none] == ["strong"] * 8 + ["weak"] * 3 + [""] * 7
+    assert evidence("p", ' class="legal"', True) == "" and evidence("header", "", True) == "" and evidence("header", "", False) == "strong" and evidence("article", ' class="comment"', True) == "strong"
+    text = ["A first paragraph of the text that is as long as most of them are here.", "A second one that says about as much as the first, or a little more.", "And a third one to end with, which is just about as long as the others."]
+    p = [f"<p>{x}</p>" for x in text]
+    page = "<body><header><h1>Site</h1></header>{}<footer>Us</footer></body>"
+    for c in none + ["legal"]:
+        assert main_text(page.format(f"<article><header><h1>Title</h1></header><div class='{c}'>{p[0]}{p[1]}</div>{p[2]}</article>")).split("\n\n") == ["Title", *text]
+        assert main_text(page.format(f"<div><h1>Title</h1></div><div class='{c}'>{p[0]}{p[1]}</div><div>{p[2]}</div>")).split("\n\n")[-3:] == text
+    assert main_text(page.format(f"<article>{''.join(p)}<div class='related'>Read this too</div></article>")).split("\n\n") == text
+    assert main_text(page.format(f"<article>{p[0]}<article class='comment'>{p[1]}</article>{p[2]}</article>")).split("\n\n") == [text[0], text[2]]
+
+
+def test_links_menus_and_forms_without_marks():
+    from oddsmill.llm.html_text import main_text
+
+    text = [f"Paragraph {k} of the text, which is long enough to be taken for prose by any rule that looks at lengths." for k in range(4)]
+    p = [f"<p>{x}</p>" for x in text]
+    linked = f"<p><a href='x'>{text[3]}</a></p>"
+    menu = "<div><a href='1'>Home</a></div><div><a href='2'>News</a></div><div><a href='3'>Contact</a></div>"
+    assert main_text(f"<body><div>{menu}</div><div>{''.join(p[:3])}{linked}</div><div>{menu}</div></body>").split("\n\n") == text
+    assert main_text(f"<body><article>{p[0]}{linked}<p><a href='x'>short</a></p></article></body>").split("\n\n") == [text[0], text[3], "short"]
+    assert main_text(f"<body><div>{p[0]}{p[1]}<div class='ad'>Buy</div><p>The end.</p></div><div>{menu}</div></body>").split("\n\n") == [*text[:2], "The end."]
+    assert main_text(f"<body><form><div>{''.join(p)}</div><p>Search</p></form></body>").split("\n\n") == [*text, "Search"]
+    assert main_text(f"<body><div>{''.join(p)}</div><form><label>Your name</label><p>Send</p></form></body>").split("\n\n") == text
+    cards = "".join(f"<article><h2>Card {k}</h2></article>" for k in range(3))
+    assert main_text(f"<body><div><h1>Title</h1>{''.join(p)}</div>{cards}</body>").split("\n\n") == ["Title", *text]
