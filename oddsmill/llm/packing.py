@@ -80,7 +80,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
     return rows.mapInArrow(run, "doc_id long, row long, start long, ids binary, doc_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 1024, pieces_per_group: int = 4096, seed: int = 7) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 1024, pieces_per_group: int = 1024, seed: int = 7) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; other columns are ignored) with their place in the packed sequences.
 
     Returns doc_id, start, length, ids (binary, 4 bytes an id), doc_tokens, sequence_id, offset. Each row of

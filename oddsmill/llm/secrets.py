@@ -1,15 +1,20 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for other tokens. DataFrame functions only.
 
 A token of 20 or more characters whose alphabet is that of an encoding (hexadecimal, base 32, base 36, base 64)
-is tested for uniform use of the alphabet (chi-squared over bins), for runs above and below the middle, and
-for correlation between neighbours. Fisher's method combines the three. Among tokens of a length class, over all
-documents, the Benjamini-Hochberg rule controls the share of random tokens that are wrongly called structured;
-tokens that it doesn't call structured are reported as random. Its thresholds come from a histogram of
-p-values, a few hundred rows whatever the input.
+is tested for uniform use of the alphabet (chi-squared over five bins), for runs above and below the middle, and
+for correlation between neighbours; Fisher's method combines the three. A token may be random if that p-value is ``least_random`` or more.
+
+Whether it is reported is a test of the other hypothesis, that the token is structured: made of words, of words and numbers, or of
+capitals. The largest p-value of chi-squared tests against the bins' shares in such tokens is that of the hypothesis. Among tokens of
+a length class, over all documents, the Benjamini-Hochberg rule finds the tokens that are not structured, so that it is the share of
+structured tokens among those reported that is controlled, at any length. Its thresholds come from a histogram of p-values, a few hundred
+rows whatever the input.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +34,20 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# Bins of each alphabet, by which prose differs from random text: vowels, frequent consonants, other letters, capitals, digits and signs.
+BINS = {
+    "hex": ("0123", "456", "789", "ace", "bdf"),
+    "base32": ("AEIOU", "TNSRHLDCM", "BFGJKP", "QVWXYZ", "234567"),
+    "base36": ("aeiou", "tnsrhldcm", "bfgjkp", "qvwxyz", "0123456789"),
+    "base64": ("aeiou", "tnsrhldcm", "bfgjkpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789+/"),
+}
+# Shares of the bins in tokens of words, of words and numbers, and of capitals or digits alone.
+STRUCTURED = {
+    "hex": ((0.45, 0.25, 0.26, 0.02, 0.02), (0.05, 0.03, 0.02, 0.55, 0.35), (0.25, 0.15, 0.15, 0.27, 0.18)),
+    "base32": ((0.37, 0.45, 0.11, 0.05, 0.02), (0.29, 0.35, 0.09, 0.04, 0.23), (0.11, 0.14, 0.04, 0.02, 0.69)),
+    "base36": ((0.37, 0.45, 0.11, 0.05, 0.02), (0.29, 0.35, 0.09, 0.04, 0.23), (0.11, 0.14, 0.04, 0.02, 0.69)),
+    "base64": ((0.33, 0.40, 0.15, 0.10, 0.02), (0.25, 0.32, 0.12, 0.08, 0.23), (0.02, 0.02, 0.02, 0.74, 0.20)),
+}
 _SPAN = "struct<start:bigint,kind:int,end:bigint,body:string>"
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
@@ -58,61 +77,74 @@ def base_spans(text: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The encoding whose alphabet the token uses, with letters and digits both; else null."""
+    """The encoding whose alphabet the token uses, with letters and digits both, or with capitals after small letters; else null."""
     digit, upper, lower = token.rlike("[0-9]"), token.rlike("[A-Z]"), token.rlike("[a-z]")
     return (
         F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & digit & (upper | lower), "hex")
         .when(token.rlike("^[A-Z2-7]+=*$") & digit, "base32")
         .when(token.rlike("^[a-z0-9]+$") & digit & lower, "base36")
-        .when(digit & upper & lower, "base64")
+        .when((digit & upper & lower) | token.rlike("[a-z][A-Z]"), "base64")
     )
 
 
-def _normal_cdf(z: Column) -> Column:
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.070565 * z * z * z)))
-
-
-def _chi_squared_tail(x: Column, df: Column) -> Column:
-    """Wilson and Hilferty's approximation."""
-    part = 2.0 / (9.0 * df)
-    return 1 - _normal_cdf((F.pow(x / df, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part))
+def chi_squared_tail(x: Column, df: int) -> Column:
+    """P(X >= x) for an even number of degrees of freedom, which has a closed form."""
+    half, term, total = x / 2, F.lit(1.0), F.lit(1.0)
+    for k in range(1, df // 2):
+        term = term * half / k
+        total = total + term
+    return F.exp(-half) * total
 
 
-def _two_sided(z: Column) -> Column:
-    return 2 * (1 - _normal_cdf(F.abs(z)))
+def two_sided(z: Column) -> Column:
+    """P(|Z| >= |z|) of the normal distribution, by a Chebyshev fit of the complementary error function: relative error under 2e-7 in the
+    tails as well."""
+    x = F.abs(z) / math.sqrt(2.0)
+    t = 1 / (1 + x / 2)
+    fit = F.lit(0.0)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit = fit * t + c
+    return F.least(F.lit(1.0), t * F.exp(-x * x + fit))
 
 
-def randomness(token: Column, kind: Column) -> Column:
-    """p-value of the battery under the hypothesis that the token is uniformly random in its encoding."""
+def battery(token: Column, kind: Column) -> Column:
+    """uniform, runs, serial: p-values under the hypothesis that the token is uniformly random in its encoding; random: those combined;
+    structured: the p-value of the hypothesis that it is structured."""
     text = F.regexp_replace(F.when(kind == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/")), "=+$", "")
     alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), kind)
     size = F.length(alphabet).cast("double")
 
-    def battery(v: Column) -> Column:
+    def by_kind(values: dict[str, list]) -> Column:
+        return F.element_at(F.create_map(*[c for k, v in values.items() for c in (F.lit(k), F.array(*map(F.lit, v)))]), kind)
+
+    bins = by_kind({k: list(v) for k, v in BINS.items()})
+    even = by_kind({k: [len(x) / len(ALPHABETS[k]) for x in v] for k, v in BINS.items()})
+    shares = [by_kind({k: list(v[j]) for k, v in STRUCTURED.items()}) for j in range(3)]
+
+    def tests(v: Column) -> Column:
         n = F.size(v).cast("double")
-        bins = F.when(n >= 40, 8.0).otherwise(4.0)
-        counts = F.transform(F.sequence(F.lit(0), (bins - 1).cast("int")), lambda b: F.size(F.filter(v, lambda x: F.floor(x * bins / size) == b)).cast("double"))
-        # A bin may hold one value more than another: expected counts follow the values of each.
-        width = F.transform(F.sequence(F.lit(0), (bins - 1).cast("int")), lambda b: F.ceil((b + 1) * size / bins) - F.ceil(b * size / bins))
-        chi = F.aggregate(F.zip_with(counts, width, lambda o, w: F.pow(o - n * w / size, F.lit(2.0)) / (n * w / size)), F.lit(0.0), lambda a, x: a + x)
-        uniform = _chi_squared_tail(chi, bins - 1)
+        counts = F.transform(bins, lambda b: n - F.length(F.call_function("translate", text, b, F.lit(""))))  # whatever is no value of the alphabet is in no bin
+
+        def chi(expected: Column) -> Column:
+            return chi_squared_tail(F.aggregate(F.zip_with(counts, expected, lambda o, e: F.pow(o - n * e, F.lit(2.0)) / (n * e)), F.lit(0.0), lambda a, x: a + x), 4)
+
         mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
         high = F.size(F.filter(v, lambda x: x * 2 >= size)).cast("double")
         low = n - high
-        length = F.size(v)
-        turns = F.aggregate(F.zip_with(F.slice(v, F.lit(1), length - 1), F.slice(v, F.lit(2), length - 1), lambda a, b: ((a * 2 >= size) != (b * 2 >= size)).cast("double")), F.lit(1.0), lambda a, x: a + x)
+        pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("a"), F.slice(v, F.lit(2), F.size(v) - 1).alias("b"))
+        turns = 1 + F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= size) != (p["b"] * 2 >= size))).cast("double")
         expected = 1 + 2 * high * low / n
         spread = (expected - 1) * (expected - 2) / (n - 1)
-        runs = F.when(spread > 0, _two_sided((turns - expected) / F.sqrt(spread))).otherwise(F.lit(1e-9))
+        runs = F.when(spread > 0, two_sided((turns - expected) / F.sqrt(spread))).otherwise(F.lit(1e-9))
         power = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        lagged = F.aggregate(F.zip_with(F.slice(v, F.lit(1), length - 1), F.slice(v, F.lit(2), length - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
-        serial = F.when(power > 0, _two_sided(lagged / power * F.sqrt(n))).otherwise(F.lit(1e-9))
-        logs = sum((F.ln(F.greatest(F.lit(1e-12), p)) for p in (uniform, runs, serial)), F.lit(0.0))
-        return F.greatest(F.lit(1e-12), _chi_squared_tail(-2 * logs, F.lit(6.0)))
+        lagged = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+        serial = F.when(power > 0, two_sided(lagged / power * F.sqrt(n))).otherwise(F.lit(1e-9))
+        uniform = chi(even)
+        logs = sum((F.ln(F.greatest(F.lit(1e-300), p)) for p in (uniform, runs, serial)), F.lit(0.0))
+        return F.struct(uniform.alias("uniform"), runs.alias("runs"), serial.alias("serial"), chi_squared_tail(-2 * logs, 6).alias("random"), F.greatest(*[chi(x) for x in shares]).alias("structured"))
 
     values = F.transform(F.split(text, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return F.transform(F.array(F.filter(values, lambda x: x >= 0)), battery)[0]
+    return F.transform(F.array(F.filter(values, lambda x: x >= 0)), tests)[0]
 
 
 def length_class(token: Column) -> Column:
@@ -120,34 +152,41 @@ def length_class(token: Column) -> Column:
     return F.when(n < 32, 0).when(n < 64, 1).otherwise(2)
 
 
-def scan(docs: DataFrame, false_discoveries: float = 0.05) -> DataFrame:
-    """``docs`` (text, any other columns) with ``base_spans`` and ``spans``: arrays of (start, kind, end, body).
+def _log_bin(p: Column) -> Column:
+    """The bin of a p-value, one for each twentieth of a power of ten; 1e-30 and less are one."""
+    return F.ceil(20 * F.log10(F.greatest(F.lit(1e-30), p))).cast("int")
 
-    A null or empty text has no spans; every row of repeated rows gets its own; columns of ``docs`` that
-    clash with the two are overwritten; an empty table gives no rows. Whole texts are read, once.
-    """
+
+def _scanned(docs: DataFrame, carried: list[str], false_discoveries: float, least_random: float) -> DataFrame:
+    """row (struct of the columns ``carried``), base_spans and spans of each row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.filter(
         F.transform(found(text, TOKEN, 3), lambda s: F.struct(s["start"], s["kind"], s["end"], s["body"], encoding(s["body"]).alias("encoding"))),
         lambda s: s["encoding"].isNotNull(),
     )
-    tested = F.transform(
-        tokens,
-        lambda s: F.struct(s["start"], s["kind"], s["end"], s["body"], length_class(s["body"]).alias("length_class"), F.floor(-20 * F.log10(randomness(s["body"], s["encoding"]))).cast("int").alias("bin")),
-    )
-    rows = materialise(docs.withColumn("base_spans", base_spans(text)).withColumn("_tested", tested), "secrets")
+    measured = F.transform(tokens, lambda s: F.struct(s["start"], s["kind"], s["end"], s["body"], length_class(s["body"]).alias("length_class"), battery(s["body"], s["encoding"]).alias("p")))
+    tested = F.transform(measured, lambda s: F.struct(s["start"], s["kind"], s["end"], s["body"], s["length_class"], _log_bin(s["p"]["structured"]).alias("bin"), (s["p"]["random"] >= least_random).alias("random")))
+    rows = materialise(docs.select(F.struct(*carried).alias("row"), base_spans(text).alias("base_spans"), tested.alias("tested")), "secrets")
     # Benjamini and Hochberg: the largest p-value at most q times its rank over the number of tokens, in each class.
-    bins = rows.select(F.explode("_tested").alias("t")).groupBy(F.col("t.length_class").alias("length_class"), F.col("t.bin").alias("bin")).count()
+    bins = rows.select(F.explode("tested").alias("t")).groupBy(F.col("t.length_class").alias("length_class"), F.col("t.bin").alias("bin")).count()
     inside = Window.partitionBy("length_class")
-    ranked = bins.withColumn("rank", F.sum("count").over(inside.orderBy(F.desc("bin")))).withColumn("all", F.sum("count").over(inside))
-    cuts = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 20) <= false_discoveries * F.col("rank") / F.col("all")).groupBy("length_class").agg(F.min("bin").alias("bin"))
-    least = {r["length_class"]: r["bin"] for r in cuts.collect()}  # three rows at most
-    random = F.transform(
-        F.filter("_tested", lambda t: t["bin"] < F.element_at(F.array(*[F.lit(least.get(k, 1 << 20)) for k in range(3)]), t["length_class"] + 1)),
-        lambda t: F.struct(t["start"], t["kind"], t["end"], t["body"]),
-    )
+    ranked = bins.withColumn("rank", F.sum("count").over(inside.orderBy("bin"))).withColumn("all", F.sum("count").over(inside))
+    cuts = ranked.where(F.pow(F.lit(10.0), F.col("bin") / 20) <= false_discoveries * F.col("rank") / F.col("all")).groupBy("length_class").agg(F.max("bin").alias("bin"))
+    most = {r["length_class"]: r["bin"] for r in cuts.collect()}  # three rows at most
+    cut = F.array(*[F.lit(most.get(k, -(1 << 20))) for k in range(3)])
+    random = F.transform(F.filter("tested", lambda t: t["random"] & (t["bin"] <= F.element_at(cut, t["length_class"] + 1))), lambda t: F.struct(t["start"], t["kind"], t["end"], t["body"]))
     apart = F.filter(random, lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).drop("_tested")
+    return rows.select("row", "base_spans", F.array_sort(F.concat("base_spans", apart)).alias("spans"))
+
+
+def scan(docs: DataFrame, false_discoveries: float = 0.05, least_random: float = 0.001, carried: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, any other columns) with ``base_spans`` and ``spans``: arrays of (start, kind, end, body).
+
+    A null or empty text has no spans; every row of repeated rows gets its own; the two columns take the place of any of
+    that name; ``carried`` names the columns to return, all if None; an empty table gives no rows. Whole texts are read, once.
+    """
+    kept = [c for c in (docs.columns if carried is None else carried) if c not in ("base_spans", "spans")]
+    return _scanned(docs, kept, false_discoveries, least_random).select("row.*", "base_spans", "spans")
 
 
 def _listed(spans: str) -> Column:
@@ -165,22 +204,24 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *n, F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, false_discoveries: float = 0.05) -> DataFrame:
+def redact(docs: DataFrame, false_discoveries: float = 0.05, least_random: float = 0.001) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by its kind in brackets; other texts stay as they are.
 
-    Overlapping spans are replaced as one, by the kind of the first.
+    Overlapping spans are replaced as one, by the kind of the first. All columns stay, whatever their names; null texts stay null,
+    repeated rows are each redacted, and an empty table gives no rows.
     """
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    text = F.col("row")["text"].cast("string")
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    scanned = scan(docs, false_discoveries)
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    done = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    clean = F.when(F.size("spans") > 0, done).otherwise(text)
+    return _scanned(docs, docs.columns, false_discoveries, least_random).select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "base_spans", "spans"))
+    return digest(scan(table(spark, sf_dir, "documents"), carried=["doc_id"]))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, row int, component_id string"
@@ -327,8 +328,11 @@ def test_secret_spans(spark):
     r = random.Random(5)
     bits = ["token", "Token: ", "secret=", "api_key", "APIKEY = '", '"', "password", ": ", "abcdefgh", "tok", "AKIA", "ABCDEFGHIJ12", "0123456789abcdef" * 2, "é", "😀 ", " ", "\n", "x=", "ff"]
     rows = list(ODD) + [(i, "".join(r.choice(bits) for _ in range(r.randrange(30))), None) for i in range(10, 200)]
-    secret = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44)) + "aZ9"
-    rows += [(500, f"see {secret} there", "en"), (501, "see " + "thandintheandtheren12" + "Xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy12 there", "en")]
+    any64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(any64) for _ in range(n)) for n in (47, 24, 36)]
+    rows += [(500 + k, f"see {x} there", "en") for k, x in enumerate(keys)]
+    plain = ["https://example.com/Blog/2024/05/my-Long-Title-About-cats", "theLongNameOfSomeFunctionInACode12", "Xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy12", "thandintheandtheren12", "MAX_NUMBER_OF_OPEN_FILES_2", "Donaudampfschifffahrtsgesellschaft", "2024-05-17T10-15-30-Z-backup-of-The-day", "McDonaldAndTheOtherPeople"]
+    rows += [(520 + k, f"see {x} there", "en") for k, x in enumerate(plain)]
     texts = {i: t for i, t, _ in rows}
     got = digest(scan(docs(spark, rows))).collect()
     assert len(got) == len(rows)
@@ -336,13 +340,68 @@ def test_secret_spans(spark):
         want = brute_spans(texts[x.doc_id] or "")
         assert x.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert [s for s in x.spans.split(",") if s and not s.startswith("random")] == [s for s in want.split(",") if s]
-        if x.doc_id == 500:
-            assert x.spans == "random:4:51"
-        if x.doc_id == 501:
-            assert x.spans == ""
-    clean = {x.doc_id: x.text for x in redact(docs(spark, rows)).collect()}
-    assert clean[500] == "see [random] there" and clean[501] == texts[501] and clean[1] is None and clean[5] == texts[5]
-    assert digest(scan(docs(spark, []))).count() == 0
+        if (x.doc_id or 0) in (500, 501, 502):
+            assert x.spans == f"random:4:{4 + len(keys[x.doc_id - 500])}"
+        if (x.doc_id or 0) >= 520:
+            assert x.spans == "", plain[x.doc_id - 520]
+    odd = docs(spark, rows).withColumns({"spans": F.lit("s"), "row": F.lit(7), "tested": F.col("doc_id")})
+    clean = {x.doc_id: x for x in redact(odd).collect()}
+    assert clean[500].text == "see [random] there" and clean[521].text == texts[521] and clean[1].text is None and clean[5].text == texts[5]
+    assert all((x.spans, x.row, x.tested) == ("s", 7, x.doc_id) for x in clean.values()) and redact(odd).columns == odd.columns
+    assert digest(scan(docs(spark, []))).count() == 0 and scan(odd).columns[-2:] == ["base_spans", "spans"]
+
+
+def brute_battery(token, kind):
+    """The five p-values by plain arithmetic."""
+    from oddsmill.llm.secrets import ALPHABETS, BINS, STRUCTURED
+
+    text = token.lower() if kind == "hex" else token.replace("-", "+").replace("_", "/")
+    v = [ALPHABETS[kind].index(c) for c in text.rstrip("=") if c in ALPHABETS[kind]]
+    n, size = len(v), len(ALPHABETS[kind])
+    observed = [sum(ALPHABETS[kind][x] in b for x in v) for b in BINS[kind]]
+
+    def chi(shares):
+        x = sum((o - n * e) ** 2 / (n * e) for o, e in zip(observed, shares, strict=True))
+        return math.exp(-x / 2) * (1 + x / 2)
+
+    up = [2 * x >= size for x in v]
+    turns, high = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False)), sum(up)
+    mean = 1 + 2 * high * (n - high) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    two = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    runs = two((turns - mean) / math.sqrt(spread)) if spread > 0 else 1e-9
+    m = sum(v) / n
+    power = sum((x - m) ** 2 for x in v)
+    serial = two(sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False)) / power * math.sqrt(n)) if power else 1e-9
+    uniform = chi([len(b) / size for b in BINS[kind]])
+    x = -2 * sum(math.log(max(1e-300, p)) for p in (uniform, runs, serial))
+    return [uniform, runs, serial, math.exp(-x / 2) * (1 + x / 2 + x * x / 8), max(map(chi, STRUCTURED[kind]))]
+
+
+def test_the_battery_equals_plain_arithmetic(spark):
+    from oddsmill.llm.secrets import ALPHABETS, BINS, STRUCTURED, battery
+
+    assert all(sorted("".join(BINS[k])) == sorted(a) for k, a in ALPHABETS.items()) and all(abs(sum(x) - 1) < 1e-9 for v in STRUCTURED.values() for x in v)
+    r = random.Random(9)
+    rows = [(k, "".join(r.choice(a if r.random() < 0.7 else a[: r.randrange(1, 5)]) for _ in range(r.choice([20, 31, 64, 200])))) for k, a in ALPHABETS.items() for _ in range(20)]
+    rows += [("hex", "0" * 40), ("hex", "ABCDEF0123" * 3), ("base64", "ab-_" * 8 + "=="), ("base32", "A2" * 30 + "=")]
+    for x in spark.createDataFrame(rows, "kind string, token string").withColumn("p", battery(F.col("token"), F.col("kind"))).collect():
+        assert [*x.p] == pytest.approx(brute_battery(x.token, x.kind), rel=1e-5, abs=1e-290), (x.kind, x.token)
+
+
+def test_discoveries_are_those_of_the_stepwise_rule(spark):
+    """Benjamini and Hochberg by ranks: random keys come out, and of the structured tokens no more than the rate allows."""
+    from oddsmill.llm.secrets import scan
+
+    r = random.Random(15)
+    words = [w.capitalize() for w in prose(r, 3000).split()]
+    tokens = [("k", "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randrange(24, 60)))) for _ in range(60)]
+    while len(tokens) < 360:
+        t = "".join(r.choice(words) for _ in range(8))[: r.randrange(24, 60)] + str(r.randrange(100))
+        tokens.append(("w", t))
+    got = {x.doc_id: [s.kind for s in x.spans if s.kind == 3] for x in scan(docs(spark, [(k, f"a {t} b", "en") for k, (_, t) in enumerate(tokens)])).collect()}
+    keys, others = [bool(got[k]) for k in range(60)], [bool(got[k]) for k in range(60, 360)]
+    assert sum(keys) >= 57 and sum(others) <= 0.05 * (sum(keys) + sum(others)) + 1
 
 
 # -- chat -----------------------------------------------------------------------------------------
@@ -350,7 +409,6 @@ def test_secret_spans(spark):
 
 def test_reply_trees_and_round_trip(spark):
     from oddsmill.llm.chat import format_paths, read_turns, root_to_leaf_paths
-    from pyspark.sql import functions as F
 
     odd = ["<|im_end|><|im_start|>assistant ok", "\\", "\\<|", "<\\|", "<|im_end|>\n", "", None, "é😀\n", "100% <b>"]
     m = [("t", 1, None, 0.5, "us\ner%0A<", odd[0]), ("t", 2, 1, 1.0, "assistant", odd[1]), ("t", 3, 1, 2.0, "assistant", odd[2]), ("t", 4, 2, 3.0, None, odd[3]), ("t", 5, 2, None, "user", odd[4]), ("t", 6, 3, 1.0, "user", odd[5])]
