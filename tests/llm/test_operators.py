@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -311,6 +312,53 @@ def test_leaks_within_the_budget_are_found(spark):
     assert leaks(docs(spark, []), bench).count() == 0 and leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_an_exhaustive_search():
+    """Every pair of a small text and a small item, repetitive ones too, in small batches of pairs of places."""
+    from oddsmill.llm.decontaminate import Items, fold
+
+    r = random.Random(16)
+    unit = lambda n: "".join(r.choice("abcde ") for _ in range(n)).strip() or "x"
+    items = [(k, unit(r.randrange(20, 60))) for k in range(12)] + [(20, "ab " * 12), (21, "abc" * 14 + unit(12)), (22, "tiny"), (23, "a" * 40), (24, unit(40) + "xy" * 11)]
+    block = Items.of(items, 4, 0.12)
+    assert {20, 23} <= {block.ids[k] for k in block.repetitive}
+    texts = [None, "", "tiny", "atiny tinyb"]
+    for _ in range(120):
+        t = list(r.choice(items)[1])
+        for _ in range(r.randrange(7)):
+            p = r.randrange(len(t))
+            t[p : p + r.randrange(2)] = r.choice(["", "z", "q"])
+        texts.append(unit(r.randrange(30)) + "".join(t) + r.choice([unit(20), "ab " * r.randrange(9), "a" * r.randrange(50)]))
+    found = block.find(texts)
+    got = {(d, i) for d, i, *_ in found}
+    for d, t in enumerate(texts):
+        for k, i in enumerate(block.ids):
+            text, item = "".join(map(chr, fold(t or "")[0])), "".join(map(chr, block.texts[k]))
+            assert ((d, i) in got) == (edits(item, text) <= block.budgets[k]), (t, item)
+    of = dict(items)
+    for d, i, start, end, n in found:
+        assert edits(re.sub(r"\s+", " ", of[i]).strip(), re.sub(r"\s+", " ", texts[d][start:end])) == n or n >= 0
+        assert len(texts[d][start:end]) <= 1.2 * len(of[i]) + 3
+    assert block.find([]) == []
+    whole, parts = {tuple(x) for x in block.candidates(*hits_of(block, texts))}, {tuple(x) for x in block.candidates(*hits_of(block, texts), most=50)}
+    assert whole == parts
+
+
+def hits_of(block, texts):
+    from oddsmill.llm.decontaminate import fold, qgrams
+
+    g = qgrams(fold("\0".join(t or "" for t in texts))[0], block.q)
+    return np.arange(len(g)), g
+
+
+def test_repetitive_items_take_time_in_proportion():
+    from oddsmill.llm.decontaminate import Items
+
+    block = Items.of([(1, "la la land " * 270)], 10, 0.08)
+    start = time.perf_counter()
+    found = block.find(["la la land " * 2700, "la la land " * 100])
+    assert found and {d for d, *_ in found} == {0} and time.perf_counter() - start < 8
+
+
 # -- secrets --------------------------------------------------------------------------------------
 
 
