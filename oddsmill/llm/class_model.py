@@ -1,13 +1,16 @@
 """Brown class-based n-gram scoring.
 
-Words fall into classes, and P(w | v) = P(class(w) | class(v)) P(w | class(w)). Exchange clustering assigns the
-classes: a symbol moves to the class that raises the likelihood of the class bigrams most, until few
-move. The symbols are the most frequent words, the end of a document, and one for each ending that the other words
-share, so every word has a class, also one never seen.
-
-Counts of words and of symbol bigrams are taken over all training documents. Exchange clustering then works on
-the bigram matrix of the symbols, whose size is a parameter and not that of the corpus. The counts of all
-other words, as many as the corpus has, stay in a distributed table and are joined to the texts.
+Every word has a class, and P(w | v) = P(class(w) | context(v)) P(w | class(w)). Contexts are classes too, in the form that lets
+the two differ (asymmetric clustering): they come from exchange clustering of symbols, which are the most frequent words, the end of a
+document, and one for each ending that the other words share, so also a word never seen is a context.
+
+The classes of words come from exchange clustering of all word types: a word moves to the class that raises the likelihood most, given
+how often each context stands before it. Those counts, of every word and context over all training documents, are taken
+once into a distributed table; a round is one pass over it with the matrix of contexts and classes, in which each task moves its
+words (half of them a round, as words that move at once don't see each other). The matrix that a round leaves is all
+that the next needs, so rounds shuffle a few thousand cells.
+
+Scores of a text need the classes of its words: the most frequent are held by each task, the others are joined.
 """
 
 from __future__ import annotations
@@ -22,21 +25,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import crc_bucket, materialise, table
+from oddsmill.llm._shared import WS_BYTES, by_bytes, crc_bucket, materialise, table
 
 END = b"\n"  # no word is that
 _FLUSH = 200_000
+_SPACE = np.zeros(256, bool)
+_SPACE[list(WS_BYTES)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words, then the end token."""
-    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of all texts as numbers of distinct ones, where each text's begin (with the end of the last), and the
+    distinct tokens: words, lower-cased (A-Z), and after each text the end."""
+    raw = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
+    space = _SPACE[raw]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    opens, size = turns[::2], turns[1::2] - turns[::2]
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(raw[~space])]).dictionary_encode()
+    ends = np.searchsorted(opens, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+    distinct = [*words.dictionary.to_pylist(), END]
+    starts = np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+    return np.insert(words.indices.to_numpy().astype(np.int64), ends, len(distinct) - 1), starts, distinct
 
 
-def _batches(batches, rows: int = 256):
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -48,21 +62,38 @@ def count_words(texts: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
-        for b in _batches(batches):
-            for t in b.column(0).to_pylist():
-                held.update(words_of(t))
-            if len(held) > _FLUSH:
-                yield out()
-                held = Counter()
+        for b in batches:
+            for part in by_bytes(b, 0):
+                codes, _, distinct = tokens_of(_texts(part.column(0)))
+                for w, n in zip(distinct, np.bincount(codes, minlength=len(distinct)).tolist(), strict=True):
+                    if n:
+                        held[w] += n
+                if len(held) > _FLUSH:
+                    yield out()
+                    held = Counter()
         if held:
             yield out()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts: whole groups of alike counts, ``most`` words at most, so that no more
+    than those reach the driver."""
+    n = F.col("n")
+    level = F.when(n <= 1000, n).otherwise(1000 + F.floor(16 * F.log2(n))).cast("long")
+    room, least = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # about 2,000 rows at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    rows = counts.where(level >= least).collect() if least is not None else []
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 @dataclass
 class Symbols:
-    """Numbers of the symbols: known words first, then the endings."""
+    """Numbers of the symbols: the end and the frequent words first, then the endings."""
 
     words: dict[bytes, int]
     endings: int
@@ -70,43 +101,55 @@ class Symbols:
     def __len__(self) -> int:
         return len(self.words) + self.endings
 
-    def ending(self, word: bytes) -> int:
-        return len(self.words) + zlib.crc32(word[-3:]) % self.endings
+    def of(self, distinct: list[bytes]) -> np.ndarray:
+        first, get = len(self.words), self.words.get
+        return np.array([k if (k := get(w)) is not None else first + zlib.crc32(w[-3:]) % self.endings for w in distinct], np.int64)
+
 
+def _with_left(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; before a text, an end."""
+    left = np.concatenate([[end], codes[:-1]])
+    left[starts[:-1]] = end
+    return left
 
-def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
+
+def count_bigrams(texts: DataFrame, symbols: Symbols, slices: int = 16, lanes: int = 16) -> np.ndarray:
     """Matrix of symbol bigrams over all rows of ``texts`` (text); each text follows an end.
 
-    A task adds up its own matrix; matrices are then added slice by slice, each slice by one streaming task.
+    A task adds up its own matrix; the slices of these are added in two steps, first in lanes, so that no task reads those of all.
     """
-    size, end, slices = len(symbols), symbols.words[END], 16
+    size, end = len(symbols), symbols.words[END]
     rows_each = -(-size // slices)
 
-    def local(batches):
-        total = np.zeros(size * size, np.int32)
-        get, ending = symbols.words.get, symbols.ending
-        for b in _batches(batches, 1024):
-            ids = np.array([end, *(k if (k := get(w)) is not None else ending(w) for t in b.column(0).to_pylist() for w in words_of(t))], np.int64)
-            np.add(total, np.bincount(ids[:-1] * size + ids[1:], minlength=size * size), out=total, casting="unsafe")
-        for s in range(slices):
-            part = total[s * rows_each * size : (s + 1) * rows_each * size]
+    def sparse(parts: dict[int, np.ndarray], lane: int):
+        for s, part in parts.items():
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([part[at].astype("<i4").tobytes()], pa.binary())], ["slice", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([lane], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([part[at].astype("<i8").tobytes()], pa.binary())], ["slice", "lane", "at", "n"])
+
+    def local(batches):
+        total = np.zeros(slices * rows_each * size, np.int64)
+        for b in batches:
+            for part in by_bytes(b, 0):
+                codes, starts, distinct = tokens_of(_texts(part.column(0)))
+                ids = symbols.of(distinct)[codes]
+                cell, n = np.unique(_with_left(ids, starts, end) * size + ids, return_counts=True)
+                total[cell] += n
+        yield from sparse(dict(enumerate(total.reshape(slices, -1))), TaskContext.get().partitionId() % lanes)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums.setdefault(s, np.zeros(rows_each * size, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i4")
-        for s, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["slice", "n"])
+            for s, _, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums.setdefault(s, np.zeros(rows_each * size, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
+        yield from sparse(sums, 0)
 
-    parts = texts.mapInArrow(local, "slice int, at binary, n binary").repartition(slices, "slice").mapInArrow(add, "slice int, n binary")
-    out = np.zeros(slices * rows_each * size, np.int64)
-    for r in parts.collect():  # as large as the symbols' matrix
-        out[r["slice"] * rows_each * size : (r["slice"] + 1) * rows_each * size] = np.frombuffer(r["n"], "<i8")
-    return out[: size * size].reshape(size, size)
+    kind = "slice int, lane int, at binary, n binary"
+    added = texts.mapInArrow(local, kind).repartition("slice", "lane").mapInArrow(add, kind).repartition("slice").mapInArrow(add, kind)
+    out = np.zeros((slices, rows_each * size), np.int64)
+    for r in added.collect():  # as large as the symbols' matrix
+        out[r["slice"], np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["n"], "<i8")
+    return out.reshape(-1)[: size * size].reshape(size, size)
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -140,7 +183,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
             pairs[c, c] -= twice
             sums[c] -= total[w]
             before[c] -= into.sum() + twice
-            base_rows, base_cols = _plogp(pairs), None
+            base_rows = _plogp(pairs)
             gain = (_plogp(pairs + out) - base_rows).sum(1) + (_plogp(pairs.T + into) - base_rows.T).sum(1)
             # The cell of a class with itself gets both; correct its two separate gains.
             d, o, i = np.diag(pairs), out, into
@@ -165,15 +208,137 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return of
 
 
+def count_contexts(texts: DataFrame, symbols: Symbols, context: np.ndarray) -> DataFrame:
+    """word, contexts (one byte each, ascending) and times (four bytes each): how often each context stands before each word."""
+
+    def run(batches):
+        held: dict[tuple[bytes, int], int] = {}
+
+        def out():
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([g for _, g in keys], pa.int16()), pa.array(held.values(), pa.int64())], ["word", "context", "n"])
+
+        for b in batches:
+            for part in by_bytes(b, 0, 8_000_000):
+                codes, starts, distinct = tokens_of(_texts(part.column(0)))
+                left = _with_left(context[symbols.of(distinct)][codes], starts, int(context[symbols.words[END]]))
+                cell, n = np.unique(codes * len(context) + left, return_counts=True)
+                for k, g, m in zip((cell // len(context)).tolist(), (cell % len(context)).tolist(), n.tolist(), strict=True):
+                    held[distinct[k], g] = held.get((distinct[k], g), 0) + m
+                if len(held) > 2 * _FLUSH:
+                    yield out()
+                    held = {}
+        if held:
+            yield out()
+
+    def packed(batches):
+        word, gs, ns = None, [], []
+
+        def row():
+            return (word, np.array(gs, np.uint8).tobytes(), np.array(ns, "<i4").tobytes())
+
+        for b in batches:
+            rows = []
+            for w, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if w != word:
+                    if gs:
+                        rows.append(row())
+                    word, gs, ns = w, [], []
+                gs.append(g)
+                ns.append(n)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["word", "contexts", "times"])
+        if gs:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row()], ["word", "contexts", "times"])
+
+    cells = texts.mapInArrow(run, "word binary, context short, n long").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return cells.sortWithinPartitions("word", "context").mapInArrow(packed, "word binary, contexts binary, times binary")
+
+
+@dataclass
+class Rounds:
+    """The rounds of exchange so far: where words start, and the matrix of contexts and classes that each round saw."""
+
+    symbols: Symbols
+    start: np.ndarray  # class of a word by its symbol
+    seen: list[np.ndarray]
+
+    def classes(self, words: list[bytes], contexts: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each word after the rounds, and the entries of its contexts: word's number, context, times."""
+        of = self.start[self.symbols.of(words)]
+        size = np.array([len(g) for g in contexts], np.int64)
+        owner, g, n = np.repeat(np.arange(len(words)), size), np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64), np.frombuffer(b"".join(times), "<i4").astype(np.float64)
+        opens, total = np.cumsum(size) - size, np.bincount(owner, n, len(words))
+        half = np.array([zlib.crc32(w) & 1 for w in words], np.int64)
+        for k, pairs in enumerate(self.seen):
+            sums = pairs.sum(0)
+            # What a class gains by the word; for the word's own class, what it would lose.
+            own = of[owner]
+            once = _plogp(pairs + 1) - _plogp(pairs)
+            add = once[g]
+            more = n != 1
+            add[more] = _plogp(pairs[g[more]] + n[more, None]) - _plogp(pairs[g[more]])
+            gain = np.add.reduceat(add, opens, 0) - (_plogp(sums + total[:, None]) - _plogp(sums))
+            cell = pairs[g, own]
+            keep = np.add.reduceat(_plogp(cell) - _plogp(cell - n), opens) - (_plogp(sums[of]) - _plogp(sums[of] - total))
+            gain[np.arange(len(words)), of] = keep
+            best = gain.argmax(1)
+            moves = (half == k % 2) & (gain[np.arange(len(words)), best] > keep + 1e-9)
+            of = np.where(moves, best, of)
+        return of, owner, g, n
+
+
+def _word_batches(batches, rows: int = 20_000):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            part = b.slice(i, rows)
+            yield part, *(c.to_pylist() for c in part.columns[:3])
+
+
+def exchange_words(contexts: DataFrame, symbols: Symbols, start: np.ndarray, classes: int, rounds: int) -> tuple[Rounds, np.ndarray, np.ndarray, np.ndarray]:
+    """The rounds, then the matrix of contexts and classes, and tokens and types of each class, that they leave."""
+    done = Rounds(symbols, start, [])
+    while True:
+
+        def sums(batches):
+            pairs, types = np.zeros(classes * classes), np.zeros(classes, np.int64)
+            for _, words, gs, ns in _word_batches(batches):
+                of, owner, g, n = done.classes(words, gs, ns)
+                pairs += np.bincount(g * classes + of[owner], n, classes * classes)
+                types += np.bincount(of, minlength=classes)
+            cells = np.concatenate([pairs, types]).astype(np.int64)
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+        cells = np.zeros(classes * classes + classes)
+        for r in contexts.mapInArrow(sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # cells of a small matrix
+            cells[r["cell"]] = r["n"]
+        pairs = cells[: classes * classes].reshape(classes, classes)
+        if len(done.seen) == rounds:
+            return done, pairs, pairs.sum(0), cells[classes * classes :]
+        done.seen.append(pairs)
+
+
+def class_table(contexts: DataFrame, done: Rounds) -> DataFrame:
+    """word, n, class of every word of training."""
+
+    def run(batches):
+        for part, words, gs, ns in _word_batches(batches):
+            of, owner, _, n = done.classes(words, gs, ns)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(owner, n, len(words)).astype(np.int64)), pa.array(of)], ["word", "n", "class"])
+
+    return contexts.mapInArrow(run, "word binary, n long, class long")
+
+
 @dataclass
 class ClassModel:
-    """What scoring needs of the model beside the table of word counts."""
+    """What scoring needs of the model beside the table of words."""
 
     symbols: Symbols
-    classes: np.ndarray  # of symbols
-    moves: np.ndarray  # log10 P(class | class before)
-    known: dict[bytes, int]  # counts of the most frequent words
-    class_norm: np.ndarray  # log10 of tokens and smoothing of a class
+    context: np.ndarray  # of symbols
+    moves: np.ndarray  # log10 P(class | context)
+    norm: np.ndarray  # log10 of tokens and smoothing of a class
+    known: dict[bytes, tuple[int, int]]  # count and class of the most frequent words
     train_tokens: int
     base_norm: float
 
@@ -183,85 +348,89 @@ def _smoothed_moves(pairs: np.ndarray, prior: float = 10.0) -> np.ndarray:
     return np.log10((pairs + prior * share) / (pairs.sum(1, keepdims=True) + prior))
 
 
-def train(texts: DataFrame, counts: DataFrame, classes: int, frequent: int, endings: int, in_memory: int) -> ClassModel:
-    """``counts`` is the written table of ``count_words`` over ``texts``."""
+def train(texts: DataFrame, classes: int, frequent: int, endings: int, in_memory: int, rounds: int) -> tuple[ClassModel, DataFrame]:
+    """The model and the table of words."""
+    counts = materialise(count_words(texts), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(in_memory).collect()]
-    words = {END: 0} | {w: 0 for w, _ in top[:frequent]}
-    symbols = Symbols({w: i for i, w in enumerate(words)}, endings)
-    bigrams = count_bigrams(texts, symbols)
-    of = exchange(bigrams, classes)
-    one = np.eye(classes)[of]
-
-    # Tokens and distinct words of each class, from the whole table of counts.
-    def by_class(batches):
-        tokens, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for b in batches:
-            own = np.array([of[k if (k := symbols.words.get(w)) is not None else symbols.ending(w)] for w in b.column(0).to_pylist()], np.int64)
-            tokens += np.bincount(own, weights=b.column(1).to_numpy(), minlength=classes).astype(np.int64)
-            types += np.bincount(own, minlength=classes)
-        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(tokens), pa.array(types)], ["class", "tokens", "types"])
-
-    sums = counts.mapInArrow(by_class, "class int, tokens long, types long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
-    norm = np.full(classes, np.log10(0.5))
-    for r in sums:
-        norm[r["class"]] = np.log10(r["tokens"] + 0.5 * (r["types"] + 1))
-    return ClassModel(symbols, of, _smoothed_moves(one.T @ bigrams @ one), dict(top), norm, int(n), float(np.log10(n + 0.5 * (v + 1))))
+    top = most_frequent(counts, in_memory)
+    symbols = Symbols({w: i for i, w in enumerate({END: 0} | {w: 0 for w, _ in top[:frequent]})}, endings)
+    context = exchange(count_bigrams(texts, symbols), classes)
+    contexts = materialise(count_contexts(texts, symbols, context), "word-contexts")
+    done, pairs, tokens, types = exchange_words(contexts, symbols, context, classes, rounds)
+    words = materialise(class_table(contexts, done), "word-classes")
+    least = min((c for _, c in top), default=1 << 62)
+    known = {bytes(r["word"]): (r["n"], r["class"]) for r in words.where(F.col("n") >= least).collect()}  # the words of ``top``
+    model = ClassModel(symbols, context, _smoothed_moves(pairs), np.log10(tokens + 0.5 * (types + 1)), known, int(n), float(np.log10(n + 0.5 * (v + 1))))
+    return model, words
 
 
-PARTS = "uid long, doc_id long, n_tokens long, n_known long, sum_known double, moves double, norms double, rest array<struct<word:binary,n:long>>"
+PARTS = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,context:short,n:int,unseen:double>>"
 
 
-def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
-    A task scores what it knows of a text at once, the class bigrams and the frequent words; the other words go
-    with their number in the text to the table of counts, where each finds its own.
+    A task scores what it knows of a text at once, and other words as if training had none of them; those words then go with
+    what stands before them to the table of words, where each that is there corrects its part.
     """
-    own, end = model, model.symbols.words[END]
+    own, none = model, float(np.log10(0.5))
+    classes = len(own.moves)
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
-        get, ending, known = own.symbols.words.get, own.symbols.ending, own.known
-        log_known = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
-        first = own.classes[end]
-        for b in _batches(batches):
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = words_of(t)
-                cs = own.classes[np.array([k if (k := get(w)) is not None else ending(w) for w in ws])]
-                moves = float(own.moves[np.concatenate([[first], cs[:-1]]), cs].sum())
-                rest: Counter[bytes] = Counter([w for w in ws if w not in known])
-                sum_known = sum([log_known[w] for w in ws if w in known])
-                rows.append((uid, d, len(ws), len(ws) - rest.total(), sum_known, moves, float(own.class_norm[cs].sum()), [{"word": w, "n": n} for w, n in rest.items()]))
-                uid += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "doc_id", "n_tokens", "n_known", "sum_known", "moves", "norms", "rest"])
+        for b in batches:
+            for part in by_bytes(b, 1):
+                codes, starts, distinct = tokens_of(_texts(part.column(1)))
+                context = own.context[own.symbols.of(distinct)]
+                found = [own.known.get(w) for w in distinct]
+                known = np.array([x is not None for x in found])
+                of = np.array([x[1] if x else c for x, c in zip(found, context.tolist(), strict=True)], np.int64)  # an unseen word's class is that of its ending
+                logs = np.log10(np.array([x[0] if x else 0 for x in found]) + 0.5)
+                left = _with_left(context[codes], starts, int(own.context[own.symbols.words[END]]))
+                score = own.moves[left, of[codes]] + (logs - own.norm[of])[codes]
+                doc = np.repeat(np.arange(part.num_rows), np.diff(starts))
+                other = np.flatnonzero(~known[codes])
+                cell, n = np.unique((doc[other] * len(distinct) + codes[other]) * classes + left[other], return_counts=True)
+                g, rest = cell % classes, cell // classes % len(distinct)
+                unseen = own.moves[g, of[rest]] + none - own.norm[of[rest]]
+                struct = pa.StructArray.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(rest)), pa.array(g.astype(np.int16)), pa.array(n.astype(np.int32)), pa.array(unseen)], ["word", "context", "n", "unseen"])
+                cuts = np.searchsorted(cell // classes // len(distinct), np.arange(part.num_rows + 1))
+
+                def per_doc(x, doc=doc, rows=part.num_rows):
+                    return np.bincount(doc, x, rows)
+
+                size = np.diff(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid + np.arange(part.num_rows)), part.column(0), pa.array(size), pa.array(per_doc(known[codes]).astype(np.int64)), pa.array(per_doc(logs[codes])), pa.array(per_doc(score)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), struct)],
+                    ["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
+                )
+                uid += part.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = materialise(rows.mapInArrow(run, PARTS), "class-model-texts")
-    rest = parts.select("uid", F.explode("rest").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    found = rest.join(counts, "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("sum_more"))
-    out = parts.drop("rest").join(found, "uid", "left")
-    n_known = F.col("n_known") + F.coalesce("more", F.lit(0))
-    # A word that training never saw has the count 0.
-    logs = F.col("sum_known") + F.coalesce("sum_more", F.lit(0.0)) + (F.col("n_tokens") - n_known) * float(np.log10(0.5))
+    rest = parts.select("uid", F.explode("rest").alias("r")).select("uid", "r.*")
+    moves, norm = F.lit(own.moves.reshape(-1).tolist()), F.lit(own.norm.tolist())
+    log = F.log10(F.col("count") + 0.5)
+    seen = F.element_at(moves, (F.col("context") * classes + F.col("class") + 1).cast("int")) + log - F.element_at(norm, (F.col("class") + 1).cast("int"))
+    found = rest.join(words.select("word", F.col("n").alias("count"), "class"), "word").groupBy("uid").agg(
+        F.sum("n").cast("long").alias("more"), F.sum(F.col("n") * (log - none)).alias("base_more"), F.sum(F.col("n") * (seen - F.col("unseen"))).alias("score_more")
+    )
+    out = parts.drop("rest").join(found, "uid", "left").fillna(0, ["more", "base_more", "score_more"])
     return out.select(
-        "doc_id", "n_tokens", n_known.alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(model.base_norm)).alias("base_score"), (F.col("moves") + logs - F.col("norms")).alias("score"),
+        "doc_id", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(own.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("base_more") - F.col("n_tokens") * F.lit(own.base_norm)).alias("base_score"), (F.col("score") + F.col("score_more")).alias("score"),
     )
 
 
-def score_documents(docs: DataFrame, training: DataFrame, classes: int = 64, frequent: int = 1023, endings: int = 512, in_memory: int = 50_000) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, classes: int = 64, frequent: int = 1023, endings: int = 512, in_memory: int = 50_000, rounds: int = 4) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text) by a model of all rows of ``training`` (text).
 
     Null and empty texts are an end token alone; repeated rows count, and are scored, each; whole texts of any
     length; other columns are ignored. Without training documents every word is unknown. An empty ``docs``
-    gives no rows.
+    gives no rows. There may be 256 ``classes`` at most.
     """
-    texts = training.select(F.col("text").cast("string").alias("text"))
-    counts = materialise(count_words(texts), "word-counts")
-    return score_texts(docs, train(texts, counts, classes, frequent, endings, in_memory), counts)
+    model, words = train(training.select(F.col("text").cast("string").alias("text")), classes, frequent, endings, in_memory, rounds)
+    return score_texts(docs, model, words)
 
 
 def op3_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -495,25 +495,91 @@ def test_language_is_learnt_from_text_alone(spark):
     assert {x.lang_pred for x in identify(docs(spark, test), fit(docs(spark, []))).collect()} == {"und"}
 
 
-def test_class_model_counts_and_base(spark):
-    from oddsmill.llm.class_model import score_documents
+def plain_model(train, classes, frequent, endings, in_memory, rounds):
+    """The class model by plain counting: context of each symbol, class and count of each word, and the pairs of both."""
+    from oddsmill.llm.class_model import END, Symbols, exchange
+
+    texts = [[*WORD.findall((t or "").encode().lower().decode()), END.decode()] for t in train]
+    counts = Counter(w.encode() for t in texts for w in t)
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    for n in sorted({c for _, c in top}):  # whole groups of alike counts
+        if sum(c >= n for _, c in top) <= in_memory:
+            top = [x for x in top if x[1] >= n]
+            break
+    else:
+        top = []
+    symbols = Symbols({w: i for i, w in enumerate({END: 0} | {w: 0 for w, _ in top[:frequent]})}, endings)
+    n = np.zeros((len(symbols), len(symbols)))
+    for t in texts:
+        ids = symbols.of([w.encode() for w in t])
+        for a, b in zip([symbols.words[END], *ids[:-1]], ids, strict=True):
+            n[a, b] += 1
+    context = exchange(n, classes)
+    left = {}
+    for t in texts:
+        g = context[symbols.of([END, *[w.encode() for w in t[:-1]]])]
+        for w, c in zip(t, g.tolist(), strict=True):
+            left.setdefault(w.encode(), Counter())[c] += 1
+    of = {w: int(context[symbols.of([w])[0]]) for w in counts}
+    h = lambda x: x * math.log(x) if x > 1 else 0.0
+
+    def pairs():
+        out = np.zeros((classes, classes))
+        for w, gs in left.items():
+            for g, m in gs.items():
+                out[g, of[w]] += m
+        return out
+
+    def likelihood(p):
+        return sum(map(h, p.reshape(-1))) - sum(map(h, p.sum(0)))
+
+    likelihoods = [likelihood(pairs())]
+    for k in range(rounds):
+        p, moved = pairs(), {}
+        for w, gs in left.items():
+            c, total = of[w], sum(gs.values())
+            rest, sums = p.copy(), p.sum(0)
+            for g, m in gs.items():
+                rest[g, c] -= m
+            sums[c] -= total
+            gain = [sum(h(rest[g, j] + m) - h(rest[g, j]) for g, m in gs.items()) - h(sums[j] + total) + h(sums[j]) for j in range(classes)]
+            best = max(range(classes), key=lambda j: (gain[j], -j))
+            moved[w] = best if zlib.crc32(w) & 1 == k % 2 and gain[best] > gain[c] + 1e-9 else c
+        of = moved
+        likelihoods.append(likelihood(pairs()))
+    return symbols, context, counts, of, pairs(), likelihoods
+
+
+def test_class_model_equals_plain_counting(spark):
+    from oddsmill.llm.class_model import END, _smoothed_moves, score_documents, tokens_of
 
     r = random.Random(10)
     rows = ODD + [(i, prose(r, r.randrange(5, 60), i % 2), None) for i in range(20, 90)]
     train = [x for x in rows if x[0] is None or x[0] % 3]
-    got = score_documents(docs(spark, rows), docs(spark, train), classes=6, frequent=20, endings=16, in_memory=30).collect()
-    tokens = lambda t: [*WORD.findall((t or "").encode().lower().decode()), None]
-    counts = Counter(w for _, t, _ in train for w in tokens(t))
+    how = {"classes": 6, "frequent": 20, "endings": 16, "in_memory": 30, "rounds": 4}
+    got = score_documents(docs(spark, rows), docs(spark, train), **how).collect()
+    symbols, context, counts, of, pairs, likelihoods = plain_model([t for _, t, _ in train], **how)
+    assert likelihoods[-1] > likelihoods[0] and len(set(of.values())) > 2
+    moves, tokens = _smoothed_moves(pairs), pairs.sum(0)
+    norm = np.log10(tokens + 0.5 * (np.bincount([*of.values()], minlength=6) + 1))
     n, v = sum(counts.values()), len(counts)
     assert len(got) == len(rows)
     texts = {i: t for i, t, _ in rows}
     for x in got:
-        w = tokens(texts[x.doc_id])
+        w = [*(texts[x.doc_id] or "").encode().lower().split(), END]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w), sum(k in counts for k in w), n)
         assert math.isclose(x.base_score, sum(math.log10((counts[k] + 0.5) / (n + 0.5 * (v + 1))) for k in w), rel_tol=1e-9)
-        assert math.isfinite(x.score) and x.score < 0
+        g = context[symbols.of([END, *w[:-1]])]
+        c = [of.get(k, int(context[symbols.of([k])[0]])) for k in w]
+        assert math.isclose(x.score, sum(moves[a, b] + math.log10(counts[k] + 0.5) - norm[b] for a, b, k in zip(g, c, w, strict=True)), rel_tol=1e-9)
     seen = [x for x in got if (x.doc_id or 0) >= 20]
     assert sum(x.score for x in seen) > sum(x.base_score for x in seen)
+    assert score_documents(docs(spark, []), docs(spark, train), **how).count() == 0
+    blank = score_documents(docs(spark, rows), docs(spark, []), **how).collect()
+    assert len(blank) == len(rows) and all(x.n_known == 0 and x.train_tokens == 0 and math.isfinite(x.score) for x in blank)
+    raw = [(t or "").encode() for _, t, _ in rows]
+    codes, starts, distinct = tokens_of(raw)
+    assert [[distinct[k] for k in codes[a:b]] for a, b in zip(starts, starts[1:], strict=False)] == [[*t.lower().split(), END] for t in raw]
 
 
 def test_exchange_never_lowers_the_likelihood():
