@@ -157,6 +157,11 @@ def build_features(trades: DataFrame, markets: DataFrame, resolutions: DataFrame
     return first_write_wins(rows.drop("closed_at", "outcome_yes_won", "categories_json", "category", "outcome_side", "bs", "size", "notional_usd"), KEY, ["ts"])
 
 
+def only_new(examples: DataFrame, built: DataFrame) -> DataFrame:
+    """Examples whose key is not in ``built``, for a build that adds to an earlier one."""
+    return examples.join(built.select(*KEY), list(KEY), "left_anti")
+
+
 def dropped_duplicates(examples: DataFrame) -> DataFrame:
     """How many rows ``first_write_wins`` would drop."""
     return examples.agg((F.count("*") - F.count_distinct(*KEY)).alias("dropped"))

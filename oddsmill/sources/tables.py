@@ -47,6 +47,11 @@ def scan(spark: SparkSession, path: str, schema, platform: str | None = None, co
     return df.select(*columns) if columns else df
 
 
+def chronological(trades: DataFrame) -> DataFrame:
+    """Trades in the order in which they happened; ranges of time are sorted apart, so no task sorts all."""
+    return trades.orderBy("ts", "tx_hash", "asset_id")
+
+
 def replace_platform(df: DataFrame, path: str) -> None:
     """Swaps the partitions of the platforms in ``df``; those of others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("platform").parquet(path)
