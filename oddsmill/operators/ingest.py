@@ -208,14 +208,20 @@ def book_ticks(messages: DataFrame, interval: int = 60, depth: int = 5) -> DataF
 
     ``book`` rows carry the levels of a snapshot that replaces the book; ``price_change`` rows set a level, size 0
     deletes it; ``last_trade_price`` rows carry a price. A tick stands at the end of each interval with messages.
+
+    Each row of a level is live until the next row of its level or the next snapshot of its asset; it then stands in the ticks
+    from its interval to the one before that, so ticks hold the live levels and no message meets all later ones.
     """
-    m = messages.withColumn("snapshot_at", (F.floor(F.col("ts") / interval) + 1) * interval)
-    ends = m.select("asset_id", "snapshot_at").distinct()
-    levels = m.where("event_type in ('book', 'price_change')").select("asset_id", F.col("ts").alias("_ts"), "seq", "event_type", "side", "price", "size")
-    seen = ends.join(levels, "asset_id").where("_ts < snapshot_at")
-    by_book = Window.partitionBy("asset_id", "snapshot_at")
-    seen = seen.withColumn("last_book", F.max(F.when(F.col("event_type") == "book", F.col("seq"))).over(by_book)).where("last_book is null or seq >= last_book")
-    level = seen.groupBy("asset_id", "snapshot_at", "side", "price").agg(F.max_by("size", "seq").alias("size")).where("size > 0")
+    rank = F.dense_rank().over(Window.partitionBy("asset_id").orderBy("snapshot_at"))
+    m = messages.withColumn("snapshot_at", (F.floor(F.col("ts") / interval) + 1) * interval).withColumn("r", rank)
+    ends = m.groupBy("asset_id", "r").agg(F.min("snapshot_at").alias("snapshot_at"))
+    levels = m.where("event_type in ('book', 'price_change')")
+    later = Window.partitionBy("asset_id").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    own = Window.partitionBy("asset_id", "side", "price").orderBy("seq")
+    replaced = F.least(F.lead(F.struct("seq", "r")).over(own), F.min(F.when(F.col("event_type") == "book", F.struct("seq", "r"))).over(later))
+    last = m.groupBy("asset_id").agg((F.max("r") + 1).alias("over"))
+    live = levels.withColumn("replaced", replaced).join(last, "asset_id").withColumn("until", F.coalesce("replaced.r", "over") - 1).where("size > 0 and until >= r")
+    level = live.select("asset_id", "side", "price", "size", F.explode(F.sequence("r", "until")).alias("r")).join(ends, ["asset_id", "r"])
     best = Window.partitionBy("asset_id", "snapshot_at", "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")))
     ranked = level.withColumn("k", F.row_number().over(best))
 
@@ -224,9 +230,10 @@ def book_ticks(messages: DataFrame, interval: int = 60, depth: int = 5) -> DataF
         return [F.max(F.when(own & (F.col("k") == 1), F.col("price"))).alias(f"best_{side}"), F.sum(F.when(own & (F.col("k") <= depth), F.col("size"))).alias(f"{side}_depth_top5")]
 
     book = ranked.groupBy("asset_id", "snapshot_at").agg(*top("bid"), *top("ask"))
-    last = ends.join(m.where("event_type = 'last_trade_price'").select("asset_id", F.col("seq").alias("_seq"), F.col("ts").alias("_ts"), "price"), "asset_id").where("_ts < snapshot_at")
-    last = last.groupBy("asset_id", "snapshot_at").agg(F.max_by("price", "_seq").alias("last_trade_price"))
-    out = ends.join(book, ["asset_id", "snapshot_at"], "left").join(last, ["asset_id", "snapshot_at"], "left")
+    traded = m.where("event_type = 'last_trade_price'").groupBy("asset_id", "snapshot_at").agg(F.max_by("price", "seq").alias("price"))
+    so_far = Window.partitionBy("asset_id").orderBy("snapshot_at").rowsBetween(Window.unboundedPreceding, 0)
+    last = ends.drop("r").join(traded, ["asset_id", "snapshot_at"], "left").select("asset_id", "snapshot_at", F.last("price", ignorenulls=True).over(so_far).alias("last_trade_price"))
+    out = ends.drop("r").join(book, ["asset_id", "snapshot_at"], "left").join(last, ["asset_id", "snapshot_at"], "left")
     return out.withColumns({"mid_price": (F.col("best_bid") + F.col("best_ask")) / 2, "spread": F.col("best_ask") - F.col("best_bid")})
 
 

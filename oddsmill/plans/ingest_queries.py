@@ -11,7 +11,10 @@ from oddsmill.plans import views
 from oddsmill.plans.registry import query
 from oddsmill.sources import tables
 
-_N = F.col("size").cast("long")
+
+def _n():
+    return F.col("size").cast("long")
+
 
 
 def _part(spark, sf_dir):
@@ -22,8 +25,8 @@ def _part(spark, sf_dir):
 def market_scoped_to_trades(spark, sf_dir):
     """Fields in camel case for odd sizes and in snake case for even ones; each seventh has no wallet."""
     names = {"tx_hash": ("transactionHash", "transaction_hash"), "asset_id": ("asset", "asset_id"), "wallet_address": ("proxyWallet", "wallet"), "condition_id": ("conditionId", "condition_id")}
-    wallet = F.when(_N % 7 != 0, F.col("wallet_address"))
-    fields = [F.when(_N % 2 == 1 - j, wallet if c == "wallet_address" else F.col(c)).alias(both[j]) for c, both in names.items() for j in (0, 1)]
+    wallet = F.when(_n() % 7 != 0, F.col("wallet_address"))
+    fields = [F.when(_n() % 2 == 1 - j, wallet if c == "wallet_address" else F.col(c)).alias(both[j]) for c, both in names.items() for j in (0, 1)]
     payload = F.struct(*fields, F.lower("bs").alias("side"), F.col("size").cast("string").alias("size"), F.col("price").cast("string").alias("price"), F.col("ts").cast("string").alias("timestamp"))
     return ingest.market_scoped_trades(views.trades(spark, sf_dir).select(F.to_json(payload).alias("raw")))
 
@@ -33,7 +36,7 @@ def market_feed_to_trades(spark, sf_dir):
     """Each eleventh row has a price that is no number."""
     payload = F.struct(
         F.col("tx_hash").alias("transactionHash"), F.col("asset_id").alias("asset"), F.col("wallet_address").alias("proxyWallet"), F.initcap("outcome_side").alias("outcome"), F.lower("bs").alias("side"),
-        F.when(_N % 11 != 0, F.col("price").cast("string")).otherwise("n/a").alias("price"), F.col("size").cast("string").alias("size"), F.col("ts").alias("timestamp"),
+        F.when(_n() % 11 != 0, F.col("price").cast("string")).otherwise("n/a").alias("price"), F.col("size").cast("string").alias("size"), F.col("ts").alias("timestamp"),
     )
     return ingest.market_feed_trades(views.trades(spark, sf_dir).select("condition_id", F.to_json(payload).alias("raw")))
 
@@ -44,7 +47,7 @@ def bets_to_trades(spark, sf_dir):
     """Each thirteenth bet is cancelled, each third a limit bet, of which odd sizes are unfilled or of unknown state."""
     bets = views.trades(spark, sf_dir).select(
         F.col("tx_hash").alias("id"), F.col("condition_id").alias("contract_id"), F.col("wallet_address").alias("user_id"), F.col("outcome_side").alias("outcome"), F.when(F.col("bs") == "SELL", -F.col("size")).otherwise(F.col("size")).alias("amount"), F.col("price").alias("prob_before"),
-        F.col("ts").alias("created_time"), F.when(_N % 2 == 0, True).when(_N % 5 != 0, False).alias("is_filled"), F.when(_N % 13 == 0, True).alias("is_cancelled"), F.when(_N % 3 == 0, F.col("price")).alias("limit_prob"),
+        F.col("ts").alias("created_time"), F.when(_n() % 2 == 0, True).when(_n() % 5 != 0, False).alias("is_filled"), F.when(_n() % 13 == 0, True).alias("is_cancelled"), F.when(_n() % 3 == 0, F.col("price")).alias("limit_prob"),
     )
     return ingest.bet_trades(bets)
 
@@ -55,7 +58,7 @@ def subgraph_fills(spark, sf_dir):
     """The answers overlap in each sixth fill."""
     t = views.trades(spark, sf_dir)
     buy = F.col("bs") == "BUY"
-    fills = t.select(F.concat("tx_hash", "wallet_address").alias("transaction_hash"), _N.alias("log_index"), F.when(buy, "0").otherwise(F.col("asset_id")).alias("maker_asset_id"), F.when(buy, F.col("asset_id")).otherwise("0").alias("taker_asset_id"))
+    fills = t.select(F.concat("tx_hash", "wallet_address").alias("transaction_hash"), _n().alias("log_index"), F.when(buy, "0").otherwise(F.col("asset_id")).alias("maker_asset_id"), F.when(buy, F.col("asset_id")).otherwise("0").alias("taker_asset_id"))
     assets = t.where(F.substring("condition_id", 2, 20).cast("long") % 4 == 0).select("asset_id")
     return ingest.subgraph_fills(fills.where("log_index % 2 = 0"), fills.where("log_index % 3 = 0"), assets)
 
@@ -66,7 +69,7 @@ def subgraph_fills(spark, sf_dir):
     where notional_usd >= case venue when 'manifold' then 100 else 10 end)) where k = 1""")
 def stored_trades(spark, sf_dir):
     """Every trade comes twice, with its wallet in small letters five seconds later."""
-    t = views.trades(spark, sf_dir).withColumn("platform", F.when(_N % 5 == 0, "manifold").when(_N % 5 == 1, "elsewhere").otherwise("polymarket"))
+    t = views.trades(spark, sf_dir).withColumn("platform", F.when(_n() % 5 == 0, "manifold").when(_n() % 5 == 1, "elsewhere").otherwise("polymarket"))
     both = t.withColumn("ts", F.col("ts") + 5).unionByName(t.withColumn("wallet_address", F.upper("wallet_address")))
     return ingest.stored_trades(both).select("platform", "tx_hash", "asset_id", F.col("wallet_address").alias("wallet"), "ts", "notional_usd")
 
@@ -127,7 +130,7 @@ def market_snapshots(spark, sf_dir):
 @query("select wallet_address, condition_id, outcome_side as outcome, round(size + 3e-12, 8) as size, 77 as snapshot_at from closed_positions where cast(size as bigint) % 5 <> 0 and cast(size as bigint) % 7 <> 0")
 def position_history(spark, sf_dir):
     """Each fifth position has no market, each seventh a blank outcome."""
-    p = views.closed_positions(spark, sf_dir).select("wallet_address", F.when(_N % 5 != 0, F.col("condition_id")).alias("condition_id"), F.when(_N % 7 != 0, F.col("outcome_side")).otherwise("").alias("outcome"), "size")
+    p = views.closed_positions(spark, sf_dir).select("wallet_address", F.when(_n() % 5 != 0, F.col("condition_id")).alias("condition_id"), F.when(_n() % 7 != 0, F.col("outcome_side")).otherwise("").alias("outcome"), "size")
     return ingest.position_history(p, 77)
 
 
@@ -135,7 +138,7 @@ def position_history(spark, sf_dir):
   select *, case bs when 'BUY' then 'TRADE' else 'REDEEM' end as kind, '{"type":"' || case bs when 'BUY' then 'TRADE' else 'REDEEM' end || '","timestamp":' || ts || ',"tx":"' || tx_hash || asset_id || '"}' as raw from trades where cast(size as bigint) % 9 <> 0) group by all""")
 def activity_log(spark, sf_dir):
     """Each ninth payload has no timestamp."""
-    stamp = F.when(_N % 9 != 0, F.concat(F.lit(',"timestamp":'), F.col("ts").cast("string"))).otherwise("")
+    stamp = F.when(_n() % 9 != 0, F.concat(F.lit(',"timestamp":'), F.col("ts").cast("string"))).otherwise("")
     raw = F.concat(F.lit('{"type":"'), F.when(F.col("bs") == "BUY", "TRADE").otherwise("REDEEM"), F.lit('"'), stamp, F.lit(',"tx":"'), "tx_hash", "asset_id", F.lit('"}'))
     return ingest.activity_log(views.trades(spark, sf_dir).select(F.col("wallet_address").alias("wallet"), raw.alias("raw")))
 
@@ -158,7 +161,7 @@ def exchange_market_rows(spark, sf_dir):
 @query("""select tx_hash || asset_id || wallet_address as trade_id, cast(case when cast(size as bigint) % 2 = 0 then 1 else round(price * 100) end as int) as yes_price from trades""")
 def exchange_trade_rows(spark, sf_dir):
     """Trades that are known stay as they were."""
-    t = views.trades(spark, sf_dir).select(F.concat("tx_hash", "asset_id", "wallet_address").alias("trade_id"), F.col("condition_id").alias("ticker"), F.col("price").cast("string").alias("yes_price"), (1 - F.col("price")).cast("string").alias("no_price"), F.col("ts").alias("created_at"), _N.alias("n"))
+    t = views.trades(spark, sf_dir).select(F.concat("tx_hash", "asset_id", "wallet_address").alias("trade_id"), F.col("condition_id").alias("ticker"), F.col("price").cast("string").alias("yes_price"), (1 - F.col("price")).cast("string").alias("no_price"), F.col("ts").alias("created_at"), _n().alias("n"))
     known = t.where("n % 2 = 0").select("trade_id", "ticker", F.lit(1).alias("yes_price"), F.lit(1).alias("no_price"), "created_at")
     none = spark.sql("select '' as ticker, '' as yes_bid, '' as yes_ask, '' as no_bid, '' as no_ask, '' as last_price, 0 as seen_at where false")
     return ingest.exchange_tables(none, none.withColumns({c: F.lit(0) for c in ("yes_bid", "yes_ask", "no_bid", "no_ask", "last_price")}), t.drop("n"), known)[1].select("trade_id", "yes_price")
@@ -177,13 +180,13 @@ def play_money_rows(spark, sf_dir):
 @query("select wallet_address, min(ts) as ts from trades where cast(size as bigint) % 2 = 0 and wallet_address not in (select wallet_address from trades where cast(size as bigint) = 1) group by wallet_address")
 def insert_or_ignore(spark, sf_dir):
     t = views.trades(spark, sf_dir)
-    return ingest.insert_or_ignore(t.where(_N % 2 == 0).select("wallet_address", "ts"), t.where(_N == 1), ["wallet_address"], ["ts"])
+    return ingest.insert_or_ignore(t.where(_n() % 2 == 0).select("wallet_address", "ts"), t.where(_n() == 1), ["wallet_address"], ["ts"])
 
 
 @query("""select asset_id, arg_max(price, (ts, tx_hash, wallet_address)) as price from (select asset_id, round(price + 3e-12, 8) as price, ts, tx_hash, wallet_address from trades where cast(size as bigint) % 2 = 0) group by asset_id
   union all select asset_id, 0.0 from (select distinct asset_id from trades) where asset_id not in (select asset_id from trades where cast(size as bigint) % 2 = 0)""")
 def upsert_latest(spark, sf_dir):
-    t = views.trades(spark, sf_dir).select("asset_id", "price", "ts", "tx_hash", "wallet_address", _N.alias("n"))
+    t = views.trades(spark, sf_dir).select("asset_id", "price", "ts", "tx_hash", "wallet_address", _n().alias("n"))
     target = t.select("asset_id").distinct().withColumn("price", F.lit(0.0))
     return ingest.upsert(t.where("n % 2 = 0").drop("n"), target, ["asset_id"], ["ts", "tx_hash", "wallet_address"]).select("asset_id", "price")
 
@@ -200,7 +203,7 @@ def watchlist(spark, sf_dir):
 @query("select tx_hash, asset_id, wallet_address, ts from trades t where ts > coalesce((select max(ts) from trades o where o.condition_id = t.condition_id and cast(o.size as bigint) % 10 = 0), 0)")
 def newer_than_seen(spark, sf_dir):
     t = views.trades(spark, sf_dir)
-    return ingest.newer_than_seen(t, t.where(_N % 10 == 0)).select("tx_hash", "asset_id", "wallet_address", "ts")
+    return ingest.newer_than_seen(t, t.where(_n() % 10 == 0)).select("tx_hash", "asset_id", "wallet_address", "ts")
 
 
 @query("""select tx_hash, asset_id, wallet_address from (select *, max(case when run >= 3 then 1 else 0 end) over (partition by condition_id order by k) as ended from (
@@ -208,7 +211,7 @@ def newer_than_seen(spark, sf_dir):
       select *, case when cast(size as bigint) % 3 <> 0 then 1 else 0 end as known, row_number() over (partition by condition_id order by ts desc, tx_hash, asset_id, wallet_address) as k from trades))) where ended = 0 and known = 0""")
 def poll_until_known(spark, sf_dir):
     t = views.trades(spark, sf_dir)
-    return ingest.until_known(t, t.where(_N % 3 != 0), ["tx_hash", "asset_id", "wallet_address"], "condition_id", stop=3).select("tx_hash", "asset_id", "wallet_address")
+    return ingest.until_known(t, t.where(_n() % 3 != 0), ["tx_hash", "asset_id", "wallet_address"], "condition_id", stop=3).select("tx_hash", "asset_id", "wallet_address")
 
 
 @query("""select 'w' || c_custkey as address, case when c_custkey % 2 = 0 then 'tracked' when c_custkey % 3 = 0 then 'whale_alert' else 'manual' end as source from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0 or c_custkey % 5 = 0""")
@@ -221,7 +224,7 @@ def watchlist_mirror(spark, sf_dir):
 @query("select tx_hash, asset_id, wallet_address, ts, cast(size as bigint) as n from trades where cast(size as bigint) % 2 = 0")
 def platform_scan(spark, sf_dir):
     """Two venues are written as partitions and one of them again, then one is read back, with the columns asked for and in order."""
-    t = views.trades(spark, sf_dir).select("tx_hash", "asset_id", "wallet_address", "ts", _N.alias("n"), F.when(_N % 2 == 0, "even").otherwise("odd").alias("platform"))
+    t = views.trades(spark, sf_dir).select("tx_hash", "asset_id", "wallet_address", "ts", _n().alias("n"), F.when(_n() % 2 == 0, "even").otherwise("odd").alias("platform"))
     path = f"{tables.scratch_dir(spark)}/platforms-{uuid.uuid4().hex}"
     tables.replace_platform(t, path)
     tables.replace_platform(t.where("platform = 'odd'").withColumn("n", F.lit(0).cast("long")), path)

@@ -11,7 +11,10 @@ from oddsmill.plans.queries import _CATEGORIZED, _SQL_FEATURES, _TAGGED, _exampl
 from oddsmill.plans.registry import query
 from oddsmill.streaming import state
 
-_KEY = F.substring("condition_id", 2, 20).cast("long")
+
+def _key():
+    return F.substring("condition_id", 2, 20).cast("long")
+
 
 
 def _part(spark, sf_dir):
@@ -69,7 +72,7 @@ def refresh_tags(spark, sf_dir):
     """Each third market's event is unknown."""
     t = _tagged(spark, sf_dir).select("condition_id", "tags")
     m = t.select("condition_id", F.concat(F.lit("e"), "condition_id").alias("event_slug"), F.lit("old").alias("category"), F.lit("[]").alias("categories_json"), F.lit("[]").alias("tags_json"))
-    known = t.where(_KEY % 3 != 0).select(F.concat(F.lit("e"), "condition_id").alias("event_slug"), "tags")
+    known = t.where(_key() % 3 != 0).select(F.concat(F.lit("e"), "condition_id").alias("event_slug"), "tags")
     return corpus.refresh_tags(m, known).select("condition_id", "tags_json", "categories_json", "category")
 
 
@@ -82,7 +85,7 @@ def tick_universe(spark, sf_dir):
 
 @query("select condition_id from market_cache where cast(substr(condition_id, 2) as bigint) % 3 <> 0 and volume_usd >= 455000 order by condition_id limit 45")
 def whale_universe(spark, sf_dir):
-    return corpus.whale_universe(views.market_cache(spark, sf_dir).withColumn("order_book", _KEY % 3 != 0), 455_000, 45).select("condition_id")
+    return corpus.whale_universe(views.market_cache(spark, sf_dir).withColumn("order_book", _key() % 3 != 0), 455_000, 45).select("condition_id")
 
 
 @query("select condition_id, min(ts) as first_ts, max(ts) as last_ts from trades where cast(substr(condition_id, 2) as bigint) % 5 = 0 group by condition_id")
@@ -197,7 +200,7 @@ def market_recent_prices(spark, sf_dir):
 def category_flags(spark, sf_dir):
     """All nine flags of a market, from its list of categories or, where that is empty, its category."""
     found = categorize_tags(F.col("tags"))
-    m = _tagged(spark, sf_dir).select("condition_id", F.when(_KEY % 2 == 0, F.to_json(found)).when(F.size(found) > 1, F.to_json(found)).otherwise("[]").alias("categories_json"), primary_category(F.col("tags")).alias("category"))
+    m = _tagged(spark, sf_dir).select("condition_id", F.when(_key() % 2 == 0, F.to_json(found)).when(F.size(found) > 1, F.to_json(found)).otherwise("[]").alias("categories_json"), primary_category(F.col("tags")).alias("category"))
     flags = features.category_flags()
     named = F.array_sort(F.array_compact(F.array(*[F.when(c == 1, k.removeprefix("cat_")) for k, c in flags.items()])))
     return m.select("condition_id", F.array_join(named, ",").alias("flags"))
