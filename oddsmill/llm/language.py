@@ -93,8 +93,12 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, per_lang: int = 250, seed: int = 11) -> LanguageModel:
-    """Fits on rows with text and lang: at most ``per_lang`` of each language, drawn by a hash of doc_id."""
-    usable = labelled.where("lang is not null and text is not null").withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)))
+    """Fits on rows with text and lang: at most ``per_lang`` of each language, drawn by a hash of doc_id.
+
+    Rows without text, lang or a letter teach nothing; repeated rows may each be drawn; other columns are ignored; without any row the
+    model says ``und``. The driver gets the features that a drawn text has, in half precision.
+    """
+    usable = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null").withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)))
     counts = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.count("*")).alias("share"))
     drawn = usable.join(F.broadcast(counts), "lang").where(F.col("h") < F.col("share") * 1_000_000)  # a row for each language
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
@@ -107,12 +111,16 @@ def fit(labelled: DataFrame, per_lang: int = 250, seed: int = 11) -> LanguageMod
                 texts = part.column(1).to_pylist()
                 x = features(texts)
                 keep = [j for j, t in enumerate(texts) if _LETTER.search(t)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([x[j].tobytes() for j in keep], pa.binary())], ["lang", "x"])
-
-    rows = sorted((r.lang, bytes(r.x)) for r in drawn.mapInArrow(run, "lang string, x binary").collect())
-    langs = sorted({k for k, _ in rows})
-    x = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(-1, DIMS)
-    y = np.array([langs.index(k) for k, _ in rows])
+                at = [np.flatnonzero(x[j]) for j in keep]
+                cols = [pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[j][a].astype("<f2").tobytes() for j, a in zip(keep, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), *cols], ["lang", "at", "x"])
+
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in drawn.mapInArrow(run, "lang string, at binary, x binary").collect())
+    langs = sorted({k for k, _, _ in rows})
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for j, (_, at, v) in enumerate(rows):
+        x[j, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f2")
+    y = np.array([langs.index(k) for k, _, _ in rows])
     by_family: dict[str, list[str]] = {}
     for k in langs:
         by_family.setdefault(family_of(k), []).append(k)

@@ -55,7 +55,8 @@ _NONE = f"cast(array() as array<{_SPAN}>)"
 def found(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost matches that don't overlap: array of (start, kind, end, body), in code points.
 
-    ``split`` gives what lies between the matches, so their places are running sums of lengths.
+    ``split`` gives what lies between the matches, so their places are running sums of lengths. Sums run within lots of 64
+    matches and over the lots, so that arrays that grow stay short.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), m.alias("body")))
@@ -66,8 +67,12 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["body"].alias("body"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    run = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.expr(_NONE).alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), run).otherwise(F.expr(_NONE))
+    def run(pairs):
+        lots = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / 64).cast("int") - 1), lambda k: F.slice(pairs, k * 64 + 1, F.lit(64)))
+        sums = F.aggregate(lots, F.array(F.lit(0).cast("long")), lambda acc, lot: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(lot, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + F.length(x["body"])))))
+        return F.flatten(F.zip_with(lots, F.slice(sums, F.lit(1), F.size(lots)), lambda lot, at: F.aggregate(lot, F.struct(at.alias("at"), F.expr(_NONE).alias("spans")), step)["spans"]))
+
+    return F.when(text.rlike(pattern), F.transform(F.array(pairs), run)[0]).otherwise(F.expr(_NONE))
 
 
 def base_spans(text: Column) -> Column:

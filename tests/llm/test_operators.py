@@ -478,6 +478,16 @@ def test_reply_trees_and_round_trip(spark):
     assert root_to_leaf_paths(df.limit(0)).count() == 0
 
 
+def test_conversations_without_an_id_are_one(spark):
+    from oddsmill.llm.chat import as_messages, digest, format_paths, root_to_leaf_paths
+
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b <|"), (7, None, "assistant", None), (7, 1, None, "\\<|"), (7, 1, None, "\\<|")]
+    m = as_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x.conv_id: x for x in digest(format_paths(m, root_to_leaf_paths(m))).collect()}
+    assert {k: (x.n_turns, x.loss_chars) for k, x in got.items()} == {None: (2, 4), 7: (3, 0)}
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb <|\n").hexdigest() and got[None].loss_sha256 == hashlib.sha256(b"b <|").hexdigest()
+
+
 # -- language, model, pages -----------------------------------------------------------------------
 
 
@@ -487,7 +497,8 @@ def test_language_is_learnt_from_text_alone(spark):
     r = random.Random(7)
     train = [(i, prose(r, 60, i % 2), ("en", "de")[i % 2]) for i in range(80)]
     test = [(i, prose(r, 40, i % 2), ("en", "de")[i % 2]) for i in range(200, 260)]
-    model = fit(docs(spark, train + [(900, None, "en"), (901, "123", "de"), (902, "text", None)]), per_lang=30)
+    clashing = docs(spark, train + [(900, None, "en"), (901, "123", "de"), (902, "text", None)]).withColumns({c: F.lit(1) for c in ("share", "h", "k")})
+    model = fit(clashing, per_lang=30)
     got = {x.doc_id: x for x in identify(docs(spark, test + ODD + [(700, "12 34", "en")]), model).collect()}
     assert sum(got[i].lang_pred == lang for i, _, lang in test) >= 58
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 700)) and all(0 <= x.score <= 1 for x in got.values())
@@ -550,6 +561,20 @@ def plain_model(train, classes, frequent, endings, in_memory, rounds):
     return symbols, context, counts, of, pairs(), likelihoods
 
 
+def test_families_come_before_languages(spark):
+    """Two families of two languages each: the wrong family costs more than a neighbour within it."""
+    from oddsmill.llm.language import fit, identify
+
+    r = random.Random(17)
+    parts = {"en": ["the", "ing", "and", "ight"], "de": ["the", "ung", "und", "icht"], "fr": ["que", "eau", "ois", "ment"], "es": ["que", "cion", "osa", "mente"]}
+    text = lambda k: " ".join("".join(r.choice(parts[k]) for _ in range(r.randrange(1, 4))) for _ in range(40))
+    model = fit(docs(spark, [(i, text(k), k) for i, k in enumerate([*parts] * 40)]), per_lang=40)
+    assert model.families == ["germanic", "romance"] and {k: len(v) for k, v in model.pairs.items()} == {"germanic": 1, "romance": 1}
+    test = [(i, text(k), k) for i, k in enumerate([*parts] * 30)]
+    got = {x.doc_id: x.lang_pred for x in identify(docs(spark, test), model).collect()}
+    assert sum(got[i] == k for i, _, k in test) >= 115
+
+
 def test_class_model_equals_plain_counting(spark):
     from oddsmill.llm.class_model import END, _smoothed_moves, score_documents, tokens_of
 
