@@ -162,7 +162,11 @@ def quality(docs: DataFrame, min_words: int = 10, max_covered: float = 0.3, max_
 
 
 def accepted(docs: DataFrame, min_words: int = 10, max_covered: float = 0.3, max_longest: float = 0.2) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality`` keeps."""
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps.
+
+    A null or empty text fails; repeated rows are judged each, so all or none of them stay; there are no ties, as a row's verdict
+    depends on its text alone; columns other than ``text`` may have any name; an empty table gives no rows.
+    """
     where = docs.columns.index("text")
 
     def run(batches):
