@@ -3,6 +3,9 @@
 Two shuffles carry the build: by market for what was known of the market, by wallet for what was known of the
 wallet. Resolutions enter a wallet's history as events of their own, so one pass of windows over (time, kind,
 transaction, asset) sees trades and outcomes in the order in which they became known.
+
+A market or wallet with more rows than one task should take is cut into spans of thirty days: each starts from what the spans before it
+add up to, which is a row a span, so windows never hold the whole history of a hot key.
 """
 
 from __future__ import annotations
@@ -39,11 +42,31 @@ def resolution_events(enriched: DataFrame, resolutions: DataFrame) -> DataFrame:
     return bought.select("platform", "wallet_address", "condition_id", "tx_hash", "asset_id", F.lit(1).alias("kind"), F.col("resolved_at").alias("ts"), won.alias("won"), pnl.alias("pnl"))
 
 
-def market_features(enriched: DataFrame) -> DataFrame:
-    """What was known of the market before each trade."""
+def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Keys with more than ``most`` rows: no more of them than the rows of all divided by ``most``."""
+    return df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key)
+
+
+def _in_spans(df: DataFrame) -> DataFrame:
+    return df.withColumn("_span", F.floor(F.col("ts") / DAYS_30))
+
+
+def market_features(enriched: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """What was known of the market before each trade; markets of more than ``most`` trades are cut into spans."""
+    hot = hot_keys(enriched, "condition_id", most)
+    if hot.isEmpty():
+        return _market_windows(enriched)
+    cold, warm = (enriched.join(F.broadcast(hot), "condition_id", how) for how in ("left_anti", "left_semi"))
+    return _market_windows(cold).unionByName(_market_spans(warm))
+
+
+_TRADE_ORDER = ("ts", "tx_hash", "asset_id", "wallet_address")
+
+
+def _market_windows(enriched: DataFrame) -> DataFrame:
     rows = enriched.repartition("condition_id")  # both windows below are then met by one shuffle
     by_wallet = Window.partitionBy("condition_id", "wallet_address").orderBy("ts", "tx_hash", "asset_id")
-    past = Window.partitionBy("condition_id").orderBy("ts", "tx_hash", "asset_id", "wallet_address").rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("condition_id").orderBy(*_TRADE_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     last20 = past.rowsBetween(-20, -1)
     rows = rows.withColumn("_first", (F.row_number().over(by_wallet) == 1).cast("long"))
     return rows.withColumns(
@@ -58,50 +81,109 @@ def market_features(enriched: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
-def wallet_features(events: DataFrame, categories: Iterable[str]) -> DataFrame:
+def _market_spans(enriched: DataFrame) -> DataFrame:
+    by_wallet = Window.partitionBy("condition_id", "wallet_address").orderBy("ts", "tx_hash", "asset_id")
+    rows = _in_spans(enriched.withColumn("_first", (F.row_number().over(by_wallet) == 1).cast("long")))
+    span = ["condition_id", "_span"]
+    order = Window.partitionBy(*span).orderBy(*_TRADE_ORDER)
+    newest = Window.partitionBy(*span).orderBy(*[F.desc(c) for c in _TRADE_ORDER])
+    tail = rows.withColumn("_k", F.row_number().over(newest)).where("_k <= 20").groupBy(*span).agg(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "price"))).alias("_tail"))
+    priced = F.when(F.col("price").isNotNull(), F.struct(*_TRADE_ORDER, "price"))
+    spans = rows.groupBy(*span).agg(F.sum("notional_usd").alias("_volume"), F.sum("_first").alias("_traders"), F.max(priced)["price"].alias("_price"), F.min("ts").alias("_since")).join(tail, span)
+    past_spans = Window.partitionBy("condition_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    spans = spans.select(
+        *span, F.coalesce(F.sum("_volume").over(past_spans), F.lit(0.0)).alias("_volume"), F.coalesce(F.sum("_traders").over(past_spans), F.lit(0)).alias("_traders"), F.last("_price", ignorenulls=True).over(past_spans).alias("_price"),
+        F.min("_since").over(past_spans).alias("_since"), F.flatten(F.collect_list("_tail").over(past_spans.rowsBetween(-20, -1)))["price"].alias("_tail"),
+    )
+    past, last20 = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-20, -1)
+    rows = rows.join(spans, span).withColumn("_recent", F.concat("_tail", F.collect_list(F.struct("price")).over(last20)["price"]))
+    recent = F.filter(F.slice("_recent", F.greatest(F.size("_recent") - 19, F.lit(1)), 20), lambda p: p.isNotNull())
+    n = F.size(recent)
+    mean = F.aggregate(recent, F.lit(0.0), lambda a, p: a + p) / n
+    spread = F.sqrt(F.aggregate(recent, F.lit(0.0), lambda a, p: a + (p - mean) * (p - mean)) / n)
+    return rows.withColumns(
+        {
+            "market_volume_so_far_usd": F.col("_volume") + F.coalesce(F.sum("notional_usd").over(past), F.lit(0.0)),
+            "market_unique_traders_so_far": F.col("_traders") + F.coalesce(F.sum("_first").over(past), F.lit(0)),
+            "last_trade_price": F.coalesce(F.last("price", ignorenulls=True).over(past), "_price"),
+            "price_volatility_recent": F.when(n >= 2, spread),
+            "market_age_seconds": F.col("ts") - F.coalesce("_since", F.min("ts").over(past), F.lit(0)),
+            "time_to_resolution_seconds": F.col("closed_at") - F.col("ts"),
+        }
+    ).drop("_first", "_span", "_volume", "_traders", "_price", "_since", "_tail", "_recent")
+
+
+def _flag(c: Column) -> Column:
+    return F.when(c, 1).otherwise(0).cast("long")
+
+
+def _history(categories: list[str]) -> dict[str, tuple[Column, str]]:
+    """What a wallet's history adds up to: the value of each event and how values are put together."""
+    is_trade, is_buy = F.col("kind") == 0, (F.col("kind") == 0) & (F.col("bs") == "BUY")
+    out = {
+        "trades": (_flag(is_trade), "sum"), "buys": (_flag(is_buy), "sum"), "resolved": (_flag(~is_trade), "sum"), "wins": (F.when(~is_trade, F.col("won")).otherwise(0), "sum"), "pnl": (F.when(~is_trade, F.col("pnl")), "sum"),
+        "paid": (F.when(is_buy, F.col("price")), "sum"), "spent": (F.when(is_buy, F.col("notional_usd")), "sum"), "last_ts": (F.when(is_trade, F.col("ts")), "max"),
+    }
+    for c in categories:
+        own = is_buy & (F.col("category") == c)
+        out |= {f"n_{c}": (_flag(own), "sum"), f"first_{c}": (F.when(own, F.struct("ts", "tx_hash", "asset_id")), "min")}
+    return out
+
+
+def wallet_features(events: DataFrame, categories: Iterable[str], most: int = 5_000_000) -> DataFrame:
     """What was known of the wallet before each event of ``events`` (trades, kind 0; resolutions, kind 1).
 
     An anonymous wallet (empty address) has no history: its rows go past the windows, which would put a whole
-    venue into one partition.
+    venue into one partition. Wallets of more than ``most`` events are cut into spans.
     """
     categories = [*dict.fromkeys([*categories, "unknown"])]
-    is_trade, is_buy = F.col("kind") == 0, (F.col("kind") == 0) & (F.col("bs") == "BUY")
+    history = _history(categories)
+    named = events.where("wallet_address <> ''")
+    hot = hot_keys(named, "wallet_address", most)
     all_time = Window.partitionBy("wallet_address")
+    first_ts = F.min(F.when(F.col("kind") == 0, F.col("ts")))
     past = all_time.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     old = all_time.orderBy("ts").rangeBetween(Window.unboundedPreceding, -DAYS_30 - 1)
 
-    def total(x: Column, frame=past) -> Column:
-        return F.coalesce(F.sum(x).over(frame), F.lit(0))
-
-    def flag(c: Column) -> Column:
-        return F.when(c, 1).otherwise(0).cast("long")
-
-    trade_id = F.struct("ts", "tx_hash", "asset_id")
-    per_category = []
-    for c in categories:
-        own = is_buy & (F.col("category") == c)
-        per_category.append(F.struct((-total(flag(own))).alias("n"), F.min(F.when(own, trade_id)).over(past).alias("first"), F.lit(c).alias("category")))
-    named = events.where("wallet_address <> ''")
-    rows = named.withColumns(
+    def over(x: Column, how: str, frame) -> Column:
+        return {"sum": F.sum, "max": F.max, "min": F.min}[how](x).over(frame)
+
+    def windows(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_{k}": over(x, how, past) for k, (x, how) in history.items()} | {"_first_ts": first_ts.over(all_time), "_old": F.sum(history["trades"][0]).over(old)}).where("kind = 0")
+
+    def spans(df: DataFrame) -> DataFrame:
+        """The same from spans: each has the rows of the span before it for context, and the sums of those before that."""
+        own = _in_spans(df)
+        sums = own.groupBy("wallet_address", "_span").agg(*[{"sum": F.sum, "max": F.max, "min": F.min}[how](x).alias(f"_{k}") for k, (x, how) in history.items()], first_ts.alias("_first_ts"))
+        before = all_time.orderBy("_span").rangeBetween(Window.unboundedPreceding, -2)  # a row for each span
+        sums = sums.select("wallet_address", "_span", *[over(F.col(f"_{k}"), how, before).alias(f"_before_{k}") for k, (_, how) in history.items()], F.min("_first_ts").over(all_time).alias("_first_ts"))
+        both = own.withColumn("_own", F.lit(True)).unionByName(own.withColumns({"_span": F.col("_span") + 1, "_own": F.lit(False)}))
+        inside = Window.partitionBy("wallet_address", "_span")
+        near = inside.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumns({f"_{k}": over(x, how, near) for k, (x, how) in history.items()} | {"_old": F.sum(history["trades"][0]).over(inside.orderBy("ts").rangeBetween(Window.unboundedPreceding, -DAYS_30 - 1))})
+        both = both.where("_own and kind = 0").join(sums, ["wallet_address", "_span"])
+        add = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
+        joined = {f"_{k}": add[how](F.col(f"_{k}"), F.col(f"_before_{k}")) for k, (_, how) in history.items()}
+        joined["_old"] = F.coalesce(F.col("_old") + F.col("_before_trades"), "_old", "_before_trades")
+        return both.withColumns(joined).drop("_own", "_span", *[f"_before_{k}" for k in history])
+
+    if hot.isEmpty():
+        rows = windows(named)
+    else:
+        rows = windows(named.join(F.broadcast(hot), "wallet_address", "left_anti")).unionByName(spans(named.join(F.broadcast(hot), "wallet_address", "left_semi")))
+    used = [F.struct((-F.coalesce(f"_n_{c}", F.lit(0))).alias("n"), F.col(f"_first_{c}").alias("first"), F.lit(c).alias("category")) for c in categories]
+    rows = rows.withColumn("_by_category", F.filter(F.array(*used), lambda x: x["n"] < 0)).drop(*[f"_{k}_{c}" for c in categories for k in ("n", "first")])
+    anonymous = events.where("wallet_address = '' and kind = 0").withColumn("_first_ts", F.col("ts"))
+    rows = rows.unionByName(anonymous, allowMissingColumns=True).withColumns(
         {
-            "prior_trades_count": total(flag(is_trade)),
-            "prior_buys_count": total(flag(is_buy)),
-            "prior_resolved_buys": total(flag(~is_trade)),
-            "prior_wins": total(F.when(~is_trade, F.col("won")).otherwise(0)),
-            "prior_realized_pnl_usd": F.coalesce(F.sum(F.when(~is_trade, F.col("pnl"))).over(past), F.lit(0.0)),
-            "_paid": F.sum(F.when(is_buy, F.col("price"))).over(past),
-            "_spent": F.sum(F.when(is_buy, F.col("notional_usd"))).over(past),
-            "_first_ts": F.min(F.when(is_trade, F.col("ts"))).over(all_time),
-            "_last_ts": F.max(F.when(is_trade, F.col("ts"))).over(past),
-            "_old": total(flag(is_trade), old),
-            "_by_category": F.filter(F.array(*per_category), lambda s: s["n"] < 0),
+            "prior_trades_count": F.coalesce("_trades", F.lit(0)),
+            "prior_buys_count": F.coalesce("_buys", F.lit(0)),
+            "prior_resolved_buys": F.coalesce("_resolved", F.lit(0)),
+            "prior_wins": F.coalesce("_wins", F.lit(0)),
+            "prior_realized_pnl_usd": F.coalesce("_pnl", F.lit(0.0)),
+            "_old": F.coalesce("_old", F.lit(0)),
         }
-    ).where("kind = 0")
-    anonymous = events.where("wallet_address = '' and kind = 0").withColumns(
-        {c: F.lit(0).cast("long") for c in ("prior_trades_count", "prior_buys_count", "prior_resolved_buys", "prior_wins", "_old")}
-        | {"prior_realized_pnl_usd": F.lit(0.0), "_first_ts": F.col("ts")}
     )
-    rows = rows.unionByName(anonymous, allowMissingColumns=True)
     resolved, buys = F.col("prior_resolved_buys"), F.col("prior_buys_count")
     win_rate = F.when(resolved > 0, F.col("prior_wins") / resolved)
     paid = F.when(buys > 0, F.col("_paid") / buys)
@@ -125,7 +207,7 @@ def wallet_features(events: DataFrame, categories: Iterable[str]) -> DataFrame:
             "top_category": F.array_min("_by_category")["category"],
             "category_diversity": F.coalesce(F.size("_by_category"), F.lit(0)).cast("long"),
         }
-    ).drop("_paid", "_spent", "_first_ts", "_last_ts", "_old", "_by_category", "kind", "won", "pnl")
+    ).drop("_trades", "_buys", "_resolved", "_wins", "_pnl", "_paid", "_spent", "_first_ts", "_last_ts", "_old", "_by_category", "kind", "won", "pnl")
 
 
 def category_flags() -> dict[str, Column]:
@@ -134,15 +216,15 @@ def category_flags() -> dict[str, Column]:
     return {f"cat_{c}": F.when(F.size(listed) > 0, F.array_contains(listed, c)).otherwise(F.col("category") == c).cast("int") for c in CATEGORIES}
 
 
-def build_features(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, platform: str = "polymarket", built_at: int = 0) -> DataFrame:
+def build_features(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, platform: str = "polymarket", built_at: int = 0, most: int = 5_000_000) -> DataFrame:
     """``training_examples`` of a platform: a row for each BUY on a resolved market, each key once.
 
     Nulls: a trade of an unknown market gives no row; a category that is null counts as ``unknown``. Empty
-    tables give no rows.
+    tables give no rows. Markets and wallets of more than ``most`` rows are cut into spans of time, which changes no value.
     """
     enriched = enriched_trades(trades, markets, platform)
-    events = market_features(enriched).withColumn("kind", F.lit(0)).unionByName(resolution_events(enriched, resolutions), allowMissingColumns=True)
-    rows = wallet_features(events, CATEGORIES).where("bs = 'BUY'")
+    events = market_features(enriched, most).withColumn("kind", F.lit(0)).unionByName(resolution_events(enriched, resolutions), allowMissingColumns=True)
+    rows = wallet_features(events, CATEGORIES, most).where("bs = 'BUY'")
     known = resolutions.where(F.col("platform") == platform).select("condition_id", "outcome_yes_won", "resolved_at")
     rows = rows.join(known, "condition_id").withColumns(
         {

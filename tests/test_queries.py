@@ -66,6 +66,20 @@ def test_features_of_a_small_corpus(spark):
     assert all(x.price_volatility_recent is None for k, x in rows.items() if k != "t6") and rows["t3"].prior_resolved_buys == 0
 
 
+def test_spans_of_hot_keys_change_no_feature(spark):
+    """All keys as hot ones, over histories of many spans with gaps, ties and resolutions at the time of trades."""
+    r = random.Random(8)
+    day = 86_400
+    rows = [("polymarket", f"t{k:03d}", f"{m}:{s}", w, m, s, r.choice(["BUY", "BUY", "SELL"]), r.randrange(1, 20) / 20, 10.0, float(r.randrange(1, 60)), r.randrange(0, 400, 5) * day + r.choice([0, 0, 7])) for k, (m, s, w) in enumerate((f"m{r.randrange(6)}", r.choice(["YES", "NO"]), f"w{r.randrange(5)}") for _ in range(400))]
+    t = spark.createDataFrame(rows, TRADE_SCHEMA)
+    m = spark.createDataFrame([("polymarket", f"m{k}", ("crypto", "tech", None)[k % 3], "[]", 500 * day) for k in range(6)], "platform string, condition_id string, category string, categories_json string, closed_at long")
+    res = spark.createDataFrame([("polymarket", f"m{k}", k % 2, 300 * day + 50 * day * k % 170) for k in range(5)], "platform string, condition_id string, outcome_yes_won int, resolved_at long")
+    whole, spans = ({x.tx_hash: x.asDict() for x in features.build_features(t, m, res, most=n).collect()} for n in (10**9, 0))
+    assert whole.keys() == spans.keys() and len(whole) > 100
+    for k, x in whole.items():
+        assert {c: v if isinstance(v, (str, int, type(None))) else pytest.approx(v, rel=1e-9, abs=1e-12) for c, v in x.items()} == spans[k]
+
+
 def test_anonymous_wallets_have_no_history(spark):
     t, m, r = small_corpus(spark)
     rows = features.build_features(t.withColumn("wallet_address", F.lit("")), m, r).collect()
