@@ -208,103 +208,129 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return of
 
 
-def count_contexts(texts: DataFrame, symbols: Symbols, context: np.ndarray) -> DataFrame:
-    """word, contexts (one byte each, ascending) and times (four bytes each): how often each context stands before each word."""
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries of a column in one array, and how many each has."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(at) // width
 
-    def run(batches):
-        held: dict[tuple[bytes, int], int] = {}
 
-        def out():
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([g for _, g in keys], pa.int16()), pa.array(held.values(), pa.int64())], ["word", "context", "n"])
+def _binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    cuts = np.concatenate([[0], np.cumsum(size)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+CONTEXTS = "word binary, start short, half short, contexts binary, times binary"
 
+
+def count_contexts(texts: DataFrame, symbols: Symbols, context: np.ndarray, classes: int) -> DataFrame:
+    """How often each context stands before each word: contexts (one byte each, ascending) and times (four bytes each), with the class
+    where the word starts, that of its symbol, and the half that it moves with."""
+
+    def run(batches):
         for b in batches:
             for part in by_bytes(b, 0, 8_000_000):
                 codes, starts, distinct = tokens_of(_texts(part.column(0)))
                 left = _with_left(context[symbols.of(distinct)][codes], starts, int(context[symbols.words[END]]))
-                cell, n = np.unique(codes * len(context) + left, return_counts=True)
-                for k, g, m in zip((cell // len(context)).tolist(), (cell % len(context)).tolist(), n.tolist(), strict=True):
-                    held[distinct[k], g] = held.get((distinct[k], g), 0) + m
-                if len(held) > 2 * _FLUSH:
-                    yield out()
-                    held = {}
-        if held:
-            yield out()
-
-    def packed(batches):
-        word, gs, ns = None, [], []
-
-        def row():
-            return (word, np.array(gs, np.uint8).tobytes(), np.array(ns, "<i4").tobytes())
+                cell, n = np.unique(codes * classes + left, return_counts=True)
+                twice = 1 + (n - 1) // 65_535  # two bytes each; larger counts are several entries
+                cell, n = np.repeat(cell, twice), np.repeat(-(-n // twice), twice) - (np.arange(twice.sum()) - np.repeat(np.cumsum(twice) - twice, twice) >= np.repeat(twice - (-n) % twice, twice))
+                word, size = np.unique(cell // classes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(word)), _binaries((cell % classes).astype(np.uint8), size), _binaries(n.astype("<u2"), size)], ["word", "contexts", "times"])
+
+    def merged(batches):
+        held, sums = None, np.zeros(classes, np.int64)  # the last word so far: more of it may come
+
+        def rows(words: list[bytes], table: np.ndarray):
+            at, g = np.nonzero(table)
+            start = context[symbols.of(words)].astype(np.int16)
+            half = np.array([zlib.crc32(w) & 1 for w in words], np.int16)
+            size = np.bincount(at, minlength=len(words))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(start), pa.array(half), _binaries(g.astype(np.uint8), size), _binaries(table[at, g].astype("<i4"), size)], ["word", "start", "half", "contexts", "times"])
 
         for b in batches:
-            rows = []
-            for w, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if w != word:
-                    if gs:
-                        rows.append(row())
-                    word, gs, ns = w, [], []
-                gs.append(g)
-                ns.append(n)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["word", "contexts", "times"])
-        if gs:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row()], ["word", "contexts", "times"])
-
-    cells = texts.mapInArrow(run, "word binary, context short, n long").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    return cells.sortWithinPartitions("word", "context").mapInArrow(packed, "word binary, contexts binary, times binary")
+            for i in range(0, b.num_rows, 10_000):
+                part = b.slice(i, 10_000)
+                words = part.column(0).to_pylist()
+                fresh = np.array([True, *[x != y for x, y in zip(words[1:], words, strict=False)]])
+                own, (g, size), (n, _) = np.cumsum(fresh) - 1, _flat(part.column(1), "u1"), _flat(part.column(2), "<u2")
+                table = np.bincount(np.repeat(own, size) * classes + g, n, (int(own[-1]) + 1) * classes).astype(np.int64).reshape(-1, classes)
+                names = [words[k] for k in np.flatnonzero(fresh).tolist()]
+                if held == names[0]:
+                    table[0] += sums
+                elif held is not None:
+                    names, table = [held, *names], np.vstack([sums[None], table])
+                held, sums = names[-1], table[-1]
+                if len(names) > 1:
+                    yield rows(names[:-1], table[:-1])
+        if held is not None:
+            yield rows([held], sums[None])
+
+    return texts.mapInArrow(run, "word binary, contexts binary, times binary").repartition("word").sortWithinPartitions("word").mapInArrow(merged, CONTEXTS)
 
 
 @dataclass
 class Rounds:
-    """The rounds of exchange so far: where words start, and the matrix of contexts and classes that each round saw."""
+    """The rounds of exchange so far, by the matrix of contexts and classes that each saw."""
 
-    symbols: Symbols
-    start: np.ndarray  # class of a word by its symbol
     seen: list[np.ndarray]
 
-    def classes(self, words: list[bytes], contexts: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The class of each word after the rounds, and the entries of its contexts: word's number, context, times."""
-        of = self.start[self.symbols.of(words)]
-        size = np.array([len(g) for g in contexts], np.int64)
-        owner, g, n = np.repeat(np.arange(len(words)), size), np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64), np.frombuffer(b"".join(times), "<i4").astype(np.float64)
-        opens, total = np.cumsum(size) - size, np.bincount(owner, n, len(words))
-        half = np.array([zlib.crc32(w) & 1 for w in words], np.int64)
+    def classes(self, start: np.ndarray, half: np.ndarray, size: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The class of each word after the rounds; ``size`` is the number of its entries in ``g`` (contexts) and ``n`` (times)."""
+        of = start.astype(np.int64)
+        owner, opens = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        total = np.bincount(owner, n, len(size))
         for k, pairs in enumerate(self.seen):
-            sums = pairs.sum(0)
-            # What a class gains by the word; for the word's own class, what it would lose.
-            own = of[owner]
+            sums, moving = pairs.sum(0), half == k % 2
             once = _plogp(pairs + 1) - _plogp(pairs)
-            add = once[g]
-            more = n != 1
-            add[more] = _plogp(pairs[g[more]] + n[more, None]) - _plogp(pairs[g[more]])
-            gain = np.add.reduceat(add, opens, 0) - (_plogp(sums + total[:, None]) - _plogp(sums))
-            cell = pairs[g, own]
-            keep = np.add.reduceat(_plogp(cell) - _plogp(cell - n), opens) - (_plogp(sums[of]) - _plogp(sums[of] - total))
-            gain[np.arange(len(words)), of] = keep
-            best = gain.argmax(1)
-            moves = (half == k % 2) & (gain[np.arange(len(words)), best] > keep + 1e-9)
-            of = np.where(moves, best, of)
-        return of, owner, g, n
-
-
-def _word_batches(batches, rows: int = 20_000):
+            # Words seen once: what they gain depends on their context alone, so the two best classes of each context do.
+            gain = once - (_plogp(sums + 1) - _plogp(sums))
+            first, second = np.argsort(-gain, axis=1, kind="stable")[:, :2].T
+            lose = _plogp(pairs) - _plogp(np.maximum(pairs - 1, 0)) - (_plogp(sums) - _plogp(np.maximum(sums - 1, 0)))
+            single = np.flatnonzero(moving & (total == 1))
+            at, own = g[opens[single]], of[single]
+            best = np.where(first[at] == own, second[at], first[at])
+            new = np.where(gain[at, best] > lose[at, own] + 1e-9, best, own)
+            # The others by all their entries.
+            others = np.flatnonzero(moving & (total > 1))
+            some = (moving & (total > 1))[owner]
+            og, on, oo = g[some], n[some].astype(np.float64), np.cumsum(size[others]) - size[others]
+            if len(others):
+                add = once[og]
+                more = on != 1
+                add[more] = _plogp(pairs[og[more]] + on[more, None]) - _plogp(pairs[og[more]])
+                mine, t = of[others], total[others]
+                gains = np.add.reduceat(add, oo, 0) - (_plogp(sums + t[:, None]) - _plogp(sums))
+                cell = pairs[og, np.repeat(mine, size[others])]
+                keep = np.add.reduceat(_plogp(cell) - _plogp(cell - on), oo) - (_plogp(sums[mine]) - _plogp(sums[mine] - t))
+                gains[np.arange(len(others)), mine] = keep
+                top = gains.argmax(1)
+                of[others] = np.where(gains[np.arange(len(others)), top] > keep + 1e-9, top, mine)
+            of[single] = new
+        return of
+
+
+def _entries(batches, rows: int = 20_000):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             part = b.slice(i, rows)
-            yield part, *(c.to_pylist() for c in part.columns[:3])
+            (g, size), (n, _) = _flat(part.column(3), "u1"), _flat(part.column(4), "<i4")
+            yield part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy(), size, g.astype(np.int64), n
 
 
-def exchange_words(contexts: DataFrame, symbols: Symbols, start: np.ndarray, classes: int, rounds: int) -> tuple[Rounds, np.ndarray, np.ndarray, np.ndarray]:
+def exchange_words(contexts: DataFrame, classes: int, rounds: int) -> tuple[Rounds, np.ndarray, np.ndarray, np.ndarray]:
     """The rounds, then the matrix of contexts and classes, and tokens and types of each class, that they leave."""
-    done = Rounds(symbols, start, [])
+    done = Rounds([])
     while True:
 
         def sums(batches):
             pairs, types = np.zeros(classes * classes), np.zeros(classes, np.int64)
-            for _, words, gs, ns in _word_batches(batches):
-                of, owner, g, n = done.classes(words, gs, ns)
-                pairs += np.bincount(g * classes + of[owner], n, classes * classes)
+            for _, start, half, size, g, n in _entries(batches):
+                of = done.classes(start, half, size, g, n)
+                pairs += np.bincount(g * classes + np.repeat(of, size), n, classes * classes)
                 types += np.bincount(of, minlength=classes)
             cells = np.concatenate([pairs, types]).astype(np.int64)
             at = np.flatnonzero(cells)
@@ -323,9 +349,9 @@ def class_table(contexts: DataFrame, done: Rounds) -> DataFrame:
     """word, n, class of every word of training."""
 
     def run(batches):
-        for part, words, gs, ns in _word_batches(batches):
-            of, owner, _, n = done.classes(words, gs, ns)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(owner, n, len(words)).astype(np.int64)), pa.array(of)], ["word", "n", "class"])
+        for word, start, half, size, g, n in _entries(batches):
+            total = np.bincount(np.repeat(np.arange(len(size)), size), n, len(size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([word, pa.array(total), pa.array(done.classes(start, half, size, g, n))], ["word", "n", "class"])
 
     return contexts.mapInArrow(run, "word binary, n long, class long")
 
@@ -355,8 +381,8 @@ def train(texts: DataFrame, classes: int, frequent: int, endings: int, in_memory
     top = most_frequent(counts, in_memory)
     symbols = Symbols({w: i for i, w in enumerate({END: 0} | {w: 0 for w, _ in top[:frequent]})}, endings)
     context = exchange(count_bigrams(texts, symbols), classes)
-    contexts = materialise(count_contexts(texts, symbols, context), "word-contexts")
-    done, pairs, tokens, types = exchange_words(contexts, symbols, context, classes, rounds)
+    contexts = materialise(count_contexts(texts, symbols, context, classes), "word-contexts")
+    done, pairs, tokens, types = exchange_words(contexts, classes, rounds)
     words = materialise(class_table(contexts, done), "word-classes")
     least = min((c for _, c in top), default=1 << 62)
     known = {bytes(r["word"]): (r["n"], r["class"]) for r in words.where(F.col("n") >= least).collect()}  # the words of ``top``
@@ -422,7 +448,7 @@ def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFra
     )
 
 
-def score_documents(docs: DataFrame, training: DataFrame, classes: int = 64, frequent: int = 1023, endings: int = 512, in_memory: int = 50_000, rounds: int = 4) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, classes: int = 64, frequent: int = 1023, endings: int = 512, in_memory: int = 50_000, rounds: int = 2) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text) by a model of all rows of ``training`` (text).
 
     Null and empty texts are an end token alone; repeated rows count, and are scored, each; whole texts of any
