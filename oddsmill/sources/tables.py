@@ -13,14 +13,19 @@ def scratch_dir(spark: SparkSession) -> str:
     warehouse. It is deleted when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     found = f"{shared.rstrip('/')}/oddsmill-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        fs.mkdirs(path)
+    fs, path, new = ensure_dir(spark, found)
+    if new:
         fs.deleteOnExit(path)
     return found
 
 
+def ensure_dir(spark: SparkSession, folder: str):
+    """Makes ``folder`` in any store that Spark reaches: its file system, its path and whether it is new."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, path, not fs.exists(path) and fs.mkdirs(path)
+
+
 def scratch_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, so that executors may be lost without computing it again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -332,8 +332,47 @@ def test_stream_equals_batch(spark, tmp_path):
     for lo in (0, 3, 6):
         part = spark.createDataFrame(t.orderBy("ts", "tx_hash").collect()[lo : lo + 3], schema)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "history" / "start"))
     stream_features(spark, str(tmp_path / "in"), schema, m, r, str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {x.tx_hash for x in out.collect()} == {"t1", "t2", "t3", "t5", "t6"}
     assert out.where("tx_hash = 't6'").first().prior_buys_count == 2
+
+
+def streamed(spark, tmp_path, rows, schema, order, make, batches=3):
+    """What a stream of files makes of ``rows``, dealt out in order."""
+    df = spark.createDataFrame(rows, schema)
+    rows = sorted(rows, key=lambda x: x[df.columns.index(order)])
+    step = -(-len(rows) // batches)
+    for k in range(batches):
+        spark.createDataFrame(rows[k * step : (k + 1) * step], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    make(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return df, spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_streamed_velocity_equals_the_batch(spark, tmp_path):
+    from oddsmill.streaming.detect import stream_velocity
+
+    r = random.Random(9)
+    rows = [(a, 10 * k + r.randrange(9), r.choice([None, 0.5, 0.52, 0.6, 0.7]), r.choice([1.0, 9.0]), 400.0, r.choice([300.0, 5.0])) for k in range(60) for a in ("x", "y")]
+    schema = "asset_id string, snapshot_at long, mid_price double, spread double, bid_depth_top5 double, ask_depth_top5 double"
+    batch, out = streamed(spark, tmp_path, rows, schema, "snapshot_at", lambda s: stream_velocity(s, 60, 5))
+    want = detectors.velocity(batch, 60, 5).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_streamed_whales_and_clusters_equal_the_batch(spark, tmp_path):
+    from oddsmill.streaming.detect import stream_cluster_active, stream_whales
+
+    r = random.Random(10)
+    rows = [(f"t{k}", f"w{r.randrange(6)}", f"m{r.randrange(2)}", k * 40, float(r.randrange(5000)), "x") for k in range(60)]
+    schema = "tx_hash string, wallet_address string, condition_id string, ts long, notional_usd double, asset_id string"
+    members = spark.createDataFrame([(f"w{k}", f"c{k % 2}") for k in range(5)], "wallet_address string, component string")
+    batch, out = streamed(spark, tmp_path / "c", rows, schema, "ts", lambda s: stream_cluster_active(s, members, 200))
+    want = detectors.cluster_active(batch, members, 200).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+    cache = spark.createDataFrame([("m0", 20_000.0), ("m1", 90_000.0)], "condition_id string, liquidity_usd double")
+    seen = spark.createDataFrame([(f"w{k}", 0, 9) for k in range(4)], "wallet_address string, first_activity_at long, total_trades long")
+    batch, out = streamed(spark, tmp_path / "w", rows, schema, "ts", lambda s: stream_whales(s, cache, seen))
+    want = detectors.whale_alerts(batch, cache, seen).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
