@@ -52,13 +52,13 @@ def bets_to_trades(spark, sf_dir):
     return ingest.bet_trades(bets)
 
 
-@query("""select distinct tx_hash || wallet_address as transaction_hash, cast(size as bigint) as log_index, case when bs = 'BUY' then '0' else asset_id end as maker_asset_id, case when bs = 'BUY' then asset_id else '0' end as taker_asset_id
+@query("""select tx_hash || asset_id || wallet_address as transaction_hash, cast(size as bigint) as log_index, case when bs = 'BUY' then '0' else asset_id end as maker_asset_id, case when bs = 'BUY' then asset_id else '0' end as taker_asset_id
   from trades where (cast(size as bigint) % 2 = 0 or cast(size as bigint) % 3 = 0) and cast(substr(condition_id, 2) as bigint) % 4 = 0""")
 def subgraph_fills(spark, sf_dir):
     """The answers overlap in each sixth fill."""
     t = views.trades(spark, sf_dir)
     buy = F.col("bs") == "BUY"
-    fills = t.select(F.concat("tx_hash", "wallet_address").alias("transaction_hash"), _n().alias("log_index"), F.when(buy, "0").otherwise(F.col("asset_id")).alias("maker_asset_id"), F.when(buy, F.col("asset_id")).otherwise("0").alias("taker_asset_id"))
+    fills = t.select(F.concat("tx_hash", "asset_id", "wallet_address").alias("transaction_hash"), _n().alias("log_index"), F.when(buy, "0").otherwise(F.col("asset_id")).alias("maker_asset_id"), F.when(buy, F.col("asset_id")).otherwise("0").alias("taker_asset_id"))
     assets = t.where(F.substring("condition_id", 2, 20).cast("long") % 4 == 0).select("asset_id")
     return ingest.subgraph_fills(fills.where("log_index % 2 = 0"), fills.where("log_index % 3 = 0"), assets)
 

@@ -384,11 +384,11 @@ def burst_hits(spark, sf_dir):
     select a.condition_id, a.tx_hash, a.asset_id, a.wallet_address, a.ts, count(distinct b.wallet_address) as n_wallets, sum(case when b.newness <= 10 then b.notional_usd else 0 end) as total_usd
     from chosen a join chosen b on a.condition_id = b.condition_id and b.ts between a.ts - 2592000 and a.ts group by all) where n_wallets >= 2""",
     chosen="""select *, row_number() over (partition by wallet_address order by ts desc, tx_hash desc, asset_id desc) as newness from trades
-      where wallet_address in (select wallet_address from closed_positions where avg_price > 0 and avg_price < 1 group by wallet_address having sum(realized_pnl) >= 0)""",
+      where wallet_address in (select wallet_address from closed_positions where avg_price > 0 and avg_price < 1 group by wallet_address having sum(realized_pnl) >= 0.005)""",
 )
 def convergence_alerts(spark, sf_dir):
     """With the roster of wallets that earned; only each one's ten newest trades add to the volume."""
-    roster = corpus.roster(detectors.wallet_skill(views.closed_positions(spark, sf_dir)), 1, -1.0, 0.0)
+    roster = corpus.roster(detectors.wallet_skill(views.closed_positions(spark, sf_dir)), 1, -1.0, 0.005)
     return detectors.convergence(views.trades(spark, sf_dir), roster.select("wallet_address"), window_s=2_592_000, newest=10)
 
 

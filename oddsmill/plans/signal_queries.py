@@ -156,9 +156,9 @@ def unbooked_alerts(spark, sf_dir):
     return ledger.unbooked_alerts(alerts, _ledger(spark, sf_dir), 980_000_000).select("alert_key", "created_at")
 
 
-@query("""select alert_key, round(pnl + 3e-12, 8) as pnl, round(10000 + sum(pnl) over (order by exit_ts, 'entry-' || alert_key rows unbounded preceding) + 3e-12, 8) as nav from (select *, 1700000000 as exit_ts from settled where pnl is not null)""", **_GATED)
+@query("""select alert_key, round(pnl + 3e-12, 8) as pnl, round(10000 + sum(pnl) over (order by exit_ts, 'entry-' || alert_key rows unbounded preceding) + 3e-9, 6) as nav from (select *, 1700000000 as exit_ts from settled where pnl is not null)""", **_GATED)
 def nav_curve(spark, sf_dir):
-    return ledger.nav_curve(_ledger(spark, sf_dir)).select(F.expr("substring(trade_id, 7)").alias("alert_key"), "pnl", "nav")
+    return ledger.nav_curve(_ledger(spark, sf_dir)).select(F.expr("substring(trade_id, 7)").alias("alert_key"), "pnl", F.round(F.col("nav") + 3e-9, 6).alias("nav"))
 
 
 @query("select sum(n) as legs, count(distinct event_slug) as events from (select event_slug, count(*) as n from event_markets group by event_slug having count(*) >= 2)".replace("sum(n) as legs", "cast(sum(n) as bigint) as legs"))
