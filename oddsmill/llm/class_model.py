@@ -15,8 +15,6 @@ Scores of a text need the classes of its words: the most frequent are held by ea
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from oddsmill.llm._shared import WS_BYTES, by_bytes, crc_bucket, materialise, table
 
 END = b"\n"  # no word is that
-_FLUSH = 200_000
+_PART = 12_000_000  # bytes of text in which words are counted at once
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WS_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -57,22 +55,10 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word, n over all rows of ``texts`` (text)."""
 
     def run(batches):
-        held: Counter[bytes] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
-
         for b in batches:
-            for part in by_bytes(b, 0):
+            for part in by_bytes(b, 0, _PART):
                 codes, _, distinct = tokens_of(_texts(part.column(0)))
-                for w, n in zip(distinct, np.bincount(codes, minlength=len(distinct)).tolist(), strict=True):
-                    if n:
-                        held[w] += n
-                if len(held) > _FLUSH:
-                    yield out()
-                    held = Counter()
-        if held:
-            yield out()
+                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(np.bincount(codes, minlength=len(distinct)))], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -91,6 +77,19 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def ending_codes(words: list[bytes]) -> np.ndarray:
+    """A hash of 24 bits of the last three bytes of each word."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 3)
+    raw = np.frombuffer(b"".join([b"\0\0\0" + w for w in words]), np.uint8).astype(np.int64)
+    code = raw[ends - 1] | raw[ends - 2] << 8 | raw[ends - 3] << 16
+    return (code * 0x9E3779B1 & 0xFFFFFFFF) >> 8
+
+
+def half_of(words: list[bytes]) -> np.ndarray:
+    """Whether a word moves in even or in odd rounds."""
+    return ending_codes(words) & 1
+
+
 @dataclass
 class Symbols:
     """Numbers of the symbols: the end and the frequent words first, then the endings."""
@@ -102,8 +101,12 @@ class Symbols:
         return len(self.words) + self.endings
 
     def of(self, distinct: list[bytes]) -> np.ndarray:
-        first, get = len(self.words), self.words.get
-        return np.array([k if (k := get(w)) is not None else first + zlib.crc32(w[-3:]) % self.endings for w in distinct], np.int64)
+        get = self.words.get
+        own = np.array([get(w, -1) for w in distinct], np.int64)
+        return np.where(own < 0, self.ending(distinct), own)
+
+    def ending(self, distinct: list[bytes]) -> np.ndarray:
+        return len(self.words) + ending_codes(distinct) % self.endings
 
 
 def _with_left(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -130,7 +133,7 @@ def count_bigrams(texts: DataFrame, symbols: Symbols, slices: int = 16, lanes: i
     def local(batches):
         total = np.zeros(slices * rows_each * size, np.int64)
         for b in batches:
-            for part in by_bytes(b, 0):
+            for part in by_bytes(b, 0, _PART):
                 codes, starts, distinct = tokens_of(_texts(part.column(0)))
                 ids = symbols.of(distinct)[codes]
                 cell, n = np.unique(_with_left(ids, starts, end) * size + ids, return_counts=True)
@@ -232,7 +235,7 @@ def count_contexts(texts: DataFrame, symbols: Symbols, context: np.ndarray, clas
 
     def run(batches):
         for b in batches:
-            for part in by_bytes(b, 0, 8_000_000):
+            for part in by_bytes(b, 0, _PART):
                 codes, starts, distinct = tokens_of(_texts(part.column(0)))
                 left = _with_left(context[symbols.of(distinct)][codes], starts, int(context[symbols.words[END]]))
                 cell, n = np.unique(codes * classes + left, return_counts=True)
@@ -247,7 +250,7 @@ def count_contexts(texts: DataFrame, symbols: Symbols, context: np.ndarray, clas
         def rows(words: list[bytes], table: np.ndarray):
             at, g = np.nonzero(table)
             start = context[symbols.of(words)].astype(np.int16)
-            half = np.array([zlib.crc32(w) & 1 for w in words], np.int16)
+            half = half_of(words).astype(np.int16)
             size = np.bincount(at, minlength=len(words))
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(start), pa.array(half), _binaries(g.astype(np.uint8), size), _binaries(table[at, g].astype("<i4"), size)], ["word", "start", "half", "contexts", "times"])
 
@@ -364,7 +367,7 @@ class ClassModel:
     context: np.ndarray  # of symbols
     moves: np.ndarray  # log10 P(class | context)
     norm: np.ndarray  # log10 of tokens and smoothing of a class
-    known: dict[bytes, tuple[int, int]]  # count and class of the most frequent words
+    known: dict[bytes, tuple[int, int, int]]  # count, class and context of the most frequent words
     train_tokens: int
     base_norm: float
 
@@ -385,7 +388,8 @@ def train(texts: DataFrame, classes: int, frequent: int, endings: int, in_memory
     done, pairs, tokens, types = exchange_words(contexts, classes, rounds)
     words = materialise(class_table(contexts, done), "word-classes")
     least = min((c for _, c in top), default=1 << 62)
-    known = {bytes(r["word"]): (r["n"], r["class"]) for r in words.where(F.col("n") >= least).collect()}  # the words of ``top``
+    rows = [(bytes(r["word"]), r["n"], r["class"]) for r in words.where(F.col("n") >= least).collect()]  # the words of ``top``
+    known = {w: (c, k, g) for (w, c, k), g in zip(rows, context[symbols.of([w for w, _, _ in rows])].tolist(), strict=True)}
     model = ClassModel(symbols, context, _smoothed_moves(pairs), np.log10(tokens + 0.5 * (types + 1)), known, int(n), float(np.log10(n + 0.5 * (v + 1))))
     return model, words
 
@@ -404,14 +408,20 @@ def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFra
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
+        none_known = (-1, 0, 0)
+
+        def get(w):
+            return own.known.get(w, none_known)
+
         for b in batches:
-            for part in by_bytes(b, 1):
+            for part in by_bytes(b, 1, _PART // 2):
                 codes, starts, distinct = tokens_of(_texts(part.column(1)))
-                context = own.context[own.symbols.of(distinct)]
-                found = [own.known.get(w) for w in distinct]
-                known = np.array([x is not None for x in found])
-                of = np.array([x[1] if x else c for x, c in zip(found, context.tolist(), strict=True)], np.int64)  # an unseen word's class is that of its ending
-                logs = np.log10(np.array([x[0] if x else 0 for x in found]) + 0.5)
+                found = np.array([*map(get, distinct)], np.int64).reshape(-1, 3)
+                known = found[:, 0] >= 0
+                ending = own.context[own.symbols.ending(distinct)]
+                ending[-1] = own.context[own.symbols.words[END]]  # the end is a symbol even where it is no frequent word
+                context, of = np.where(known, found[:, 2], ending), np.where(known, found[:, 1], ending)  # an unseen word's class is that of its ending
+                logs = np.log10(np.maximum(found[:, 0], 0) + 0.5)
                 left = _with_left(context[codes], starts, int(own.context[own.symbols.words[END]]))
                 score = own.moves[left, of[codes]] + (logs - own.norm[of])[codes]
                 doc = np.repeat(np.arange(part.num_rows), np.diff(starts))

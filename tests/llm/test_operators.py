@@ -508,7 +508,7 @@ def test_language_is_learnt_from_text_alone(spark):
 
 def plain_model(train, classes, frequent, endings, in_memory, rounds):
     """The class model by plain counting: context of each symbol, class and count of each word, and the pairs of both."""
-    from oddsmill.llm.class_model import END, Symbols, exchange
+    from oddsmill.llm.class_model import END, Symbols, exchange, half_of
 
     texts = [[*WORD.findall((t or "").encode().lower().decode()), END.decode()] for t in train]
     counts = Counter(w.encode() for t in texts for w in t)
@@ -555,7 +555,7 @@ def plain_model(train, classes, frequent, endings, in_memory, rounds):
             sums[c] -= total
             gain = [sum(h(rest[g, j] + m) - h(rest[g, j]) for g, m in gs.items()) - h(sums[j] + total) + h(sums[j]) for j in range(classes)]
             best = max(range(classes), key=lambda j: (gain[j], -j))
-            moved[w] = best if zlib.crc32(w) & 1 == k % 2 and gain[best] > gain[c] + 1e-9 else c
+            moved[w] = best if half_of([w])[0] == k % 2 and gain[best] > gain[c] + 1e-9 else c
         of = moved
         likelihoods.append(likelihood(pairs()))
     return symbols, context, counts, of, pairs(), likelihoods
