@@ -145,6 +145,10 @@ class Trained:
     trees: int
     metrics: DataFrame
 
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``pred``, the model's probability that the bet wins; the encoded columns stay, the encoded text columns don't."""
+        return score(self.model, prepared(rows, self.levels, self.columns))
+
     def save(self, path: str) -> None:
         """The model below ``path``/model, and columns, levels and parameters as one JSON text below ``path``/meta."""
         self.model.write().overwrite().save(f"{path}/model")
@@ -153,8 +157,10 @@ class Trained:
 
 
 def prepared(rows: DataFrame, levels: dict[str, list[str]], columns: list[str]) -> DataFrame:
-    """Rows with ``features``: one-hot levels and numbers, NaN for what is missing."""
-    return assemble(one_hot(rows, levels), columns)
+    """Rows with ``features``: one-hot levels and numbers; missing ones are -1e9, below every value, as Spark's trees have no branch
+    for them."""
+    flags = one_hot(rows, levels)
+    return assemble(flags.withColumns({c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(-1e9)) for c in columns}), columns)
 
 
 def _boosted(train: DataFrame, params: dict, seed: int):
@@ -191,15 +197,10 @@ def _vote(tree) -> Column:
 
 def train_and_test(rows: DataFrame, grid: dict[str, list], n_min: int = 20, seed: int = 7) -> Trained:
     """Chooses, among the grid, the parameters and the number of boosting rounds (early stop) that earn most edge on validation
-    rows; fits those on training rows again and tests them once. ``rows`` has split (train, validation, test).
-
-    Missing numbers become -1e9, below every value, as these trees have no branch for them.
-    """
+    rows; fits those on training rows again and tests them once. ``rows`` has split (train, validation, test)."""
     levels = fit_levels(rows.where("split = 'train'"))
     columns = [*feature_columns(rows), *[f"{c}={v}" for c, values in levels.items() for v in values]]
-    filled = one_hot(rows, levels)
-    filled = filled.withColumns({c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(-1e9)) for c in columns})
-    ready = assemble(filled, columns).select("split", "label_won", "implied_prob_at_buy", "features")
+    ready = prepared(rows, levels, columns).select("split", "label_won", "implied_prob_at_buy", "features")
     part = {k: ready.where(F.col("split") == k).persist() for k in ("train", "validation")}
     best = (float("-inf"), {}, 0)
     for values in product(*grid.values()):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.operators import detectors, ledger, model
 from oddsmill.plans import views
-from oddsmill.plans.queries import _CATEGORIZED, _GATED, _MISPRICED, _MOVES, _SEEDS, _SKILL, _SQL_FEATURES, _TAGGED, _examples, _gate_alerts, _ledger, _priced, _seeds, _tagged
+from oddsmill.plans.queries import _CATEGORIZED, _GATED, _MOVES, _SEEDS, _SKILL, _SQL_FEATURES, _TAGGED, _examples, _gate_alerts, _ledger, _priced, _seeds, _tagged
 from oddsmill.plans.registry import query
 
 _CUSTOMERS = "select 'w' || c_custkey as wallet_address, c_custkey from customer"

@@ -376,3 +376,27 @@ def test_streamed_whales_and_clusters_equal_the_batch(spark, tmp_path):
     batch, out = streamed(spark, tmp_path / "w", rows, schema, "ts", lambda s: stream_whales(s, cache, seen))
     want = detectors.whale_alerts(batch, cache, seen).select(*out.columns)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+
+
+def test_training_stops_early_and_scores_again(spark, tmp_path):
+    from pyspark.ml.classification import GBTClassificationModel
+
+    r = random.Random(11)
+    rows = []
+    for k in range(300):
+        good = r.random()
+        rows.append((("train", "validation", "test")[k % 3], r.choice(["YES", "NO"]), r.choice(["crypto", None]), "x", good if k % 7 else None, float("nan") if k % 11 == 0 else 1.0, int(good > 0.5), 0.5, f"m{k}"))
+    df = spark.createDataFrame(rows, "split string, side string, top_category string, market_category string, win_rate double, other double, label_won int, implied_prob_at_buy double, condition_id string")
+    t = model.train_and_test(df, {"maxDepth": [1, 2], "maxIter": [3]}, n_min=5)
+    got = {x.split: x for x in t.metrics.collect()}
+    assert set(got) == {"train", "validation", "test"} and got["test"].edge > 0.3 and 1 <= t.trees <= 3 and got["test"].rows == 100
+    assert model.importances(t.model, t.columns, spark).first().feature == "win_rate" and "side=NO" in t.columns and "label_won" not in t.columns
+    t.save(str(tmp_path / "gate"))
+    again = GBTClassificationModel.load(str(tmp_path / "gate" / "model"))
+    key = lambda d: sorted((x.condition_id, round(x.pred, 9)) for x in d.collect())
+    assert key(t.score(df)) == key(model.score(again, model.prepared(df, t.levels, t.columns)))
+    assert json.loads(spark.read.text(str(tmp_path / "gate" / "meta")).first().value)["trees"] == t.trees
+    # The edge of the first trees equals that of models cut to them.
+    ready = model.prepared(df, t.levels, t.columns).where("split = 'validation'")
+    edges = model.edge_by_trees(t.model, ready, 5)
+    assert edges[-1] == pytest.approx(model.realized_edge(model.score(t.model, ready), 5).first().edge)
