@@ -6,7 +6,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from oddsmill.sources.tables import scratch_table
 
@@ -39,7 +38,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_bucket(column: str, n: int):
     """crc32 of the value as text, modulo ``n``; a null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
-
-
-def empty(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], StructType(df.schema.fields))
