@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,13 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return scratch_table(df, name, compression)
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: workers live on from stage to stage beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
     """Slices of ``batch`` whose texts (column number ``text``) have about ``most`` bytes; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
@@ -29,6 +38,7 @@ def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
         size += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

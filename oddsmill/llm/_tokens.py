@@ -147,7 +147,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 #: Bytes of text that are encoded at once: enough to meet words more than once.
-BATCH = 6_000_000
+BATCH = 4_000_000
 
 _ENCODERS: dict[str, WordCachingEncoder] = {}
 

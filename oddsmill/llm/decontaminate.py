@@ -285,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08
 
         def run(batches, items=items):
             for b in batches:
-                for part in by_bytes(b, 1):
+                for part in by_bytes(b, 1, 1_000_000):
                     ids = part.column(0).to_pylist()
                     hits = [(ids[d], *rest) for d, *rest in items.find(part.column(1).to_pylist())]
                     if hits:
@@ -307,7 +307,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: floa
 
         def run(batches, items=items):
             for b in batches:
-                for part in by_bytes(b, where):
+                for part in by_bytes(b, where, 1_000_000):
                     bad = {d for d, *_ in items.find(part.column(where).to_pylist())}
                     yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 

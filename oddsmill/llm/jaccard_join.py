@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import WS_BYTES, by_bytes, materialise, table
+from oddsmill.llm._shared import WS_BYTES, by_bytes, give_back, materialise, table
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -349,6 +349,7 @@ def _joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int
                     region, nodes, held = r, [], []
                 nodes.append(node)
                 held.append(np.frombuffer(raw, np.uint64))
+            give_back()
         yield links()
 
     rows = regions.select("region", "node").join(sets.select("node", "shingles"), "node").select("region", "node", "shingles")

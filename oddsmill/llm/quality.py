@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import WS_BYTES, table
+from oddsmill.llm._shared import WS_BYTES, give_back, table
 
 RESULT = (
     "doc_id long, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -128,6 +128,7 @@ def _by_size(batch: pa.RecordBatch, text: int):
         size += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    give_back()
 
 
 def _verdict(m: dict[str, np.ndarray], max_covered: float, max_longest: float) -> tuple[np.ndarray, np.ndarray]:
