@@ -9,6 +9,7 @@ from oddsmill.llm.html_text import op10_html_text
 from oddsmill.llm.jaccard_join import op7_jaccard_join
 from oddsmill.llm.language import op2_language_id
 from oddsmill.llm.packing import op5_packing
+from oddsmill.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from oddsmill.llm.quality import op6_quality_rules
 from oddsmill.llm.secrets import op8_secret_scans
 from oddsmill.llm.token_file import op9_token_file
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_file": op9_token_file,
     "op10_html_text": op10_html_text,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op13_prefix_trie": OP13_SQL}
