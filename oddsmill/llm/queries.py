@@ -5,6 +5,7 @@ from __future__ import annotations
 from oddsmill.llm.chat import OP1_SQL, op1_chat_format
 from oddsmill.llm.class_model import op3_class_model
 from oddsmill.llm.decontaminate import op4_decontamination
+from oddsmill.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from oddsmill.llm.html_text import op10_html_text
 from oddsmill.llm.jaccard_join import op7_jaccard_join
 from oddsmill.llm.language import op2_language_id
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_file": op9_token_file,
     "op10_html_text": op10_html_text,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
