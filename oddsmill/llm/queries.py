@@ -9,6 +9,7 @@ from oddsmill.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from oddsmill.llm.html_text import op10_html_text
 from oddsmill.llm.jaccard_join import op7_jaccard_join
 from oddsmill.llm.language import op2_language_id
+from oddsmill.llm.minmax_dedup import op11_minmax_dedup
 from oddsmill.llm.packing import op5_packing
 from oddsmill.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from oddsmill.llm.quality import op6_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_file": op9_token_file,
     "op10_html_text": op10_html_text,
+    "op11_minmax_dedup": op11_minmax_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
