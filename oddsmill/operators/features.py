@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.operators.ingest import first_write_wins
+from oddsmill.sources.tables import scratch_table
 
 ORDER = ("ts", "kind", "tx_hash", "asset_id")
 KEY = ("platform", "tx_hash", "asset_id", "wallet_address")
@@ -42,19 +43,24 @@ def resolution_events(enriched: DataFrame, resolutions: DataFrame) -> DataFrame:
     return bought.select("platform", "wallet_address", "condition_id", "tx_hash", "asset_id", F.lit(1).alias("kind"), F.col("resolved_at").alias("ts"), won.alias("won"), pnl.alias("pnl"))
 
 
-def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
-    """Keys with more than ``most`` rows: no more of them than the rows of all divided by ``most``."""
-    return df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key)
+def hot_keys(enriched: DataFrame, most: int) -> dict[str, DataFrame | None]:
+    """Markets with more than ``most`` trades and wallets that may have more than ``most`` events (a trade has one resolution at most),
+    None where there are none. One pass counts both; there are no more of them than the trades divided by ``most``, twice."""
+    keys = {"condition_id": most, "wallet_address": most / 2}
+    both = enriched.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys])).alias("x")).select("x.*").where("key <> ''")
+    limit = F.when(F.col("kind") == "condition_id", F.lit(keys["condition_id"])).otherwise(F.lit(keys["wallet_address"]))
+    hot = scratch_table(both.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot-keys")
+    found = {r["kind"] for r in hot.select("kind").distinct().collect()}  # two rows at most
+    return {k: hot.where(F.col("kind") == k).select(F.col("key").alias(k)) if k in found else None for k in keys}
 
 
 def _in_spans(df: DataFrame) -> DataFrame:
     return df.withColumn("_span", F.floor(F.col("ts") / DAYS_30))
 
 
-def market_features(enriched: DataFrame, most: int = 5_000_000) -> DataFrame:
-    """What was known of the market before each trade; markets of more than ``most`` trades are cut into spans."""
-    hot = hot_keys(enriched, "condition_id", most)
-    if hot.isEmpty():
+def market_features(enriched: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """What was known of the market before each trade; ``hot`` markets are cut into spans."""
+    if hot is None:
         return _market_windows(enriched)
     cold, warm = (enriched.join(F.broadcast(hot), "condition_id", how) for how in ("left_anti", "left_semi"))
     return _market_windows(cold).unionByName(_market_spans(warm))
@@ -82,8 +88,13 @@ def _market_windows(enriched: DataFrame) -> DataFrame:
 
 
 def _market_spans(enriched: DataFrame) -> DataFrame:
+    # All trades without a wallet count as one trader, whose first trade is found by a minimum: a window would hold them all.
     by_wallet = Window.partitionBy("condition_id", "wallet_address").orderBy("ts", "tx_hash", "asset_id")
-    rows = _in_spans(enriched.withColumn("_first", (F.row_number().over(by_wallet) == 1).cast("long")))
+    named = enriched.where("wallet_address <> ''").withColumn("_first", (F.row_number().over(by_wallet) == 1).cast("long"))
+    nameless = enriched.where("wallet_address = ''")
+    firsts = nameless.groupBy("condition_id").agg(F.min(F.struct("ts", "tx_hash", "asset_id")).alias("_x"))  # a row for each hot market
+    nameless = nameless.join(F.broadcast(firsts), "condition_id").withColumn("_first", (F.struct("ts", "tx_hash", "asset_id") == F.col("_x")).cast("long")).drop("_x")
+    rows = _in_spans(named.unionByName(nameless))
     span = ["condition_id", "_span"]
     order = Window.partitionBy(*span).orderBy(*_TRADE_ORDER)
     newest = Window.partitionBy(*span).orderBy(*[F.desc(c) for c in _TRADE_ORDER])
@@ -130,16 +141,15 @@ def _history(categories: list[str]) -> dict[str, tuple[Column, str]]:
     return out
 
 
-def wallet_features(events: DataFrame, categories: Iterable[str], most: int = 5_000_000) -> DataFrame:
+def wallet_features(events: DataFrame, categories: Iterable[str], hot: DataFrame | None = None) -> DataFrame:
     """What was known of the wallet before each event of ``events`` (trades, kind 0; resolutions, kind 1).
 
     An anonymous wallet (empty address) has no history: its rows go past the windows, which would put a whole
-    venue into one partition. Wallets of more than ``most`` events are cut into spans.
+    venue into one partition. ``hot`` wallets are cut into spans.
     """
     categories = [*dict.fromkeys([*categories, "unknown"])]
     history = _history(categories)
     named = events.where("wallet_address <> ''")
-    hot = hot_keys(named, "wallet_address", most)
     all_time = Window.partitionBy("wallet_address")
     first_ts = F.min(F.when(F.col("kind") == 0, F.col("ts")))
     past = all_time.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
@@ -167,14 +177,22 @@ def wallet_features(events: DataFrame, categories: Iterable[str], most: int = 5_
         joined["_old"] = F.coalesce(F.col("_old") + F.col("_before_trades"), "_old", "_before_trades")
         return both.withColumns(joined).drop("_own", "_span", *[f"_before_{k}" for k in history])
 
-    if hot.isEmpty():
+    if hot is None:
         rows = windows(named)
     else:
         rows = windows(named.join(F.broadcast(hot), "wallet_address", "left_anti")).unionByName(spans(named.join(F.broadcast(hot), "wallet_address", "left_semi")))
     used = [F.struct((-F.coalesce(f"_n_{c}", F.lit(0))).alias("n"), F.col(f"_first_{c}").alias("first"), F.lit(c).alias("category")) for c in categories]
     rows = rows.withColumn("_by_category", F.filter(F.array(*used), lambda x: x["n"] < 0)).drop(*[f"_{k}_{c}" for c in categories for k in ("n", "first")])
     anonymous = events.where("wallet_address = '' and kind = 0").withColumn("_first_ts", F.col("ts"))
-    rows = rows.unionByName(anonymous, allowMissingColumns=True).withColumns(
+    rows = rows.unionByName(anonymous, allowMissingColumns=True)
+    rows = rows.withColumns({"top_category": F.array_min("_by_category")["category"], "category_diversity": F.coalesce(F.size("_by_category"), F.lit(0)).cast("long")})
+    return derived_features(rows).drop("_by_category", "kind", "won", "pnl")
+
+
+def derived_features(rows: DataFrame) -> DataFrame:
+    """Features of a wallet from what its history adds up to: columns _trades, _buys, _resolved, _wins, _pnl, _paid, _spent, _first_ts,
+    _last_ts and _old (trades more than thirty days ago), which go."""
+    rows = rows.withColumns(
         {
             "prior_trades_count": F.coalesce("_trades", F.lit(0)),
             "prior_buys_count": F.coalesce("_buys", F.lit(0)),
@@ -204,10 +222,8 @@ def wallet_features(events: DataFrame, categories: Iterable[str], most: int = 5_
             "wallet_age_days": F.greatest(F.lit(0.0), (F.col("ts") - F.col("_first_ts")) / 86_400.0),
             "seconds_since_last_trade": F.col("ts") - F.col("_last_ts"),
             "prior_trades_30d": F.col("prior_trades_count") - F.col("_old"),
-            "top_category": F.array_min("_by_category")["category"],
-            "category_diversity": F.coalesce(F.size("_by_category"), F.lit(0)).cast("long"),
         }
-    ).drop("_trades", "_buys", "_resolved", "_wins", "_pnl", "_paid", "_spent", "_first_ts", "_last_ts", "_old", "_by_category", "kind", "won", "pnl")
+    ).drop("_trades", "_buys", "_resolved", "_wins", "_pnl", "_paid", "_spent", "_first_ts", "_last_ts", "_old")
 
 
 def category_flags() -> dict[str, Column]:
@@ -223,9 +239,15 @@ def build_features(trades: DataFrame, markets: DataFrame, resolutions: DataFrame
     tables give no rows. Markets and wallets of more than ``most`` rows are cut into spans of time, which changes no value.
     """
     enriched = enriched_trades(trades, markets, platform)
-    events = market_features(enriched, most).withColumn("kind", F.lit(0)).unionByName(resolution_events(enriched, resolutions), allowMissingColumns=True)
-    rows = wallet_features(events, CATEGORIES, most).where("bs = 'BUY'")
-    known = resolutions.where(F.col("platform") == platform).select("condition_id", "outcome_yes_won", "resolved_at")
+    hot = hot_keys(enriched, most)
+    events = market_features(enriched, hot["condition_id"]).withColumn("kind", F.lit(0)).unionByName(resolution_events(enriched, resolutions), allowMissingColumns=True)
+    rows = wallet_features(events, CATEGORIES, hot["wallet_address"]).where("bs = 'BUY'")
+    return labelled(rows, resolutions.where(F.col("platform") == platform), built_at)
+
+
+def labelled(rows: DataFrame, resolutions: DataFrame, built_at: int = 0) -> DataFrame:
+    """Feature rows of BUYs on resolved markets with their label and flags, each key once."""
+    known = resolutions.select("condition_id", "outcome_yes_won", "resolved_at")
     rows = rows.join(known, "condition_id").withColumns(
         {
             "label_won": ((F.col("outcome_side") == "YES") == (F.col("outcome_yes_won") == 1)).cast("int"),

@@ -1,13 +1,9 @@
-"""State of wallets and markets at a cut-off, and its growth by micro-batches."""
+"""State of wallets and markets at a cut-off; ``fold`` has the same state kept by a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-
-from oddsmill.operators import features
-from oddsmill.sources.tables import ensure_dir, scratch_table
 
 DAYS_30 = 30 * 86_400
 
@@ -59,43 +55,6 @@ def live_metadata(known: DataFrame, live: DataFrame) -> DataFrame:
     return known.join(live.select("condition_id"), "condition_id", "left_anti").unionByName(live, allowMissingColumns=True)
 
 
-BUCKETS = 256
-
-
-def _bucket(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-
-
-def stream_features(spark, trades_path: str, schema, markets: DataFrame, resolutions: DataFrame, history_path: str, out_path: str, checkpoint: str):
-    """Features of each micro-batch of trades from files, by the same windows as the batch build.
-
-    A batch's trades stand behind the stored history of their own wallets and markets, and features are emitted for
-    the batch's rows alone; then the batch joins the history. The history is kept twice, in partitions by a hash of the wallet and of the
-    market, and a batch reads those of its own wallets and markets. A batch that runs again replaces what it wrote.
-    """
-    names, stored = list(schema.names), StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-    kinds = {"wallet": "wallet_address", "market": "condition_id"}
-    for kind in kinds:
-        ensure_dir(spark, f"{history_path}/{kind}")
-
-    def each(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        new = scratch_table(batch.dropDuplicates(list(features.KEY)), "batch")
-        parts = []
-        for kind, column in kinds.items():
-            own = [r[0] for r in new.select(_bucket(column)).distinct().collect()]  # BUCKETS at most
-            past = s.read.schema(stored).parquet(f"{history_path}/{kind}").where(F.col("bucket").isin(own))
-            parts.append(past.join(new.select(column).distinct(), column, "left_semi").select(*names))
-        near = parts[0].unionByName(parts[1]).distinct().join(new.select(*features.KEY), list(features.KEY), "left_anti")
-        rows = features.build_features(near.unionByName(new.select(*names)), markets, resolutions)
-        rows.join(new.select(*features.KEY), list(features.KEY), "left_semi").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        for kind, column in kinds.items():
-            kept = new.select(*names, F.lit(number).alias("batch"), _bucket(column).alias("bucket"))
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{history_path}/{kind}")
-
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(trades_path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stream_new_alerts(alerts: DataFrame, path: str, checkpoint: str, watermark: str = "1 day"):
     """Appends alerts (alert_key, created_at) whose key is new within the watermark."""
     timed = alerts.withColumn("event_time", F.timestamp_seconds("created_at")).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["alert_key"])

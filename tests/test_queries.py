@@ -324,20 +324,6 @@ def test_ledger_and_diff(spark):
     assert corpus.resolve_by_price(cache).count() == 1
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from oddsmill.streaming.state import stream_features
-
-    t, m, r = small_corpus(spark)
-    schema = t.schema
-    for lo in (0, 3, 6):
-        part = spark.createDataFrame(t.orderBy("ts", "tx_hash").collect()[lo : lo + 3], schema)
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream_features(spark, str(tmp_path / "in"), schema, m, r, str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert {x.tx_hash for x in out.collect()} == {"t1", "t2", "t3", "t5", "t6"}
-    assert out.where("tx_hash = 't6'").first().prior_buys_count == 2
-
-
 def streamed(spark, tmp_path, rows, schema, order, make, batches=3):
     """What a stream of files makes of ``rows``, dealt out in order."""
     df = spark.createDataFrame(rows, schema)
