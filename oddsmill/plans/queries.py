@@ -90,6 +90,39 @@ def book_to_ticks(spark, sf_dir):
     return ingest.book_ticks(m, interval=86_400).where("best_bid is not null or best_ask is not null").select("asset_id", "snapshot_at", "best_bid", "best_ask")
 
 
+_BOOK_ROWS = """select cast(user_id as varchar) as asset_id, event_id as seq, cast(floor(epoch(ts)) as bigint) as ts, case when event_id % 11 = 0 then 'book' when event_id % 7 = 3 then 'last_trade_price' else 'price_change' end as event_type,
+  case when event_id % 2 = 0 then 'bid' else 'ask' end as side, cast(case when event_id % 2 = 0 then event_id % 40 else 60 + event_id % 40 end as double) / 100 as price, cast(event_id % 5 as double) as size from events
+  union all select cast(user_id as varchar), event_id, cast(floor(epoch(ts)) as bigint), 'book', case when k < 3 then 'bid' else 'ask' end, cast(case when k < 3 then 41 + 2 * k else 50 + 2 * k end as double) / 100, cast(event_id % 3 + k as double)
+  from events, range(6) r(k) where event_id % 11 = 0"""
+_BOOK_ENDS = "select asset_id, (ts // 86400 + 1) * 86400 as snapshot_at, max(seq) as upto from book_rows group by all"
+_BOOK_LIVE = """select * from (select e.asset_id, e.snapshot_at, m.side, m.price, m.size, m.seq, max(case when m.event_type = 'book' then m.seq end) over (partition by e.asset_id, e.snapshot_at) as since,
+  row_number() over (partition by e.asset_id, e.snapshot_at, m.side, m.price order by m.seq desc) as k from book_ends e join book_rows m on m.asset_id = e.asset_id and m.seq <= e.upto and m.event_type <> 'last_trade_price')
+  where k = 1 and size > 0 and seq >= coalesce(since, 0)"""
+
+
+@query(
+    """select asset_id, snapshot_at, last_trade_price, best_bid, best_ask, bid_depth_top5, ask_depth_top5, (best_bid + best_ask) / 2 as mid_price, best_ask - best_bid as spread from book_ends
+    left join (select asset_id, snapshot_at, max(price) filter (side = 'bid') as best_bid, min(price) filter (side = 'ask') as best_ask, sum(size) filter (side = 'bid' and r <= 5) as bid_depth_top5, sum(size) filter (side = 'ask' and r <= 5) as ask_depth_top5
+      from (select *, row_number() over (partition by asset_id, snapshot_at, side order by case when side = 'bid' then -price else price end) as r from book_live) group by all) using (asset_id, snapshot_at)
+    left join (select e.asset_id, e.snapshot_at, arg_max(m.price, m.seq) as last_trade_price from book_ends e join book_rows m on m.asset_id = e.asset_id and m.seq <= e.upto and m.event_type = 'last_trade_price' group by all) using (asset_id, snapshot_at)""",
+    book_rows=_BOOK_ROWS, book_ends=_BOOK_ENDS, book_live=_BOOK_LIVE,
+)
+def order_book_ticks(spark, sf_dir):
+    """Snapshots, changes of a level and trades: the top of the book, its depth, mid, spread and last trade price."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n, bid = F.col("event_id"), F.col("event_id") % 2 == 0
+    base = [F.col("user_id").cast("string").alias("asset_id"), n.alias("seq"), views._epoch("ts").alias("ts")]
+    own = e.select(
+        *base, F.when(n % 11 == 0, "book").when(n % 7 == 3, "last_trade_price").otherwise("price_change").alias("event_type"), F.when(bid, "bid").otherwise("ask").alias("side"),
+        (F.when(bid, n % 40).otherwise(60 + n % 40).cast("double") / 100).alias("price"), (n % 5).cast("double").alias("size"),
+    )
+    k = F.col("k")
+    more = e.where(n % 11 == 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        *base, F.lit("book").alias("event_type"), F.when(k < 3, "bid").otherwise("ask").alias("side"), (F.when(k < 3, 41 + 2 * k).otherwise(50 + 2 * k).cast("double") / 100).alias("price"), (n % 3 + k).cast("double").alias("size")
+    )
+    return ingest.book_ticks(own.unionByName(more), interval=86_400)
+
+
 # -- categories, selection, upkeep ----------------------------------------------------------------
 
 _TAGGED = """select 'm' || p_partkey as condition_id, p_brand || '-' || p_size as event_slug, [case p_partkey % 9 when 0 then 'ESPORTS' when 1 then 'Bitcoin' when 2 then 'AI' when 3 then 'Fed Rates' when 4 then 'Middle East' when 5 then 'Movies' when 6 then 'US Election' when 7 then 'Crypto Prices' else 'Weather' end,
