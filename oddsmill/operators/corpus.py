@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.categories import categorize_tags, primary_category
+from oddsmill.operators.intervals import interval_join, with_next
 
 #: Least volume of a market by category.
 VOLUME_GATES = {"esports": 100_000.0}
@@ -113,21 +114,21 @@ def refresh_truncation(markets: DataFrame, trades: DataFrame, enough: int = 3000
     return out.withColumn("truncated_at_offset_cap", F.when(F.col("trades_count") >= enough, 0).otherwise(F.col("truncated_at_offset_cap")))
 
 
-def interpolate_blocks(points: DataFrame, anchors: DataFrame) -> DataFrame:
+def interpolate_blocks(points: DataFrame, anchors: DataFrame, unit: int = 3600) -> DataFrame:
     """``points`` (ts) with the block between the two anchors (ts, block) around it; clamped at both ends.
 
-    Anchors become the intervals between them, dealt out by day, so the as-of join has an equal key and no
-    interval meets more than the points of its days.
+    The intervals between neighbouring anchors, of any length, meet the points in dyadic blocks of time; neighbours are found within days.
     """
-    w = Window.orderBy("ts")
-    step = 86_400
-    spans = anchors.select(F.col("ts").alias("t0"), F.col("block").alias("b0"), F.lead("ts").over(w).alias("t1"), F.lead("block").over(w).alias("b1")).where("t1 is not null")
+    spans = with_next(anchors.select("ts", "block"), "ts", ["ts", "block"], 86_400).where("next_ts > ts")
+    spans = spans.select((F.col("ts") + 1).alias("_lo"), F.col("next_ts").alias("_hi"), F.col("ts").alias("_t0"), F.col("block").alias("_b0"), F.col("next_block").alias("_b1"))
     ends = anchors.agg(F.min(F.struct("ts", "block")).alias("lo"), F.max(F.struct("ts", "block")).alias("hi"))  # one row
-    days = spans.withColumn("day", F.explode(F.sequence(F.floor(F.col("t0") / step), F.floor(F.col("t1") / step))))
-    p = points.withColumn("day", F.floor(F.col("ts") / step)).join(F.broadcast(ends))
-    inside = p.join(days, (p["day"] == days["day"]) & (F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t1")), "left")
-    block = F.when(F.col("ts") <= F.col("lo.ts"), F.col("lo.block")).when(F.col("ts") >= F.col("hi.ts"), F.col("hi.block")).otherwise(F.floor(F.col("b0") + (F.col("b1") - F.col("b0")) * (F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0"))))
-    return inside.select(*points.columns, block.cast("long").alias("block"))
+    p = points.join(F.broadcast(ends))
+    before, behind = p.where("ts <= lo.ts or ts is null or lo is null"), p.where("ts >= hi.ts and ts > lo.ts")
+    inside = interval_join(p.where("ts > lo.ts and ts < hi.ts"), spans, [], "ts", "_lo", "_hi", unit)
+    between = F.floor(F.col("_b0") + (F.col("_b1") - F.col("_b0")) * (F.col("ts") - F.col("_t0")) / (F.col("_hi") - F.col("_t0")))
+    parts = [before.withColumn("block", F.when(F.col("ts").isNotNull(), F.col("lo.block"))), behind.withColumn("block", F.col("hi.block")), inside.withColumn("block", between)]
+    out = [x.select(*points.columns, F.col("block").cast("long").alias("block")) for x in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def activity_bounds(trades: DataFrame) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.categories import TAXONOMY, primary_category, with_settings
+from oddsmill.operators.graph import star_components
 from oddsmill.operators.ingest import first_write_wins
+from oddsmill.operators.intervals import interval_join
+from oddsmill.operators.quantiles import grouped_medians
+from oddsmill.sources.tables import scratch_table
 
 
 def alerts(df: DataFrame, detector: str, key: Column, severity: Column, title: Column, created_at: Column) -> DataFrame:
@@ -74,15 +78,24 @@ def is_bucket(label: Column) -> Column:
     return sum((text.rlike(x).cast("int") for x in BUCKET_LABELS), F.lit(0)) > 0
 
 
-def mispricing_eligible(event_markets: DataFrame, min_liquidity: float = 0.0, event_tags: DataFrame | None = None) -> DataFrame:
-    """Markets of events with 2 to 8 markets, order books, enough liquidity, labels that aren't all buckets, and no category
-    that the taxonomy skips (by ``event_tags``: event_slug, tags; without tags an event is thesis)."""
+def _liquid_events(events: DataFrame, floor: float) -> DataFrame:
+    """Events whose own liquidity is known and ``floor`` or more."""
+    return events.where(F.col("liquidity_usd") >= floor).select("event_slug").distinct()
+
+
+def mispricing_eligible(event_markets: DataFrame, events: DataFrame, min_liquidity: float = 10_000.0, event_tags: DataFrame | None = None, min_market_liquidity: float = 0.0) -> DataFrame:
+    """Markets of events with 2 to 8 markets, order books, labels that aren't all buckets, and no category that the taxonomy
+    skips (by ``event_tags``: event_slug, tags; without tags an event is thesis).
+
+    The event's own liquidity (``events``: event_slug, liquidity_usd) must be known and reach its floor; with a floor for markets, one
+    market of less or of unknown liquidity takes its whole event out."""
     bucket = is_bucket(F.col("label"))
     if event_tags is not None:
         skipped = with_settings(event_tags.select("event_slug", primary_category(F.col("tags")).alias("category"))).where("mispricing_skip")
         event_markets = event_markets.join(skipped.select("event_slug"), "event_slug", "left_anti")
-    per_event = event_markets.groupBy("event_slug").agg(F.count("*").alias("n"), F.min("order_book").alias("books"), F.min(bucket).alias("buckets"), F.sum("liquidity_usd").alias("liquidity"))
-    good = per_event.where((F.col("n") >= 2) & (F.col("n") <= 8) & F.col("books") & ~F.col("buckets") & (F.col("liquidity") >= min_liquidity)).select("event_slug")
+    per_event = event_markets.groupBy("event_slug").agg(F.count("*").alias("n"), F.min("order_book").alias("books"), F.min(bucket).alias("buckets"), F.min(F.coalesce("liquidity_usd", F.lit(float("-inf")))).alias("least"))
+    floor = F.col("least") >= min_market_liquidity if min_market_liquidity > 0 else F.lit(True)
+    good = per_event.where((F.col("n") >= 2) & (F.col("n") <= 8) & F.col("books") & ~F.col("buckets") & floor).join(_liquid_events(events, min_liquidity), "event_slug").select("event_slug")
     return event_markets.join(good, "event_slug", "left_semi")
 
 
@@ -151,6 +164,14 @@ def with_axis(event_markets: DataFrame, year: Column | None = None) -> DataFrame
     return m.withColumn("strictness", strict).where("strictness is not null")
 
 
+def monotone_eligible(event_markets: DataFrame, events: DataFrame, min_liquidity: float = 10_000.0, most: int = 12, min_market_liquidity: float = 100.0) -> DataFrame:
+    """Markets to place on an axis: of events with 2 to ``most`` markets whose own liquidity (``events``) is known and reaches its floor, those
+    with an order book, an id and, with a floor for markets, enough liquidity; others are left out of the comparison alone."""
+    fit = event_markets.groupBy("event_slug").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).join(_liquid_events(events, min_liquidity), "event_slug").select("event_slug")
+    own = event_markets.join(fit, "event_slug", "left_semi").where(F.col("order_book") & F.col("condition_id").isNotNull())
+    return own.where(F.col("liquidity_usd") >= min_market_liquidity) if min_market_liquidity > 0 else own
+
+
 def monotone_violations(placed: DataFrame, gap: float = 0.02) -> DataFrame:
     """Neighbours on an axis where the stricter market costs at least ``gap`` more than the looser one."""
     w = Window.partitionBy("event_slug").orderBy(F.desc("strictness"), "position")
@@ -162,12 +183,14 @@ def monotone_violations(placed: DataFrame, gap: float = 0.02) -> DataFrame:
 # -- trades ---------------------------------------------------------------------------------------
 
 
-def whale_alerts(trades: DataFrame, cache: DataFrame, first_seen: DataFrame, max_liquidity: float = 50_000, min_usd: float = 2000, min_share: float = 0.05, max_days: float = 30, max_trades: int = 50) -> DataFrame:
-    """Large trades of young wallets in thin markets. An unknown number of trades passes, an unknown age doesn't."""
+def whale_alerts(trades: DataFrame, cache: DataFrame, first_seen: DataFrame, max_liquidity: float = 50_000, min_usd: float = 2000, min_share: float = 0.05, max_days: float = 30, max_trades: int = 50, high_usd: float = 10_000, high_share: float = 0.20) -> DataFrame:
+    """Large trades of young wallets in thin markets. An unknown number of trades passes, an unknown age doesn't. High over ``high_usd`` or
+    ``high_share`` of the market's liquidity, else med."""
     rows = trades.where(F.col("notional_usd") >= min_usd).join(cache.where((F.col("liquidity_usd") <= max_liquidity) & (F.col("liquidity_usd") > 0)).select("condition_id", "liquidity_usd"), "condition_id")
     rows = rows.where(F.col("notional_usd") / F.col("liquidity_usd") >= min_share).join(first_seen, "wallet_address")
     age = (F.col("ts") - F.col("first_activity_at")) / 86_400.0
-    return rows.withColumn("wallet_age_days", age).where((age <= max_days) & (F.col("total_trades").isNull() | (F.col("total_trades") <= max_trades)))
+    grade = F.when((F.col("notional_usd") > high_usd) | (F.col("notional_usd") / F.col("liquidity_usd") > high_share), "high").otherwise("med")
+    return rows.withColumns({"wallet_age_days": age, "severity": grade}).where((age <= max_days) & (F.col("total_trades").isNull() | (F.col("total_trades") <= max_trades)))
 
 
 def velocity(ticks: DataFrame, window_s: int = 60, history: int = 32, threshold: float = 0.05) -> DataFrame:
@@ -228,17 +251,20 @@ def burst_windows(alerts_: DataFrame, trades: DataFrame, step: int = 300, factor
     return alerts_.select(*key).join(per, key, "left").select("alert_key", "condition_id", (F.col("at") - F.coalesce(back_to, F.lit(back))).alias("since"), F.col("at").alias("until"))
 
 
-def burst_hits(trades: DataFrame, bucket: int = 60, min_wallets: int = 4, max_cv: float = 0.4, top: int = 5, contributors: int = 50) -> DataFrame:
+def burst_hits(trades: DataFrame, bucket: int = 60, min_wallets: int = 4, max_cv: float = 0.4, top: int = 5, contributors: int = 50, most: int = 100_000) -> DataFrame:
     """Buckets (market, outcome, side, minute) where many wallets trade alike sizes, with those nearest the median.
 
-    The first trade of each wallet counts, if its size is positive; a market keeps its ``top`` hits by listed wallets.
+    The first trade of each wallet counts, if its size is positive; a market keeps its ``top`` hits by listed wallets. Medians of buckets with
+    more than ``most`` wallets come from histograms, so no bucket's sizes meet in one task.
     """
     key = ["condition_id", "outcome_side", "bs", "bucket"]
     t = first_write_wins(trades.withColumn("bucket", F.floor(F.col("ts") / bucket) * bucket), [*key, "wallet_address"], ["ts", "tx_hash", "asset_id"]).where("size > 0")
-    hits = t.groupBy(*key).agg(F.count("*").alias("n_wallets"), F.median("size").alias("median_size"), (F.stddev_pop("size") / F.avg("size")).alias("cv"))
+    hits = t.groupBy(*key).agg(F.count("*").alias("n_wallets"), (F.stddev_pop("size") / F.avg("size")).alias("cv"))
     hits = hits.where((F.col("n_wallets") >= min_wallets) & (F.col("cv") <= max_cv))
     first = Window.partitionBy("condition_id").orderBy(F.desc(F.least("n_wallets", F.lit(contributors))), "bucket", "outcome_side", "bs")
-    hits = hits.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= top).drop("_k")
+    hits = scratch_table(hits.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= top).drop("_k"), "burst-hits")
+    medians = grouped_medians(t.join(hits.select(*key), key, "left_semi"), key, "size", scratch_table, most=most).select(*key, F.col("median").alias("median_size"))
+    hits = hits.join(medians, key)
     near = Window.partitionBy(*key).orderBy(F.abs(F.col("size") - F.col("median_size")), "wallet_address")
     own = t.join(hits, key).withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= contributors)
     return own.groupBy(*key, "n_wallets", "median_size", "cv").agg(F.sort_array(F.collect_list("wallet_address")).alias("wallets"))
@@ -343,23 +369,10 @@ def cotrade_edges(trades: DataFrame, markets: DataFrame, least: int = 3, newest:
     return pairs.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
-def components(edges: DataFrame, write) -> DataFrame:
-    """wallet_address, component (its smallest address): labels fall to the smallest neighbour's, and to their label's label,
-    until none changes, so that a long chain takes few rounds.
-
-    ``write(df, name)`` writes a table and reads it back, so a round is not computed again in the next.
-    """
-    both = write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        own = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("a").alias("next"), F.col("label").alias("beyond"))
-        new = own.join(jump, "next", "left").select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"), F.col("label").alias("was"))
-        new = write(new, "labels")
-        labels = new.select("a", "label")
-        if new.where("label <> was").isEmpty():
-            return labels.select(F.col("a").alias("wallet_address"), F.col("label").alias("component"))
+def components(edges: DataFrame, write, lane_edges: int = 100_000) -> DataFrame:
+    """wallet_address, component (its smallest address), by alternating stars: neither a hub nor a long chain takes a large task or many rounds."""
+    found = star_components(edges.select("a", "b"), write, lane_edges)
+    return found.select(F.col("node").alias("wallet_address"), "component")
 
 
 def cluster_groups(labelled: DataFrame, least: int = 3, most: int = 100) -> DataFrame:
@@ -394,6 +407,18 @@ def cluster_scores(members: DataFrame, trades: DataFrame, first_seen: DataFrame,
     return c.withColumn("severity", F.when(F.col("score") >= 7, "high").when(F.col("score") >= 5, "med"))
 
 
+def new_clusters(scores: DataFrame, known: DataFrame, threshold: int = 5) -> DataFrame:
+    """Scored clusters that reach ``threshold`` and whose cluster_id is not ``known``, each id once: what a scan stores and alerts of."""
+    fresh = scores.where(F.col("score") >= threshold).join(known.select("cluster_id"), "cluster_id", "left_anti")
+    return first_write_wins(fresh, ["cluster_id"], ["component"])
+
+
+def updated_members(stored: DataFrame, clusters: DataFrame, members: DataFrame, at: int) -> DataFrame:
+    """cluster_id, wallet_address, added_at: the members that are stored, and those of new ``clusters`` (cluster_id, component) who are not yet."""
+    added = clusters.select("cluster_id", "component").join(members, "component").select("cluster_id", "wallet_address", F.lit(at).cast("long").alias("added_at"))
+    return stored.unionByName(added.join(stored, ["cluster_id", "wallet_address"], "left_anti"))
+
+
 def cluster_active(trades: DataFrame, members: DataFrame, window_s: int = 300) -> DataFrame:
     """Trades of a cluster's member within ``window_s`` after another member's in the same market; high from half on."""
     n = members.groupBy("component").agg(F.count("*").alias("member_count"))
@@ -408,19 +433,20 @@ def seed_markets(trades: DataFrame, seeds: DataFrame) -> DataFrame:
     return own.groupBy("condition_id").agg(F.count("*").alias("n_trades"), F.count_distinct("wallet_address").alias("n_wallets"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).where("n_wallets >= 3 or n_trades >= 4")
 
 
-def expand_cluster(trades: DataFrame, seeds: DataFrame, slack: int = 3600) -> DataFrame:
+def expand_cluster(trades: DataFrame, seeds: DataFrame, slack: int = 3600, most: int = 100_000) -> DataFrame:
     """Wallets that trade the seeds' markets around their time, scored by how much they look alike.
 
     Fingerprint: share of sells, of prices at 0.95 or more, of sizes under 100 and of 500 to 999, against the seeds' own
-    shares; plus half a point for each market, five at most. Median size is the upper one.
+    shares; plus half a point for each market, five at most. Median size is the upper one; that of wallets with more than ``most`` trades
+    comes from histograms. Trades meet a market's span in its dyadic blocks.
     """
     shares = {"sell_rate": F.col("bs") == "SELL", "high_price": F.col("price") >= 0.95, "small": F.col("size") < 100, "round": F.col("size").between(500, 999)}
     means = [F.avg(c.cast("double")).alias(k) for k, c in shares.items()]
     target = trades.join(seeds.select("wallet_address"), "wallet_address", "left_semi").agg(*[m.alias(f"t_{k}") for m, k in zip(means, shares, strict=True)])
     span = seed_markets(trades, seeds).select("condition_id", (F.col("first_ts") - slack).alias("lo"), (F.col("last_ts") + slack).alias("hi"))
-    near = trades.join(span, "condition_id").where("ts between lo and hi").join(seeds.select("wallet_address"), "wallet_address", "left_anti")
-    sizes = F.sort_array(F.collect_list("size"))
-    own = near.groupBy("wallet_address").agg(F.count("*").alias("n_trades"), F.count_distinct("condition_id").alias("n_markets"), *means, F.element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int")).alias("median_size"))
+    near = interval_join(trades, span, ["condition_id"], "ts", "lo", "hi").join(seeds.select("wallet_address"), "wallet_address", "left_anti")
+    medians = grouped_medians(near, ["wallet_address"], "size", scratch_table, upper=True, most=most).select("wallet_address", F.col("median").alias("median_size"))
+    own = near.groupBy("wallet_address").agg(F.count("*").alias("n_trades"), F.count_distinct("condition_id").alias("n_markets"), *means).join(medians, "wallet_address", "left")
     score = sum((1 - F.abs(F.col(k) - F.col(f"t_{k}")) for k in shares), F.lit(0.0)) + 0.5 * F.least(F.col("n_markets"), F.lit(5))
     return own.join(F.broadcast(target)).withColumn("score", score).drop(*[f"t_{k}" for k in shares])  # target is one row
 

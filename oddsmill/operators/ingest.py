@@ -6,7 +6,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
+
+from oddsmill.functions.bigint import hex_to_decimal
 
 #: Least notional of a stored trade by platform.
 NOTIONAL_FLOOR = {"polymarket": 10.0, "kalshi": 10.0, "manifold": 100.0}
@@ -114,12 +116,6 @@ def _word(data: str, k: int) -> Column:
     return F.substring(F.regexp_replace(data, "^0x", ""), 64 * k + 1, 64)
 
 
-@F.pandas_udf(StringType())
-def _hex_to_decimal(s):
-    """256-bit integers are wider than any numeric type of Spark; they stay as decimal text."""
-    return s.map(lambda x: str(int(x, 16)), na_action="ignore")
-
-
 def decode_fills(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed fills and rejected logs from event logs (topics, data, transaction_hash, block_number, log_index)."""
     good = (F.size("topics") == 4) & F.regexp_replace("data", "^0x", "").rlike("^[0-9a-fA-F]{320}$") & F.forall("topics", lambda t: t.rlike("^0x[0-9a-fA-F]{64}$"))
@@ -130,7 +126,7 @@ def decode_fills(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     names = ("maker_asset_id", "taker_asset_id", "maker_amount", "taker_amount", "fee")
     fills = logs.where(good).select(
-        "transaction_hash", "block_number", "log_index", F.element_at("topics", 2).alias("order_hash"), address(3).alias("maker"), address(4).alias("taker"), *[_hex_to_decimal(_word("data", k)).alias(n) for k, n in enumerate(names)]
+        "transaction_hash", "block_number", "log_index", F.element_at("topics", 2).alias("order_hash"), address(3).alias("maker"), address(4).alias("taker"), *[hex_to_decimal(_word("data", k)).alias(n) for k, n in enumerate(names)]
     )
     return fills, logs.where(~good)
 
@@ -249,6 +245,18 @@ def exchange_tables(markets: DataFrame, known_markets: DataFrame, trades: DataFr
     return upsert(fresh, known_markets, ["ticker"], ["seen_at"]), known_trades.unionByName(added, allowMissingColumns=True)
 
 
+def exchange_books(raw: DataFrame) -> DataFrame:
+    """Order-book rows (ticker, ts, yes_bids_json, no_bids_json) from payloads (ticker, ts, raw JSON ``orderbook_fp`` with the price
+    and size of each bid as texts); a side that is missing has no bids. Every payload is a row: books are appended."""
+    side = lambda name: F.coalesce(F.get_json_object("raw", f"$.orderbook_fp.{name}_dollars"), F.lit("[]"))
+    return raw.where("ticker is not null").select("ticker", "ts", side("yes").alias("yes_bids_json"), side("no").alias("no_bids_json"))
+
+
+def latest_books(books: DataFrame) -> DataFrame:
+    """The newest row of each ticker; of rows of one second the last in the order of their bids."""
+    return first_write_wins(books, ["ticker"], [F.desc("ts"), F.desc("yes_bids_json"), F.desc("no_bids_json")])
+
+
 def play_money_rows(raw: DataFrame, known: DataFrame, fields: str) -> DataFrame:
     """Play-money markets, bets or users after an update: of each id the newest payload (raw JSON, seen_at), which is kept
     beside the parsed ``fields``; payloads without an id are dropped."""

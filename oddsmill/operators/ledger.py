@@ -32,12 +32,19 @@ def burst_signals(alerts: DataFrame, min_wallets: int = 3) -> DataFrame:
     return _signals(own, _body("condition_id"), _body("outcome_side"))
 
 
-def velocity_signals(alerts: DataFrame, cache: DataFrame) -> DataFrame:
-    """Two signals for a high alert that isn't consolidating: with the move, and against it by the first other outcome."""
-    own = alerts.where(f"detector = 'velocity' and {SEVERITY_RANK} >= 2").where(~F.coalesce(_body("consolidated", "boolean"), F.lit(False))).withColumn("asset_id", _body("asset_id"))
-    pairs = cache.select("condition_id", F.explode(F.arrays_zip("outcomes", "asset_ids")).alias("z"), F.arrays_zip("outcomes", "asset_ids").alias("zs")).select("condition_id", F.col("z.outcomes").alias("follow"), F.col("z.asset_ids").alias("asset_id"), "zs")
-    other = F.try_element_at(F.filter("zs", lambda z: z["asset_ids"] != F.col("asset_id")), F.lit(1))["outcomes"]
-    both = own.join(pairs, "asset_id").withColumn("v", F.explode(F.array(F.struct(F.lit("follow").alias("variant"), F.col("follow").alias("side")), F.struct(F.lit("fade").alias("variant"), other.alias("side")))))
+def velocity_signals(alerts: DataFrame, cache: DataFrame, min_severity: str = "high", allow_consolidation: bool = False) -> DataFrame:
+    """Two signals for an alert of ``min_severity`` or more in the market that its body names: with the move, by the outcome of its asset, and
+    against it, by the first other outcome. Consolidating moves count only if allowed; an asset that isn't the market's gives nothing."""
+    own = alerts.where(f"detector = 'velocity' and {SEVERITY_RANK} >= {('low', 'med', 'high').index(min_severity)}").withColumns({"condition_id": _body("condition_id"), "asset_id": _body("asset_id")})
+    if not allow_consolidation:
+        own = own.where(~F.coalesce(_body("consolidated", "boolean"), F.lit(False)))
+    zs = F.arrays_zip("outcomes", "asset_ids")
+    market = cache.select("condition_id", zs.alias("zs"))
+    is_own = lambda z: z["asset_ids"] == F.col("asset_id")
+    first = lambda found: F.try_element_at(found, F.lit(1))["outcomes"]
+    found = own.join(market, "condition_id").where(F.exists("zs", is_own))
+    sides = F.array(F.struct(F.lit("follow").alias("variant"), F.element_at(F.filter("zs", is_own), -1)["outcomes"].alias("side")), F.struct(F.lit("fade").alias("variant"), first(F.filter("zs", lambda z: ~is_own(z))).alias("side")))
+    both = found.withColumn("v", F.explode(sides))
     return _signals(both.where("v.side is not null"), F.col("condition_id"), F.col("v.side"), F.col("v.variant"))
 
 
@@ -96,7 +103,7 @@ def fill_prices(signals: DataFrame, assets: DataFrame, ticks: DataFrame) -> Data
     return joined.withColumn("price", F.coalesce(valid(F.col("t.best_ask")), valid(F.col("t.last_trade_price")), valid(F.col("cached_price")))).drop("t", "_v")
 
 
-def size_entries(priced: DataFrame, bankroll: float = 10_000.0, min_cost: float = 0.5) -> DataFrame:
+def size_entries(priced: DataFrame, bankroll: float = 1000.0, min_cost: float = 0.5) -> DataFrame:
     """Cost by the source's fraction of a constant bankroll; prices outside (0, 1) and small costs are rejected."""
     fraction = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in FRACTIONS.items()], F.lit(0.0))
     out = priced.withColumn("cost_usd", F.lit(bankroll) * fraction).where((F.col("cost_usd") >= min_cost) & (F.col("price") > 0) & (F.col("price") < 1))
@@ -135,7 +142,7 @@ def settled(ledger: DataFrame) -> DataFrame:
     return ledger.where("trade_kind = 'entry'").join(exits, "trade_id", "left").withColumn("pnl", F.col("proceeds") - F.col("cost_usd"))
 
 
-def nav_curve(ledger: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
+def nav_curve(ledger: DataFrame, bankroll: float = 1000.0) -> DataFrame:
     """Net asset value after each exit, in the order of time and trade_id: sums of the days, then of each day's exits."""
     exits = settled(ledger).where("pnl is not null").select("trade_id", "exit_ts", "pnl", F.floor(F.col("exit_ts") / 86_400).alias("day"))
     days = exits.groupBy("day").agg(F.sum("pnl").alias("of_day"))
@@ -144,7 +151,7 @@ def nav_curve(ledger: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
     return exits.join(days, "day").select("trade_id", "exit_ts", "pnl", (F.lit(bankroll) + F.col("before") + F.sum("pnl").over(inside)).alias("nav"))
 
 
-def summary(ledger: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
+def summary(ledger: DataFrame, bankroll: float = 1000.0) -> DataFrame:
     s = settled(ledger).agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("realized_pnl"), F.count(F.when(F.col("pnl").isNull(), 1)).alias("open_positions"), F.count("pnl").alias("closed_positions"))
     return s.withColumns({"nav": F.lit(bankroll) + F.col("realized_pnl"), "return_pct": F.col("realized_pnl") / bankroll * 100})
 

@@ -195,21 +195,118 @@ def _vote(tree) -> Column:
     return walk(tree._call_java("rootNode"))
 
 
+def exported(trained: Trained) -> dict:
+    """The model as plain values: names of its features, levels of the encoded columns, weights of the trees, and each tree as nested
+    (feature, threshold, below or at it, above it) down to leaves."""
+
+    def walk(node):
+        if node.numDescendants() == 0:
+            return float(node.prediction())
+        split = node.split()
+        return [trained.columns[split.featureIndex()], float(split.threshold()), walk(node.leftChild()), walk(node.rightChild())]
+
+    return {"levels": trained.levels, "weights": [float(w) for w in trained.model.treeWeights], "trees": [walk(t._call_java("rootNode")) for t in trained.model.trees]}
+
+
+def exported_margin(model: dict) -> Column:
+    """The sum of the trees' votes over plain columns: a level is a comparison, a missing number is below every threshold."""
+
+    def value(name: str) -> Column:
+        column, _, level = name.partition("=")
+        if level and column in model["levels"]:
+            return (F.coalesce(column, F.lit(NONE)) == level).cast("double")
+        return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None)), F.lit(-1e9))
+
+    def walk(node) -> Column:
+        return F.lit(node) if isinstance(node, float) else F.when(value(node[0]) <= node[1], walk(node[2])).otherwise(walk(node[3]))
+
+    return sum((F.lit(w) * walk(t) for w, t in zip(model["weights"], model["trees"], strict=True)), F.lit(0.0))
+
+
+def exported_sql(model: dict) -> str:
+    """``exported_margin`` as an SQL expression."""
+
+    def value(name: str) -> str:
+        column, _, level = name.partition("=")
+        if level and column in model["levels"]:
+            return f"(case when coalesce({column}, '{NONE}') = '{level}' then 1 else 0 end)"
+        return f"coalesce({name}, -1e9)"
+
+    def walk(node) -> str:
+        return repr(node) if isinstance(node, float) else f"case when {value(node[0])} <= {node[1]!r} then {walk(node[2])} else {walk(node[3])} end"
+
+    return "(" + " + ".join(f"cast({w!r} as double) * ({walk(t)})" for w, t in zip(model["weights"], model["trees"], strict=True)) + ")"
+
+
+def scored_by(model: dict, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``pred`` of an exported model, without its library: the probability that the bet wins."""
+    return rows.withColumn("pred", 1 / (1 + F.exp(-2 * exported_margin(model))))
+
+
+def with_outcome_side(trades: DataFrame, cache: DataFrame) -> DataFrame:
+    """Trades with the side (YES, NO) of their asset by the arrays of their market (condition_id, asset_ids, outcomes), which may differ in
+    length; trades of markets that aren't cached, of other assets and of outcomes that are neither have no side and go."""
+    names = cache.select("condition_id", F.transform("asset_ids", lambda a, i: F.struct(a.alias("asset"), F.upper(F.trim(F.try_element_at("outcomes", i + 1))).alias("side"))).alias("_sides"))
+    own = F.try_element_at(F.filter("_sides", lambda x: x["asset"] == F.col("asset_id")), F.lit(1))["side"]
+    return trades.drop("outcome_side").join(names, "condition_id").withColumn("outcome_side", own).where("outcome_side in ('YES', 'NO')").drop("_sides")
+
+
+@dataclass
+class Search:
+    """What a search chose, and how much it fitted: trees times the share of the training markets that they saw."""
+
+    params: dict
+    trees: int
+    edge: float
+    fitted: float
+
+
+def successive_halving(train: DataFrame, validation: DataFrame, grid: dict[str, list], n_min: int = 20, seed: int = 7, keep: int = 3, parallel: int = 4) -> Search:
+    """The parameters and number of trees that earn most edge on ``validation``, by fits on growing shares of the training markets.
+
+    All candidates of the grid are fitted on the smallest share, the best ``1/keep`` of them on ``keep`` times as many markets, and so on to
+    all markets; shares are nested, by a hash of the market (condition_id). Fits of one round run side by side in scheduler pools.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    context = train.sparkSession.sparkContext
+    candidates = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    rounds, left = 0, len(candidates)
+    while left > 1:
+        rounds, left = rounds + 1, -(-left // keep)
+    slot = F.pmod(F.xxhash64("condition_id"), F.lit(keep**rounds))
+    fitted, best = 0.0, []
+    for k in range(rounds + 1):
+        share = keep ** (k - rounds)
+        part = train.where(slot < keep**k).persist()
+
+        def fit(job, part=part):
+            number, params = job
+            context.setLocalProperty("spark.scheduler.pool", f"search-{number}")
+            edges = edge_by_trees(_boosted(part, params, seed), validation, n_min)
+            top = max(range(len(edges)), key=lambda i: (edges[i], -i))
+            return edges[top], -number, params, top + 1
+
+        with ThreadPoolExecutor(parallel) as pool:
+            best = sorted(pool.map(inheritable_thread_target(train.sparkSession)(fit), enumerate(candidates)), key=lambda x: (x[0], x[1]), reverse=True)
+        fitted += share * sum(p.get("maxIter", 20) for p in candidates)
+        part.unpersist()
+        candidates = [x[2] for x in best[: -(-len(best) // keep)]]
+    edge, _, params, trees = best[0]
+    return Search(params, trees, edge, fitted)
+
+
 def train_and_test(rows: DataFrame, grid: dict[str, list], n_min: int = 20, seed: int = 7) -> Trained:
-    """Chooses, among the grid, the parameters and the number of boosting rounds (early stop) that earn most edge on validation
-    rows; fits those on training rows again and tests them once. ``rows`` has split (train, validation, test)."""
+    """Chooses, among the grid by successive halving, the parameters and the number of boosting rounds (early stop) that earn most
+    edge on validation rows; fits those on training rows again and tests them once. ``rows`` has split (train, validation, test)."""
     levels = fit_levels(rows.where("split = 'train'"))
     columns = [*feature_columns(rows), *[f"{c}={v}" for c, values in levels.items() for v in values]]
-    ready = prepared(rows, levels, columns).select("split", "label_won", "implied_prob_at_buy", "features")
+    ready = prepared(rows, levels, columns).select("condition_id", "split", "label_won", "implied_prob_at_buy", "features")
     part = {k: ready.where(F.col("split") == k).persist() for k in ("train", "validation")}
-    best = (float("-inf"), {}, 0)
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        edges = edge_by_trees(_boosted(part["train"], params, seed), part["validation"], n_min)
-        top = max(range(len(edges)), key=lambda k: (edges[k], -k))
-        if edges[top] > best[0]:
-            best = (edges[top], params, top + 1)
-    _, params, trees = best
+    found = successive_halving(part["train"], part["validation"], grid, n_min, seed)
+    params, trees = found.params, found.trees
     fitted = _boosted(part["train"], {**params, "maxIter": trees}, seed)
     for df in part.values():
         df.unpersist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from oddsmill.operators import ingest
 from oddsmill.plans import views
 from oddsmill.plans.registry import query
-from oddsmill.sources import tables
+from oddsmill.sources import tables, versioned
 
 
 def _n():
@@ -229,3 +229,63 @@ def platform_scan(spark, sf_dir):
     tables.replace_platform(t, path)
     tables.replace_platform(t.where("platform = 'odd'").withColumn("n", F.lit(0).cast("long")), path)
     return tables.chronological(tables.scan(spark, path, t.schema, "even", ["tx_hash", "asset_id", "wallet_address", "ts", "n"]))
+
+
+@query("select tx_hash, asset_id, wallet_address, ts, cast(size as bigint) as n from trades order by ts, tx_hash, asset_id, wallet_address limit 1000 offset 2000")
+def trade_page(spark, sf_dir):
+    """The third page of a thousand trades in order of time, each page from the last key of the one before."""
+    t = views.trades(spark, sf_dir).select("tx_hash", "asset_id", "wallet_address", "ts", _n().alias("n"))
+    path = f"{tables.scratch_dir(spark)}/pages-{uuid.uuid4().hex}"
+    versioned.write_paged(t, path, 16)
+    after = None
+    for _ in range(2):
+        last = versioned.page(spark, path, after, 1000).orderBy(*[F.desc(c) for c in versioned.TRADE_ORDER]).select(*versioned.TRADE_ORDER).head()
+        after = tuple(last)
+    return versioned.page(spark, path, after, 1000)
+
+
+@query("select case when cast(size as bigint) % 2 = 0 then 'even' else 'odd' end as platform, tx_hash, asset_id, wallet_address, ts, case when cast(size as bigint) % 2 = 0 then cast(size as bigint) else 0 end as n from trades")
+def swapped_scan(spark, sf_dir):
+    """Two venues are written and one of them is swapped for another build; readers follow the manifest."""
+    t = views.trades(spark, sf_dir).select("tx_hash", "asset_id", "wallet_address", "ts", _n().alias("n"), F.when(_n() % 2 == 0, "even").otherwise("odd").alias("platform"))
+    path = f"{tables.scratch_dir(spark)}/swapped-{uuid.uuid4().hex}"
+    versioned.swap(t, path)
+    versioned.swap(t.where("platform = 'odd'").withColumn("n", F.lit(0).cast("long")), path)
+    return versioned.read(spark, path)
+
+
+@query("""select reason, count(*) as n from (select case when cast(size as bigint) % 7 = 0 then 'exchange_maker' when cast(size as bigint) % 5 = 0 or cast(size as bigint) % 11 = 0 then 'unsupported' when cast(size as bigint) % 3 = 0 then 'unresolvable' end as reason from trades)
+  where reason is not null group by reason""")
+def skipped_fills(spark, sf_dir):
+    """Fills of the exchange itself, between two tokens, of no tokens and of tokens that no market has, counted by reason."""
+    t = views.trades(spark, sf_dir)
+    fills = t.select(
+        F.col("tx_hash").alias("transaction_hash"), F.when(_n() % 7 == 0, "0xEXCHANGE").otherwise(F.col("wallet_address")).alias("maker"), F.when(_n() % 5 == 0, F.col("asset_id")).otherwise("0").alias("maker_asset_id"),
+        F.when(_n() % 3 == 0, F.concat(F.lit("x"), "asset_id")).otherwise(F.col("asset_id")).alias("taker_asset_id"), F.lit("1000000").alias("maker_amount"), F.when(_n() % 11 == 0, "0").otherwise("2000000").alias("taker_amount"), F.col("ts").alias("block_number"),
+    )
+    return ingest.fills_to_trades(fills, ingest.asset_index(t), "0xexchange")[1]
+
+
+@query("""select tx_hash as transaction_hash, cast(size as bigint) as log_index, '0x' || lpad(lower(to_hex(ts)), 40, '0') as maker, (k * 18446744073709551616::uhugeint + n)::varchar as maker_asset_id, (n * 18446744073709551616::uhugeint + k)::varchar as taker_asset_id, k::varchar as maker_amount, '0' as fee
+  from (select *, cast(substr(condition_id, 2) as bigint)::uhugeint as k, cast(size as bigint)::uhugeint as n from trades) where cast(size as bigint) % 5 <> 0""")
+def log_fills(spark, sf_dir):
+    """Event logs with 128-bit ids; each fifth has too short a text."""
+    t = views.trades(spark, sf_dir).withColumns({"k": F.substring("condition_id", 2, 20).cast("long"), "n": _n()})
+    word = lambda hi, lo: F.concat(F.lpad(F.hex(hi), 48, "0"), F.lpad(F.hex(lo), 16, "0"))
+    zero = F.lit(0).cast("long")
+    data = F.concat(F.lit("0x"), word(F.col("k"), F.col("n")), word(F.col("n"), F.col("k")), word(zero, F.col("k")), word(zero, F.col("n")), F.when(F.col("n") % 5 == 0, F.lit("00")).otherwise(word(zero, zero)))
+    topic = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("ts")), 64, "0"))
+    logs = t.select(F.array(topic, topic, topic, topic).alias("topics"), F.lower(data).alias("data"), F.col("tx_hash").alias("transaction_hash"), F.lit(1).alias("block_number"), F.col("n").alias("log_index"))
+    return ingest.decode_fills(logs)[0].select("transaction_hash", "log_index", "maker", "maker_asset_id", "taker_asset_id", "maker_amount", "fee")
+
+
+@query("""select 'K' || p_partkey as ticker, case when p_partkey % 3 = 0 then 2 else 1 end as ts, '[["0.' || p_size || '","10.00"]]' as yes_bids_json, case when p_partkey % 4 = 0 then '[]' else '[["0.07","' || p_size || '.00"]]' end as no_bids_json from part""")
+def exchange_book_rows(spark, sf_dir):
+    """Order books of a second venue are appended; the newest of each ticker is read."""
+    p = _part(spark, sf_dir)
+    yes, no = F.concat(F.lit('"yes_dollars":[["0.'), F.col("p_size").cast("string"), F.lit('","10.00"]]')), F.concat(F.lit('"no_dollars":[["0.07","'), F.col("p_size").cast("string"), F.lit('.00"]]'))
+    inner = F.when(F.col("p_partkey") % 4 == 0, yes).otherwise(F.concat(yes, F.lit(","), no))
+    raw = F.concat(F.lit('{"orderbook_fp":{'), inner, F.lit("}}"))
+    new = p.select(F.concat(F.lit("K"), "k").alias("ticker"), F.when(F.col("p_partkey") % 3 == 0, 2).otherwise(1).alias("ts"), raw.alias("raw"))
+    old = p.select(F.concat(F.lit("K"), "k").alias("ticker"), F.lit(0).alias("ts"), F.lit("{}").alias("raw"))
+    return ingest.latest_books(ingest.exchange_books(new.unionByName(old)))

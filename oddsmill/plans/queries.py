@@ -342,18 +342,22 @@ def axis_extract(spark, sf_dir):
   case when round(yes_price - loose_price, 6) > 0.10 then 'high' when round(yes_price - loose_price, 6) > 0.05 then 'med' else 'low' end as severity from (
   select *, lead(condition_id) over w as loose_id, lead(yes_price) over w as loose_price, lead(strictness) over w as loose_at from (
     select *, case when axis = 'date' then -date_axis when axis = 'higher' then higher_axis when axis = 'lower' then -lower_axis end as strictness from (
-      select *, case when count(date_axis) over (partition by event_slug) >= 2 then 'date' when count(higher_axis) over (partition by event_slug) >= 2 then 'higher' when count(lower_axis) over (partition by event_slug) >= 2 then 'lower' end as axis from ({_AXES}))) where strictness is not null
+      select *, case when count(date_axis) over (partition by event_slug) >= 2 then 'date' when count(higher_axis) over (partition by event_slug) >= 2 then 'higher' when count(lower_axis) over (partition by event_slug) >= 2 then 'lower' end as axis from (
+        select * from ({_AXES}) where liquidity_usd >= 18300 and event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 12 and max(case when position % 17 <> 0 then liquidity_usd end) >= 19000)))) where strictness is not null
   window w as (partition by event_slug order by strictness desc, position)) where loose_at < strictness and round(yes_price - loose_price, 6) >= 0.02""")
 def monotone_violations(spark, sf_dir):
-    return detectors.monotone_violations(detectors.with_axis(views.event_markets(spark, sf_dir)))
+    """Events with floors of their own and for their markets."""
+    m = views.event_markets(spark, sf_dir)
+    events = m.groupBy("event_slug").agg(F.max(F.when(F.col("position") % 17 != 0, F.col("liquidity_usd"))).alias("liquidity_usd"))
+    return detectors.monotone_violations(detectors.with_axis(detectors.monotone_eligible(m, events, 19_000.0, 12, 18_300.0)))
 
 
-@query("""select tx_hash, asset_id, wallet_address, condition_id, round(notional_usd + 3e-12, 8) as notional_usd, liquidity_usd, round((ts - first_activity_at) / 86400 + 3e-12, 8) as wallet_age_days, total_trades
+@query("""select tx_hash, asset_id, wallet_address, condition_id, round(notional_usd + 3e-12, 8) as notional_usd, liquidity_usd, round((ts - first_activity_at) / 86400 + 3e-12, 8) as wallet_age_days, total_trades, case when notional_usd > 40 or notional_usd / liquidity_usd > 0.002 then 'high' else 'med' end as severity
   from trades join market_cache using (condition_id) join first_seen using (wallet_address)
   where notional_usd >= 20 and liquidity_usd <= 25000 and liquidity_usd > 0 and notional_usd / liquidity_usd >= 0.001 and (ts - first_activity_at) / 86400 <= 365 and total_trades <= 50""")
 def whale_alerts(spark, sf_dir):
-    out = detectors.whale_alerts(views.trades(spark, sf_dir), views.market_cache(spark, sf_dir), views.first_seen(spark, sf_dir), 25_000, 20, 0.001, 365, 50)
-    return out.select("tx_hash", "asset_id", "wallet_address", "condition_id", "notional_usd", "liquidity_usd", "wallet_age_days", "total_trades")
+    out = detectors.whale_alerts(views.trades(spark, sf_dir), views.market_cache(spark, sf_dir), views.first_seen(spark, sf_dir), 25_000, 20, 0.001, 365, 50, 40, 0.002)
+    return out.select("tx_hash", "asset_id", "wallet_address", "condition_id", "notional_usd", "liquidity_usd", "wallet_age_days", "total_trades", "severity")
 
 
 _MOVES = """select asset_id, snapshot_at, mid_price, start_price, n_ticks, (mid_price - start_price) / start_price as change, coalesce(start_spread / spread > 5, false) as consolidated,
@@ -546,7 +550,7 @@ _GATED = {
       coalesce((select case when best_ask > 0 and best_ask < 1 then best_ask when last_trade_price > 0 and last_trade_price < 1 then last_trade_price end from asset_ticks t where t.asset_id = a.asset_id and t.snapshot_at <= g.ts order by t.snapshot_at desc limit 1),
         case when cached_price > 0 and cached_price < 1 then cached_price end) as price
       from gated g join assets a on a.condition_id = g.condition_id and a.side = g.outcome_side""",
-    "entries": "select *, cast(50 as double) as cost_usd, cast(50 as double) / price as shares from priced where price > 0 and price < 1",
+    "entries": "select *, cast(5 as double) as cost_usd, cast(5 as double) / price as shares from priced where price > 0 and price < 1",
     "booked": "select e.*, case when r.condition_id is not null and cast(substr(condition_id, 2) as bigint) % 3 <> 0 then case when (side = 'YES') = (outcome_yes_won = 1) then shares else 0 end end as proceeds from entries e left join resolutions r using (condition_id)",
     "settled": "select *, proceeds - cost_usd as pnl from booked",
 }
@@ -607,7 +611,7 @@ def wallet_leaderboard(spark, sf_dir):
     return ledger.wallet_leaderboard(_ledger(spark, sf_dir), _gate_alerts(spark, sf_dir))
 
 
-@query("select round(coalesce(sum(pnl), 0) + 3e-12, 8) as realized_pnl, count(*) filter (pnl is null) as open_positions, count(pnl) as closed_positions, round(10000 + coalesce(sum(pnl), 0) + 3e-12, 8) as nav, round(coalesce(sum(pnl), 0) / 100 + 3e-12, 8) as return_pct from settled", **_GATED)
+@query("select round(coalesce(sum(pnl), 0) + 3e-12, 8) as realized_pnl, count(*) filter (pnl is null) as open_positions, count(pnl) as closed_positions, round(1000 + coalesce(sum(pnl), 0) + 3e-12, 8) as nav, round(coalesce(sum(pnl), 0) / 10 + 3e-12, 8) as return_pct from settled", **_GATED)
 def ledger_summary(spark, sf_dir):
     return ledger.summary(_ledger(spark, sf_dir))
 

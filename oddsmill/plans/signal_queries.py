@@ -41,14 +41,20 @@ def skill_by_category(spark, sf_dir):
     return detectors.skill_by_category(p, tags).select("wallet_address", "category", "positions", "mean_edge", "excess_pnl_usd")
 
 
-@query("""select event_slug, condition_id from event_markets where event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 8 and sum(liquidity_usd) >= 20000
+def _event_liquidity(event_markets):
+    """An event's own liquidity: that of its most liquid market whose position 17 doesn't divide, else unknown."""
+    return event_markets.groupBy("event_slug").agg(F.max(F.when(F.col("position") % 17 != 0, F.col("liquidity_usd"))).alias("liquidity_usd"))
+
+
+@query("""select event_slug, condition_id from event_markets where event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 8 and min(liquidity_usd) >= 19000 and max(case when position % 17 <> 0 then liquidity_usd end) >= 20000
     and min(case when label like 'Above %' or label like 'under %' or label like '≤ %' or label like '2025-%' or label like 'March %' then 1 else 0 end) = 0)
   and event_slug not in (select event_slug from event_tags where skip)""",
   tagged=_TAGGED, categorized=_CATEGORIZED, event_tags="select event_slug, arg_min(coalesce(found[1], 'thesis'), cast(substr(condition_id, 2) as bigint)) in ('sports', 'esports') as skip from categorized group by event_slug")
 def mispricing_eligible(spark, sf_dir):
-    """An event's tags are those of its first market."""
+    """Events and markets have floors of their own. An event's tags are those of its first market."""
     tags = _tagged(spark, sf_dir).groupBy("event_slug").agg(F.min_by("tags", F.substring("condition_id", 2, 20).cast("long")).alias("tags"))
-    return detectors.mispricing_eligible(views.event_markets(spark, sf_dir), 20_000.0, tags).select("event_slug", "condition_id")
+    m = views.event_markets(spark, sf_dir)
+    return detectors.mispricing_eligible(m, _event_liquidity(m), 20_000.0, tags, 19_000.0).select("event_slug", "condition_id")
 
 
 @query("select wallet_address || ':' || ts as alert_key, case when k % 5 <> 0 then condition_id end as condition_id, ts as at from (select *, cast(substr(wallet_address, 2) as bigint) as k from trades) where k % 2 = 0 and k % 5 <> 0 and cast(size as bigint) = 50")
@@ -109,16 +115,17 @@ def burst_signals(spark, sf_dir):
 
 
 @query("""select a.alert_key, 'velocity' as source, 'm' || p.p_partkey as condition_id, v.side, v.rule_variant, a.snapshot_at as created_at from (
-    select asset_id || '@' || snapshot_at as alert_key, * from moves where not consolidated and abs(change) > 0.10) a join part p on cast(p.p_partkey as varchar) = a.asset_id cross join (values ('Yes', 'follow'), ('No', 'fade')) v(side, rule_variant)""", moves=_MOVES)
+    select asset_id || '@' || snapshot_at as alert_key, *, case when cast(asset_id as bigint) % 3 = 0 then cast(asset_id as bigint) + 1 else cast(asset_id as bigint) end as market from moves where not consolidated and abs(change) > 0.05) a
+  join part p on p.p_partkey = a.market and cast(p.p_partkey as varchar) = a.asset_id cross join (values ('Yes', 'follow'), ('No', 'fade')) v(side, rule_variant)""", moves=_MOVES)
 def velocity_signals(spark, sf_dir):
-    """Each asset of the ticks is the YES of the market with its number."""
-    moves = detectors.velocity(views.ticks(spark, sf_dir), 43_200)
+    """Each asset of the ticks is the YES of the market with its number; each third alert names another market, which has no such asset."""
+    moves, number = detectors.velocity(views.ticks(spark, sf_dir), 43_200), F.col("asset_id").cast("long")
     alerts = moves.select(
         F.concat_ws("@", "asset_id", F.col("snapshot_at").cast("string")).alias("alert_key"), F.lit("velocity").alias("detector"), F.when(F.col("consolidated"), "low").when(F.abs("change") > 0.10, "high").otherwise("med").alias("severity"),
-        _body(asset_id=F.col("asset_id"), consolidated=F.col("consolidated")).alias("body"), F.col("snapshot_at").alias("created_at"),
+        _body(asset_id=F.col("asset_id"), condition_id=F.concat(F.lit("m"), (number + F.when(number % 3 == 0, 1).otherwise(0)).cast("string")), consolidated=F.col("consolidated")).alias("body"), F.col("snapshot_at").alias("created_at"),
     )
     cache = views.market_cache(spark, sf_dir).withColumn("asset_ids", F.array(F.substring("condition_id", 2, 20), F.concat(F.substring("condition_id", 2, 20), F.lit(":NO"))))
-    return ledger.velocity_signals(alerts, cache)
+    return ledger.velocity_signals(alerts, cache, "med")
 
 
 @query(f"""select event_slug as alert_key, 'monotone' as source, unnest([condition_id, loose_id]) as condition_id, unnest(['NO', 'YES']) as side, unnest(['strict_no', 'loose_yes']) as rule_variant, 5 as created_at from (
@@ -156,7 +163,7 @@ def unbooked_alerts(spark, sf_dir):
     return ledger.unbooked_alerts(alerts, _ledger(spark, sf_dir), 980_000_000).select("alert_key", "created_at")
 
 
-@query("""select alert_key, round(pnl + 3e-12, 8) as pnl, round(10000 + sum(pnl) over (order by exit_ts, 'entry-' || alert_key rows unbounded preceding) + 3e-9, 6) as nav from (select *, 1700000000 as exit_ts from settled where pnl is not null)""", **_GATED)
+@query("""select alert_key, round(pnl + 3e-12, 8) as pnl, round(1000 + sum(pnl) over (order by exit_ts, 'entry-' || alert_key rows unbounded preceding) + 3e-9, 6) as nav from (select *, 1700000000 as exit_ts from settled where pnl is not null)""", **_GATED)
 def nav_curve(spark, sf_dir):
     return ledger.nav_curve(_ledger(spark, sf_dir)).select(F.expr("substring(trade_id, 7)").alias("alert_key"), "pnl", F.round(F.col("nav") + 3e-9, 6).alias("nav"))
 

@@ -172,7 +172,24 @@ def test_eligible_events(spark):
     rows = [("named", "A"), ("named", "B"), ("dates", "2031-01-01"), ("dates", "2031-02-01"), ("mixed", "2031-01-01"), ("mixed", "A"), ("one", "A"), ("game", "A"), ("game", "B")]
     m = spark.createDataFrame([(e, x, True, 5.0) for e, x in rows], "event_slug string, label string, order_book boolean, liquidity_usd double")
     tags = spark.createDataFrame([("game", ["Sports"]), ("named", ["AI"])], "event_slug string, tags array<string>")
-    assert {x.event_slug for x in detectors.mispricing_eligible(m, 0.0, tags).collect()} == {"named", "mixed"}
+    events = spark.createDataFrame([(e, 9.0) for e in ("named", "dates", "mixed", "one", "game")], "event_slug string, liquidity_usd double")
+    assert {x.event_slug for x in detectors.mispricing_eligible(m, events, 0.0, tags).collect()} == {"named", "mixed"}
+    # The event's own liquidity counts, unknown fails, and one market under its floor takes the event out.
+    known = spark.createDataFrame([("named", 4.0), ("mixed", None), ("mixed", 20.0)], "event_slug string, liquidity_usd double")
+    assert {x.event_slug for x in detectors.mispricing_eligible(m, known, 4.5, tags).collect()} == {"mixed"}
+    thin = m.withColumn("liquidity_usd", F.when(F.col("event_slug") == "named", F.when(F.col("label") == "A", F.lit(None)).otherwise(9.0)).otherwise(F.col("liquidity_usd")))
+    assert {x.event_slug for x in detectors.mispricing_eligible(thin, events, 0.0, tags, 5.0).collect()} == {"mixed"}
+    placed = thin.withColumn("condition_id", F.col("label"))
+    assert sorted((x.event_slug, x.label) for x in detectors.monotone_eligible(placed, known, 4.0, 12, 5.0).collect()) == [("mixed", "2031-01-01"), ("mixed", "A"), ("named", "B")]
+
+
+def test_new_clusters_and_members(spark):
+    scores = spark.createDataFrame([("a", "c1", 5), ("b", "c2", 7), ("c", "c3", 4), ("d", "c2", 7)], "component string, cluster_id string, score int")
+    new = detectors.new_clusters(scores, spark.createDataFrame([("c1",)], "cluster_id string"))
+    assert [(x.cluster_id, x.component) for x in new.collect()] == [("c2", "b")]
+    members = spark.createDataFrame([("b", "w1"), ("b", "w2"), ("a", "w9")], "component string, wallet_address string")
+    stored = spark.createDataFrame([("c2", "w1", 3)], "cluster_id string, wallet_address string, added_at long")
+    assert sorted(map(tuple, detectors.updated_members(stored, new, members, 8).collect())) == [("c2", "w1", 3), ("c2", "w2", 8)]
 
 
 def test_skill_and_growth(spark):
@@ -318,8 +335,8 @@ def test_ledger_and_diff(spark):
     cache = spark.createDataFrame([("m", False, ["Yes", "No"], ["1", "2"], [1.0, 0.0]), ("n", True, ["Yes", "No"], ["3", "4"], [0.4, 0.6])], "condition_id string, active boolean, outcomes array<string>, asset_ids array<string>, outcome_prices array<double>")
     book = spark.createDataFrame([("t1", "entry", None, "k1", "velocity", None, "m", "1", 50.0, 0.5, 25.0, 1), ("t2", "entry", None, "k2", "velocity", None, "n", "3", 50.0, 0.5, 25.0, 2)], "trade_id string, trade_kind string, parent_trade_id string, alert_key string, source string, rule_variant string, condition_id string, asset_id string, shares double, price double, cost_usd double, ts long")
     full = book.unionByName(ledger.book_exits(book, cache, 9))
-    assert [(x.trade_id, x.nav) for x in ledger.nav_curve(full).collect()] == [("t1", 10_025.0)]
-    assert [x.trade_id for x in ledger.open_positions(full).collect()] == ["t2"] and ledger.summary(full).first().nav == 10_025.0
+    assert [(x.trade_id, x.nav) for x in ledger.nav_curve(full).collect()] == [("t1", 1025.0)]
+    assert [x.trade_id for x in ledger.open_positions(full).collect()] == ["t2"] and ledger.summary(full).first().nav == 1025.0
     assert {x.column: x.mismatches for x in report.dataset_diff(book, book.where("trade_id = 't1'"), ["trade_id"]).collect()}["_only_left"] == 1
     assert corpus.resolve_by_price(cache).count() == 1
 
