@@ -8,13 +8,14 @@ next dive is kept, also its short lines.
 
 An article or main element is one stretch: where such elements hold most of the text that surges, each that surges is kept
 whole and nothing else is. Other class names (notice, related, legal, share and the like) and forms are weak evidence: such a part is left out
-only if its sums stay under half of the largest beside such parts.
+unless it wraps the page's text, that is holds a main heading, a main element or the page's first article, or nothing else surges.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,14 +44,18 @@ _STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored cookie cookies consent gdpr newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar comment comments replies disqus footer masthead topbar toolbar pagination pager popup modal".split()
 )
-_WEAK = frozenset("notice alert banner promo promotion overlay side rail widget related recommended share sharing social respond discussion header copyright legal disclaimer form search".split())
+_WEAK = frozenset("notice alert banner promo promotion overlay side rail widget related recommended share sharing social respond discussion header copyright legal disclaimer form search feedback survey rating privacy".split())
+_UNLESS = frozenset("free less no none off without with has enabled disabled closed open count article story".split())
 _NEUTRAL = frozenset("box wrapper wrap container block slot area section list item items top bottom left right inner outer content body text panel bar unit zone group row col column primary secondary global site page reader user post posts the".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME, _STOP, _FILLED, _BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile("[=>]"), re.compile(r"\s*"), re.compile(r"[^\s>]*")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+
+
 @dataclass
 class Line:
     text: str
@@ -64,7 +69,8 @@ class Line:
 def evidence(name: str, attributes: str, in_unit: bool) -> str:
     """What an element's name, class, id and role say of it: ``strong``, ``weak`` or nothing.
 
-    A class name or id counts if it has no other words than those of the lists; a weak one on a holder of text alone.
+    A class name or id counts by its words: strong if one of them, at the front or among at least as many listed words as others, says
+    boilerplate; weak, on a block, if one that may does so. Words that turn the meaning (ad-free, has-sidebar) take it out.
     """
     if name in _SKIPPED or (name == "header" and not in_unit):
         return "strong"
@@ -77,30 +83,73 @@ def evidence(name: str, attributes: str, in_unit: bool) -> str:
             return "strong"
         if key in ("class", "id"):
             for one in value.split():
-                words = {w.lower() for w in _WORDS.findall(one) if len(w) > 1}
-                if words <= _STRONG | _WEAK | _NEUTRAL:
-                    if words & _STRONG:
-                        return "strong"
-                    if words & _WEAK and name in _HOLDERS | {"ul", "ol", "table"}:
-                        found = "weak"
+                words = [w.lower() for w in _WORDS.findall(one) if len(w) > 1]
+                if not words or _UNLESS & set(words):
+                    continue
+                likely = words[0] in _STRONG or 2 * sum(w in _STRONG | _WEAK | _NEUTRAL for w in words) >= len(words)
+                if likely and _STRONG & set(words):
+                    return "strong"
+                if (likely or words[0] in _WEAK) and _WEAK & set(words) and name in _BLOCK:
+                    found = "weak"
     return found
 
 
+def tags(page: str):
+    """Tags, comments and declarations of a page in order: start, end, name (None for those that are no tag), whether it closes, and its
+    attributes as they stand. One pass: a quote counts only behind an equals sign and if it is closed; what is never closed is text."""
+    last, lost = page.rfind(">"), {'"': False, "'": False}
+    at = page.find("<")
+    while 0 <= at < last:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif page.startswith("<![CDATA[", at) and (end := page.find("]]>", at + 9)) >= 0:
+            end += 3
+            yield at, end, None, False, ""
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, None, False, ""
+        elif m := _NAME.match(page, at):
+            end = m.end()
+            while (stop := _STOP.search(page, end)) and stop[0] != ">":
+                end = _FILLED.match(page, stop.end()).end()
+                quote = page[end : end + 1]
+                if quote in lost and quote and not lost[quote]:
+                    close = page.find(quote, end + 1)
+                    lost[quote] = close < 0
+                    end = close + 1 if close >= 0 else end + 1
+                else:
+                    end = _BARE.match(page, end).end()
+            if stop is None:
+                return  # never closed
+            yield at, stop.end(), m[2].lower(), bool(m[1]), page[m.end() : stop.start()]
+            end = stop.end()
+        else:
+            end = at + 1
+        at = page.find("<", end)
+    if at >= 0 and page.startswith("<!--", at):
+        yield at, len(page), None, False, ""
+
+
 def to_lines(page: str) -> list[Line]:
     """The lines of text of a page outside what is boilerplate by strong evidence."""
     lines: list[Line] = []
     text: list[str] = []
     weight = linked = 0
     stack: list[tuple[str, int]] = []  # element and its number
+    holders: list[tuple[int, int]] = []  # places in the stack of elements that hold lines, and their numbers
+    opened: Counter[str] = Counter()  # elements of the stack by name
     skip_from = unit_from = part_from = -1  # places in the stack of the outermost such elements
-    links = headings = unit = part = stretch = count = 0
+    links = headings = unit = part = stretch = count = articles = 0
+    wraps: set[int] = set()  # weak parts that hold the page's text
     at = 0
 
     def flush() -> None:
         nonlocal weight, linked
         line = " ".join("".join(text).split())
         if line:
-            holder = next((k for name, k in reversed(stack) if name in _HOLDERS), 0)
+            holder = holders[-1][1] if holders else 0
             lines.append(Line(line, weight + (linked if headings or linked >= LONG_LINK else 0), unit, part, holder, stretch))
         text.clear()
         weight = linked = 0
@@ -115,24 +164,29 @@ def to_lines(page: str) -> list[Line]:
             else:
                 weight += len(said.strip())
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
+    def drop(k: int) -> None:
+        opened.subtract(x for x, _ in stack[k:])
+        del stack[k:]
+        while holders and holders[-1][0] >= k:
+            holders.pop()
+
+    for begin, end, name, closes, attributes in tags(page):
+        if begin < at:
             continue
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:-3]))
+        say(page[at:begin])
+        at = end
+        if name is None:
+            if page.startswith("<![CDATA[", begin):
+                say(html.escape(page[begin + 9 : end - 3]))
             continue
-        name = m[2].lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+        if closes:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1) if opened[name] else -1
             if k >= 0:
                 if skip_from < 0 and (name in _BLOCK or any(0 <= x and k <= x for x in (unit_from, part_from))):
                     flush()
                 links -= sum(x == "a" for x, _ in stack[k:])
                 headings -= sum(x in _HEADINGS for x, _ in stack[k:])
-                del stack[k:]
+                drop(k)
                 if k <= unit_from:
                     unit, unit_from = 0, -1
                 if k <= part_from:
@@ -153,12 +207,12 @@ def to_lines(page: str) -> list[Line]:
             if skip_from < 0:
                 flush()
             while stack and stack[-1][0] == "p":
-                stack.pop()
-        if m[3].rstrip().endswith("/") and name not in _BLOCK:
+                drop(len(stack) - 1)
+        if attributes.rstrip().endswith("/") and name not in _BLOCK:
             continue
         count += 1
         if skip_from < 0:
-            says = evidence(name, m[3], unit_from >= 0)
+            says = evidence(name, attributes, unit_from >= 0)
             if says == "strong":
                 flush()
                 skip_from, stretch = len(stack), stretch + 1
@@ -167,14 +221,22 @@ def to_lines(page: str) -> list[Line]:
                 part, part_from = count, len(stack)
             if skip_from < 0 and name in _UNIT and unit_from < 0:
                 unit, unit_from = count, len(stack)
+            if skip_from < 0 and part and (name in ("h1", "main") or name == "article" and not articles):
+                wraps.add(part)
+            articles += skip_from < 0 and name == "article"
+        if name in _HOLDERS:
+            holders.append((len(stack), count))
         stack.append((name, count))
+        opened[name] += 1
         links += name == "a"
         headings += name in _HEADINGS
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            closing = _CLOSING[name].search(page, at)
+            at = closing.start() if closing else len(page)
     say(page[at:])
     flush()
+    for x in lines:
+        x.part = 0 if x.part in wraps else x.part
     return lines
 
 
@@ -212,9 +274,9 @@ def main_text(page: str | None) -> str:
         return ""
     of = {name: np.array([getattr(x, name) for x in lines], np.int64) for name in ("unit", "part", "holder", "stretch")}
     sums = window_sums(weights, of["stretch"] * (of["part"].max() + 1) + of["part"])
-    beside = int(sums[of["part"] == 0].max(initial=0))
-    gone = {int(p) for p in np.unique(of["part"]) if p and 2 * int(sums[of["part"] == p].max()) < beside}
-    some = np.array([x.part not in gone for x in lines])
+    # Weak parts go, unless nothing beside them surges as the page's text does.
+    beside = of["part"] == 0
+    some = beside if int(sums[beside].max(initial=0)) >= min(SURGE, int(sums.max())) else np.ones(len(lines), bool)
     of["stretch"] = of["stretch"] * (len(lines) + 1) + np.cumsum(~some)  # what is left out leaves a gap
     lines = [x for x, keep in zip(lines, some, strict=True) if keep]
     weights, of = weights[some], {k: v[some] for k, v in of.items()}
