@@ -29,12 +29,17 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
     "uralic": ("fi", "et", "hu"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _LETTER_BYTES = np.full(256, 32, np.uint32)
 _LETTER_BYTES[97:123] = np.arange(97, 123)
 _LETTER_BYTES[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; signs such as superscripts, fractions and circled numbers are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
@@ -71,7 +76,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 where there is no letter."""
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not some or not self.families:
             return langs, scores
@@ -110,7 +115,7 @@ def fit(labelled: DataFrame, per_lang: int = 250, seed: int = 11) -> LanguageMod
                 part = b.slice(i, 64)
                 texts = part.column(1).to_pylist()
                 x = features(texts)
-                keep = [j for j, t in enumerate(texts) if _LETTER.search(t)]
+                keep = [j for j, t in enumerate(texts) if has_letter(t)]
                 at = [np.flatnonzero(x[j]) for j in keep]
                 cols = [pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[j][a].astype("<f2").tobytes() for j, a in zip(keep, at, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), *cols], ["lang", "at", "x"])
