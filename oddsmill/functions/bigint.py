@@ -18,13 +18,14 @@ def hex_to_decimal(word: Column) -> Column:
     """
     limbs = [F.substring(word, max(1, 65 - WIDTH * (i + 1)), min(WIDTH, 64 - WIDTH * i)) for i in range(-(-64 // WIDTH))]
     limbs = [F.conv(x, 16, 10).cast("decimal(13,0)") for x in limbs]
-    base, out, carry = 10**DIGITS, [], F.lit(Decimal(0)).cast("decimal(20,0)")
-    for k in range(6):  # 78 digits
-        sum_ = carry
-        for i, x in enumerate(limbs):
-            if part := 16 ** (WIDTH * i) // base**k % base:
-                sum_ = sum_ + x * F.lit(Decimal(part)).cast("decimal(13,0)")
-        text = F.lpad(sum_.cast("string"), 2 * DIGITS + 2, "0")
-        out.append(F.right(text, F.lit(DIGITS)))
-        carry = F.left(text, F.lit(DIGITS + 2)).cast("decimal(20,0)")
-    return F.when(word.rlike("^[0-9a-fA-F]{64}$"), F.regexp_replace(F.concat(*reversed(out)), "^0+(?=.)", ""))
+    base, kind = 10**DIGITS, "decimal(38,0)"
+    powers = [[16 ** (WIDTH * i) // base**k % base for i in range(len(limbs))] for k in range(6)]  # 78 digits
+    sums = F.array(*[sum((x * F.lit(Decimal(p)).cast("decimal(13,0)") for x, p in zip(limbs, row, strict=True) if p), F.lit(Decimal(0)).cast("decimal(27,0)")).cast(kind) for row in powers])
+    start = F.struct(F.lit(Decimal(0)).cast(kind).alias("carry"), F.lit("").alias("text"))
+
+    def digit(s: Column, x: Column) -> Column:
+        text = F.lpad((s["carry"] + x).cast(kind).cast("string"), 3 * DIGITS, "0")
+        return F.struct(F.left(text, F.lit(2 * DIGITS)).cast(kind).alias("carry"), F.concat(F.right(text, F.lit(DIGITS)), s["text"]).alias("text"))
+
+    text = F.aggregate(sums, start, digit)["text"]
+    return F.when(word.rlike("^[0-9a-fA-F]{64}$"), F.regexp_replace(text, "^0+(?=.)", ""))

@@ -479,3 +479,10 @@ def gate_alerts(scored: DataFrame, accepted: list[str], min_pred: float = 0.5, m
     """Scored BUYs of accepted categories whose prediction beats the price by ``min_edge``."""
     edge = F.col("pred") - F.col("implied_prob_at_buy")
     return scored.where(F.col("top_category").isin(*accepted) & (F.col("pred") >= min_pred) & (edge >= min_edge)).withColumn("edge", edge)
+
+
+def gate_buys(scored: DataFrame, accepted: list[str], min_pred: float = 0.5, min_edge: float = 0.05) -> DataFrame:
+    """Scored BUYs on markets with an ``accepted`` category (flags cat_*; none given: any) whose prediction beats the price by ``min_edge``."""
+    edge = F.col("pred") - F.col("implied_prob_at_buy")
+    own = scored.where(sum((F.col(f"cat_{c}") for c in accepted), F.lit(0)) > 0) if accepted else scored
+    return own.where((F.col("pred") >= min_pred) & (edge >= min_edge)).withColumn("edge", edge)

@@ -144,6 +144,7 @@ class Trained:
     params: dict
     trees: int
     metrics: DataFrame
+    search: Search | None = None
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``pred``, the model's probability that the bet wins; the encoded columns stay, the encoded text columns don't."""
@@ -253,12 +254,13 @@ def with_outcome_side(trades: DataFrame, cache: DataFrame) -> DataFrame:
 
 @dataclass
 class Search:
-    """What a search chose, and how much it fitted: trees times the share of the training markets that they saw."""
+    """What a search chose, and how much it and its whole grid fit: trees times the share of the training markets that they see."""
 
     params: dict
     trees: int
     edge: float
     fitted: float
+    grid: float
 
 
 def successive_halving(train: DataFrame, validation: DataFrame, grid: dict[str, list], n_min: int = 20, seed: int = 7, keep: int = 3, parallel: int = 4) -> Search:
@@ -273,7 +275,7 @@ def successive_halving(train: DataFrame, validation: DataFrame, grid: dict[str,
 
     context = train.sparkSession.sparkContext
     candidates = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
-    rounds, left = 0, len(candidates)
+    whole, rounds, left = float(sum(p.get("maxIter", 20) for p in candidates)), 0, len(candidates)
     while left > 1:
         rounds, left = rounds + 1, -(-left // keep)
     slot = F.pmod(F.xxhash64("condition_id"), F.lit(keep**rounds))
@@ -295,7 +297,7 @@ def successive_halving(train: DataFrame, validation: DataFrame, grid: dict[str,
         part.unpersist()
         candidates = [x[2] for x in best[: -(-len(best) // keep)]]
     edge, _, params, trees = best[0]
-    return Search(params, trees, edge, fitted)
+    return Search(params, trees, edge, fitted, whole)
 
 
 def train_and_test(rows: DataFrame, grid: dict[str, list], n_min: int = 20, seed: int = 7) -> Trained:
@@ -310,11 +312,15 @@ def train_and_test(rows: DataFrame, grid: dict[str, list], n_min: int = 20, seed
     fitted = _boosted(part["train"], {**params, "maxIter": trees}, seed)
     for df in part.values():
         df.unpersist()
+    return Trained(fitted, columns, levels, params, trees, metrics(score(fitted, ready), n_min), found)
+
+
+def metrics(scored_: DataFrame, n_min: int) -> DataFrame:
+    """Edge, accuracy and log loss of scored rows by split."""
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("pred")))
-    metrics = score(fitted, ready).groupBy("split").agg(
+    return scored_.groupBy("split").agg(
         F.count("*").alias("rows"), *_edge(n_min), F.avg(((F.col("pred") >= 0.5).cast("int") == F.col("label_won")).cast("double")).alias("accuracy"), F.avg(-F.when(F.col("label_won") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss")
     )
-    return Trained(fitted, columns, levels, params, trees, metrics)
 
 
 def score(model, df: DataFrame) -> DataFrame:
