@@ -171,14 +171,14 @@ def _boosted(train: DataFrame, params: dict, seed: int):
 
 
 def edge_by_trees(model, df: DataFrame, n_min: int) -> list[float]:
-    """Realised edge of the model's first 1, 2, ... trees on ``df``, in one pass: margins are running sums of the trees' votes."""
-    votes = [F.lit(w) * _vote(t) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    scored_ = df.select("label_won", "implied_prob_at_buy", F.array(*votes).alias("v"))
-    taken = [F.aggregate(F.slice("v", F.lit(1), F.lit(k + 1)), F.lit(0.0), lambda a, x: a + x) for k in range(len(votes))]
-    pred = [1 / (1 + F.exp(-2 * m)) for m in taken]
-    own = [F.when(p > F.col("implied_prob_at_buy"), F.col("label_won") - F.col("implied_prob_at_buy")) for p in pred]
-    row = scored_.agg(*[F.when(F.count(e) >= n_min, F.avg(e)).otherwise(-1.0).alias(f"e{k}") for k, e in enumerate(own)]).first()
-    return list(row)
+    """Realised edge of the model's first 1, 2, ... trees on ``df``, in one pass: each row gives the running sums of its votes, and
+    a sum for each number of trees combines before the shuffle."""
+    votes = F.array(*[F.lit(w) * _vote(t) for t, w in zip(model.trees, model.treeWeights, strict=True)])
+    margins = F.aggregate(votes, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    rows = df.select("label_won", "implied_prob_at_buy", F.posexplode(margins).alias("k", "margin"))
+    won = F.when(1 / (1 + F.exp(-2 * F.col("margin"))) > F.col("implied_prob_at_buy"), F.col("label_won") - F.col("implied_prob_at_buy"))
+    found = {r["k"]: r["edge"] for r in rows.groupBy("k").agg(F.when(F.count(won) >= n_min, F.avg(won)).otherwise(-1.0).alias("edge")).collect()}  # a row for each tree
+    return [found.get(k, -1.0) for k in range(len(model.trees))]
 
 
 def _vote(tree) -> Column:

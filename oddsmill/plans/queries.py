@@ -343,13 +343,13 @@ def axis_extract(spark, sf_dir):
   select *, lead(condition_id) over w as loose_id, lead(yes_price) over w as loose_price, lead(strictness) over w as loose_at from (
     select *, case when axis = 'date' then -date_axis when axis = 'higher' then higher_axis when axis = 'lower' then -lower_axis end as strictness from (
       select *, case when count(date_axis) over (partition by event_slug) >= 2 then 'date' when count(higher_axis) over (partition by event_slug) >= 2 then 'higher' when count(lower_axis) over (partition by event_slug) >= 2 then 'lower' end as axis from (
-        select * from ({_AXES}) where liquidity_usd >= 18300 and event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 12 and max(case when position % 17 <> 0 then liquidity_usd end) >= 19000)))) where strictness is not null
+        select * from ({_AXES}) where liquidity_usd >= 18050 and event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 12 and max(case when position % 17 <> 0 then liquidity_usd end) >= 18200)))) where strictness is not null
   window w as (partition by event_slug order by strictness desc, position)) where loose_at < strictness and round(yes_price - loose_price, 6) >= 0.02""")
 def monotone_violations(spark, sf_dir):
     """Events with floors of their own and for their markets."""
     m = views.event_markets(spark, sf_dir)
     events = m.groupBy("event_slug").agg(F.max(F.when(F.col("position") % 17 != 0, F.col("liquidity_usd"))).alias("liquidity_usd"))
-    return detectors.monotone_violations(detectors.with_axis(detectors.monotone_eligible(m, events, 19_000.0, 12, 18_300.0)))
+    return detectors.monotone_violations(detectors.with_axis(detectors.monotone_eligible(m, events, 18_200.0, 12, 18_050.0)))
 
 
 @query("""select tx_hash, asset_id, wallet_address, condition_id, round(notional_usd + 3e-12, 8) as notional_usd, liquidity_usd, round((ts - first_activity_at) / 86400 + 3e-12, 8) as wallet_age_days, total_trades, case when notional_usd > 40 or notional_usd / liquidity_usd > 0.002 then 'high' else 'med' end as severity

@@ -46,7 +46,7 @@ def _event_liquidity(event_markets):
     return event_markets.groupBy("event_slug").agg(F.max(F.when(F.col("position") % 17 != 0, F.col("liquidity_usd"))).alias("liquidity_usd"))
 
 
-@query("""select event_slug, condition_id from event_markets where event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 8 and min(liquidity_usd) >= 18300 and max(case when position % 17 <> 0 then liquidity_usd end) >= 19000
+@query("""select event_slug, condition_id from event_markets where event_slug in (select event_slug from event_markets group by event_slug having count(*) between 2 and 8 and min(liquidity_usd) >= 18050 and max(case when position % 17 <> 0 then liquidity_usd end) >= 18200
     and min(case when label like 'Above %' or label like 'under %' or label like '≤ %' or label like '2025-%' or label like 'March %' then 1 else 0 end) = 0)
   and event_slug not in (select event_slug from event_tags where skip)""",
   tagged=_TAGGED, categorized=_CATEGORIZED, event_tags="select event_slug, arg_min(coalesce(found[1], 'thesis'), cast(substr(condition_id, 2) as bigint)) in ('sports', 'esports') as skip from categorized group by event_slug")
@@ -54,7 +54,7 @@ def mispricing_eligible(spark, sf_dir):
     """Events and markets have floors of their own. An event's tags are those of its first market."""
     tags = _tagged(spark, sf_dir).groupBy("event_slug").agg(F.min_by("tags", F.substring("condition_id", 2, 20).cast("long")).alias("tags"))
     m = views.event_markets(spark, sf_dir)
-    return detectors.mispricing_eligible(m, _event_liquidity(m), 19_000.0, tags, 18_300.0).select("event_slug", "condition_id")
+    return detectors.mispricing_eligible(m, _event_liquidity(m), 18_200.0, tags, 18_050.0).select("event_slug", "condition_id")
 
 
 @query("select wallet_address || ':' || ts as alert_key, case when k % 5 <> 0 then condition_id end as condition_id, ts as at from (select *, cast(substr(wallet_address, 2) as bigint) as k from trades) where k % 2 = 0 and k % 5 <> 0 and cast(size as bigint) = 50")

@@ -24,8 +24,8 @@ def _epoch(column: str):
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades, built once a session: most queries read them several times."""
-    return built_once(spark, f"trades {sf_dir}", lambda: _trades(spark, sf_dir))
+    """Trades, built once a session and state of the tables: most queries read them several times."""
+    return built_once(spark, f"trades {sf_dir}", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], lambda: _trades(spark, sf_dir))
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this session that driver and executors share, below ``spark.checkpoint.dir`` or, where that is unset, the
-    warehouse. It is deleted when the driver ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    warehouse. It is deleted when the driver ends. A warehouse on a machine's own disk won't do on a cluster, which is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = not re.match(r"[a-zA-Z][\w+.-]*:", shared) or shared.startswith("file:")
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; {shared} is on each machine's own disk")
     found = f"{shared.rstrip('/')}/oddsmill-{spark.sparkContext.applicationId}"
     fs, path, new = ensure_dir(spark, found)
     if new:
@@ -33,15 +39,28 @@ def scratch_table(df: DataFrame, name: str, compression: str | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
-def built_once(spark: SparkSession, name: str, build) -> DataFrame:
-    """The scratch table of ``build()``, written at its first use in a session and then read by every query that names it."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _BUILT:
-        _BUILT[key] = scratch_table(build(), "built")
-    return _BUILT[key]
+def files_of(spark: SparkSession, *paths: str) -> tuple:
+    """Name, size and time of change of each file of the given tables, which differ when their data do."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return tuple(out)
+
+
+def built_once(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
+    """The scratch table of ``build()`` over the tables ``inputs``, written at its first use in a session and read by all queries that name it
+    after that, until a file of the inputs changes."""
+    key, now = (spark.sparkContext.applicationId, name), files_of(spark, *inputs)
+    if key not in _BUILT or _BUILT[key][0] != now:
+        for old in [k for k in _BUILT if k[0] != key[0]]:  # of sessions that have ended
+            del _BUILT[old]
+        _BUILT[key] = (now, scratch_table(build(), "built"))
+    return _BUILT[key][1]
 
 
 def scan(spark: SparkSession, path: str, schema, platform: str | None = None, columns: list[str] | None = None) -> DataFrame:

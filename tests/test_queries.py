@@ -403,3 +403,36 @@ def test_training_stops_early_and_scores_again(spark, tmp_path):
     ready = model.prepared(df, t.levels, t.columns).where("split = 'validation'")
     edges = model.edge_by_trees(t.model, ready, 5)
     assert edges[-1] == pytest.approx(model.realized_edge(model.score(t.model, ready), 5).first().edge)
+
+
+def test_search_by_halving_fits_less_and_exports_what_it_fitted(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(900):
+        good = r.random()
+        rows.append((("train", "train", "validation")[k % 3], r.choice(["YES", "NO"]), r.choice(["crypto", None]), "x", good if k % 7 else None, float("nan") if k % 11 == 0 else r.random(), int(good > 0.5), 0.5, f"m{k}"))
+    df = spark.createDataFrame(rows, "split string, side string, top_category string, market_category string, win_rate double, other double, label_won int, implied_prob_at_buy double, condition_id string")
+    grid = {"maxDepth": [1, 2, 3], "stepSize": [0.1], "maxIter": [2, 4]}
+    t = model.train_and_test(df, grid, n_min=5)
+    assert t.search.fitted < t.search.grid == 18 and t.search.edge > 0.35
+    ready = model.prepared(df, t.levels, t.columns)
+    whole = [max(model.edge_by_trees(model._boosted(ready.where("split = 'train'"), {"maxDepth": d, "stepSize": 0.1, "maxIter": 4}, 7), ready.where("split = 'validation'"), 5)) for d in (1, 3)]
+    assert t.search.edge >= min(whole) - 1e-9
+    both = t.score(model.scored_by(model.exported(t), df).withColumnRenamed("pred", "plain"))
+    assert both.where("abs(plain - pred) > 1e-9").count() == 0 and both.count() == 900
+
+
+def test_sides_by_the_assets_of_a_market(spark):
+    cache = spark.createDataFrame([("m", ["1", "2"], [" Yes", "no"]), ("n", ["3", "4", "5"], ["Up", "YES"])], "condition_id string, asset_ids array<string>, outcomes array<string>")
+    trades = spark.createDataFrame([("m", "1", "?"), ("m", "2", "?"), ("m", "9", "?"), ("n", "3", "?"), ("n", "4", "?"), ("n", "5", "?"), ("x", "1", "?")], "condition_id string, asset_id string, outcome_side string")
+    assert sorted(map(tuple, model.with_outcome_side(trades, cache).collect())) == [("m", "1", "YES"), ("m", "2", "NO"), ("n", "4", "YES")]
+
+
+def test_diff_joins_only_ranges_that_differ(spark):
+    left = spark.range(20_000).select("id", (F.col("id") * 1.5).alias("x"), F.when(F.col("id") % 7 > 0, "t").alias("y"))
+    right = left.withColumn("x", F.when(F.col("id") == 77, F.col("x") + 1).when(F.col("id") == 78, F.col("x") * (1 + 1e-13)).otherwise(F.col("x"))).where("id <> 5")
+    a, b = report.differing_ranges(left, right, ["id"])
+    assert 3 <= a.count() < 40 and {5, 77, 78} <= {x.id for x in a.collect()} and {77, 78} <= {x.id for x in b.collect()}
+    assert {x.column: x.mismatches for x in report.dataset_diff(left, right, ["id"]).collect()} == {"x": 1, "y": 0, "_only_left": 1, "_only_right": 0}
+    assert report.differing_ranges(left, left, ["id"])[0].isEmpty()
+    assert {x.mismatches for x in report.dataset_diff(left, left, ["id"]).collect()} == {0}

@@ -32,3 +32,35 @@ def test_queries_run_without_a_checkpoint_folder(tmp_path):
     *rows, scratch = run_without_checkpoint_folder(tmp_path, "ledger_summary", "wallet_components")
     assert [x[0] for x in rows] == ["ledger_summary", "wallet_components"] and all(int(x[1]) > 0 for x in rows)
     assert scratch == ["True"] and not list(tmp_path.glob("oddsmill-*"))
+
+
+def test_shared_builds_follow_the_data(spark, tmp_path):
+    from oddsmill.sources.tables import built_once
+
+    path = str(tmp_path / "t.parquet")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(path)
+
+    spark.range(3).write.parquet(path)
+    assert [built_once(spark, "numbers", [path], build).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+    spark.range(5).write.mode("append").parquet(path)
+    assert built_once(spark, "numbers", [path], build).count() == 8 and len(calls) == 2
+
+
+def test_a_warehouse_on_the_own_disk_is_no_shared_folder():
+    import pytest
+
+    from oddsmill.sources.tables import scratch_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "file:/home/x/warehouse"}.get(key, default))
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch_dir(Session)
