@@ -27,12 +27,12 @@ def give_back() -> None:
         trim(0)
 
 
-def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
+def by_bytes(batch: pa.RecordBatch, text: int, most: int = 2_000_000, most_rows: int = 4096):
     """Slices of ``batch`` whose texts (column number ``text``) have about ``most`` bytes; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     at = size = 0
     for k, n in enumerate(sizes):
-        if k > at and (size + n > most or k - at >= 4096):
+        if k > at and (size + n > most or k - at >= most_rows):
             yield batch.slice(at, k - at)
             at, size = k, 0
         size += n

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmill.llm._shared import crc_bucket, table
+from oddsmill.llm._shared import by_bytes, crc_bucket, table
 
 DIMS = 4096
 # ISO 639-1 codes by family. A language that is not listed is a family of its own.
@@ -44,13 +44,16 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """A row for each text."""
+def features(texts: list[str], slice_bytes: int = 1 << 20) -> np.ndarray:
+    """A row for each text: square roots of the counts of its trigrams of bytes by hash; a long text is counted in slices."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for i, t in enumerate(texts):
-        b = _LETTER_BYTES[np.frombuffer(f"  {t.lower()} ".encode(), np.uint8)]
-        code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(20)
-        out[i] = np.sqrt(np.bincount(code, minlength=DIMS))
+        raw, counts = np.frombuffer(f"  {t.lower()} ".encode(), np.uint8), np.zeros(DIMS, np.int64)
+        for k in range(0, max(1, len(raw) - 2), slice_bytes):
+            b = _LETTER_BYTES[raw[k : k + slice_bytes + 2]]
+            code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(20)
+            counts += np.bincount(code, minlength=DIMS)
+        out[i] = np.sqrt(counts)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -111,8 +114,7 @@ def fit(labelled: DataFrame, per_lang: int = 250, seed: int = 11) -> LanguageMod
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+            for part in by_bytes(b, 1, most_rows=64):
                 texts = part.column(1).to_pylist()
                 x = features(texts)
                 keep = [j for j, t in enumerate(texts) if has_letter(t)]
@@ -150,8 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
+            for part in by_bytes(b, 1, most_rows=128):
                 langs, scores = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
