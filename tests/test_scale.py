@@ -98,3 +98,10 @@ def test_medians_of_hot_groups_equal_sorting(spark, upper):
     assert got == {g: (len(vs), want(vs)) for g, vs in groups.items()}
     plain = grouped_medians(df, ["g", "h"], "v", scratch_table, upper)
     assert {x.g: (x.n, x.median) for x in plain.collect()} == got
+
+
+def test_trades_cross_the_network_once(spark):
+    from oddsmill.plans import views
+
+    plan = views._trades(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2  # the two sides of the join
