@@ -105,3 +105,45 @@ def test_trades_cross_the_network_once(spark):
 
     plan = views._trades(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2  # the two sides of the join
+
+
+@pytest.mark.parametrize("most", [2000, 4, 0])
+def test_pairs_of_wallets_equal_counting_all(spark, most):
+    """Whatever number of wallets makes a market hot."""
+    from oddsmill.operators.detectors import cotrade_edges
+
+    r = random.Random(6)
+    held = sorted({(f"w{r.randrange(40)}", f"m{int(r.random() ** 2 * 30)}") for _ in range(420)})
+    trades = spark.createDataFrame([(w, m, k, f"t{k}", "a") for k, (w, m) in enumerate(held)], "wallet_address string, condition_id string, ts long, tx_hash string, asset_id string")
+    markets = spark.createDataFrame([(f"m{k}",) for k in range(29)], "condition_id string")
+    own = {}
+    for w, m in held:
+        own.setdefault(w, set()).update({m} - {"m29"})
+    want = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and len(own[a] & own[b]) >= 3}
+    got = cotrade_edges(trades, markets, most=most, pairs_a_task=50).collect()
+    assert {(x.a, x.b): x.shared for x in got} == want != {} and len(got) == len(want)
+
+
+def test_an_expanded_cluster_meets_each_trade_once(spark):
+    from oddsmill.operators import detectors
+
+    trades = spark.createDataFrame([(w, "m", "BUY", 0.5, 10.0, t, f"{w}{t}", "a") for t in (0, 10**6, 3 * 10**7) for w in "abcd"], "wallet_address string, condition_id string, bs string, price double, size double, ts long, tx_hash string, asset_id string")
+    seen = []
+    kept, detectors.scratch_table = detectors.scratch_table, lambda df, name: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1]
+    try:
+        got = detectors.expand_cluster(trades, spark.createDataFrame([("a",), ("b",), ("c",)], "wallet_address string")).collect()
+    finally:
+        detectors.scratch_table = kept
+    assert [(x.wallet_address, x.n_trades) for x in got] == [("d", 3)] and not any("Generate" in p for p in seen)
+
+
+def test_features_cross_the_network_by_market_and_by_wallet(spark):
+    from oddsmill.operators.features import build_features
+
+    kinds = {"platform": "string", "tx_hash": "string", "asset_id": "string", "wallet_address": "string", "condition_id": "string", "outcome_side": "string", "bs": "string", "price": "double", "size": "double", "notional_usd": "double", "ts": "long"}
+    t = spark.createDataFrame([("polymarket", "t", "a", "w", "m", "YES", "BUY", 0.5, 1.0, 0.5, 5)], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    m = spark.createDataFrame([("polymarket", "m", "tech", "[]", 9)], "platform string, condition_id string, category string, categories_json string, closed_at long").hint("merge")
+    ends = spark.createDataFrame([("polymarket", "m", 1, 9)], "platform string, condition_id string, outcome_yes_won int, resolved_at long").hint("merge")
+    plan = build_features(t, m, ends)._jdf.queryExecution().executedPlan().toString().split("\n")
+    wide = [x for x in plan if "Exchange hashpartitioning" in x]
+    assert sum("(wallet_address" in x for x in wide) == 1 and all("tx_hash" not in x.split("),")[0] or "wallet_address" in x for x in wide) and len(wide) <= 9
