@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,33 @@ def test_features_cross_the_network_by_market_and_by_wallet(spark):
     plan = build_features(t, m, ends)._jdf.queryExecution().executedPlan().toString().split("\n")
     wide = [x for x in plan if "Exchange hashpartitioning" in x]
     assert sum("(wallet_address" in x for x in wide) == 1 and all("tx_hash" not in x.split("),")[0] or "wallet_address" in x for x in wide) and len(wide) <= 9
+
+
+def test_money_looks_up_no_asset(spark):
+    """Half of all sides are money: none of them reaches the shuffle by asset."""
+    from oddsmill.operators.ingest import subgraph_fills
+
+    fills = spark.createDataFrame([("t1", 0, "0", "a"), ("t2", 0, "b", "0"), ("t3", 0, "a", "b"), ("t4", 0, "0", "c")], "transaction_hash string, log_index int, maker_asset_id string, taker_asset_id string")
+    out = subgraph_fills(fills, fills.limit(0), spark.createDataFrame([("a",), ("b",)], "asset_id string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(x.transaction_hash for x in out.collect()) == ["t1", "t2", "t3"] and plan.count("Join") == 1
+
+
+def test_pages_come_from_files_of_bounded_rows(spark, tmp_path):
+    from oddsmill.sources import versioned
+
+    rows = spark.range(1000).select(F.col("id").alias("ts"), *[F.lit("x").alias(c) for c in ("tx_hash", "asset_id", "wallet_address")])
+    versioned.write_paged(rows, str(tmp_path / "p"), 2, most=100)
+    assert spark.read.parquet(str(tmp_path / "p" / "ranges")).count() >= 8
+    assert [x.ts for x in versioned.page(spark, str(tmp_path / "p"), (149, "x", "x", "x"), 100).collect()] == list(range(150, 250))
+
+
+def test_floors_are_met_by_rounded_figures(spark, monkeypatch):
+    """A profit of ten in parts that add up to a little less is ten."""
+    from oddsmill.plans import queries, views
+
+    parts = [0.5, 0.9, 0.7, 0.3, 0.4, 0.9, 0.5, 0.8, 0.8, 0.7, 0.6, 2.9]
+    assert reduce(float.__add__, parts) < 10 and round(sum(parts), 8) == 10
+    p = spark.createDataFrame([("w1", f"m{k}", "YES", 1, 1.0, 0.5, x, 1.0) for k, x in enumerate(parts)], "wallet_address string, condition_id string, outcome_side string, won int, size double, avg_price double, realized_pnl double, current_value double").coalesce(1)
+    monkeypatch.setattr(views, "closed_positions", lambda *_: p)
+    assert [x.wallet_address for x in queries.smart_roster(spark, "").collect()] == ["w1"]
