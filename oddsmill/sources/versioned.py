@@ -109,9 +109,11 @@ def expire(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     return gone
 
 
-def write_paged(df: DataFrame, path: str, files: int, key: Sequence[str] = TRADE_ORDER) -> None:
-    """Writes ``df`` in ``files`` ranges of ``key``, with a table of each file's range; parts of the key must not be null."""
+def write_paged(df: DataFrame, path: str, files: int, key: Sequence[str] = TRADE_ORDER, most: int = 1_000_000) -> None:
+    """Writes ``df`` in ``files`` ranges of ``key``, or as many more as ranges of ``most`` rows take, with a table of each file's range; parts of
+    the key must not be null."""
     spark = df.sparkSession
+    files = max(files, -(-df.count() // most))
     df.repartitionByRange(files, *key).sortWithinPartitions(*key).write.parquet(f"{path}/rows")
     written = spark.read.schema(df.schema).parquet(f"{path}/rows").select(F.input_file_name().alias("file"), F.struct(*key).alias("key"))
     written.groupBy("file").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).write.parquet(f"{path}/ranges")
