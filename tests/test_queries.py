@@ -243,6 +243,21 @@ def test_burst_hits_take_first_trades(spark):
     assert (hit.n_wallets, hit.median_size, hit.wallets) == (4, 10.5, ["a", "b", "c", "d"])
 
 
+def test_burst_hits_at_the_limit_of_variation(spark):
+    """Sizes 0.9k, 0.9k, 2.1k, 2.1k vary by 0.4 of their mean, in whatever order they are added."""
+    rows = [(f"m{k}", "YES", "BUY", w, 60, 0.3 * k * s, f"t{w}", "x") for k in range(1, 80) for w, s in zip("abcd", [(3, 3, 7, 7), (3, 7, 3, 7), (7, 3, 3, 7), (7, 7, 3, 3)][k % 4], strict=True)]
+    t = spark.createDataFrame(rows, "condition_id string, outcome_side string, bs string, wallet_address string, ts long, size double, tx_hash string, asset_id string")
+    assert detectors.burst_hits(t.repartition(3)).count() == 79
+
+
+def test_a_cluster_without_shared_markets_has_no_figures_of_them(spark):
+    members = spark.createDataFrame([(w, "c") for w in "abc"], "wallet_address string, component string")
+    t = spark.createDataFrame([("a", "m1", "BUY", 1.0, 5, "m1:Y", "t")], "wallet_address string, condition_id string, bs string, size double, ts long, asset_id string, tx_hash string")
+    seen = spark.createDataFrame([("a", 5)], "wallet_address string, first_activity_at long")
+    c = detectors.cluster_scores(members, t, seen, t.select("condition_id")).first()
+    assert (c.member_count, c.dated, c.score, c.shared_markets, c.burst_wallets, c.size_cv, c.buy_ratio, c.severity) == (3, 1, 0, None, None, None, None, None)
+
+
 def test_cluster_scores(spark):
     """Three members share three obscure markets; sizes are alike in one of them, and one has a burst."""
     members = spark.createDataFrame([(w, "c1") for w in ("A", "b", "c")] + [("d", "c2")], "wallet_address string, component string")
