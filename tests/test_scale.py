@@ -178,3 +178,36 @@ def test_floors_are_met_by_rounded_figures(spark, monkeypatch):
     p = spark.createDataFrame([("w1", f"m{k}", "YES", 1, 1.0, 0.5, x, 1.0) for k, x in enumerate(parts)], "wallet_address string, condition_id string, outcome_side string, won int, size double, avg_price double, realized_pnl double, current_value double").coalesce(1)
     monkeypatch.setattr(views, "closed_positions", lambda *_: p)
     assert [x.wallet_address for x in queries.smart_roster(spark, "").collect()] == ["w1"]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_prices_as_of_take_the_largest_of_a_moment(spark, most):
+    """A key that isn't hot crosses the network once."""
+    from oddsmill.operators.ledger import as_of
+
+    points = spark.createDataFrame([("a", 10, "p"), ("a", 9, "o"), ("a", 4 * 86_400, "q"), ("b", 5, "r"), (None, 5, "n")], "key string, at long, name string")
+    known = spark.createDataFrame([("a", 10, 1.0), ("a", 10, 3.0), ("a", 10, 2.0), ("a", 86_400, 2.0), ("a", 86_400, 5.0), (None, 1, 7.0)], "key string, at long, v double")
+    got = as_of(points, known, "key", "v", most=most)
+    if most:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {x.name: x.v for x in got.collect()} == {"o": None, "p": 3.0, "q": 5.0, "r": None, "n": None}
+
+
+def test_tables_of_all_markets_are_not_broadcast(spark):
+    from oddsmill.operators import model
+    from oddsmill.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.createDataFrame([("m1", "1:YES")], "condition_id string, asset_id string")
+    splits = model.temporal_split(views.resolutions(spark, sf))
+    for joined in (rows.join(views.market_cache(spark, sf), "condition_id"), rows.join(views.resolutions(spark, sf), "condition_id"), rows.join(views.markets(spark, sf), "condition_id"), model.with_split(rows, splits)):
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= plan.count("day#")
+
+
+def test_resolutions_of_buys_are_made_behind_the_shuffle_by_wallet(spark):
+    from oddsmill.plans import queries
+
+    plan = queries._examples(spark, "/root/testdata/sf0.001").select("win_rate")._jdf.queryExecution().executedPlan().toString()
+    by_wallet = next(x for x in plan.split("\n") if "Exchange hashpartitioning(wallet_address" in x)
+    assert 0 < plan.index("Generate explode") < plan.index(by_wallet)  # plans are printed from their end
