@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsmill.sources.tables import lanes
+
 DAYS_30 = 30 * 86_400
 
 
 def wallet_snapshot(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, as_of: int) -> DataFrame:
     """Accumulators of each wallet over what was known before ``as_of``; open BUYs are kept to be settled later."""
-    t = trades.where(F.col("ts") < as_of).join(markets.select("platform", "condition_id", F.coalesce("category", F.lit("unknown")).alias("category")), ["platform", "condition_id"], "left")
-    t = t.join(resolutions.select("platform", "condition_id", "outcome_yes_won", "resolved_at"), ["platform", "condition_id"], "left")
+    t, market = trades.where(F.col("ts") < as_of), F.concat("platform", F.lit("\0"), "condition_id").alias("_market")
+    tasks = lanes(t.sparkSession, t.count())
+    own, known, ends = t.select("*", market), markets.select(market, F.coalesce("category", F.lit("unknown")).alias("category")), resolutions.select(market, "outcome_yes_won", "resolved_at")
+    own, known, ends = (df.repartition(tasks, "_market") for df in (own, known, ends))  # one shuffle of the trades for both joins
+    t = own.join(known, "_market", "left").join(ends, "_market", "left").drop("_market")
+    t = t.repartition(tasks, "wallet_address")  # lists and sums then start behind the shuffle: a list that is begun before it saves nothing
     buy = F.col("bs") == "BUY"
     done = buy & (F.col("resolved_at") >= F.col("ts")) & (F.col("resolved_at") < as_of)
     won = ((F.col("outcome_side") == "YES") == (F.col("outcome_yes_won") == 1)).cast("long")

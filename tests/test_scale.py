@@ -211,3 +211,19 @@ def test_resolutions_of_buys_are_made_behind_the_shuffle_by_wallet(spark):
     plan = queries._examples(spark, "/root/testdata/sf0.001").select("win_rate")._jdf.queryExecution().executedPlan().toString()
     by_wallet = next(x for x in plan.split("\n") if "Exchange hashpartitioning(wallet_address" in x)
     assert 0 < plan.index("Generate explode") < plan.index(by_wallet)  # plans are printed from their end
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_snapshots_meet_markets_and_resolutions_in_one_shuffle_of_the_trades(spark, monkeypatch):
+    from oddsmill.plans import views
+    from oddsmill.sources import tables
+    from oddsmill.streaming.state import settle_pending, wallet_snapshot
+
+    trades, markets, ends = views.trades(spark, SMALLEST), views.markets(spark, SMALLEST), views.resolutions(spark, SMALLEST)
+    got = lambda: sorted((x.wallet_address, x.resolved_buys, x.wins, round(x.realized_pnl, 6)) for x in settle_pending(wallet_snapshot(trades, markets, ends, 930_000_000), ends, 960_000_000).collect())
+    plain = got()
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 300)
+    snapshot = wallet_snapshot(trades, markets, ends, 930_000_000).select("wallet_address", "pending")
+    assert snapshot.rdd.getNumPartitions() > 10 and got() == plain != []
