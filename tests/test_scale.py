@@ -216,6 +216,21 @@ def test_resolutions_of_buys_are_made_behind_the_shuffle_by_wallet(spark):
 SMALLEST = "/root/testdata/sf0.001"
 
 
+def test_tasks_of_trades_and_features_grow_with_the_rows_and_change_none(spark, monkeypatch):
+    from oddsmill.operators import features
+    from oddsmill.plans import views
+    from oddsmill.sources import tables
+
+    trades, markets, ends = views.trades(spark, SMALLEST), views.markets(spark, SMALLEST), views.resolutions(spark, SMALLEST)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    pick = ["tx_hash", "asset_id", "wallet_address", "prior_trades_count", "win_rate", "market_volume_so_far_usd"]
+    plain = rows(trades), rows(features.build_features(trades, markets, ends).select(*pick))
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 400)
+    many = views._trades(spark, SMALLEST), features.build_features(trades, markets, ends).select(*pick)
+    assert [df.rdd.getNumPartitions() for df in many] == [15, 16]  # 6,000 rows; an anonymous wallet's would be in the last
+    assert tuple(map(rows, many)) == plain
+
+
 def test_snapshots_meet_markets_and_resolutions_in_one_shuffle_of_the_trades(spark, monkeypatch):
     from oddsmill.plans import views
     from oddsmill.sources import tables
@@ -227,3 +242,19 @@ def test_snapshots_meet_markets_and_resolutions_in_one_shuffle_of_the_trades(spa
     monkeypatch.setattr(tables, "ROWS_A_TASK", 300)
     snapshot = wallet_snapshot(trades, markets, ends, 930_000_000).select("wallet_address", "pending")
     assert snapshot.rdd.getNumPartitions() > 10 and got() == plain != []
+
+
+def test_scores_are_computed_once_for_their_auc(spark):
+    from oddsmill.operators import model
+
+    rows = [(k % 7 / 7, int(k % 3 == 0)) for k in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    got = model.auc(spark.createDataFrame(rows, "pred double, label_won int").mapInPandas(told, "pred double, label_won int")).head().auc
+    pairs = [(a, b) for a, x in rows for b, y in rows if x and not y]
+    assert abs(got - sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)) < 1e-12 and seen.value == 60
