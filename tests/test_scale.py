@@ -244,6 +244,26 @@ def test_snapshots_meet_markets_and_resolutions_in_one_shuffle_of_the_trades(spa
     assert snapshot.rdd.getNumPartitions() > 10 and got() == plain != []
 
 
+def test_convergence_by_category_is_one_pass_and_equals_a_pass_for_each_window(spark):
+    from oddsmill.functions.categories import TAXONOMY, primary_category
+    from oddsmill.operators import detectors
+
+    r = random.Random(8)
+    tags = {"a": ["Sports"], "b": ["ESPORTS"], "c": ["Bitcoin"], "d": ["AI"], "e": []}
+    trades = spark.createDataFrame([(m, f"t{k:03}", m + ":Y", f"w{r.randrange(6)}", r.randrange(400_000), float(r.randrange(1, 9))) for k, m in enumerate(r.choice("abcde") for _ in range(400))], "condition_id string, tx_hash string, asset_id string, wallet_address string, ts long, notional_usd double")
+    market_tags = spark.createDataFrame(list(tags.items()), "condition_id string, tags array<string>")
+    skill = [(f"w{w}", c.name, 30, 0.2, 5.0) for w in range(6) for c in TAXONOMY if r.random() < 0.7]
+    roster = spark.createDataFrame(skill, "wallet_address string, category string, positions long, mean_edge double, excess_pnl_usd double")
+    got = detectors.convergence_by_category(trades, market_tags, roster, newest=12)
+    placed, want = trades.join(market_tags.select("condition_id", primary_category(F.col("tags")).alias("category")), "condition_id"), []
+    for span in {c.window_s for c in TAXONOMY}:
+        names = [c.name for c in TAXONOMY if c.window_s == span]
+        want += detectors.convergence(placed.where(F.col("category").isin(names)), roster.where(F.col("category").isin(names)).select("wallet_address", "category"), span, 2, newest=12).collect()
+    key = lambda rows: sorted((x.tx_hash, x.wallet_address, x.category, x.n_wallets, x.total_usd, x.severity) for x in rows)
+    assert key(got.collect()) == key(want) != []
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores_are_computed_once_for_their_auc(spark):
     from oddsmill.operators import model
 
