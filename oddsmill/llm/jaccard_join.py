@@ -7,6 +7,10 @@ parts are then equal in both, so they share one of the first k + 1 of their part
 a signature is the smallest node that has it, and the pivot's Voronoi region holds all nodes that share
 a signature with it. Two nodes that link share a signature, hence a region.
 
+Most nodes share a signature by chance, and ever more of them in a larger table. Before sets are sent, nodes are compared by the parities of the
+numbers of shingles in as many slots as a set has shingles: two sets differ in at least as many shingles as parities. What is left of a region are
+the groups of nodes that such bounds don't part; a group found in several regions is joined once.
+
 A region is joined recursively as a metric space: each node goes to the nearest of several new pivots and, by the triangle
 inequality, also to those within 2e of that distance (e: the distance of a link), until regions are small or are one
 component; a region of bounded size is joined within one task. A region whose nodes are too alike in
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm._shared import WS_BYTES, by_bytes, give_back, materialise, table
+from oddsmill.sources.tables import discard, listed_scratch
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -332,6 +337,68 @@ class Region:
         return []
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Whether the number of a set's shingles in each slot is odd: one bit a slot, of which there are a power of two, at least as many as shingles."""
+    slots = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer slots."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def possible_groups(size: np.ndarray, bits: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Groups of two or more sets (``size``, and ``bits`` of ``parities``) that chains of possible links join; all links are inside of groups."""
+    order = np.argsort(size, kind="stable")
+    n, own = size[order], [bits[i] for i in order.tolist()]
+    group, members = np.arange(len(n)), {}
+    last = np.searchsorted(n, n * 100 // percent, side="right")  # larger ones don't link
+    words, level, first = 0, None, 0
+    for i in range(len(n)):
+        if last[i] == i + 1:
+            continue
+        if len(own[i]) != words:
+            words, first = len(own[i]), i
+            level = np.stack([_folded(x, words) for x in own[i:]])
+        at = i - first
+        apart = np.bitwise_count(level[at + 1 : last[i] - first] ^ level[at]).sum(1, dtype=np.int64)
+        near = i + 1 + np.flatnonzero((100 + percent) * apart <= (100 - percent) * (n[i] + n[i + 1 : last[i]]))
+        for g in set(group[near].tolist()) - {group[i]}:
+            into, gone = members.setdefault(int(group[i]), [int(group[i])]), members.pop(g, [g])
+            into += gone
+            group[gone] = group[i]
+    return [order[sorted(m)] for m in members.values()]
+
+
+def _possible(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Regions (region, node) as the groups of nodes that may link, each once; sketches: node, n, bits."""
+
+    def run(batches):
+        region, nodes, size, bits = None, [], [], []
+
+        def groups():
+            out = [np.array(nodes, np.int64)[g] for g in possible_groups(np.array(size, np.int64), bits, percent)] if len(nodes) > 1 else []
+            name = [xxhash.xxh3_64_intdigest(np.sort(g).tobytes()) for g in out]
+            names = np.repeat(np.array(name, np.uint64), [len(g) for g in out]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], ["region", "node"])
+
+        for batch in batches:
+            for r, node, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != region:
+                    yield groups()
+                    region, nodes, size, bits = r, [], [], []
+                nodes.append(node)
+                size.append(n)
+                bits.append(np.frombuffer(raw, np.uint64))
+        yield groups()
+
+    rows = regions.select("region", "node").join(sketches, "node").select("region", "node", "n", "bits")
+    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "region long, node long").distinct()
+
+
 def _joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
     """a, b: links that join the components of each region (region, node)."""
 
@@ -479,29 +546,38 @@ def _joined(docs: DataFrame, words: int, percent: int, local_hot: int = 4, max_h
     else:
         every = every.withColumn("node", F.col("a"))
 
-    postings = _postings(rows, words, classes, nodes, hot_h, hot_n)
-    by_signature = Window.partitionBy("h")
-    shared = postings.withColumn("region", F.min("node").over(by_signature)).withColumn("hi", F.max("node").over(by_signature)).where("region <> hi")
-    regions = materialise(shared.select("region", "node").distinct(), "join-regions")
-
-    # The sets of the nodes in regions, each from one document that has it.
-    holder = every.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("x")).select(F.col("node").alias("want"), F.col("x.th").alias("t"), F.col("x.doc_id").alias("d"))
-    holder = materialise(holder, "join-holders")
-
-    def sets_of(batches):
-        for batch in batches:
-            for part in by_bytes(batch, 1):
-                h, at = shingle_sets(_texts(part.column(1)), words)
-                want = part.column(0).to_numpy()
-                keep = np.flatnonzero(nodes.of(*_signatures(h, at)) == want).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(want[keep]), pa.array(np.diff(at)[keep]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["node", "n", "shingles"])
-
-    if holder.count() <= 1_000_000:  # 24 bytes a row
-        holder = F.broadcast(holder)
-    texts = rows.join(holder, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("want", "text")
-    sets = materialise(texts.mapInArrow(sets_of, "node long, n long, shingles binary").dropDuplicates(["node"]), "join-sets")
-
-    components = connected_components(_links(regions, sets, percent, leaf, max_nodes, max_shingles)).withColumnRenamed("component", "c")
+    def of_nodes(wanted, kind, made):
+        """node, n and what ``made`` makes of its set, for each of the ``wanted`` nodes, from one document that has it."""
+
+        def run(batches):
+            for batch in batches:
+                for part in by_bytes(batch, 1):
+                    h, at = shingle_sets(_texts(part.column(1)), words)
+                    want = part.column(0).to_numpy()
+                    keep = np.flatnonzero(nodes.of(*_signatures(h, at)) == want).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(want[keep]), pa.array(np.diff(at)[keep]), pa.array([made(h[at[k] : at[k + 1]]) for k in keep], pa.binary())], ["node", "n", kind])
+
+        holder = every.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("x")).select(F.col("node").alias("want"), F.col("x.th").alias("t"), F.col("x.doc_id").alias("d"))
+        holder = materialise(holder, "join-holders")
+        if holder.count() <= 1_000_000:  # 24 bytes a row
+            holder = F.broadcast(holder)
+        texts = rows.join(holder, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("want", "text")
+        return materialise(texts.mapInArrow(run, f"node long, n long, {kind} binary").dropDuplicates(["node"]), f"join-{kind}")
+
+    with listed_scratch() as made:
+        postings = _postings(rows, words, classes, nodes, hot_h, hot_n)
+        by_signature = Window.partitionBy("h")
+        shared = postings.withColumn("region", F.min("node").over(by_signature)).withColumn("hi", F.max("node").over(by_signature)).where("region <> hi")
+        regions = materialise(shared.select("region", "node").distinct(), "join-regions")
+        sketches = of_nodes(regions, "bits", parities)
+        sized = materialise(_sized(regions, sketches), "join-sizes")
+        over = sized.where((F.col("m") > max_nodes) | (F.col("s") > max_shingles)).select("region")
+        fits, large = regions.join(over, "region", "left_anti"), regions.join(over, "region", "left_semi")
+        regions = materialise(_possible(fits, sketches, percent).unionByName(large.select("region", "node")).distinct(), "join-regions")
+        sets = of_nodes(regions, "shingles", lambda x: x.tobytes())
+        links = _links(regions, sets, percent, leaf, max_nodes, max_shingles)
+        components = connected_components(links).withColumnRenamed("component", "c")
+    discard(docs.sparkSession, made[:-1])  # the last holds the components
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     smallest = every.where("n > 0").groupBy("node").agg(F.min(best).alias("best")).join(components, "node", "left").withColumn("c", F.coalesce("c", "node"))
     labels = smallest.groupBy("c").agg(F.min("best").alias("best"))
@@ -516,7 +592,10 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, **how) -
     Rows without words link to nothing and all stay, repeated ones too. An empty table gives no rows. Columns of ``docs`` other than doc_id and text
     play no part; their names may be any that don't start with ``_join_``.
     """
-    joined = materialise(_joined(docs, words, percent, **how).where("n_shingles > 0").select(F.col("doc_id").alias("_join_id"), F.col("th").alias("_join_th"), "best"), "join-rows")
+    with listed_scratch() as made:
+        of_rows = _joined(docs, words, percent, **how).where("n_shingles > 0").select(F.col("doc_id").alias("_join_id"), F.col("th").alias("_join_th"), "best")
+    joined = materialise(of_rows, "join-rows")
+    discard(docs.sparkSession, made)
     same = F.col("_join_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_join_th") == F.col("best.th"))
     of_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_join_id")) & (F.xxhash64("text") == F.col("_join_th"))
     kept = docs.join(joined.where(~same).select("_join_id", "_join_th").distinct(), of_row, "left_anti")

@@ -255,6 +255,45 @@ def test_linked_sets_share_a_first_signature(words, percent):
                 assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [55, 80, 85])
+def test_parities_part_sets_by_chance_alike_and_no_links(percent):
+    """Sets that share a passage are parted; links, also chains between sets of other sizes, stay in one group."""
+    from oddsmill.llm.jaccard_join import parities, possible_groups
+
+    r = np.random.default_rng(9)
+    draw = lambda n: np.unique(r.integers(0, 2**64, n, np.uint64))
+    passage = draw(60)
+    sets = [np.unique(np.concatenate([passage, draw(n)])) for n in r.integers(300, 900, 60)] + [draw(n) for n in (1, 2, 5, 64, 65)]
+    alone = len(sets) - 5
+    for _ in range(150):
+        s = sets[r.integers(len(sets))]
+        sets.append(np.unique(np.concatenate([s[r.random(len(s)) > r.choice([0, 0.03, 0.1])], draw(int(r.integers(0, 1 + len(s) // 10)))])) if len(s) > 1 else s)
+    bits = [np.frombuffer(parities(s), np.uint64) for s in sets]
+    groups = possible_groups(np.array([len(s) for s in sets]), bits, percent)
+    of = {int(i): k for k, g in enumerate(groups) for i in g}
+    assert len(of) == sum(map(len, groups)) and all(len(g) > 1 for g in groups)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(x, sets[j]))
+            if 100 * shared >= percent * (len(x) + len(sets[j]) - shared):
+                assert of[i] == of[j]
+    if percent >= 80:
+        assert possible_groups(np.array([len(s) for s in sets[:alone]]), bits[:alone], percent) == []
+
+
+def test_tables_of_the_join_go_when_its_rows_are_written(spark):
+    from oddsmill.llm.jaccard_join import representatives
+    from oddsmill.sources import tables
+
+    r = random.Random(4)
+    rows = [(k, prose(r, 80), "en") for k in range(6)]
+    with tables.listed_scratch() as paths:
+        kept = representatives(docs(spark, [*rows, *[(10 + i, t + " more", "en") for i, t, _ in rows]]))
+    there = lambda p: tables.ensure_dir(spark, p.rpartition("/")[0])[0].exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert [p.rpartition("/")[2].rpartition("-")[0] for p in paths if there(p)] == ["join-rows"]
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(6))
+
+
 def test_a_repeated_id_loses_only_its_copies(spark):
     from oddsmill.llm.jaccard_join import representatives
 
