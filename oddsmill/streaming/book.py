@@ -80,6 +80,6 @@ def stream_book_ticks(messages: DataFrame, interval: int = 60, depth: int = 5, d
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own = messages.where("asset_id is not null and seq is not null and ts is not null").withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     shaped = own.select("event_time", *[F.col(c).cast(kind).alias(c) for c, kind in BookFold.columns.items()])
-    ticks = shaped.groupBy("asset_id").transformWithStateInPandas(BookFold(interval, depth), _ddl(BookFold.result), "Append", "EventTime", eventTimeColumnName="event_time")
+    ticks = shaped.groupBy("asset_id").transformWithState(BookFold(interval, depth), _ddl(BookFold.result), "Append", "EventTime", eventTimeColumnName="event_time")
     out = ticks.withColumnsRenamed({"ts": "snapshot_at"}).withColumn("stale", F.col("stale") == 1)
     return out.withColumns({"mid_price": (F.col("best_bid") + F.col("best_ask")) / 2, "spread": F.col("best_ask") - F.col("best_bid")}).drop("event_time")
