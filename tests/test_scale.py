@@ -125,6 +125,21 @@ def test_pairs_of_wallets_equal_counting_all(spark, most):
     assert {(x.a, x.b): x.shared for x in got} == want != {} and len(got) == len(want)
 
 
+def _busy(spark):
+    """Wallets a, b and c share three markets and then trade 600 times each in a market of their own."""
+    rows = [(w, f"m{k}", k, f"{w}{k}", "y") for w in "abc" for k in range(3)] + [(w, f"own-{w}", 100 + k, f"{w}-{k:03}", "y") for w in "abc" for k in range(600)]
+    return spark.createDataFrame(rows, "wallet_address string, condition_id string, ts long, tx_hash string, asset_id string")
+
+
+def test_pairs_of_wallets_count_old_trades_too(spark):
+    from oddsmill.operators.detectors import cotrade_edges
+
+    trades = _busy(spark)
+    markets = trades.select("condition_id").distinct()
+    for most in (2000, 1):
+        assert sorted(map(tuple, cotrade_edges(trades, markets, most=most).collect())) == [("a", "b", 3), ("a", "c", 3), ("b", "c", 3)]
+
+
 def test_an_expanded_cluster_meets_each_trade_once(spark):
     from oddsmill.operators import detectors
 
