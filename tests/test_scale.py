@@ -140,6 +140,14 @@ def test_pairs_of_wallets_count_old_trades_too(spark):
         assert sorted(map(tuple, cotrade_edges(trades, markets, most=most).collect())) == [("a", "b", 3), ("a", "c", 3), ("b", "c", 3)]
 
 
+def test_components_join_wallets_by_old_trades_too(spark):
+    from oddsmill.operators.detectors import components, cotrade_edges
+
+    trades = _busy(spark)
+    found = components(cotrade_edges(trades, trades.select("condition_id").distinct()), scratch_table)
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
 def test_an_expanded_cluster_meets_each_trade_once(spark):
     from oddsmill.operators import detectors
 
