@@ -287,6 +287,16 @@ def test_convergence_by_category_is_one_pass_and_equals_a_pass_for_each_window(s
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_convergence_by_category_adds_the_volume_of_old_trades_too(spark):
+    from oddsmill.operators import detectors
+
+    rows = [("m", "t-a", "m:Y", "a", 100, 7.0), ("m", "t-b", "m:Y", "b", 200, 5.0)] + [("own", f"t{k:03}", "own:Y", "a", 10**6 + 10**6 * k, 1.0) for k in range(300)]
+    trades = spark.createDataFrame(rows, "condition_id string, tx_hash string, asset_id string, wallet_address string, ts long, notional_usd double")
+    tags = spark.createDataFrame([("m", ["Sports"]), ("own", ["Sports"])], "condition_id string, tags array<string>")
+    roster = spark.createDataFrame([(w, "sports", 30, 0.2, 5.0) for w in "ab"], "wallet_address string, category string, positions long, mean_edge double, excess_pnl_usd double")
+    assert [(x.tx_hash, x.n_wallets, x.total_usd) for x in detectors.convergence_by_category(trades, tags, roster).collect()] == [("t-b", 2, 12.0)]
+
+
 def test_scores_are_computed_once_for_their_auc(spark):
     from oddsmill.operators import model
 
