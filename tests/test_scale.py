@@ -148,6 +148,22 @@ def test_components_join_wallets_by_old_trades_too(spark):
     assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
 
 
+def test_a_large_cluster_is_scored_by_all_members_and_all_their_trades(spark):
+    """Of 150 members the last three alone share markets, by trades older than 600 others of each; the last but one has no creation time near the rest."""
+    import hashlib
+
+    from oddsmill.operators import detectors
+
+    names = [f"w{k:03}" for k in range(150)]
+    members = detectors.cluster_groups(spark.createDataFrame([(w, "w000") for w in names] + [("x", "x"), ("y", "x")], "wallet_address string, component string"))
+    rows = [(w, f"m{k}", "BUY", 5.0 + k, 10 * k, f"m{k}:Y", f"{w}-{k}") for w in names[-3:] for k in range(3)] + [(w, f"own-{w}", "SELL", 1.0, 10**6 + k, "o", f"{w}+{k}") for w in names[-3:] for k in range(600)]
+    trades = spark.createDataFrame(rows, "wallet_address string, condition_id string, bs string, size double, ts long, asset_id string, tx_hash string")
+    seen = spark.createDataFrame([(w, 10**9 if k == 148 else k) for k, w in enumerate(names)], "wallet_address string, first_activity_at long")
+    got = detectors.cluster_scores(members, trades, seen, trades.select("condition_id").distinct()).collect()
+    assert [(x.component, x.member_count, x.last_created, x.shared_markets, x.burst_wallets, x.behavior_tag, x.score) for x in got] == [("w000", 150, 10**9, 3, 3, "trader", 5)]
+    assert got[0].cluster_id == "cluster-" + hashlib.sha256("|".join(names).encode()).hexdigest()[:16]
+
+
 def test_an_expanded_cluster_meets_each_trade_once(spark):
     from oddsmill.operators import detectors
 
