@@ -164,6 +164,20 @@ def test_a_large_cluster_is_scored_by_all_members_and_all_their_trades(spark):
     assert got[0].cluster_id == "cluster-" + hashlib.sha256("|".join(names).encode()).hexdigest()[:16]
 
 
+def test_every_wallet_of_every_burst_is_a_candidate(spark, tmp_path):
+    """A bucket of 80 wallets lists all of them, and a market may have any number of such buckets."""
+    from datetime import datetime
+
+    import __spark_entry__
+
+    year = lambda k: datetime(1972 + k % 4, 6, 1 + k % 27)
+    lines = [(k, 1 if k < 80 else 2, 1, 1, 10.0 if k < 80 else 10.0 + 400 * (k // 4 % 2), 0.0, "N", "O", year(0 if k < 80 else k)) for k in range(160)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k) for k in range(160)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = __spark_entry__.queries()["candidate_wallets"](spark, str(tmp_path)).collect()
+    assert sorted(x.address for x in got) == sorted(f"w{k}" for k in range(80))
+
+
 def test_an_expanded_cluster_meets_each_trade_once(spark):
     from oddsmill.operators import detectors
 
