@@ -327,6 +327,23 @@ def test_convergence_by_category_adds_the_volume_of_old_trades_too(spark):
     assert [(x.tx_hash, x.n_wallets, x.total_usd) for x in detectors.convergence_by_category(trades, tags, roster).collect()] == [("t-b", 2, 12.0)]
 
 
+def test_training_rows_cross_the_network_by_market_and_by_wallet_once(spark):
+    from oddsmill.operators import features, model
+    from oddsmill.plans import views
+
+    trades, markets, ends = (v(spark, SMALLEST) for v in (views.trades, views.markets, views.resolutions))
+    examples = features.build_features(trades, markets, ends)
+    got = model.split_in_place(examples, ends)
+    want = model.with_split(examples, model.temporal_split(ends))
+    count = lambda df: {tuple(x) for x in df.select("tx_hash", "asset_id", "wallet_address", "condition_id", "split").collect()}
+    assert count(got) == count(want) and {x[-1] for x in count(got)} == {"train", "validation", "test"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [wallet_address") == 1 and "Union" not in plan  # the anonymous, of whom there are none, ask for no second build
+    assert "condition_id" not in next(x for x in plan.splitlines() if "Join" in x)  # splits are told by one row
+    some = trades.withColumn("wallet_address", F.when(F.col("ts") % 3 == 0, "").otherwise(F.col("wallet_address")))
+    assert "Union" in features.build_features(some, markets, ends)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores_are_computed_once_for_their_auc(spark):
     from oddsmill.operators import model
 
